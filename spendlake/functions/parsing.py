@@ -60,10 +60,10 @@ def parse_txn_date(raw, received_at, as_of) -> Column:
     yy = F.regexp_extract(raw, m, 5)
     year = F.when(F.length(yy) == 4, yy.cast("int")).otherwise(_two_digit_year(yy))
     iso = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), mm, dd)
-    parsed = F.when((F.length(dd) == 2) & (s1 == s2), F.try_to_date(iso, F.lit("yyyy-MM-dd")))
+    parsed = F.when((F.length(dd) == 2) & (s1 == s2), F.try_to_date(iso, "yyyy-MM-dd"))
     rec = _c(received_at)
     rec_date = F.when(
-        rec.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(rec, 1, 10), F.lit("yyyy-MM-dd"))
+        rec.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(rec, 1, 10), "yyyy-MM-dd")
     )
     missing = raw.isNull() | (raw == "")
     return F.when(missing, F.coalesce(rec_date, as_of)).otherwise(F.coalesce(parsed, as_of))
@@ -99,7 +99,7 @@ def clean_merchant(captured, sender, subject, word_boundary: bool = False) -> Co
     """
     cap = F.trim(F.coalesce(_c(captured), F.lit("")))
     pattern = MERCHANT_NOISE_WORD if word_boundary else MERCHANT_NOISE
-    cleaned = F.trim(F.regexp_replace(cap, pattern, ""), " .")
+    cleaned = F.trim(F.regexp_replace(cap, pattern, ""), F.lit(" ."))
     s = F.lower(F.coalesce(_c(sender), F.lit("")))
     brand = None
     for key, name in BRAND_BY_SENDER:

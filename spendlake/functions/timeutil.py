@@ -45,7 +45,7 @@ def mail_date_to_iso(x, as_of_iso: str) -> Column:
     oh = F.regexp_extract(body, m, 6)
     om = F.regexp_extract(body, m, 7)
     local = F.try_to_timestamp(
-        F.concat_ws(" ", F.lpad(day, 2, "0"), F.initcap(mon), year, hms), F.lit("dd MMM yyyy HH:mm[:ss]")
+        F.concat_ws(" ", F.lpad(day, 2, "0"), F.initcap(mon), year, hms), "dd MMM yyyy HH:mm[:ss]"
     )
     iso = F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, oh, F.lit(":"), om)
     return F.when(local.isNotNull() & (day != ""), iso).otherwise(F.lit(as_of_iso))

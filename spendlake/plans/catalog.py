@@ -82,3 +82,67 @@ def resolved_budgets(spark, sf_dir):
     return cat.join(over, "month_key").select("month_key", "category", "category_budget", "overall_budget").where(
         F.col("month_key").isNotNull()
     )
+
+
+# ---------------------------------------------------------------------------
+# Message extraction (SC-1..6, JN-11, AGG-7, SNK-5, FLT-5)
+# ---------------------------------------------------------------------------
+
+def parsed_messages(spark, sf_dir):
+    from spendlake.operators.extract import extract_transactions
+
+    return extract_transactions(tables.all_messages(spark, sf_dir), as_of=tables.EVENTS_AS_OF)
+
+
+@register("message_extraction")
+def message_extraction(spark, sf_dir):
+    """SC-6 (+ SC-1..5, JN-11): every message parsed; flat transaction fields."""
+    from spendlake.operators.extract import flatten_transaction
+
+    return flatten_transaction(parsed_messages(spark, sf_dir))
+
+
+@register("parser_stats")
+def parser_stats(spark, sf_dir):
+    """AGG-7: totals, hits, misses and hit rate of a parse run."""
+    from spendlake.operators.extract import parser_stats as stats
+
+    return stats(parsed_messages(spark, sf_dir))[0]
+
+
+@register("pattern_breakdown")
+def pattern_breakdown(spark, sf_dir):
+    """AGG-7 + SRT-4: per-pattern counts, descending."""
+    from spendlake.operators.extract import parser_stats as stats
+
+    return stats(parsed_messages(spark, sf_dir))[1]
+
+
+@register("review_queue")
+def review_queue(spark, sf_dir):
+    """SNK-5: unmatched messages with the first 3000 body characters."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.extract import review_queue as rq
+
+    return rq(parsed_messages(spark, sf_dir)).select(
+        "email_uid", "subject", "confidence", F.length("body_for_review").alias("review_chars"),
+        F.sha2(F.col("body_for_review"), 256).alias("review_sha")
+    )
+
+
+@register("sender_split")
+def sender_split(spark, sf_dir):
+    """FLT-5 + JN-11: allow-list containment and pattern family per message."""
+    from spendlake.config import DEFAULT_ALLOWED_SENDERS
+    from spendlake.operators.extract import sender_family
+    from spendlake.operators.filters import sender_match
+
+    from pyspark.sql import functions as F
+
+    m = tables.all_messages(spark, sf_dir)
+    return m.select(
+        "seq", "sender_email",
+        sender_match(F.col("sender_email"), DEFAULT_ALLOWED_SENDERS).alias("allowed"),
+        sender_family(F.col("sender_email")).alias("family"),
+    )

@@ -87,3 +87,138 @@ LEFT JOIN budgets om ON om.month_key = m.month_key AND om.category IS NULL
 LEFT JOIN budgets od ON od.month_key = 'default' AND od.category IS NULL
 WHERE g.month_key IS NOT NULL
 """)
+
+
+# ---------------------------------------------------------------------------
+# Message extraction, generated from the pattern registry
+# ---------------------------------------------------------------------------
+
+def _extraction_sql() -> str:
+    from spendlake.config import DEFAULT_ALLOWED_SENDERS, MERCHANT_SUBJECT_CHARS, REVIEW_BODY_CHARS
+    from spendlake.functions.parsing import BRAND_BY_SENDER, MERCHANT_NOISE, REF_TYPES
+    from spendlake.operators.extract import DEFAULT_PATTERNS, FAMILY_ORDER, GENERIC, ordered_patterns
+    from spendlake.plans.oracle_views import MESSAGES_CTE
+    from spendlake.sources.tables import EVENTS_AS_OF
+
+    def lit(s):
+        return "'" + s.replace("'", "''") + "'"
+
+    pats = ordered_patterns(DEFAULT_PATTERNS)
+    fam = "CASE " + " ".join(
+        f"WHEN contains(lower(coalesce(sender_email, '')), {lit(k)}) THEN {lit(k)}" for k in FAMILY_ORDER
+    ) + " ELSE CAST(NULL AS VARCHAR) END"
+    allowed = " OR ".join(f"contains(lower(coalesce(sender_email, '')), {lit(a.lower())})" for a in DEFAULT_ALLOWED_SENDERS)
+    hits = []
+    for i, p in enumerate(pats):
+        applies = "TRUE" if p.family == GENERIC else f"family = {lit(p.family)}"
+        re_ = lit(p.full())
+        amt = f"coalesce(TRY_CAST(replace(regexp_extract(_text, {re_}, {p.groups['amount']}), ',', '') AS DOUBLE), 0.0)"
+        hits.append(f"({applies} AND regexp_matches(_text, {re_}) AND {amt} > 0) AS h{i}")
+    win = "CASE " + " ".join(f"WHEN h{i} THEN {i}" for i in range(len(pats))) + " END"
+
+    def pick(field):
+        arms = [f"WHEN {i} THEN regexp_extract(_text, {lit(p.full())}, {p.groups[field]})"
+                for i, p in enumerate(pats) if field in p.groups]
+        return "(CASE _w " + " ".join(arms) + " END)" if arms else "CAST(NULL AS VARCHAR)"
+
+    names = "CASE _w " + " ".join(f"WHEN {i} THEN {lit(p.name)}" for i, p in enumerate(pats)) + " END"
+    brand = "CASE " + " ".join(
+        f"WHEN contains(lower(coalesce(sender_email, '')), {lit(k)}) THEN {lit(v)}" for k, v in BRAND_BY_SENDER
+    ) + " END"
+    ref_cols = ", ".join(f"trim(coalesce({pick(t)}, '')) AS r_{t}" for t in REF_TYPES)
+    desc_parts = ", ".join(f"CASE WHEN r_{t} <> '' THEN '[{t}: ' || r_{t} || ']' END" for t in REF_TYPES)
+    date_re = r"^(\d{2})([-/])(\d{2})([-/])(\d{4}|\d{2})$"
+    as_of = f"DATE '{EVENTS_AS_OF}'"
+    return f"""
+WITH {MESSAGES_CTE},
+m1 AS (
+  SELECT *, coalesce(subject, '') || chr(10) || coalesce(body, '') AS _text, {fam} AS family,
+         ({allowed}) AS allowed
+  FROM messages
+),
+m2 AS (SELECT *, {", ".join(hits)} FROM m1),
+m3 AS (SELECT *, {win} AS _w FROM m2),
+m4 AS (
+  SELECT *, {pick('amount')} AS r_amount, trim(coalesce({pick('merchant')}, '')) AS r_merchant,
+         {pick('date')} AS r_date1, {pick('date2')} AS r_date2, {ref_cols}
+  FROM m3
+),
+m5 AS (
+  SELECT *,
+    trim(regexp_replace(r_merchant, {lit(MERCHANT_NOISE)}, ''), ' .') AS cleaned,
+    trim(CASE WHEN coalesce(r_date1, '') <> '' THEN r_date1 ELSE r_date2 END) AS raw_date
+  FROM m4
+),
+m6 AS (
+  SELECT *,
+    CASE WHEN cleaned <> '' THEN cleaned
+         ELSE coalesce({brand}, CASE WHEN subject IS NOT NULL AND subject <> '' THEN substr(subject, 1, {MERCHANT_SUBJECT_CHARS}) ELSE 'Unknown' END)
+    END AS merchant,
+    regexp_extract(raw_date, '{date_re}', 1) AS dd, regexp_extract(raw_date, '{date_re}', 2) AS s1,
+    regexp_extract(raw_date, '{date_re}', 3) AS mm, regexp_extract(raw_date, '{date_re}', 4) AS s2,
+    regexp_extract(raw_date, '{date_re}', 5) AS yy
+  FROM m5
+),
+m7 AS (
+  SELECT *,
+    CASE WHEN raw_date IS NULL OR raw_date = '' THEN
+           coalesce(CASE WHEN regexp_matches(received_at, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')
+                         THEN CAST(try_strptime(substr(received_at, 1, 10), '%Y-%m-%d') AS DATE) END, {as_of})
+         ELSE coalesce(CASE WHEN length(dd) = 2 AND s1 = s2 THEN CAST(try_strptime(
+                lpad(CAST(CASE WHEN length(yy) = 4 THEN CAST(yy AS INTEGER)
+                               WHEN CAST(yy AS INTEGER) >= 69 THEN CAST(yy AS INTEGER) + 1900
+                               ELSE CAST(yy AS INTEGER) + 2000 END AS VARCHAR), 4, '0') || '-' || mm || '-' || dd,
+                '%Y-%m-%d') AS DATE) END, {as_of})
+    END AS txn_date
+  FROM m6
+),
+parsed AS (
+  SELECT seq, email_uid, message_id, "from", sender_email, subject, body, received_at, family, allowed,
+    CASE WHEN _w IS NOT NULL THEN 'regex' ELSE 'llm_needed' END AS parse_method,
+    CASE WHEN _w IS NOT NULL AND family IS NOT NULL THEN 0.9 WHEN _w IS NOT NULL THEN 0.7 ELSE 0.0 END AS confidence,
+    {names} AS pattern_name,
+    CASE WHEN _w IS NOT NULL THEN coalesce(TRY_CAST(replace(r_amount, ',', '') AS DOUBLE), 0.0) END AS amount,
+    CASE WHEN _w IS NOT NULL THEN merchant END AS merchant,
+    CASE WHEN _w IS NOT NULL THEN 'debit' END AS direction,
+    CASE WHEN _w IS NOT NULL THEN strftime(txn_date, '%Y-%m-%d') END AS transaction_date,
+    CASE WHEN _w IS NOT NULL THEN concat_ws(' ', merchant, {desc_parts}) END AS description,
+    {", ".join(f"CASE WHEN _w IS NOT NULL THEN NULLIF(r_{t}, '') END AS {t}" for t in REF_TYPES)},
+    CASE WHEN _w IS NULL THEN substr(coalesce(body, ''), 1, {REVIEW_BODY_CHARS}) END AS body_for_review
+  FROM m7
+)"""
+
+
+PARSED_CTE = _extraction_sql()
+
+sql("message_extraction", f"""
+{PARSED_CTE}
+SELECT seq, email_uid, family, parse_method, CAST(confidence AS DOUBLE) AS confidence, pattern_name, amount, merchant,
+       direction, transaction_date, description, ref_no, upi_ref, upi_id, utr, order_id, trip_id, booking_id
+FROM parsed
+""")
+
+sql("parser_stats", f"""
+{PARSED_CTE}
+SELECT count(*) AS total_parsed, count_if(parse_method = 'regex') AS regex_hits,
+       count_if(parse_method = 'llm_needed') AS llm_needed,
+       CASE WHEN count(*) > 0 THEN round(count_if(parse_method = 'regex') / count(*) * 100, 1) ELSE 0.0 END AS hit_rate_pct
+FROM parsed
+""")
+
+sql("pattern_breakdown", f"""
+{PARSED_CTE}
+SELECT coalesce(pattern_name, 'llm_fallback') AS pattern, count(*) AS count
+FROM parsed GROUP BY 1 ORDER BY count DESC, pattern
+""")
+
+sql("review_queue", f"""
+{PARSED_CTE}
+SELECT email_uid, subject, CAST(confidence AS DOUBLE) AS confidence, length(body_for_review) AS review_chars,
+       sha256(body_for_review) AS review_sha
+FROM parsed WHERE parse_method = 'llm_needed'
+""")
+
+sql("sender_split", f"""
+{PARSED_CTE}
+SELECT seq, sender_email, allowed, family FROM parsed
+""")

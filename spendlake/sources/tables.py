@@ -215,7 +215,8 @@ def _render(fam: int, a: Column) -> tuple[Column, Column]:
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction message per event, in the sender family ``event_id mod 14``."""
     ev = _event_fields(read_table(spark, sf_dir, "events"))
-    a = amount_text(F.col("cents"))
+    ev = ev.withColumn("amt", amount_text(F.col("cents")))
+    a = F.col("amt")
     subject = body = name = addr = None
     for fam in range(len(FAMILY_SENDERS)):
         s, b = _render(fam, a)
