@@ -146,3 +146,94 @@ def sender_split(spark, sf_dir):
         sender_match(F.col("sender_email"), DEFAULT_ALLOWED_SENDERS).alias("allowed"),
         sender_family(F.col("sender_email")).alias("family"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Dedup over the events timeline (JN-2..JN-7, AGG-9, FLT-7)
+# ---------------------------------------------------------------------------
+
+# Fixed values of the registered dedup runs: reprocess mode (90-day reference horizon,
+# ledger look-back from the batch start minus the hard cutoff).
+DEDUP_AS_OF_TS = "2024-01-31 00:00:00"
+DEDUP_REF_DAYS = 90
+DEDUP_LEDGER_SINCE = "2024-01-14"
+
+
+def dedup_inputs(spark, sf_dir):
+    from spendlake.operators.dedup import known_references
+    from spendlake.operators.filters import ledger_lookback
+
+    batch = tables.batch_from_events(spark, sf_dir)
+    ledger_rows = ledger_lookback(tables.ledger_from_events(spark, sf_dir), DEDUP_LEDGER_SINCE)
+    known = known_references(tables.checkpoint_from_events(spark, sf_dir), DEDUP_AS_OF_TS, DEDUP_REF_DAYS)
+    return batch, ledger_rows, known
+
+
+@register("soft_match_pairs")
+def soft_match_pairs(spark, sf_dir):
+    """JN-4 + SC-7/8/9: band join of the batch with itself; score and status per pair."""
+    from pyspark.sql import functions as F
+
+    from spendlake.config import DedupSettings
+    from spendlake.operators.dedup import soft_match_pairs as smp
+
+    batch = tables.batch_from_events(spark, sf_dir)
+    return smp(batch, None, DedupSettings()).select(
+        "c_key", "e_key", F.round("gap_minutes", 4).alias("gap_minutes"), "score", "status"
+    )
+
+
+@register("ledger_first_match")
+def ledger_first_match(spark, sf_dir):
+    """JN-5 + FLT-7 + SRT-2: first ledger row (newest first) matching each batch row."""
+    from spendlake.config import DedupSettings
+    from spendlake.operators.dedup import first_ledger_match
+
+    batch, ledger_rows, _ = dedup_inputs(spark, sf_dir)
+    return first_ledger_match(batch, ledger_rows, DedupSettings())
+
+
+@register("known_references")
+def known_references_q(spark, sf_dir):
+    """JN-3: lower-cased reference -> last processed message within the horizon."""
+    from pyspark.sql import functions as F
+
+    _, _, known = dedup_inputs(spark, sf_dir)
+    return known.select("ref", F.col("record.message_id").alias("message_id"))
+
+
+@register("hard_matches")
+def hard_matches_q(spark, sf_dir):
+    """JN-2: batch rows whose reference equals a known one (type ignored, case-folded)."""
+    from spendlake.operators.dedup import hard_matches
+
+    batch, _, known = dedup_inputs(spark, sf_dir)
+    return hard_matches(batch, known)
+
+
+@register("batch_leaders")
+def batch_leaders_q(spark, sf_dir):
+    """JN-6: leader election over the batch match graph (roles and leaders)."""
+    from spendlake.config import DedupSettings
+    from spendlake.operators.dedup import batch_leaders
+
+    batch = tables.batch_from_events(spark, sf_dir)
+    return batch_leaders(batch, DedupSettings())
+
+
+@register("dedup_statuses")
+def dedup_statuses(spark, sf_dir):
+    """JN-7: hard -> ledger -> batch with precedence; one status per batch row."""
+    from spendlake.config import DedupSettings
+    from spendlake.operators.dedup import deduplicate
+
+    batch, ledger_rows, known = dedup_inputs(spark, sf_dir)
+    return deduplicate(batch, ledger_rows, known, DedupSettings())
+
+
+@register("dedup_status_counts")
+def dedup_status_counts(spark, sf_dir):
+    """AGG-9: counts per dedup status."""
+    from spendlake.operators.dedup import status_counts
+
+    return status_counts(dedup_statuses(spark, sf_dir))

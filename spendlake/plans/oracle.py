@@ -222,3 +222,156 @@ sql("sender_split", f"""
 {PARSED_CTE}
 SELECT seq, sender_email, allowed, family FROM parsed
 """)
+
+
+# ---------------------------------------------------------------------------
+# Dedup (band join written as a plain theta join; first match by window)
+# ---------------------------------------------------------------------------
+
+def _dedup_sql():
+    from spendlake.config import DedupSettings
+    from spendlake.plans.catalog import DEDUP_AS_OF_TS, DEDUP_LEDGER_SINCE, DEDUP_REF_DAYS
+    from spendlake.plans.oracle_views import EVENT_TXN_CTE
+
+    s = DedupSettings()
+    width = max(s.time_window_minutes, 120.0) * 60_000_000
+
+    def score(c, e):
+        gap = f"(abs({c}.us - {e}.us) / 60000000.0)"
+        t = (f"(CASE WHEN {gap} <= {s.time_window_minutes} THEN 1.5 WHEN {gap} / 60.0 > 24 THEN -2.0 "
+             f"WHEN {gap} / 60.0 > 2 THEN -1.0 ELSE 0.0 END)")
+        merch = (f"({c}.m <> '' AND {e}.m <> '' AND (contains({c}.m, {e}.m) OR contains({e}.m, {c}.m)))")
+        sc = (f"({t} + CASE WHEN abs({c}.amount - {e}.amount) <= {s.amount_tolerance} THEN 2.0 ELSE 0.0 END"
+              f" + CASE WHEN {merch} THEN 1.0 ELSE 0.0 END + CASE WHEN {c}.d = {e}.d THEN 0.5 ELSE 0.0 END)")
+        status = (f"CASE WHEN {gap} / 60.0 > {s.max_date_gap_hours} THEN NULL WHEN {sc} >= 4.5 THEN 'auto_merged' "
+                  f"WHEN {sc} >= 3.5 THEN 'probable_duplicate' END")
+        return gap, sc, status
+
+    band = f"abs(c.amount - e.amount) <= {s.amount_tolerance} AND abs(c.us - e.us) <= {width}"
+    gap, sc, status = score("c", "e")
+    ctes = f"""
+WITH {EVENT_TXN_CTE},
+b AS (SELECT seq, amount, lower(trim(coalesce(merchant, ''))) AS m, coalesce(direction, 'debit') AS d,
+             txn_ts AS ts, epoch_us(txn_ts) AS us, ref FROM batch_ev),
+l AS (SELECT id, amount, lower(trim(coalesce(description, ''))) AS m, 'debit' AS d, txn_ts AS ts,
+             epoch_us(txn_ts) AS us FROM ledger_ev WHERE CAST(txn_ts AS DATE) >= DATE '{DEDUP_LEDGER_SINCE}'),
+self_pairs AS (
+  SELECT c.seq AS c_key, e.seq AS e_key, {gap} AS gap_minutes, {sc} AS score, {status} AS status
+  FROM b c JOIN b e ON c.seq < e.seq AND {band}
+),
+ledger_pairs AS (
+  SELECT c.seq AS c_key, e.id AS e_key, e.ts AS e_ts, {status} AS status
+  FROM b c JOIN l e ON {band}
+),
+first_match AS (
+  SELECT c_key AS seq, e_key AS ledger_id, status AS ledger_status FROM (
+    SELECT *, row_number() OVER (PARTITION BY c_key ORDER BY e_ts DESC, e_key) AS rn
+    FROM ledger_pairs WHERE status IS NOT NULL) WHERE rn = 1
+),
+known AS (
+  SELECT ref, message_id FROM (
+    SELECT lower(ref) AS ref, message_id,
+           row_number() OVER (PARTITION BY lower(ref) ORDER BY processed_at DESC, seq DESC) AS rn
+    FROM checkpoint_ev
+    WHERE processed_at >= TIMESTAMP '{DEDUP_AS_OF_TS}' - INTERVAL {DEDUP_REF_DAYS} DAY AND ref <> '')
+  WHERE rn = 1
+),
+hard AS (SELECT b.seq, known.message_id AS matched_message_id FROM b JOIN known ON lower(b.ref) = known.ref)"""
+    return ctes
+
+
+DEDUP_CTES = _dedup_sql()
+
+sql("soft_match_pairs", f"""{DEDUP_CTES}
+SELECT c_key, e_key, round(gap_minutes, 4) AS gap_minutes, score, status FROM self_pairs WHERE status IS NOT NULL""")
+
+sql("ledger_first_match", f"{DEDUP_CTES} SELECT seq, ledger_id, ledger_status FROM first_match")
+
+sql("known_references", f"{DEDUP_CTES} SELECT ref, message_id FROM known")
+
+sql("hard_matches", f"{DEDUP_CTES} SELECT seq, matched_message_id FROM hard")
+
+
+def _batch_sql(pairs_from: str) -> str:
+    """Sequential greedy walk (recursive CTE) over the nodes that have edges."""
+    return f"""
+edges AS (SELECT c_key AS src, e_key AS dst FROM {pairs_from} WHERE status IS NOT NULL),
+gnodes AS (
+  SELECT seq, row_number() OVER (ORDER BY seq) AS rn,
+         coalesce((SELECT list(src) FROM edges WHERE dst = x.seq), []::BIGINT[]) AS srcs
+  FROM (SELECT src AS seq FROM edges UNION SELECT dst FROM edges) x
+),
+walk(rn, seq, is_leader, leaders) AS (
+  SELECT 0, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), []::BIGINT[]
+  UNION ALL
+  SELECT n.rn, n.seq, NOT list_has_any(n.srcs, w.leaders),
+         CASE WHEN list_has_any(n.srcs, w.leaders) THEN w.leaders ELSE list_append(w.leaders, n.seq) END
+  FROM walk w JOIN gnodes n ON n.rn = w.rn + 1
+),
+glead AS (SELECT seq FROM walk WHERE is_leader),
+roles AS (
+  SELECT seq, 'leader' AS role, seq AS leader_seq FROM bnodes WHERE seq NOT IN (SELECT seq FROM gnodes)
+  UNION ALL SELECT seq, 'leader', seq FROM glead
+  UNION ALL
+  SELECT e.dst, 'follower', min(e.src) FROM edges e
+  WHERE e.src IN (SELECT seq FROM glead) AND e.dst NOT IN (SELECT seq FROM glead) GROUP BY e.dst
+)"""
+
+
+sql("batch_leaders", f"""{DEDUP_CTES.replace('WITH ', 'WITH RECURSIVE ', 1)},
+bnodes AS (SELECT seq FROM b),
+{_batch_sql('self_pairs')}
+SELECT seq, role, leader_seq FROM roles""")
+
+
+def _full_dedup_sql() -> str:
+    from spendlake.config import DedupSettings
+    s = DedupSettings()
+    width = max(s.time_window_minutes, 120.0) * 60_000_000
+    gap = "(abs(c.us - e.us) / 60000000.0)"
+    t = (f"(CASE WHEN {gap} <= {s.time_window_minutes} THEN 1.5 WHEN {gap} / 60.0 > 24 THEN -2.0 "
+         f"WHEN {gap} / 60.0 > 2 THEN -1.0 ELSE 0.0 END)")
+    merch = "(c.m <> '' AND e.m <> '' AND (contains(c.m, e.m) OR contains(e.m, c.m)))"
+    sc = (f"({t} + CASE WHEN abs(c.amount - e.amount) <= {s.amount_tolerance} THEN 2.0 ELSE 0.0 END"
+          f" + CASE WHEN {merch} THEN 1.0 ELSE 0.0 END + CASE WHEN c.d = e.d THEN 0.5 ELSE 0.0 END)")
+    status = (f"CASE WHEN {gap} / 60.0 > {s.max_date_gap_hours} THEN NULL WHEN {sc} >= 4.5 THEN 'auto_merged' "
+              f"WHEN {sc} >= 3.5 THEN 'probable_duplicate' END")
+    band = f"abs(c.amount - e.amount) <= {s.amount_tolerance} AND abs(c.us - e.us) <= {width}"
+    return f"""{DEDUP_CTES.replace('WITH ', 'WITH RECURSIVE ', 1)},
+r1 AS (SELECT * FROM b WHERE seq NOT IN (SELECT seq FROM hard)),
+lp AS (SELECT c.seq AS c_key, e.id AS e_key, e.ts AS e_ts, {status} AS status FROM r1 c JOIN l e ON {band}),
+fm AS (SELECT c_key AS seq, e_key AS ledger_id, status AS ledger_status FROM (
+         SELECT *, row_number() OVER (PARTITION BY c_key ORDER BY e_ts DESC, e_key) AS rn
+         FROM lp WHERE status IS NOT NULL) WHERE rn = 1),
+r2 AS (SELECT * FROM r1 WHERE seq NOT IN (SELECT seq FROM fm)),
+bnodes AS (SELECT seq FROM r2),
+sp AS (SELECT c.seq AS c_key, e.seq AS e_key, {status} AS status FROM r2 c JOIN r2 e ON c.seq < e.seq AND {band}),
+{_batch_sql('sp')},
+nref AS (SELECT seq, CASE WHEN ref <> '' THEN 1 ELSE 0 END AS n_refs FROM b),
+rr AS (
+  SELECT r.seq, r.role, r.leader_seq, n1.n_refs, n2.n_refs AS leader_refs
+  FROM roles r JOIN nref n1 ON n1.seq = r.seq JOIN nref n2 ON n2.seq = r.leader_seq
+),
+swapped AS (SELECT DISTINCT leader_seq AS seq FROM rr WHERE role = 'follower' AND n_refs > leader_refs),
+statuses AS (
+  SELECT seq, 'definite_duplicate' AS dedup_status, CAST(NULL AS BIGINT) AS merged_with_ledger_id,
+         CAST(NULL AS BIGINT) AS probable_match_ledger_id, CAST(NULL AS BIGINT) AS batch_leader_seq,
+         matched_message_id FROM hard
+  UNION ALL
+  SELECT seq, ledger_status, CASE WHEN ledger_status = 'auto_merged' THEN ledger_id END,
+         CASE WHEN ledger_status = 'probable_duplicate' THEN ledger_id END, NULL, NULL FROM fm
+  UNION ALL
+  SELECT seq,
+         CASE WHEN role = 'leader' THEN CASE WHEN seq IN (SELECT seq FROM swapped) THEN 'auto_merged' ELSE 'new' END
+              WHEN n_refs > leader_refs THEN 'new' ELSE 'auto_merged' END,
+         NULL, NULL, CASE WHEN role = 'follower' THEN leader_seq END, NULL
+  FROM rr
+)"""
+
+
+FULL_DEDUP = _full_dedup_sql()
+sql("dedup_statuses", f"{FULL_DEDUP} SELECT * FROM statuses")
+sql("dedup_status_counts", f"""{FULL_DEDUP}
+SELECT s.dedup_status, CAST(count(x.seq) AS BIGINT) AS n
+FROM (VALUES ('new'), ('auto_merged'), ('probable_duplicate'), ('definite_duplicate')) s(dedup_status)
+LEFT JOIN statuses x ON x.dedup_status = s.dedup_status GROUP BY s.dedup_status""")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from spendlake.config import DEFAULT_CATEGORY
 from spendlake.sources.tables import (
     DEFAULT_BUDGET_ROWS,
-    EVENTS_SPLIT,
+    BATCH_START,
+    LEDGER_END,
     FAMILY_SENDERS,
     MONTH_BUDGET_RULES,
 )
@@ -175,14 +176,14 @@ txn AS (
 ),
 ledger_ev AS (
   SELECT seq AS id, amount, merchant AS description, ts AS txn_ts FROM txn
-  WHERE ts < TIMESTAMP '{EVENTS_SPLIT}'
+  WHERE ts < TIMESTAMP '{LEDGER_END}'
 ),
 batch_ev AS (
   SELECT seq, amount, merchant, direction, ts AS txn_ts, ref FROM txn
-  WHERE ts >= TIMESTAMP '{EVENTS_SPLIT}'
+  WHERE ts >= TIMESTAMP '{BATCH_START}'
 ),
 checkpoint_ev AS (
   SELECT 'e' || CAST(seq AS VARCHAR) AS email_uid, '<evt-' || CAST(seq AS VARCHAR) || '@mail.example>' AS message_id,
          ts AS processed_at, ref, seq
-  FROM txn WHERE ts < TIMESTAMP '{EVENTS_SPLIT}'
+  FROM txn WHERE ts < TIMESTAMP '{LEDGER_END}'
 )"""

@@ -285,8 +285,11 @@ def all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Dedup inputs from events: ledger part, batch part, processed checkpoint
 # ---------------------------------------------------------------------------
 
-# The split point of the events timeline and the as-of instants.
-EVENTS_SPLIT = "2024-01-16 00:00:00"
+# The events timeline split.  The ledger holds events before LEDGER_END,
+# the batch holds events from BATCH_START on; the overlap day is re-delivered mail.
+LEDGER_END = "2024-01-17 00:00:00"
+BATCH_START = "2024-01-16 00:00:00"
+EVENTS_SPLIT = BATCH_START
 EVENTS_AS_OF = "2024-01-31"
 
 
@@ -307,7 +310,7 @@ def event_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events before the split, as ledger rows (description carries the merchant)."""
     t = event_transactions(spark, sf_dir)
-    return t.where(F.col("ts") < F.lit(EVENTS_SPLIT).cast("timestamp_ntz")).select(
+    return t.where(F.col("ts") < F.lit(LEDGER_END).cast("timestamp_ntz")).select(
         F.col("seq").alias("id"),
         "amount",
         F.col("merchant").alias("description"),
@@ -320,15 +323,16 @@ def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events from the split on, as a batch of parsed candidates."""
     t = event_transactions(spark, sf_dir)
-    return t.where(F.col("ts") >= F.lit(EVENTS_SPLIT).cast("timestamp_ntz")).select(
-        "seq", "amount", "merchant", "direction", F.col("ts").alias("txn_ts"), "reference_ids"
+    return t.where(F.col("ts") >= F.lit(BATCH_START).cast("timestamp_ntz")).select(
+        "seq", F.lit(True).alias("has_txn"), "amount", "merchant", "direction", F.col("ts").alias("txn_ts"),
+        "reference_ids",
     )
 
 
 def checkpoint_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processed-message checkpoint rows for the ledger part (reference ids lower-cased)."""
     t = event_transactions(spark, sf_dir)
-    return t.where(F.col("ts") < F.lit(EVENTS_SPLIT).cast("timestamp_ntz")).select(
+    return t.where(F.col("ts") < F.lit(LEDGER_END).cast("timestamp_ntz")).select(
         F.concat(F.lit("e"), F.col("seq").cast("string")).alias("email_uid"),
         F.concat(F.lit("<evt-"), F.col("seq").cast("string"), F.lit("@mail.example>")).alias("message_id"),
         F.lit(None).cast("string").alias("from"),
