@@ -237,3 +237,256 @@ def dedup_status_counts(spark, sf_dir):
     from spendlake.operators.dedup import status_counts
 
     return status_counts(dedup_statuses(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Suggestions (JN-9, AGG-6, SC-16) and roll-up (AGG-10)
+# ---------------------------------------------------------------------------
+
+def part_terms(spark, sf_dir):
+    """Search terms: every word of every part name, and every whole part name."""
+    from pyspark.sql import functions as F
+
+    part = tables.read_table(spark, sf_dir, "part")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("term"))
+    return words.unionByName(part.select(F.col("p_name").alias("term")))
+
+
+@register("category_suggestions")
+def category_suggestions(spark, sf_dir):
+    """JN-9 + AGG-6 + SRT-3 + SC-16: suggestion per term over all active descriptions."""
+    from spendlake.operators.suggest import suggest_categories
+
+    ex, _ = ledger(spark, sf_dir)
+    return suggest_categories(ex, part_terms(spark, sf_dir))
+
+
+@register("category_rollup")
+def category_rollup(spark, sf_dir):
+    """AGG-10: order lines rolled up per (order, return flag) with an item list."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.suggest import rollup_by_category
+
+    li = tables.read_table(spark, sf_dir, "lineitem")
+    part = tables.read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    items = li.join(part, li.l_partkey == part.p_partkey, "left").select(
+        F.col("l_orderkey").alias("batch"),
+        F.col("l_returnflag").alias("category"),
+        F.col("l_extendedprice").alias("amount"),
+        F.col("p_name").alias("description"),
+    )
+    return rollup_by_category(items)
+
+
+# ---------------------------------------------------------------------------
+# Mutations (MUT-1..7, WIN-2, SRC-2, SNK-2)
+# ---------------------------------------------------------------------------
+
+# The instant of the registered mutation runs and their change rules.
+MUT_AS_OF = "2001-09-01 00:00:00"
+BULK_EDIT_WHERE = "category = 'BUILDING' AND transaction_date >= '1998-01-01'"
+BULK_EDIT_SET = {"amount": "round(amount * 1.18, 2)"}
+
+
+def ledger_state(spark, sf_dir):
+    from spendlake.operators.mutations import EXPENSE_COLS
+
+    return tables.expenses_from_orders(spark, sf_dir).select(*EXPENSE_COLS)
+
+
+def bulk_payload(spark, sf_dir):
+    """SRC-2: each order's lines as one JSON payload text, parsed back with the payload schema."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.mutations import parse_bulk_payload
+
+    li = tables.read_table(spark, sf_dir, "lineitem")
+    line = F.struct(
+        F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"),
+        F.col("l_extendedprice").alias("x"), F.col("l_returnflag").alias("f"), F.col("l_shipdate").alias("d"),
+    )
+    per_order = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    item = lambda l: F.struct(
+        l["x"].cast("string").alias("amount"),
+        F.when(l["f"] == "R", F.lit("Returns")).when(l["f"] == "A", F.lit("Adjustments")).alias("category"),
+        F.concat(F.lit("part "), l["p"].cast("string")).alias("description"),
+        F.date_format(l["d"], "yyyy-MM-dd").alias("date"),
+    )
+    texts = per_order.select("l_orderkey", F.to_json(F.transform("lines", item)).alias("payload"))
+    return texts.select("l_orderkey", F.posexplode(parse_bulk_payload(F.col("payload"))).alias("pos", "item")).select(
+        "l_orderkey", "pos", "item.*"
+    )
+
+
+@register("append_expenses")
+def append_expenses_q(spark, sf_dir):
+    """MUT-1 + SRC-2 + SNK-2: bulk payloads appended with dense new ids and defaults."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.mutations import append_expenses
+
+    state = ledger_state(spark, sf_dir)
+    new_state, _, _ = append_expenses(state, bulk_payload(spark, sf_dir), MUT_AS_OF, ["l_orderkey", "pos"])
+    hw = state.agg(F.max("id")).first()[0]
+    return new_state.where(F.col("id") > hw).select("id", "amount", "category", "description", "transaction_date")
+
+
+@register("bulk_insert_audit")
+def bulk_insert_audit(spark, sf_dir):
+    """MUT-7 (BULK_INSERT): set-level audit rows, one per id range."""
+    from spendlake.operators.mutations import append_expenses
+
+    state = ledger_state(spark, sf_dir)
+    _, audit, _ = append_expenses(state, bulk_payload(spark, sf_dir), MUT_AS_OF, ["l_orderkey", "pos"])
+    return audit.select("action", "table_name", "row_id", "old_values", "new_values", "source")
+
+
+def delete_requests(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    o = tables.read_table(spark, sf_dir, "orders")
+    hit = o.where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("id"))
+    missing = o.where(F.col("o_orderpriority") == "2-HIGH").select((F.col("o_orderkey") + 1_000_000_000).alias("id"))
+    return hit.unionByName(missing)
+
+
+@register("soft_delete")
+def soft_delete_q(spark, sf_dir):
+    """MUT-2: urgent orders soft-deleted; full new state (deleted_at / updated_on as text)."""
+    from spendlake.operators.mutations import soft_delete, ts_text
+
+    from pyspark.sql import functions as F
+
+    new_state, _, _ = soft_delete(ledger_state(spark, sf_dir), delete_requests(spark, sf_dir), MUT_AS_OF)
+    return new_state.select("id", ts_text(F.col("deleted_at")).alias("deleted_at"),
+                            ts_text(F.col("updated_on")).alias("updated_on"))
+
+
+@register("soft_delete_audit")
+def soft_delete_audit(spark, sf_dir):
+    """MUT-2 + MUT-7 + SC-15: SOFT_DELETE audit rows with the full old row as JSON."""
+    from spendlake.operators.mutations import soft_delete
+
+    _, audit, _ = soft_delete(ledger_state(spark, sf_dir), delete_requests(spark, sf_dir), MUT_AS_OF)
+    return audit.select("action", "table_name", "row_id", "old_values", "new_values", "source")
+
+
+@register("soft_delete_rejects")
+def soft_delete_rejects(spark, sf_dir):
+    """MUT-2 rejects: requested ids that are missing or already deleted."""
+    from spendlake.operators.mutations import soft_delete
+
+    _, _, rejects = soft_delete(ledger_state(spark, sf_dir), delete_requests(spark, sf_dir), MUT_AS_OF)
+    return rejects
+
+
+@register("purge_audit")
+def purge_audit(spark, sf_dir):
+    """MUT-3: purge soft-deleted rows; PURGE audit per id range (count + ids)."""
+    from spendlake.operators.mutations import purge_deleted
+
+    _, audit, _ = purge_deleted(ledger_state(spark, sf_dir), MUT_AS_OF)
+    return audit.select("action", "table_name", "row_id", "old_values", "new_values", "source")
+
+
+def recategorise_changes(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    o = tables.read_table(spark, sf_dir, "orders")
+    return o.where(F.col("o_orderpriority") == "5-LOW").select(
+        F.col("o_orderkey").alias("id"), F.lit("DEFERRED").alias("new_category")
+    )
+
+
+@register("recategorise")
+def recategorise_q(spark, sf_dir):
+    """MUT-5: low-priority orders moved to 'DEFERRED' (deleted rows rejected); new state."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.mutations import recategorise, ts_text
+
+    new_state, _, _ = recategorise(ledger_state(spark, sf_dir), recategorise_changes(spark, sf_dir), MUT_AS_OF)
+    return new_state.select("id", "category", ts_text(F.col("updated_on")).alias("updated_on"))
+
+
+@register("recategorise_audit")
+def recategorise_audit(spark, sf_dir):
+    """MUT-5 + MUT-7: UPDATE audit rows with old and new rows as JSON."""
+    from spendlake.operators.mutations import recategorise
+
+    _, audit, _ = recategorise(ledger_state(spark, sf_dir), recategorise_changes(spark, sf_dir), MUT_AS_OF)
+    return audit.select("action", "table_name", "row_id", "old_values", "new_values", "source")
+
+
+@register("bulk_edit")
+def bulk_edit_q(spark, sf_dir):
+    """MUT-6: predicate + assignment over the whole ledger; new amounts."""
+    from spendlake.operators.mutations import bulk_edit
+
+    new_state, _, _ = bulk_edit(ledger_state(spark, sf_dir), BULK_EDIT_WHERE, BULK_EDIT_SET, MUT_AS_OF)
+    return new_state.select("id", "amount", "category", "transaction_date")
+
+
+@register("bulk_edit_audit")
+def bulk_edit_audit(spark, sf_dir):
+    """MUT-6 + MUT-7: one QUERY_WRITE audit row with the statement and rows affected."""
+    from spendlake.operators.mutations import bulk_edit
+
+    _, audit, _ = bulk_edit(ledger_state(spark, sf_dir), BULK_EDIT_WHERE, BULK_EDIT_SET, MUT_AS_OF)
+    return audit.select("action", "table_name", "row_id", "old_values", "new_values", "source")
+
+
+def budget_changes(spark, sf_dir):
+    """Budget changes derived from spend: each (month, category) of 1998 at 110 % of its
+    spend, plus two successive overall defaults (the later one must win)."""
+    from pyspark.sql import functions as F
+
+    ex = tables.expenses_from_orders(spark, sf_dir)
+    spend = ex.where(F.col("month_key").startswith("1998")).groupBy("month_key", "category").agg(
+        F.round(F.sum("amount") * 1.1, 0).alias("budget_limit")
+    ).withColumn("seq", F.lit(1))
+    extra = spark.createDataFrame(
+        [("default", None, 31000000.0, 1), ("default", None, 32000000.0, 2)],
+        "month_key string, category string, budget_limit double, seq int",
+    )
+    return spend.unionByName(extra)
+
+
+@register("budget_upsert")
+def budget_upsert(spark, sf_dir):
+    """MUT-4: null-safe upsert of derived budget changes; the new budgets table."""
+    from spendlake.operators.mutations import upsert_budgets
+
+    new_state, _, _ = upsert_budgets(tables.budgets_from_orders(spark, sf_dir), budget_changes(spark, sf_dir),
+                                     MUT_AS_OF)
+    return new_state.select("id", "month_key", "category", "budget_limit")
+
+
+@register("budget_upsert_audit")
+def budget_upsert_audit(spark, sf_dir):
+    """MUT-4 + MUT-7: UPSERT audit rows (old NULL for new keys)."""
+    from spendlake.operators.mutations import upsert_budgets
+
+    _, audit, _ = upsert_budgets(tables.budgets_from_orders(spark, sf_dir), budget_changes(spark, sf_dir), MUT_AS_OF)
+    return audit.select("action", "table_name", "row_id", "old_values", "new_values", "source")
+
+
+@register("ledger_latest_state")
+def ledger_latest_state(spark, sf_dir):
+    """WIN-2: latest row per id from a change log (base rows, recategorisations, deletes)."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.mutations import latest_state, soft_delete, recategorise, ts_text
+
+    base = ledger_state(spark, sf_dir)
+    recat, _, _ = recategorise(base, recategorise_changes(spark, sf_dir), MUT_AS_OF)
+    deleted, _, _ = soft_delete(recat, delete_requests(spark, sf_dir), MUT_AS_OF)
+    log = (
+        base.withColumn("seq", F.lit(0)).withColumn("op", F.lit("upsert"))
+        .unionByName(recat.join(recategorise_changes(spark, sf_dir).select("id"), "id", "left_semi")
+                     .withColumn("seq", F.lit(1)).withColumn("op", F.lit("upsert")))
+        .unionByName(deleted.join(delete_requests(spark, sf_dir), "id", "left_semi")
+                     .withColumn("seq", F.lit(2)).withColumn("op", F.lit("upsert")))
+    )
+    return latest_state(log).select("id", "category", ts_text(F.col("deleted_at")).alias("deleted_at"))

@@ -375,3 +375,178 @@ sql("dedup_status_counts", f"""{FULL_DEDUP}
 SELECT s.dedup_status, CAST(count(x.seq) AS BIGINT) AS n
 FROM (VALUES ('new'), ('auto_merged'), ('probable_duplicate'), ('definite_duplicate')) s(dedup_status)
 LEFT JOIN statuses x ON x.dedup_status = s.dedup_status GROUP BY s.dedup_status""")
+
+
+# ---------------------------------------------------------------------------
+# Suggestions and roll-up
+# ---------------------------------------------------------------------------
+
+_TERMS = """
+terms AS (
+  SELECT DISTINCT lower(term) AS term FROM (
+    SELECT unnest(string_split(p_name, ' ')) AS term FROM part
+    UNION ALL SELECT p_name FROM part) WHERE term IS NOT NULL
+)"""
+
+sql("category_suggestions", f"""
+WITH {LEDGER_CTES}, {_TERMS},
+m AS (
+  SELECT t.term, e.category, count(*) AS cnt
+  FROM terms t JOIN active_expenses e
+    ON e.description IS NOT NULL AND contains(lower(e.description), t.term)
+  GROUP BY t.term, e.category
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY cnt DESC, category NULLS FIRST) AS rn FROM m),
+pt AS (
+  SELECT term, max(CASE WHEN rn = 1 THEN category END) AS suggested, max(CASE WHEN rn = 1 THEN cnt END) AS confidence,
+         sum(cnt) AS total_matches,
+         string_agg(coalesce(category, '') || ':' || CAST(cnt AS VARCHAR), ',' ORDER BY coalesce(category, '') || ':' || CAST(cnt AS VARCHAR)) AS histogram
+  FROM r GROUP BY term
+)
+SELECT t.term, pt.suggested, CAST(coalesce(pt.confidence, 0) AS BIGINT) AS confidence,
+       CAST(coalesce(pt.total_matches, 0) AS BIGINT) AS total_matches, pt.histogram,
+       CASE WHEN pt.suggested IS NOT NULL AND coalesce(pt.confidence, 0) >= 3 THEN pt.suggested ELSE 'Uncategorised' END AS gated_category
+FROM terms t LEFT JOIN pt ON pt.term = t.term
+""")
+
+sql("category_rollup", """
+WITH items AS (
+  SELECT l_orderkey AS batch, l_returnflag AS category, l_extendedprice AS amount, p_name AS description
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
+),
+sizes AS (SELECT batch, category, count(*) AS n FROM items GROUP BY batch, category)
+SELECT i.batch, i.category, 0 AS chunk, round(sum(i.amount), 2) AS amount, count(*) AS items,
+       string_agg(coalesce(i.description, ''), ', ' ORDER BY coalesce(i.description, '')) AS description
+FROM items i JOIN sizes s ON s.batch = i.batch AND s.category = i.category
+GROUP BY i.batch, i.category
+""")
+
+
+# ---------------------------------------------------------------------------
+# Mutations
+# ---------------------------------------------------------------------------
+
+def _mutation_sql():
+    from spendlake.plans.catalog import BULK_EDIT_WHERE, MUT_AS_OF
+
+    stamp = f"TIMESTAMP '{MUT_AS_OF}'"
+
+    def ts(c):
+        return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+    def snap(p=""):
+        return (f"to_json(struct_pack(id := {p}id, amount := {p}amount, category := {p}category, "
+                f"description := {p}description, transaction_date := {p}transaction_date, "
+                f"deleted_at := {ts(p + 'deleted_at')}, inserted_on := {ts(p + 'inserted_on')}, "
+                f"updated_on := {ts(p + 'updated_on')}))")
+
+    base = f"WITH {LEDGER_CTES}"
+    payload = f"""{base},
+lines AS (
+  SELECT l_orderkey,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+              l_extendedprice, l_returnflag, l_shipdate) - 1 AS INTEGER) AS pos,
+         CAST(l_extendedprice AS DOUBLE) AS amount,
+         coalesce(CASE WHEN l_returnflag = 'R' THEN 'Returns' WHEN l_returnflag = 'A' THEN 'Adjustments' END,
+                  'Uncategorised') AS category,
+         'part ' || CAST(l_partkey AS VARCHAR) AS description,
+         strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d') AS transaction_date
+  FROM lineitem
+),
+appended AS (
+  SELECT (SELECT max(id) FROM expenses) + row_number() OVER (ORDER BY l_orderkey, pos) AS id,
+         amount, category, description, transaction_date
+  FROM lines
+)"""
+    sql("append_expenses", f"{payload} SELECT id, amount, category, description, transaction_date FROM appended")
+    sql("bulk_insert_audit", f"""{payload},
+ch AS (SELECT floor(id / 10000) AS k, count(*) AS n, list(id ORDER BY id) AS ids FROM appended GROUP BY 1)
+SELECT 'BULK_INSERT' AS action, 'expenses' AS table_name, CAST(NULL AS BIGINT) AS row_id,
+       CAST(NULL AS VARCHAR) AS old_values, to_json(struct_pack(count := n, ids := ids)) AS new_values,
+       'cli' AS source FROM ch""")
+
+    req = f"""{base},
+req AS (
+  SELECT DISTINCT o_orderkey AS rid FROM orders WHERE o_orderpriority = '1-URGENT'
+  UNION SELECT o_orderkey + 1000000000 FROM orders WHERE o_orderpriority = '2-HIGH'
+),
+sd AS (
+  SELECT e.*, (r.rid IS NOT NULL AND e.deleted_at IS NULL) AS hit
+  FROM expenses e LEFT JOIN req r ON r.rid = e.id
+)"""
+    sql("soft_delete", f"""{req}
+SELECT id, {ts(f"CASE WHEN hit THEN {stamp} ELSE deleted_at END")} AS deleted_at,
+       {ts(f"CASE WHEN hit THEN {stamp} ELSE updated_on END")} AS updated_on FROM sd""")
+    sql("soft_delete_audit", f"""{req}
+SELECT 'SOFT_DELETE' AS action, 'expenses' AS table_name, id AS row_id, {snap()} AS old_values,
+       CAST(NULL AS VARCHAR) AS new_values, 'cli' AS source FROM sd WHERE hit""")
+    sql("soft_delete_rejects", f"""{req}
+SELECT rid AS id FROM req WHERE rid NOT IN (SELECT id FROM expenses WHERE deleted_at IS NULL)""")
+    sql("purge_audit", f"""{base},
+ch AS (SELECT floor(id / 10000) AS k, count(*) AS n, list(id ORDER BY id) AS ids
+       FROM expenses WHERE deleted_at IS NOT NULL GROUP BY 1)
+SELECT 'PURGE' AS action, 'expenses' AS table_name, CAST(NULL AS BIGINT) AS row_id,
+       to_json(struct_pack(count := n, ids := ids)) AS old_values, CAST(NULL AS VARCHAR) AS new_values,
+       'cli' AS source FROM ch""")
+
+    rc = f"""{base},
+ch AS (SELECT o_orderkey AS cid, 'DEFERRED' AS new_category FROM orders WHERE o_orderpriority = '5-LOW'),
+rc AS (
+  SELECT e.*, (c.cid IS NOT NULL AND e.deleted_at IS NULL) AS hit, c.new_category
+  FROM expenses e LEFT JOIN ch c ON c.cid = e.id
+)"""
+    sql("recategorise", f"""{rc}
+SELECT id, CASE WHEN hit THEN new_category ELSE category END AS category,
+       {ts(f"CASE WHEN hit THEN {stamp} ELSE updated_on END")} AS updated_on FROM rc""")
+    sql("recategorise_audit", f"""{rc},
+t AS (SELECT *, new_category AS n_category, {stamp} AS n_updated_on FROM rc WHERE hit)
+SELECT 'UPDATE' AS action, 'expenses' AS table_name, id AS row_id, {snap()} AS old_values,
+       to_json(struct_pack(id := id, amount := amount, category := n_category, description := description,
+               transaction_date := transaction_date, deleted_at := {ts('deleted_at')},
+               inserted_on := {ts('inserted_on')}, updated_on := {ts('n_updated_on')})) AS new_values,
+       'cli' AS source FROM t""")
+
+    where = BULK_EDIT_WHERE
+    sql("bulk_edit", f"""{base}
+SELECT id, CASE WHEN coalesce({where}, FALSE)
+                THEN CAST(round(CAST(CAST(amount * 1.18 AS VARCHAR) AS DECIMAL(38, 10)), 2) AS DOUBLE)
+                ELSE amount END AS amount,
+       category, transaction_date FROM expenses""")
+    text = "UPDATE expenses SET amount = round(amount * 1.18, 2) WHERE " + where
+    sql("bulk_edit_audit", f"""{base}
+SELECT 'QUERY_WRITE' AS action, 'raw_sql' AS table_name, CAST(NULL AS BIGINT) AS row_id,
+       CAST(NULL AS VARCHAR) AS old_values,
+       to_json(struct_pack(sql := {q_(text)}, rows_affected := count_if(coalesce({where}, FALSE)))) AS new_values,
+       'cli' AS source FROM expenses""")
+
+    sql("budget_upsert", f"""{base},
+spend AS (
+  SELECT month_key, category, round(sum(amount) * 1.1, 0) AS budget_limit, 1 AS seq
+  FROM expenses WHERE month_key LIKE '1998%' GROUP BY month_key, category
+  UNION ALL SELECT 'default', CAST(NULL AS VARCHAR), CAST(31000000.0 AS DOUBLE), 1
+  UNION ALL SELECT 'default', CAST(NULL AS VARCHAR), CAST(32000000.0 AS DOUBLE), 2
+),
+last AS (SELECT month_key AS m, category AS c, arg_max(budget_limit, seq) AS nv FROM spend GROUP BY 1, 2),
+j AS (SELECT b.*, l.m, l.c, l.nv FROM budgets b FULL OUTER JOIN last l
+      ON b.month_key = l.m AND b.category IS NOT DISTINCT FROM l.c),
+hw AS (SELECT max(id) AS h FROM budgets)
+SELECT id, month_key, category, CASE WHEN nv IS NOT NULL THEN nv ELSE budget_limit END AS budget_limit
+FROM j WHERE id IS NOT NULL
+UNION ALL
+SELECT (SELECT h FROM hw) + row_number() OVER (ORDER BY m, c NULLS FIRST), m, c, nv FROM j WHERE id IS NULL""")
+
+    sql("ledger_latest_state", f"""{base},
+req AS (SELECT DISTINCT o_orderkey AS rid FROM orders WHERE o_orderpriority = '1-URGENT'),
+ch AS (SELECT o_orderkey AS cid FROM orders WHERE o_orderpriority = '5-LOW'),
+rc AS (SELECT e.id, CASE WHEN c.cid IS NOT NULL AND e.deleted_at IS NULL THEN 'DEFERRED' ELSE e.category END AS category,
+              e.deleted_at FROM expenses e LEFT JOIN ch c ON c.cid = e.id)
+SELECT id, category,
+       {ts(f"CASE WHEN id IN (SELECT rid FROM req) AND deleted_at IS NULL THEN {stamp} ELSE deleted_at END")} AS deleted_at
+FROM rc""")
+
+
+def q_(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+_mutation_sql()
