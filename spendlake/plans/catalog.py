@@ -286,7 +286,8 @@ def category_rollup(spark, sf_dir):
 # The instant of the registered mutation runs and their change rules.
 MUT_AS_OF = "2001-09-01 00:00:00"
 BULK_EDIT_WHERE = "category = 'BUILDING' AND transaction_date >= '1998-01-01'"
-BULK_EDIT_SET = {"amount": "round(amount * 1.18, 2)"}
+# Money arithmetic in DECIMAL: exact, then HALF_UP to cents.
+BULK_EDIT_SET = {"amount": "CAST(round(CAST(amount AS DECIMAL(18, 2)) * CAST(1.18 AS DECIMAL(4, 2)), 2) AS DOUBLE)"}
 
 
 def ledger_state(spark, sf_dir):

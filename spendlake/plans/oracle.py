@@ -509,10 +509,11 @@ SELECT 'UPDATE' AS action, 'expenses' AS table_name, id AS row_id, {snap()} AS o
     where = BULK_EDIT_WHERE
     sql("bulk_edit", f"""{base}
 SELECT id, CASE WHEN coalesce({where}, FALSE)
-                THEN CAST(round(CAST(CAST(amount * 1.18 AS VARCHAR) AS DECIMAL(38, 10)), 2) AS DOUBLE)
+                THEN CAST(round(CAST(amount AS DECIMAL(18, 2)) * CAST(1.18 AS DECIMAL(4, 2)), 2) AS DOUBLE)
                 ELSE amount END AS amount,
        category, transaction_date FROM expenses""")
-    text = "UPDATE expenses SET amount = round(amount * 1.18, 2) WHERE " + where
+    from spendlake.plans.catalog import BULK_EDIT_SET
+    text = "UPDATE expenses SET amount = " + BULK_EDIT_SET["amount"] + " WHERE " + where
     sql("bulk_edit_audit", f"""{base}
 SELECT 'QUERY_WRITE' AS action, 'raw_sql' AS table_name, CAST(NULL AS BIGINT) AS row_id,
        CAST(NULL AS VARCHAR) AS old_values,
