@@ -491,3 +491,68 @@ def ledger_latest_state(spark, sf_dir):
                      .withColumn("seq", F.lit(2)).withColumn("op", F.lit("upsert")))
     )
     return latest_state(log).select("id", "category", ts_text(F.col("deleted_at")).alias("deleted_at"))
+
+
+# ---------------------------------------------------------------------------
+# Text helpers (SC-10..13), read-only SQL (FLT-9)
+# ---------------------------------------------------------------------------
+
+@register("html_to_text")
+def html_to_text_q(spark, sf_dir):
+    """SC-10: every page's HTML to text (script/style/comments dropped, entities decoded)."""
+    from pyspark.sql import functions as F
+
+    from spendlake.functions.text import html_to_text
+
+    pages = tables.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+@register("address_extraction")
+def address_extraction(spark, sf_dir):
+    """SC-12: addresses from 'Name <addr>' headers built from customers, and from document text."""
+    from pyspark.sql import functions as F
+
+    from spendlake.functions.text import extract_address
+
+    cust = tables.read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("key"),
+        F.concat(F.col("c_name"), F.lit(" <"), F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com>"))
+        .alias("header"),
+    )
+    docs = tables.read_table(spark, sf_dir, "documents").select(
+        (-F.col("doc_id") - 1).alias("key"), F.col("text").alias("header")
+    )
+    both = cust.unionByName(docs)
+    addr = extract_address(F.col("header"))
+    return both.select("key", F.sha2(addr, 256).alias("address_sha"), F.length(addr).alias("address_len"),
+                       F.when(F.length(addr) <= 120, addr).alias("address"))
+
+
+@register("mail_date_parse")
+def mail_date_parse(spark, sf_dir):
+    """SC-13: mail Date headers (rendered from events in +0530) back to ISO text."""
+    from pyspark.sql import functions as F
+
+    from spendlake.functions.timeutil import mail_date_to_iso
+
+    ev = tables.read_table(spark, sf_dir, "events")
+    hdr = F.concat(F.date_format(F.col("ts").cast("timestamp_ntz") + F.expr("INTERVAL 330 MINUTES"),
+                                 "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0530"))
+    return ev.select("event_id", mail_date_to_iso(hdr, "2024-01-31T00:00:00").alias("received_at"))
+
+
+# Fixed value: the analyst statement run through the read-only guard.
+READ_ONLY_SQL = (
+    "SELECT category, month_key, count(*) AS n, round(sum(amount), 2) AS total "
+    "FROM expenses WHERE deleted_at IS NULL GROUP BY category, month_key"
+)
+
+
+@register("read_only_sql")
+def read_only_sql(spark, sf_dir):
+    """FLT-9: a SELECT run through the read-only guard over the ledger view."""
+    from spendlake.operators.sql import query_read
+
+    ex, bu = ledger(spark, sf_dir)
+    return query_read(spark, READ_ONLY_SQL, {"expenses": ex, "budgets": bu})

@@ -551,3 +551,40 @@ def q_(s):
 
 
 _mutation_sql()
+
+
+# ---------------------------------------------------------------------------
+# Text helpers and read-only SQL
+# ---------------------------------------------------------------------------
+
+def _text_sql():
+    from spendlake.functions.text import ENTITIES, HTML_STEPS
+    from spendlake.plans.catalog import READ_ONLY_SQL
+
+    x = "coalesce(html, '')"
+    for pat, rep in HTML_STEPS:
+        x = f"regexp_replace({x}, {q_(pat)}, {q_(rep)}, 'g')"
+    for ent, ch in ENTITIES:
+        x = f"replace({x}, {q_(ent)}, {q_(ch)})"
+    x = f"trim(regexp_replace({x}, {q_(r'[\s\x{00A0}]+')}, ' ', 'g'))"
+    sql("html_to_text", f"SELECT page_id, {x} AS text FROM pages")
+
+    addr = ("CASE WHEN trim(regexp_extract(h, '<([^>]+)>', 1)) <> '' THEN trim(regexp_extract(h, '<([^>]+)>', 1)) "
+            "WHEN regexp_extract(h, '[\\w.+-]+@[\\w.-]+', 0) <> '' THEN regexp_extract(h, '[\\w.+-]+@[\\w.-]+', 0) "
+            "ELSE trim(h) END")
+    sql("address_extraction", f"""
+WITH hs AS (
+  SELECT c_custkey AS key, c_name || ' <' || lower(replace(c_name, '#', '.')) || '@example.com>' AS h FROM customer
+  UNION ALL SELECT -doc_id - 1, coalesce(text, '') FROM documents
+), a AS (SELECT key, {addr} AS addr FROM hs)
+SELECT key, sha256(addr) AS address_sha, length(addr) AS address_len,
+       CASE WHEN length(addr) <= 120 THEN addr END AS address FROM a""")
+
+    sql("mail_date_parse", """
+SELECT event_id, strftime(CAST(ts AS TIMESTAMP) + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+05:30' AS received_at
+FROM events""")
+
+    sql("read_only_sql", f"WITH {LEDGER_CTES} " + READ_ONLY_SQL.replace("FROM expenses", "FROM expenses"))
+
+
+_text_sql()
