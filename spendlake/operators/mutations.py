@@ -82,6 +82,29 @@ def parse_bulk_payload(json_col: Column) -> Column:
     return F.from_json(json_col, PAYLOAD_SCHEMA)
 
 
+def prepare_appends(payload: DataFrame, as_of_ts: str, order_cols: list, high_water: Column | int,
+                    carry: tuple = ()) -> DataFrame:
+    """New ledger rows for a validated payload: defaults applied, dense ids above
+    ``high_water`` in ``order_cols`` order; ``carry`` columns ride along (e.g. the
+    message key for the id back-join)."""
+    rows = payload.select(
+        *order_cols,
+        *[c for c in carry if c not in order_cols],
+        F.col("amount").cast("string").try_cast("double").alias("amount"),
+        F.coalesce(F.col("category"), F.lit(DEFAULT_CATEGORY)).alias("category"),
+        F.coalesce(F.col("description"), F.lit("")).alias("description"),
+        F.coalesce(F.col("date"), F.lit(as_of_ts[:10])).alias("transaction_date"),
+    )
+    ordered = list(order_cols) + ["amount", "category", "description", "transaction_date"]
+    with_ids = assign_dense_ids(rows, ordered, high_water)
+    stamp = F.lit(as_of_ts).cast("timestamp_ntz")
+    return with_ids.select(
+        "id", "amount", "category", "description", "transaction_date",
+        F.lit(None).cast("timestamp_ntz").alias("deleted_at"), stamp.alias("inserted_on"), stamp.alias("updated_on"),
+        *[c for c in carry],
+    )
+
+
 def append_expenses(state: DataFrame, payload: DataFrame, as_of_ts: str, order_cols: list,
                     high_water: Column | int | None = None, bulk: bool = True,
                     source: str = SOURCE_DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -91,28 +114,13 @@ def append_expenses(state: DataFrame, payload: DataFrame, as_of_ts: str, order_c
     date = as_of.  A bad amount anywhere rejects the whole batch (validation pass).
     New ids = high-water mark + 1.. in ``order_cols`` order (AUTOINCREMENT never reuses
     ids; the default high-water mark is max(id) of the state)."""
-    amt = F.col("amount").cast("string").try_cast("double")
-    checked = payload.withColumn("_amt", amt)
-    rejects = checked.where(F.col("_amt").isNull())
+    rejects = payload.where(F.col("amount").cast("string").try_cast("double").isNull())
     if not rejects.isEmpty():
         empty = state.limit(0)
         return state, audit_frame(empty, "BULK_INSERT", "expenses", F.lit(None), None, None, as_of_ts, source).limit(0), rejects
     if high_water is None:
         high_water = state.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = checked.select(
-        *order_cols if order_cols else [],
-        F.col("_amt").alias("amount"),
-        F.coalesce(F.col("category"), F.lit(DEFAULT_CATEGORY)).alias("category"),
-        F.coalesce(F.col("description"), F.lit("")).alias("description"),
-        F.coalesce(F.col("date"), F.lit(as_of_ts[:10])).alias("transaction_date"),
-    )
-    ordered = [c for c in order_cols] + ["amount", "category", "description", "transaction_date"]
-    with_ids = assign_dense_ids(rows, ordered, high_water)
-    stamp = F.lit(as_of_ts).cast("timestamp_ntz")
-    new_rows = with_ids.select(
-        "id", "amount", "category", "description", "transaction_date",
-        F.lit(None).cast("timestamp_ntz").alias("deleted_at"), stamp.alias("inserted_on"), stamp.alias("updated_on"),
-    )
+    new_rows = prepare_appends(payload, as_of_ts, order_cols, high_water)
     new_state = state.select(*EXPENSE_COLS).unionByName(new_rows)
     if bulk:
         audit = chunked_id_audit(new_rows.select("id"), "BULK_INSERT", "expenses", "new", as_of_ts, source)

@@ -556,3 +556,111 @@ def read_only_sql(spark, sf_dir):
 
     ex, bu = ledger(spark, sf_dir)
     return query_read(spark, READ_ONLY_SQL, {"expenses": ex, "budgets": bu})
+
+
+# ---------------------------------------------------------------------------
+# Ingestion runs (REV-1..4, WIN-1, AGG-8, SRC-4/5, JN-8, JN-10, FLT-6/8, PRJ-1, SNK-3, MUT-8)
+# ---------------------------------------------------------------------------
+
+RUN_AS_OF = "2024-01-31 22:00:00"
+
+
+def run_inputs(spark, sf_dir):
+    """Messages of the whole archive, the events ledger part, and its checkpoint."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.mutations import EXPENSE_COLS
+
+    msgs = tables.all_messages(spark, sf_dir)
+    led = tables.ledger_from_events(spark, sf_dir).select(*EXPENSE_COLS)
+    cp = tables.checkpoint_from_events(spark, sf_dir).withColumn(
+        "processed_at", F.col("processed_at").cast("timestamp_ntz"))
+    return msgs, led, cp
+
+
+_RUN_CACHE: dict = {}
+
+
+def ingest_run(spark, sf_dir, reprocess: bool = False):
+    from spendlake.plans.runs import run_batch
+
+    key = (id(spark), sf_dir, reprocess)
+    if key not in _RUN_CACHE:
+        msgs, led, cp = run_inputs(spark, sf_dir)
+        _RUN_CACHE[key] = run_batch(msgs, led, cp.drop("seq"), RUN_AS_OF, reprocess=reprocess)
+    return _RUN_CACHE[key]
+
+
+@register("run_summary")
+def run_summary_q(spark, sf_dir):
+    """REV-3 + AGG-8: a nightly run over the archive; its summary counts."""
+    return ingest_run(spark, sf_dir).summary
+
+
+@register("reprocess_summary")
+def reprocess_summary_q(spark, sf_dir):
+    """REV-4: reprocess mode (no processed check, 90-day references); summary counts."""
+    return ingest_run(spark, sf_dir, reprocess=True).summary
+
+
+@register("review_table")
+def review_table_q(spark, sf_dir):
+    """REV-1 + WIN-1: the review table of the run, sections in order."""
+    from spendlake.plans.runs import review_table
+
+    return review_table(ingest_run(spark, sf_dir).candidates)
+
+
+@register("review_headline")
+def review_headline_q(spark, sf_dir):
+    """REV-2: headline counts per section (zero counts suppressed)."""
+    from spendlake.plans.runs import review_headline
+
+    return review_headline(ingest_run(spark, sf_dir).summary)
+
+
+@register("run_appended")
+def run_appended_q(spark, sf_dir):
+    """FLT-6 + PRJ-1 + SC-16 + MUT-1 + JN-10: ledger rows appended by the run."""
+    return ingest_run(spark, sf_dir).appended.select(
+        "id", "email_uid", "amount", "category", "description", "transaction_date")
+
+
+@register("run_checkpoint")
+def run_checkpoint_q(spark, sf_dir):
+    """SNK-3 + JN-10: checkpoint rows of the run (status, ledger ids, references)."""
+    from pyspark.sql import functions as F
+
+    cp = ingest_run(spark, sf_dir).checkpoint_rows
+    return cp.select("email_uid", "message_id", "result", F.array_join(F.col("ledger_ids").cast("array<string>"), ",")
+                     .alias("ledger_ids"), F.to_json("reference_ids").alias("reference_ids"))
+
+
+@register("checkpoint_prune")
+def checkpoint_prune_q(spark, sf_dir):
+    """FLT-8: checkpoint rows kept at 20 days' retention (unparseable stamps pruned)."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.filters import prune_checkpoint
+
+    cp = tables.checkpoint_from_events(spark, sf_dir)
+    kept, _ = prune_checkpoint(cp, RUN_AS_OF, 20)
+    return kept.select("email_uid", "message_id", F.date_format("processed_at", "yyyy-MM-dd HH:mm:ss").alias("processed_at"))
+
+
+@register("incremental_messages")
+def incremental_messages_q(spark, sf_dir):
+    """SRC-5 + JN-8: archive messages whose Message-ID is not in the checkpoint."""
+    from spendlake.sources.io import unprocessed
+
+    msgs, _, cp = run_inputs(spark, sf_dir)
+    return unprocessed(msgs, cp).select("seq", "email_uid", "message_id")
+
+
+@register("date_range_messages")
+def date_range_messages_q(spark, sf_dir):
+    """SRC-4: messages received 2024-01-10 .. 2024-01-12 (both inclusive, sender's local date)."""
+    from spendlake.sources.io import messages_in_range
+
+    msgs, _, _ = run_inputs(spark, sf_dir)
+    return messages_in_range(msgs, "2024-01-10", "2024-01-12").select("seq", "email_uid", "received_at")

@@ -588,3 +588,26 @@ FROM events""")
 
 
 _text_sql()
+
+
+# ---------------------------------------------------------------------------
+# Run helpers with plain SQL equivalents
+# ---------------------------------------------------------------------------
+
+def _run_sql():
+    from spendlake.plans.catalog import RUN_AS_OF
+    from spendlake.plans.oracle_views import EVENT_TXN_CTE, MESSAGES_CTE
+
+    sql("checkpoint_prune", f"""WITH {EVENT_TXN_CTE.strip()}
+SELECT email_uid, message_id, strftime(processed_at, '%Y-%m-%d %H:%M:%S') AS processed_at FROM checkpoint_ev
+WHERE processed_at >= TIMESTAMP '{RUN_AS_OF}' - INTERVAL 20 DAY""")
+    both = MESSAGES_CTE + "," + EVENT_TXN_CTE.replace("ev AS (", "ev2 AS (", 1).replace("FROM ev\n", "FROM ev2\n")
+    sql("incremental_messages", f"""WITH {both}
+SELECT seq, email_uid, message_id FROM messages
+WHERE nullif(message_id, '') IS NULL OR nullif(message_id, '') NOT IN (SELECT message_id FROM checkpoint_ev)""")
+    sql("date_range_messages", f"""WITH {MESSAGES_CTE}
+SELECT seq, email_uid, received_at FROM messages
+WHERE CAST(substr(received_at, 1, 10) AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'""")
+
+
+_run_sql()

@@ -313,10 +313,13 @@ def ledger_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where(F.col("ts") < F.lit(LEDGER_END).cast("timestamp_ntz")).select(
         F.col("seq").alias("id"),
         "amount",
+        F.initcap("merchant").alias("category"),
         F.col("merchant").alias("description"),
         F.col("ts").alias("txn_ts"),
         F.date_format("ts", "yyyy-MM-dd").alias("transaction_date"),
         F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
+        F.col("ts").alias("inserted_on"),
+        F.col("ts").alias("updated_on"),
     )
 
 
