@@ -664,3 +664,48 @@ def date_range_messages_q(spark, sf_dir):
 
     msgs, _, _ = run_inputs(spark, sf_dir)
     return messages_in_range(msgs, "2024-01-10", "2024-01-12").select("seq", "email_uid", "received_at")
+
+
+# ---------------------------------------------------------------------------
+# Streaming (ST-2, ST-5) driven to completion with availableNow
+# ---------------------------------------------------------------------------
+
+def events_stream(spark, sf_dir):
+    from spendlake.streaming.ingest import file_stream
+
+    schema = tables.read_table(spark, sf_dir, "events").schema
+    return file_stream(spark, sf_dir, schema, glob="events.parquet")
+
+
+@register("streaming_daily_spend")
+def streaming_daily_spend(spark, sf_dir):
+    """ST-5: running daily spend per event type from an events stream (complete mode)."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import run_to_table, running_spend
+
+    ev = events_stream(spark, sf_dir).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("amount"), F.col("event_type").alias("category"))
+    out = run_to_table(running_spend(ev, "daily"), scratch_path(spark, "st5-out"), scratch_path(spark, "st5-ckpt"))
+    return out.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "category",
+                      F.round("spent", 2).alias("spent"), "n")
+
+
+@register("streaming_message_dedup")
+def streaming_message_dedup(spark, sf_dir):
+    """ST-2: re-delivered messages (ledger and batch parts overlap on one day) dropped by
+    Message-ID within a 60-day watermark."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import dedup_message_ids, run_to_table
+
+    ev = events_stream(spark, sf_dir).select(F.col("event_id"), F.col("ts").cast("timestamp").alias("received_ts"))
+    split_a = ev.where(F.col("received_ts") < F.lit(tables.LEDGER_END).cast("timestamp"))
+    split_b = ev.where(F.col("received_ts") >= F.lit(tables.BATCH_START).cast("timestamp"))
+    msgs = split_a.unionByName(split_b).withColumn(
+        "message_id", F.concat(F.lit("<evt-"), F.col("event_id").cast("string"), F.lit("@mail.example>")))
+    out = run_to_table(dedup_message_ids(msgs), scratch_path(spark, "st2-out"), scratch_path(spark, "st2-ckpt"),
+                       mode="append")
+    return out.select("message_id")

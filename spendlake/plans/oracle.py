@@ -611,3 +611,11 @@ WHERE CAST(substr(received_at, 1, 10) AS DATE) BETWEEN DATE '2024-01-10' AND DAT
 
 
 _run_sql()
+
+sql("streaming_daily_spend", """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type AS category, round(sum(value), 2) AS spent,
+       count(*) AS n
+FROM events GROUP BY 1, 2""")
+
+sql("streaming_message_dedup", """
+SELECT DISTINCT '<evt-' || CAST(event_id AS VARCHAR) || '@mail.example>' AS message_id FROM events""")
