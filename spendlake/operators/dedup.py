@@ -204,50 +204,51 @@ def first_ledger_match(cands: DataFrame, ledger: DataFrame, s: DedupSettings) ->
 # JN-6: within-batch leader election (lexicographically-first maximal independent set)
 # ---------------------------------------------------------------------------
 
-def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
+def batch_leaders(cands: DataFrame, s: DedupSettings, prune_every: int = 4) -> DataFrame:
     """JN-6: leaders = greedy independent set in ``seq`` order over the match graph;
     each follower joins its earliest matching leader.
 
-    Rounds: undecided nodes with no earlier undecided neighbour become leaders; their
-    undecided later neighbours become followers; edges between decided nodes are
-    dropped.  Each round cuts lineage with a reliable checkpoint.  Output: seq, role
-    ('leader' | 'follower'), leader_seq."""
+    Rounds over a node-state table (U undecided / L leader / F follower): undecided
+    nodes with no earlier undecided neighbour become leaders, and their undecided later
+    neighbours become followers.  One reliable checkpoint per round cuts the lineage;
+    edges between decided nodes are dropped every ``prune_every`` rounds.  Output:
+    seq, role ('leader' | 'follower'), leader_seq."""
     nodes = cands.select("seq").distinct()
-    edges = soft_match_pairs(cands, None, s).select(F.col("c_key").alias("src"), F.col("e_key").alias("dst"))
-    edges = cut_lineage(edges)
-    all_edges = edges
-    undecided = cut_lineage(nodes.join(edges.select(F.col("dst").alias("seq")).union(edges.select(F.col("src").alias("seq"))).distinct(), "seq", "left_semi"))
-    isolated = nodes.join(undecided, "seq", "left_anti").select("seq")
-    leader_parts = [isolated]
+    edges = cut_lineage(
+        soft_match_pairs(cands, None, s).select(F.col("c_key").alias("src"), F.col("e_key").alias("dst"))
+    )
+    touched = edges.select(F.col("src").alias("seq")).union(edges.select(F.col("dst").alias("seq"))).distinct()
+    state = cut_lineage(touched.withColumn("st", F.lit("U")))
     live = edges
-    for _ in range(s.max_rounds):
-        if undecided.isEmpty():
+    for rnd in range(s.max_rounds):
+        und = state.where(F.col("st") == "U").select("seq")
+        if und.isEmpty():
             break
-        blocked = live.join(undecided.select(F.col("seq").alias("src")), "src", "left_semi").select(
-            F.col("dst").alias("seq")
-        )
-        new_leaders = cut_lineage(undecided.join(blocked, "seq", "left_anti"))
-        new_followers = live.join(new_leaders.select(F.col("seq").alias("src")), "src", "left_semi").select(
-            F.col("dst").alias("seq")
-        )
-        undecided = cut_lineage(
-            undecided.join(new_leaders, "seq", "left_anti").join(new_followers, "seq", "left_anti")
-        )
-        live = cut_lineage(
-            live.join(undecided.select(F.col("seq").alias("src")), "src", "left_semi").join(
-                undecided.select(F.col("seq").alias("dst")), "dst", "left_semi"
+        blocked = live.join(und.select(F.col("seq").alias("src")), "src", "left_semi").select(
+            F.col("dst").alias("seq")).distinct()
+        new_l = und.join(blocked, "seq", "left_anti").withColumn("_nl", F.lit(True))
+        new_f = (live.join(new_l.select(F.col("seq").alias("src")), "src", "left_semi")
+                 .select(F.col("dst").alias("seq")).distinct().withColumn("_nf", F.lit(True)))
+        state = cut_lineage(
+            state.join(new_l, "seq", "left").join(new_f, "seq", "left").select(
+                "seq",
+                F.when((F.col("st") == "U") & F.col("_nl").isNotNull(), F.lit("L"))
+                .when((F.col("st") == "U") & F.col("_nf").isNotNull(), F.lit("F"))
+                .otherwise(F.col("st")).alias("st"),
             )
         )
-        leader_parts.append(new_leaders)
+        if (rnd + 1) % prune_every == 0:
+            und2 = state.where(F.col("st") == "U").select("seq")
+            live = cut_lineage(
+                live.join(und2.select(F.col("seq").alias("src")), "src", "left_semi")
+                .join(und2.select(F.col("seq").alias("dst")), "dst", "left_semi")
+            )
     else:
         raise RuntimeError(f"batch leader election did not settle within {s.max_rounds} rounds")
-    leaders = leader_parts[0]
-    for p in leader_parts[1:]:
-        leaders = leaders.unionByName(p)
-    leaders = cut_lineage(leaders)
+    leaders = nodes.join(state.where(F.col("st") == "F").select("seq"), "seq", "left_anti")
     followers = (
-        all_edges.join(leaders.select(F.col("seq").alias("src")), "src", "left_semi")
-        .join(leaders.select(F.col("seq").alias("dst")), "dst", "left_anti")
+        edges.join(state.where(F.col("st") == "L").select(F.col("seq").alias("src")), "src", "left_semi")
+        .join(state.where(F.col("st") == "F").select(F.col("seq").alias("dst")), "dst", "left_semi")
         .groupBy(F.col("dst").alias("seq"))
         .agg(F.min("src").alias("leader_seq"))
     )

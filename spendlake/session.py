@@ -111,3 +111,12 @@ def assign_dense_ids(df: DataFrame, order_cols: list, start: Column | int, id_co
         id_col, (start_col + F.col("_off") + within + F.lit(1)).cast("bigint")
     )
     return out.drop("_mid", "_pid", "_off")
+
+
+def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin spread before a CPU-heavy per-row step, only when the input has fewer
+    partitions than the cluster can run at once (small inputs: a single row group).
+    Large scans already have many partitions, so this never adds a shuffle there."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
