@@ -709,3 +709,104 @@ def streaming_message_dedup(spark, sf_dir):
     out = run_to_table(dedup_message_ids(msgs), scratch_path(spark, "st2-out"), scratch_path(spark, "st2-ckpt"),
                        mode="append")
     return out.select("message_id")
+
+
+# ---------------------------------------------------------------------------
+# Remaining operators: AGG-4, period summary for one date, MUT-8, SC-11, ST-4
+# ---------------------------------------------------------------------------
+
+# The as-of date of the single-date summaries.
+SUMMARY_AS_OF = "1998-06-17"
+
+
+@register("monthly_stats")
+def monthly_stats_q(spark, sf_dir):
+    """AGG-4: running month stats (spent, limit 0 when none, percentage) for the months
+    touched by a bulk payload (every month that lines shipped in)."""
+    from pyspark.sql import functions as F
+
+    ex, bu = ledger(spark, sf_dir)
+    months = tables.read_table(spark, sf_dir, "lineitem").select(
+        F.date_format(F.col("l_shipdate").cast("timestamp_ntz"), "yyyy-MM").alias("month_key"))
+    return reports.monthly_stats(ex, bu, months)
+
+
+@register("period_summary_daily")
+def period_summary_daily(spark, sf_dir):
+    """AGG-1 + FLT-1..4 + PRJ-3: the daily summary header for one as-of date."""
+    ex, bu = ledger(spark, sf_dir)
+    return reports.period_summary(ex, bu, "daily", None, SUMMARY_AS_OF)[0]
+
+
+@register("period_summary_weekly")
+def period_summary_weekly(spark, sf_dir):
+    """AGG-1 + FLT-3: weekly summary header (Monday..Sunday of the as-of date)."""
+    ex, bu = ledger(spark, sf_dir)
+    return reports.period_summary(ex, bu, "weekly", "1998-02", SUMMARY_AS_OF)[0]
+
+
+@register("period_summary_categories")
+def period_summary_categories(spark, sf_dir):
+    """AGG-2 + PRJ-2 + SRT-1: the category breakdown of the as-of month."""
+    ex, bu = ledger(spark, sf_dir)
+    return reports.period_summary(ex, bu, "monthly", "1998-06-17", SUMMARY_AS_OF)[1].select(
+        "category", "spent", "budget", "remaining", "overspent")
+
+
+@register("review_corrections")
+def review_corrections_q(spark, sf_dir):
+    """MUT-8: corrections keyed by run number (delete, amount, recategorise, merge,
+    confirm) applied to the run's ledger; the changed rows."""
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.mutations import EXPENSE_COLS, ts_text
+    from spendlake.plans.runs import apply_corrections
+
+    run = ingest_run(spark, sf_dir)
+    # Derived correction batch: one correction per transaction, actions rotating by number.
+    nums = run.candidates.select("number").where(F.col("transaction").isNotNull())
+    kind = F.col("number") % 5
+    corr = nums.select(
+        "number",
+        F.when(kind == 0, "delete").when(kind == 1, "amount").when(kind == 2, "recategorise")
+        .when(kind == 3, "merge").otherwise("confirm").alias("action"),
+        F.when(kind == 1, F.lit("99.5")).when(kind == 2, F.lit("Reviewed"))
+        .when(kind == 3, (F.col("number") + 1).cast("string")).alias("value"),
+    )
+    new_state, _ = apply_corrections(run.new_ledger, run.candidates, run.appended, corr, RUN_AS_OF)
+    base = run.new_ledger.select(*[F.col(c).alias(f"b_{c}") for c in EXPENSE_COLS])
+    changed = new_state.join(base, new_state.id == base.b_id).where(
+        ~F.col("amount").eqNullSafe(F.col("b_amount")) | ~F.col("category").eqNullSafe(F.col("b_category"))
+        | ~F.col("deleted_at").eqNullSafe(F.col("b_deleted_at")))
+    return changed.select("id", "amount", "category", ts_text(F.col("deleted_at")).alias("deleted_at"))
+
+
+@register("header_decode")
+def header_decode_q(spark, sf_dir):
+    """SC-11: RFC 2047 encoded subjects (built from conversation text) decoded back."""
+    from pyspark.sql import functions as F
+
+    from spendlake.functions.text import decode_header_words
+
+    conv = tables.read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40).alias("subject"))
+    enc = conv.select("conv_id", "turn", F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode("subject", "UTF-8")),
+                                                  F.lit("?=")).alias("encoded"))
+    return enc.select("conv_id", "turn", decode_header_words(F.col("encoded")).alias("subject"))
+
+
+@register("streaming_interval_join")
+def streaming_interval_join(spark, sf_dir):
+    """ST-4: watermarked stream-stream interval join of batch events against earlier ones
+    (amount buckets + time range), pairs within tolerance."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import run_to_table, soft_match_stream
+
+    ev = events_stream(spark, sf_dir)
+    side = ev.select(F.col("event_id").alias("seq"), (F.round(F.col("value") * 100).cast("bigint") * 25 / 100.0)
+                     .alias("amount"), F.col("event_type").alias("merchant"), F.col("ts").cast("timestamp").alias("ts"))
+    pairs = soft_match_stream(side, side)
+    out = run_to_table(pairs, scratch_path(spark, "st4-out"), scratch_path(spark, "st4-ckpt"), mode="append")
+    return out.select("n_seq", "r_seq", F.round("gap_minutes", 4).alias("gap_minutes"))

@@ -619,3 +619,59 @@ FROM events GROUP BY 1, 2""")
 
 sql("streaming_message_dedup", """
 SELECT DISTINCT '<evt-' || CAST(event_id AS VARCHAR) || '@mail.example>' AS message_id FROM events""")
+
+
+def _rest_sql():
+    from spendlake.plans.catalog import SUMMARY_AS_OF
+
+    sql("monthly_stats", f"""WITH {LEDGER_CTES},
+m AS (SELECT DISTINCT strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m') AS month_key FROM lineitem),
+s AS (SELECT month_key, sum(amount) AS spent FROM active_expenses GROUP BY month_key),
+j AS (SELECT m.month_key, coalesce(s.spent, 0.0) AS spent,
+             coalesce(bm.budget_limit, bd.budget_limit, 0.0) AS lim
+      FROM m LEFT JOIN s ON s.month_key = m.month_key
+      LEFT JOIN budgets bm ON bm.month_key = m.month_key AND bm.category IS NULL
+      LEFT JOIN budgets bd ON bd.month_key = 'default' AND bd.category IS NULL)
+SELECT month_key, round(spent, 2) AS spent, lim AS "limit",
+       CASE WHEN lim > 0 THEN round(spent / lim * 100, 2) ELSE 0.0 END AS percentage FROM j""")
+
+    import datetime as _dt
+    d = _dt.date.fromisoformat(SUMMARY_AS_OF)
+    ws = d - _dt.timedelta(days=d.weekday())
+    we = ws + _dt.timedelta(days=6)
+
+    def header(period, month):
+        per = {"daily": "daily", "weekly": "weekly"}.get(period, "monthly")
+        return f"""WITH {LEDGER_CTES},
+t AS (SELECT
+  coalesce(sum(CASE WHEN month_key = '{month}' THEN amount END), 0.0) AS monthly,
+  coalesce(sum(CASE WHEN txn_date = DATE '{SUMMARY_AS_OF}' THEN amount END), 0.0) AS daily,
+  coalesce(sum(CASE WHEN txn_date BETWEEN DATE '{ws}' AND DATE '{we}' THEN amount END), 0.0) AS weekly
+  FROM active_expenses),
+b AS (SELECT coalesce((SELECT budget_limit FROM budgets WHERE month_key = '{month}' AND category IS NULL),
+                      (SELECT budget_limit FROM budgets WHERE month_key = 'default' AND category IS NULL)) AS budget)
+SELECT '{period}' AS period, round({per}, 2) AS period_spent, '{month}' AS month, round(monthly, 2) AS monthly_spent,
+       budget, round(CASE WHEN budget IS NOT NULL AND budget <> 0 THEN budget - monthly END, 2) AS savings,
+       CASE WHEN budget > 0 THEN round(monthly / budget * 100, 2) ELSE 0.0 END AS percentage
+FROM t, b"""
+
+    sql("period_summary_daily", header("daily", SUMMARY_AS_OF[:7]))
+    sql("period_summary_weekly", header("weekly", "1998-02"))
+    sql("period_summary_categories", f"""WITH {LEDGER_CTES},
+c AS (SELECT category, sum(amount) AS spent FROM active_expenses WHERE month_key = '1998-06' GROUP BY category),
+r AS (SELECT c.*, coalesce(bm.budget_limit, bd.budget_limit) AS budget FROM c
+      LEFT JOIN budgets bm ON bm.month_key = '1998-06' AND bm.category = c.category
+      LEFT JOIN budgets bd ON bd.month_key = 'default' AND bd.category = c.category)
+SELECT category, spent, budget, budget - spent AS remaining, spent > budget AS overspent FROM r""")
+
+    sql("header_decode", """
+SELECT conv_id, turn, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40) AS subject FROM conversations""")
+
+    sql("streaming_interval_join", """
+WITH s AS (SELECT event_id AS seq, CAST(round(value * 100) AS BIGINT) * 25 / 100.0 AS amount,
+                  epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events)
+SELECT n.seq AS n_seq, r.seq AS r_seq, round(abs(n.us - r.us) / 60000000.0, 4) AS gap_minutes
+FROM s n JOIN s r ON r.seq < n.seq AND abs(n.amount - r.amount) <= 1.0 AND abs(n.us - r.us) <= CAST(7200000000 AS BIGINT)""")
+
+
+_rest_sql()
