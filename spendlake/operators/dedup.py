@@ -204,57 +204,55 @@ def first_ledger_match(cands: DataFrame, ledger: DataFrame, s: DedupSettings) ->
 # JN-6: within-batch leader election (lexicographically-first maximal independent set)
 # ---------------------------------------------------------------------------
 
-def batch_leaders(cands: DataFrame, s: DedupSettings, prune_every: int = 4) -> DataFrame:
+def band_neighbours(later: DataFrame, earlier: DataFrame, s: DedupSettings, how: str = "exists") -> DataFrame:
+    """Per ``later`` key, an aggregate over the ``earlier`` rows (smaller key) it soft-matches:
+    ``exists`` -> the keys having at least one; ``min`` -> the smallest matching key.
+
+    Both inputs are normalised sides (``candidate_side``).  The aggregate runs right after
+    the band join (partial aggregation in the join stage), so matching pairs stream
+    through and are never stored."""
+    c = later
+    e = earlier.select(*[F.col(x).alias("e_" + x[2:]) for x in earlier.columns])
+    pairs = band_pairs(c, e, s).where(F.col("e_key") < F.col("c_key"))
+    if how == "exists":
+        return pairs.groupBy(F.col("c_key").alias("seq")).agg(F.count(F.lit(1)).alias("_n")).select("seq")
+    return pairs.groupBy(F.col("c_key").alias("seq")).agg(F.min("e_key").alias("leader_seq"))
+
+
+def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
     """JN-6: leaders = greedy independent set in ``seq`` order over the match graph;
     each follower joins its earliest matching leader.
 
     Rounds over a node-state table (U undecided / L leader / F follower): undecided
-    nodes with no earlier undecided neighbour become leaders, and their undecided later
-    neighbours become followers.  One reliable checkpoint per round cuts the lineage;
-    edges between decided nodes are dropped every ``prune_every`` rounds.  Output:
-    seq, role ('leader' | 'follower'), leader_seq."""
-    nodes = cands.select("seq").distinct()
-    edges = cut_lineage(
-        soft_match_pairs(cands, None, s).select(F.col("c_key").alias("src"), F.col("e_key").alias("dst"))
-    )
-    touched = edges.select(F.col("src").alias("seq")).union(edges.select(F.col("dst").alias("seq"))).distinct()
-    state = cut_lineage(touched.withColumn("st", F.lit("U")))
-    live = edges
-    for rnd in range(s.max_rounds):
-        und = state.where(F.col("st") == "U").select("seq")
+    nodes with no earlier undecided neighbour become leaders, and undecided nodes with an
+    earlier new leader become followers.  Neighbourhoods are band joins reduced per node
+    on the spot (no edge table, so a hot group never materialises its pairs); each round
+    joins only the undecided nodes and ends with one reliable checkpoint.
+    Output: seq, role ('leader' | 'follower'), leader_seq."""
+    side = cut_lineage(candidate_side(cands))
+    state = side.withColumn("st", F.lit("U"))
+    for _ in range(s.max_rounds):
+        und = state.where(F.col("st") == "U").drop("st")
         if und.isEmpty():
             break
-        blocked = live.join(und.select(F.col("seq").alias("src")), "src", "left_semi").select(
-            F.col("dst").alias("seq")).distinct()
-        new_l = und.join(blocked, "seq", "left_anti").withColumn("_nl", F.lit(True))
-        new_f = (live.join(new_l.select(F.col("seq").alias("src")), "src", "left_semi")
-                 .select(F.col("dst").alias("seq")).distinct().withColumn("_nf", F.lit(True)))
+        blocked = band_neighbours(und, und, s, "exists")
+        new_l = und.join(blocked, F.col("c_key") == F.col("seq"), "left_anti")
+        rest = und.join(new_l.select("c_key"), "c_key", "left_anti")
+        new_f = band_neighbours(rest, new_l, s, "exists")
+        upd = new_l.select(F.col("c_key").alias("seq"), F.lit("L").alias("_new")).unionByName(
+            new_f.select("seq", F.lit("F").alias("_new")))
         state = cut_lineage(
-            state.join(new_l, "seq", "left").join(new_f, "seq", "left").select(
-                "seq",
-                F.when((F.col("st") == "U") & F.col("_nl").isNotNull(), F.lit("L"))
-                .when((F.col("st") == "U") & F.col("_nf").isNotNull(), F.lit("F"))
-                .otherwise(F.col("st")).alias("st"),
-            )
+            state.join(upd, F.col("c_key") == F.col("seq"), "left")
+            .withColumn("st", F.coalesce(F.col("_new"), F.col("st"))).drop("seq", "_new")
         )
-        if (rnd + 1) % prune_every == 0:
-            und2 = state.where(F.col("st") == "U").select("seq")
-            live = cut_lineage(
-                live.join(und2.select(F.col("seq").alias("src")), "src", "left_semi")
-                .join(und2.select(F.col("seq").alias("dst")), "dst", "left_semi")
-            )
     else:
         raise RuntimeError(f"batch leader election did not settle within {s.max_rounds} rounds")
-    leaders = nodes.join(state.where(F.col("st") == "F").select("seq"), "seq", "left_anti")
-    followers = (
-        edges.join(state.where(F.col("st") == "L").select(F.col("seq").alias("src")), "src", "left_semi")
-        .join(state.where(F.col("st") == "F").select(F.col("seq").alias("dst")), "dst", "left_semi")
-        .groupBy(F.col("dst").alias("seq"))
-        .agg(F.min("src").alias("leader_seq"))
-    )
-    return leaders.select("seq", F.lit("leader").alias("role"), F.col("seq").alias("leader_seq")).unionByName(
-        followers.select("seq", F.lit("follower").alias("role"), "leader_seq")
-    )
+    leaders = state.where(F.col("st") == "L").drop("st")
+    followers = state.where(F.col("st") == "F").drop("st")
+    lead_of = band_neighbours(followers, leaders, s, "min")
+    return leaders.select(F.col("c_key").alias("seq"), F.lit("leader").alias("role"),
+                          F.col("c_key").alias("leader_seq")).unionByName(
+        lead_of.select("seq", F.lit("follower").alias("role"), "leader_seq"))
 
 
 def batch_statuses(cands: DataFrame, s: DedupSettings) -> DataFrame:
