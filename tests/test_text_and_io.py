@@ -58,3 +58,16 @@ def test_checkpoint_scan_tolerant_and_export(spark):
     text = "".join(open(os.path.join(written[0], f)).read() for f in os.listdir(written[0]) if f.endswith(".csv"))
     lines = text.splitlines()
     assert set(lines) == {"id,a,b", "1,,"} and lines.count("1,,") == 1  # one header per part file
+
+
+def test_run_output_replaces_only_its_run(spark):
+    from spendlake.sources.io import write_run_output
+
+    out = tempfile.mkdtemp(prefix="spendlake-run-")
+    c1 = spark.createDataFrame([(1, "new")], "seq bigint, dedup_status string")
+    s1 = spark.createDataFrame([(1, 1)], "total_emails_processed bigint, inserted bigint")
+    write_run_output(c1, s1, out, "r1")
+    write_run_output(c1.union(c1), s1, out, "r2")
+    write_run_output(c1, s1, out, "r2")  # re-run of r2 replaces r2 only
+    got = spark.read.parquet(os.path.join(out, "candidates")).groupBy("run_id").count().collect()
+    assert sorted((r.run_id, r["count"]) for r in got) == [("r1", 1), ("r2", 1)]
