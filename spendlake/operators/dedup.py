@@ -173,6 +173,26 @@ def ledger_side(ledger: DataFrame, prefix: str = "e_") -> DataFrame:
     return _norm_side(ledger, "id", m, DedupSettings(), prefix)
 
 
+ATTRS = ("amount", "merchant", "direction", "ts", "us")
+
+
+def collapse_copies(side: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """Exact copies (same amount, merchant, direction and time) score identically, so
+    only one representative (smallest key) needs to enter a band join.
+
+    Returns (representatives, key -> representative key).  Rows without a time never
+    match and are not collapsed.  The group-by aggregates partially per task, and the
+    mapping is a many-to-one join, so a hot group of copies is never paired with itself."""
+    cols = [f"{prefix}{a}" for a in ATTRS]
+    timed = side.where(F.col(f"{prefix}ts").isNotNull())
+    reps = timed.groupBy(*cols).agg(F.min(f"{prefix}key").alias(f"{prefix}key")).select(f"{prefix}key", *cols)
+    mapping = timed.join(reps.withColumnRenamed(f"{prefix}key", "_rep"), cols).select(
+        F.col(f"{prefix}key").alias("key"), F.col("_rep").alias("rep"))
+    untimed = side.where(F.col(f"{prefix}ts").isNull())
+    mapping = mapping.unionByName(untimed.select(F.col(f"{prefix}key").alias("key"), F.col(f"{prefix}key").alias("rep")))
+    return reps.unionByName(untimed.select(f"{prefix}key", *cols)), mapping
+
+
 def soft_match_pairs(cands: DataFrame, existing: DataFrame | None, s: DedupSettings) -> DataFrame:
     """JN-4 over raw inputs: candidate batch against ledger rows, or (``existing`` None)
     the batch against itself (earlier, later)."""
@@ -188,15 +208,20 @@ def soft_match_pairs(cands: DataFrame, existing: DataFrame | None, s: DedupSetti
 # ---------------------------------------------------------------------------
 
 def first_ledger_match(cands: DataFrame, ledger: DataFrame, s: DedupSettings) -> DataFrame:
-    """JN-5: per candidate, the first ledger row in newest-first order that scores at
-    least 'probable'.  Pairs are reduced by a partial aggregate in the join stage, so
-    only one row per candidate and task is shuffled."""
-    pairs = soft_match_pairs(cands, ledger, s)
+    """JN-5: per candidate, the first ledger row in newest-first order (ties by id) that
+    scores at least 'probable'.
+
+    Exact copies are collapsed on both sides first (the first of identical ledger rows is
+    the one with the smallest id); pairs are reduced by a partial aggregate right after
+    the join, so only one row per candidate and task is shuffled."""
+    c_reps, c_map = collapse_copies(candidate_side(cands), "c_")
+    e_reps, _ = collapse_copies(ledger_side(ledger), "e_")
+    pairs = band_pairs(c_reps, e_reps, s)
     order = F.struct((-F.unix_micros(F.col("e_ts").cast("timestamp"))).alias("o"), F.col("e_key").alias("id"),
                      F.col("status").alias("status"))
     best = pairs.groupBy("c_key").agg(F.min(order).alias("_b"))
-    return best.select(
-        F.col("c_key").alias("seq"), F.col("_b.id").alias("ledger_id"), F.col("_b.status").alias("ledger_status")
+    return c_map.join(best, c_map.rep == best.c_key).select(
+        F.col("key").alias("seq"), F.col("_b.id").alias("ledger_id"), F.col("_b.status").alias("ledger_status")
     )
 
 
@@ -229,7 +254,9 @@ def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
     on the spot (no edge table, so a hot group never materialises its pairs); each round
     joins only the undecided nodes and ends with one reliable checkpoint.
     Output: seq, role ('leader' | 'follower'), leader_seq."""
-    side = cut_lineage(candidate_side(cands))
+    reps, mapping = collapse_copies(candidate_side(cands), "c_")
+    side = cut_lineage(reps)
+    mapping = cut_lineage(mapping)
     state = side.withColumn("st", F.lit("U"))
     for _ in range(s.max_rounds):
         und = state.where(F.col("st") == "U").drop("st")
@@ -250,9 +277,16 @@ def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
     leaders = state.where(F.col("st") == "L").drop("st")
     followers = state.where(F.col("st") == "F").drop("st")
     lead_of = band_neighbours(followers, leaders, s, "min")
-    return leaders.select(F.col("c_key").alias("seq"), F.lit("leader").alias("role"),
-                          F.col("c_key").alias("leader_seq")).unionByName(
-        lead_of.select("seq", F.lit("follower").alias("role"), "leader_seq"))
+    rep_role = leaders.select(F.col("c_key").alias("rep"), F.col("c_key").alias("leader_seq")).unionByName(
+        lead_of.select(F.col("seq").alias("rep"), "leader_seq"))
+    # Copies: the representative keeps its role; every other copy follows the
+    # representative's leader (the representative itself when it leads).
+    out = mapping.join(rep_role, "rep")
+    return out.select(
+        F.col("key").alias("seq"),
+        F.when(F.col("key") == F.col("leader_seq"), F.lit("leader")).otherwise(F.lit("follower")).alias("role"),
+        "leader_seq",
+    )
 
 
 def batch_statuses(cands: DataFrame, s: DedupSettings) -> DataFrame:

@@ -102,3 +102,26 @@ def test_batch_rule_matches_sequential_fold(spark):
              for r in rows], CAND)
         got = {r.seq: r.batch_status for r in batch_statuses(df, S).collect()}
         assert got == sequential(rows), f"trial {trial}"
+
+
+def test_hot_group_of_copies_matches_sequential(spark):
+    """A third of the batch is one re-delivered transaction (same amount, merchant, minute)."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(90):
+        if i % 3 == 0:
+            rows.append({"seq": i, "amount": 99.0, "merchant": "hot", "ts": T0, "nrefs": rnd.randrange(0, 3)})
+        else:
+            rows.append({"seq": i, "amount": float(rnd.choice([10, 10.5, 99, 99.5, 40])), "merchant": rnd.choice(["hot", "ho", "x"]),
+                         "ts": T0 + dt.timedelta(minutes=rnd.randrange(0, 200)), "nrefs": rnd.randrange(0, 3)})
+    df = spark.createDataFrame(
+        [(r["seq"], True, r["amount"], r["merchant"], "debit", r["ts"], {f"k{j}": f"v{r['seq']}_{j}" for j in range(r["nrefs"])})
+         for r in rows], CAND)
+    got = {r.seq: r.batch_status for r in batch_statuses(df, S).collect()}
+    assert got == sequential(rows)
+    ledger = spark.createDataFrame([(500 + k, 99.0, "hot", "hot", "debit", T0) for k in range(5)]
+                                   + [(600, 99.0, "hot", "hot", "debit", T0 + dt.timedelta(minutes=20))], LEDG)
+    from spendlake.operators.dedup import first_ledger_match
+    fm = {r.seq: (r.ledger_id, r.ledger_status) for r in first_ledger_match(df, ledger, S).collect()}
+    assert fm[0] == (600, "auto_merged")  # newest first: the 20-minute-later row wins
+    assert all(fm[i] == (600, "auto_merged") for i in range(0, 90, 3))
