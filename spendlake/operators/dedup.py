@@ -255,8 +255,9 @@ def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
     joins only the undecided nodes and ends with one reliable checkpoint.
     Output: seq, role ('leader' | 'follower'), leader_seq."""
     reps, mapping = collapse_copies(candidate_side(cands), "c_")
-    side = cut_lineage(reps)
-    mapping = cut_lineage(mapping)
+    keyed = cut_lineage(mapping.join(reps, reps.c_key == mapping.rep, "left"))
+    side = keyed.where(F.col("key") == F.col("rep")).drop("key", "rep")
+    mapping = keyed.select("key", "rep")
     state = side.withColumn("st", F.lit("U"))
     for _ in range(s.max_rounds):
         und = state.where(F.col("st") == "U").drop("st")
