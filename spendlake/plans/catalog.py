@@ -171,14 +171,14 @@ def dedup_inputs(spark, sf_dir):
 
 @register("soft_match_pairs")
 def soft_match_pairs(spark, sf_dir):
-    """JN-4 + SC-7/8/9: band join of the batch with itself; score and status per pair."""
+    """JN-4 + SC-7/8/9: band join of all event transactions with each other; score and status per pair."""
     from pyspark.sql import functions as F
 
     from spendlake.config import DedupSettings
     from spendlake.operators.dedup import soft_match_pairs as smp
 
-    batch = tables.batch_from_events(spark, sf_dir)
-    return smp(batch, None, DedupSettings()).select(
+    everything = tables.event_transactions(spark, sf_dir).withColumnRenamed("ts", "txn_ts")
+    return smp(everything, None, DedupSettings()).select(
         "c_key", "e_key", F.round("gap_minutes", 4).alias("gap_minutes"), "score", "status"
     )
 
@@ -213,12 +213,12 @@ def hard_matches_q(spark, sf_dir):
 
 @register("batch_leaders")
 def batch_leaders_q(spark, sf_dir):
-    """JN-6: leader election over the batch match graph (roles and leaders)."""
+    """JN-6: leader election over the match graph of all event transactions."""
     from spendlake.config import DedupSettings
     from spendlake.operators.dedup import batch_leaders
 
-    batch = tables.batch_from_events(spark, sf_dir)
-    return batch_leaders(batch, DedupSettings())
+    everything = tables.event_transactions(spark, sf_dir).withColumnRenamed("ts", "txn_ts")
+    return batch_leaders(everything, DedupSettings())
 
 
 @register("dedup_statuses")
@@ -783,15 +783,15 @@ def review_corrections_q(spark, sf_dir):
 
 @register("header_decode")
 def header_decode_q(spark, sf_dir):
-    """SC-11: RFC 2047 encoded subjects (built from conversation text) decoded back."""
+    """SC-11: RFC 2047 encoded words (whole conversation texts, whitespace folded) decoded back."""
     from pyspark.sql import functions as F
 
     from spendlake.functions.text import decode_header_words
 
     conv = tables.read_table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 40).alias("subject"))
-    enc = conv.select("conv_id", "turn", F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode("subject", "UTF-8")),
-                                                  F.lit("?=")).alias("encoded"))
+        "conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("subject"))
+    b64 = F.regexp_replace(F.base64(F.encode("subject", "UTF-8")), r"\s", "")  # base64 output may be chunked
+    enc = conv.select("conv_id", "turn", F.concat(F.lit("=?utf-8?b?"), b64, F.lit("?=")).alias("encoded"))
     return enc.select("conv_id", "turn", decode_header_words(F.col("encoded")).alias("subject"))
 
 

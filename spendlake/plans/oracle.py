@@ -253,11 +253,13 @@ def _dedup_sql():
 WITH {EVENT_TXN_CTE},
 b AS (SELECT seq, amount, lower(trim(coalesce(merchant, ''))) AS m, coalesce(direction, 'debit') AS d,
              txn_ts AS ts, epoch_us(txn_ts) AS us, ref FROM batch_ev),
+a AS (SELECT seq, amount, lower(trim(coalesce(merchant, ''))) AS m, coalesce(direction, 'debit') AS d,
+             ts, epoch_us(ts) AS us, ref FROM txn),
 l AS (SELECT id, amount, lower(trim(coalesce(description, ''))) AS m, 'debit' AS d, txn_ts AS ts,
              epoch_us(txn_ts) AS us FROM ledger_ev WHERE CAST(txn_ts AS DATE) >= DATE '{DEDUP_LEDGER_SINCE}'),
 self_pairs AS (
   SELECT c.seq AS c_key, e.seq AS e_key, {gap} AS gap_minutes, {sc} AS score, {status} AS status
-  FROM b c JOIN b e ON c.seq < e.seq AND {band}
+  FROM a c JOIN a e ON c.seq < e.seq AND {band}
 ),
 ledger_pairs AS (
   SELECT c.seq AS c_key, e.id AS e_key, e.ts AS e_ts, {status} AS status
@@ -319,7 +321,7 @@ roles AS (
 
 
 sql("batch_leaders", f"""{DEDUP_CTES.replace('WITH ', 'WITH RECURSIVE ', 1)},
-bnodes AS (SELECT seq FROM b),
+bnodes AS (SELECT seq FROM a),
 {_batch_sql('self_pairs')}
 SELECT seq, role, leader_seq FROM roles""")
 
@@ -665,7 +667,7 @@ r AS (SELECT c.*, coalesce(bm.budget_limit, bd.budget_limit) AS budget FROM c
 SELECT category, spent, budget, budget - spent AS remaining, spent > budget AS overspent FROM r""")
 
     sql("header_decode", """
-SELECT conv_id, turn, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40) AS subject FROM conversations""")
+SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS subject FROM conversations""")
 
     sql("streaming_interval_join", """
 WITH s AS (SELECT event_id AS seq, CAST(round(value * 100) AS BIGINT) * 25 / 100.0 AS amount,
