@@ -93,7 +93,7 @@ WHERE g.month_key IS NOT NULL
 # Message extraction, generated from the pattern registry
 # ---------------------------------------------------------------------------
 
-def _extraction_sql() -> str:
+def _extraction_sql(source: str = "messages", with_messages: bool = True) -> str:
     from spendlake.config import DEFAULT_ALLOWED_SENDERS, MERCHANT_SUBJECT_CHARS, REVIEW_BODY_CHARS
     from spendlake.functions.parsing import BRAND_BY_SENDER, MERCHANT_NOISE, REF_TYPES
     from spendlake.operators.extract import DEFAULT_PATTERNS, FAMILY_ORDER, GENERIC, ordered_patterns
@@ -129,12 +129,13 @@ def _extraction_sql() -> str:
     desc_parts = ", ".join(f"CASE WHEN r_{t} <> '' THEN '[{t}: ' || r_{t} || ']' END" for t in REF_TYPES)
     date_re = r"^(\d{2})([-/])(\d{2})([-/])(\d{4}|\d{2})$"
     as_of = f"DATE '{EVENTS_AS_OF}'"
+    head = f"WITH {MESSAGES_CTE}," if with_messages else ""
     return f"""
-WITH {MESSAGES_CTE},
+{head}
 m1 AS (
   SELECT *, coalesce(subject, '') || chr(10) || coalesce(body, '') AS _text, {fam} AS family,
          ({allowed}) AS allowed
-  FROM messages
+  FROM {source}
 ),
 m2 AS (SELECT *, {", ".join(hits)} FROM m1),
 m3 AS (SELECT *, {win} AS _w FROM m2),
@@ -677,3 +678,123 @@ FROM s n JOIN s r ON r.seq < n.seq AND abs(n.amount - r.amount) <= 1.0 AND abs(n
 
 
 _rest_sql()
+
+
+# ---------------------------------------------------------------------------
+# Ingestion run summary (process mode), composed from the generators above
+# ---------------------------------------------------------------------------
+
+def _run_summary_sql(reprocess: bool = False) -> str:
+    from spendlake.config import DEFAULT_ALLOWED_SENDERS, DedupSettings, Settings
+    from spendlake.functions.parsing import REF_TYPES
+    from spendlake.plans.catalog import RUN_AS_OF
+    from spendlake.plans.oracle_views import EVENT_TXN_CTE, MESSAGES_CTE
+
+    s, st = DedupSettings(), Settings()
+    allowed = " OR ".join(f"contains(lower(coalesce(sender_email, '')), {q_(a.lower())})" for a in DEFAULT_ALLOWED_SENDERS)
+    ev2 = EVENT_TXN_CTE.replace("ev AS (", "ev2 AS (", 1).replace("FROM ev\n", "FROM ev2\n")
+    width = max(s.time_window_minutes, 120.0) * 60_000_000
+    gap = "(abs(c.us - e.us) / 60000000.0)"
+    t = (f"(CASE WHEN c.ts IS NULL OR e.ts IS NULL THEN -1.0 WHEN {gap} <= {s.time_window_minutes} THEN 1.5 "
+         f"WHEN {gap} / 60.0 > 24 THEN -2.0 WHEN {gap} / 60.0 > 2 THEN -1.0 ELSE 0.0 END)")
+    merch = "(c.m <> '' AND e.m <> '' AND (contains(c.m, e.m) OR contains(e.m, c.m)))"
+    sc = (f"({t} + CASE WHEN abs(c.amount - e.amount) <= {s.amount_tolerance} THEN 2.0 ELSE 0.0 END"
+          f" + CASE WHEN {merch} THEN 1.0 ELSE 0.0 END + CASE WHEN c.d = e.d THEN 0.5 ELSE 0.0 END)")
+    status = (f"CASE WHEN {gap} / 60.0 > {s.max_date_gap_hours} THEN NULL WHEN {sc} >= 4.5 THEN 'auto_merged' "
+              f"WHEN {sc} >= 3.5 THEN 'probable_duplicate' END")
+    band = (f"c.ts IS NOT NULL AND e.ts IS NOT NULL AND abs(c.amount - e.amount) <= {s.amount_tolerance} "
+            f"AND abs(c.us - e.us) <= CAST({int(width)} AS BIGINT)")
+    refs_lower = " UNION ALL ".join(f"SELECT seq, lower({r}) AS v FROM cand WHERE coalesce({r}, '') <> ''" for r in REF_TYPES)
+    nrefs = " + ".join(f"CASE WHEN coalesce({r}, '') <> '' THEN 1 ELSE 0 END" for r in REF_TYPES)
+    as_of_date = RUN_AS_OF[:10]
+    if reprocess:
+        days = -(-int(s.max_date_gap_hours) // 24)
+        since = f"(SELECT min(CAST(ts AS DATE)) FROM cand) - INTERVAL {days} DAY"
+    else:
+        since = f"DATE '{as_of_date}' - INTERVAL {s.ledger_lookback_days} DAY"
+    return f"""WITH RECURSIVE {MESSAGES_CTE}, {ev2},
+todo AS (
+  SELECT * FROM messages
+  WHERE ({allowed})
+    {"" if reprocess else "AND (nullif(message_id, '') IS NULL OR nullif(message_id, '') NOT IN (SELECT message_id FROM checkpoint_ev))"}
+),
+{_extraction_sql('todo', with_messages=False)},
+cand AS (
+  SELECT seq, parse_method, (parse_method = 'regex') AS has_txn, amount,
+         lower(trim(coalesce(merchant, ''))) AS m, coalesce(direction, 'debit') AS d,
+         CAST(transaction_date AS TIMESTAMP) AS ts, epoch_us(CAST(transaction_date AS TIMESTAMP)) AS us,
+         {", ".join(REF_TYPES)}, ({nrefs}) AS n_refs
+  FROM parsed
+),
+known AS (
+  SELECT DISTINCT lower(ref) AS ref FROM checkpoint_ev
+  WHERE processed_at >= TIMESTAMP '{RUN_AS_OF}' - INTERVAL {st.reprocess_known_ref_days if reprocess else s.known_ref_days} DAY
+    AND ref <> ''
+),
+hard AS (SELECT DISTINCT x.seq FROM ({refs_lower}) x JOIN known k ON k.ref = x.v
+         WHERE x.seq IN (SELECT seq FROM cand WHERE has_txn)),
+l AS (
+  SELECT id, amount, lower(trim(coalesce(description, ''))) AS m, 'debit' AS d,
+         CAST(strftime(txn_ts, '%Y-%m-%d') AS TIMESTAMP) AS ts,
+         epoch_us(CAST(strftime(txn_ts, '%Y-%m-%d') AS TIMESTAMP)) AS us
+  FROM ledger_ev WHERE CAST(txn_ts AS DATE) >= {since}
+),
+r1 AS (SELECT * FROM cand WHERE has_txn AND seq NOT IN (SELECT seq FROM hard)),
+lp AS (SELECT c.seq AS c_key, e.id AS e_key, e.ts AS e_ts, {status} AS status FROM r1 c JOIN l e ON {band}),
+fm AS (SELECT c_key AS seq, status AS ledger_status, e_key AS ledger_id FROM (
+         SELECT *, row_number() OVER (PARTITION BY c_key ORDER BY e_ts DESC, e_key) AS rn
+         FROM lp WHERE status IS NOT NULL) WHERE rn = 1),
+r2 AS (SELECT * FROM r1 WHERE seq NOT IN (SELECT seq FROM fm)),
+bnodes AS (SELECT seq FROM r2),
+sp AS (SELECT c.seq AS c_key, e.seq AS e_key, {status} AS status FROM r2 c JOIN r2 e ON c.seq < e.seq AND {band}),
+{_batch_sql('sp')},
+rr AS (
+  SELECT r.seq, r.role, n1.n_refs, n2.n_refs AS leader_refs, r.leader_seq
+  FROM roles r JOIN cand n1 ON n1.seq = r.seq JOIN cand n2 ON n2.seq = r.leader_seq
+),
+swapped AS (SELECT DISTINCT leader_seq AS seq FROM rr WHERE role = 'follower' AND n_refs > leader_refs),
+statuses AS (
+  SELECT seq, 'new' AS st FROM cand WHERE NOT has_txn
+  UNION ALL SELECT seq, 'definite_duplicate' FROM hard
+  UNION ALL SELECT seq, ledger_status FROM fm
+  UNION ALL SELECT seq, CASE WHEN role = 'leader' THEN CASE WHEN seq IN (SELECT seq FROM swapped) THEN 'auto_merged' ELSE 'new' END
+                             WHEN n_refs > leader_refs THEN 'new' ELSE 'auto_merged' END FROM rr
+),
+summary AS (
+  SELECT count(*) AS total_emails_processed,
+         count_if(s.st = 'new' AND c.has_txn AND coalesce(c.amount, 0) <> 0) AS inserted,
+         count_if(s.st IN ('definite_duplicate', 'auto_merged')) AS duplicates_skipped,
+         count_if(s.st = 'probable_duplicate') AS probable_duplicates_flagged,
+         count_if(c.parse_method = 'llm_needed') AS llm_parsing_needed
+  FROM cand c JOIN statuses s ON s.seq = c.seq
+)"""
+
+
+RUN_SUMMARY = _run_summary_sql()
+sql("run_summary", f"{RUN_SUMMARY} SELECT * FROM summary")
+sql("review_headline", f"""{RUN_SUMMARY}
+SELECT line, n FROM (
+  SELECT 'processed' AS line, total_emails_processed AS n FROM summary
+  UNION ALL SELECT 'new', inserted FROM summary
+  UNION ALL SELECT 'duplicates', duplicates_skipped FROM summary
+  UNION ALL SELECT 'flagged', probable_duplicates_flagged FROM summary
+  UNION ALL SELECT 'manual', llm_parsing_needed FROM summary)
+WHERE line = 'processed' OR n > 0""")
+
+sql("reprocess_summary", f"{_run_summary_sql(reprocess=True)} SELECT * FROM summary")
+
+sql("review_table", f"""{RUN_SUMMARY},
+numbered AS (SELECT p.*, row_number() OVER (ORDER BY p.seq) AS number, s.st FROM parsed p JOIN statuses s ON s.seq = p.seq),
+sec AS (
+  SELECT *, CASE WHEN parse_method = 'llm_needed' THEN 'manual'
+                 WHEN parse_method = 'regex' AND st = 'new' THEN 'new'
+                 WHEN parse_method = 'regex' AND st = 'probable_duplicate' THEN 'needs_review'
+                 WHEN parse_method = 'regex' AND st IN ('auto_merged', 'definite_duplicate') THEN 'duplicate' END AS section
+  FROM numbered
+)
+SELECT number, section,
+       CASE section WHEN 'new' THEN 1 WHEN 'needs_review' THEN 2 WHEN 'duplicate' THEN 3 ELSE 4 END AS section_rank,
+       amount, merchant, transaction_date,
+       (SELECT ledger_id FROM fm WHERE fm.seq = sec.seq) AS matched_ledger_id,
+       CASE WHEN section = 'manual' THEN substr(coalesce(subject, '?'), 1, 60) END AS subject
+FROM sec WHERE section IS NOT NULL""")

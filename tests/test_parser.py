@@ -82,3 +82,19 @@ def test_parser_stats(spark):
     assert {x.pattern: x["count"] for x in b.collect()}["HDFC debit alert"] == 2
     e = parser_stats(spark.createDataFrame([], df.schema))[0].first()
     assert e.total_parsed == 0 and e.hit_rate_pct == 0.0
+
+
+def test_custom_pattern_registry(spark):
+    """User patterns are data: a new family is matched without touching the operator."""
+    from spendlake.operators.extract import DEFAULT_PATTERNS, Pattern
+
+    mine = Pattern("mybank", "MyBank spend", r"spent\s+(?:rs\.?|inr)\s*([\d,]+(?:\.\d{1,2})?)\s+at\s+([^\n]+?)\.\s",
+                   {"amount": 1, "merchant": 2})
+    df = spark.createDataFrame([(1, "u", "<m>", "x", "alerts@mybank.example", "Spend", "You spent INR 1,200.75 at Cafe Blue. Thanks",
+                                 "2026-03-02T10:00:00+05:30")],
+                               "seq bigint, email_uid string, message_id string, `from` string, sender_email string, "
+                               "subject string, body string, received_at string")
+    r = extract_transactions(df, AS_OF, patterns=DEFAULT_PATTERNS + (mine,)).first()
+    assert r.family == "mybank" and r.pattern_name == "MyBank spend" and r.confidence == 0.9
+    assert r.transaction.amount == 1200.75 and r.transaction.merchant == "Cafe Blue"
+    assert r.transaction.transaction_date == "2026-03-02"
