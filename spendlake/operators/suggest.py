@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spendlake.config import AUTO_CATEGORY_MIN_CONFIDENCE, DEFAULT_CATEGORY
 from spendlake.operators.filters import active
+from spendlake.session import sized_broadcast
 
 GRAM = 3
 ROLLUP_CHUNK = 1000
@@ -28,13 +29,21 @@ def _grams(s: Column, k: int) -> Column:
     )
 
 
-def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term", gram: int = GRAM) -> DataFrame:
+def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term", gram: int = GRAM,
+                 like_wildcards: bool = False) -> DataFrame:
     """JN-9: (term, id, category) for every active row whose lower(description) contains
-    lower(term).  ``term`` in the output is the lower-cased term."""
+    lower(term).  ``term`` in the output is the lower-cased term.
+
+    ``like_wildcards=True`` reproduces the surveyed LIKE behaviour for terms holding
+    '%' or '_' (they act as wildcards there): such terms are keyed by the rarest gram of
+    their longest literal segment and checked with ``LIKE '%term%'``."""
     act = active(expenses).select("id", "category", F.lower("description").alias("ldesc")).where(
         F.col("ldesc").isNotNull()
     )
     t = terms.select(F.lower(F.col(term_col)).alias("term")).where(F.col("term").isNotNull()).distinct()
+    wild = F.col("term").rlike("[%_]")
+    if like_wildcards:
+        t, tw = t.where(~wild), t.where(wild)
     out = None
     # Terms of length >= gram: key by the rarest gram.
     dg = act.select("id", "category", "ldesc", F.explode(_grams(F.col("ldesc"), gram)).alias("g"))
@@ -45,6 +54,19 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
     key = key.where(F.col("_min") > 0).drop("_min")
     long_hits = dg.join(key, "g").where(F.col("ldesc").contains(F.col("term"))).select("term", "id", "category")
     out = long_hits
+    if like_wildcards and not tw.isEmpty():
+        # Longest literal segment of the pattern; segments shorter than a gram fall back
+        # to a gram-free check against all descriptions only for those few terms.
+        seg = F.array_max(F.transform(F.split("term", "[%_]"), lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))
+        tw = tw.withColumn("_seg", seg["s"])
+        twg = tw.where(F.length("_seg") >= gram).select("term", F.explode(_grams(F.col("_seg"), gram)).alias("g"))
+        twg = twg.join(freq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        wkey = twg.groupBy("term").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"))
+        like = F.expr("ldesc LIKE concat('%', term, '%')")
+        out = out.unionByName(dg.join(wkey, "g").where(like).select("term", "id", "category").distinct())
+        short_w = tw.where(F.length("_seg") < gram).drop("_seg")
+        if not short_w.isEmpty():
+            out = out.unionByName(act.join(sized_broadcast(short_w, 10_000), like).select("term", "id", "category"))
     # Short terms (1 .. gram-1 chars): the term is its own only gram.
     # Only built when such terms exist (a size check that reads at most one row).
     for k in range(1, gram):
@@ -61,14 +83,15 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
 
 def suggest_categories(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
                        default_category: str = DEFAULT_CATEGORY,
-                       min_confidence: int = AUTO_CATEGORY_MIN_CONFIDENCE) -> DataFrame:
+                       min_confidence: int = AUTO_CATEGORY_MIN_CONFIDENCE,
+                       like_wildcards: bool = False) -> DataFrame:
     """AGG-6 + SRT-3 + SC-16 for every distinct lower-cased term.
 
     suggested = most frequent category (ties by category), confidence = its count,
     total_matches = all matches, histogram = 'category:count' sorted by category;
     no match -> NULL / 0 / 0.  ``gated_category`` applies the confidence gate."""
     t = terms.select(F.lower(F.col(term_col)).alias("term")).where(F.col("term").isNotNull()).distinct()
-    counts = term_matches(expenses, terms, term_col).groupBy("term", "category").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = term_matches(expenses, terms, term_col, like_wildcards=like_wildcards).groupBy("term", "category").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("term").orderBy(F.desc("cnt"), F.asc_nulls_first("category"))
     ranked = counts.withColumn("_r", F.row_number().over(w))
     per_term = ranked.groupBy("term").agg(

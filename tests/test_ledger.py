@@ -136,3 +136,12 @@ def test_read_only_guard(spark, seeded):
         query_read(spark, "DELETE FROM expenses", {"expenses": ex})
     with pytest.raises(ReadOnlyViolation):
         query_read(spark, "WITH x AS (SELECT 1) INSERT INTO expenses SELECT * FROM expenses", {"expenses": ex})
+
+
+def test_suggest_like_wildcards(spark):
+    ex = expenses(spark, [(1.0, "Junk", "Burger King", AS_OF), (1.0, "Food", "Burrito bowl", AS_OF), (1.0, "Food", "Bread", AS_OF)])
+    terms = spark.createDataFrame([("bur%",), ("b_rger",), ("b%",)], "term string")
+    plain = {r.term: r.total_matches for r in suggest_categories(ex, terms).collect()}
+    assert plain == {"bur%": 0, "b_rger": 0, "b%": 0}
+    like = {r.term: r.total_matches for r in suggest_categories(ex, terms, like_wildcards=True).collect()}
+    assert like == {"bur%": 2, "b_rger": 1, "b%": 3}
