@@ -145,3 +145,23 @@ def test_suggest_like_wildcards(spark):
     assert plain == {"bur%": 0, "b_rger": 0, "b%": 0}
     like = {r.term: r.total_matches for r in suggest_categories(ex, terms, like_wildcards=True).collect()}
     assert like == {"bur%": 2, "b_rger": 1, "b%": 3}
+
+
+def test_dense_ids_distributed_and_ordered(spark):
+    from spendlake.session import assign_dense_ids
+
+    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k"))
+    out = assign_dense_ids(df, ["k"], 100).collect()
+    ids = sorted(r.id for r in out)
+    assert ids == list(range(101, 5101))  # dense, above the high-water mark, unused
+    assert all(r.id == 101 + r.k for r in out)  # in key order
+
+
+def test_audit_rows_equal_changes(spark, seeded):
+    ex, _ = seeded
+    base = ex.drop("txn_date", "month_key")
+    ids = spark.createDataFrame([(1,), (3,), (3,), (42,)], "id bigint")
+    new, audit, rej = soft_delete(base, ids, "2026-03-23 10:00:00")
+    changed = new.where("deleted_at IS NOT NULL").count()
+    assert audit.count() == changed == 2 and rej.count() == 1
+    assert new.count() == base.count()
