@@ -798,3 +798,115 @@ SELECT number, section,
        (SELECT ledger_id FROM fm WHERE fm.seq = sec.seq) AS matched_ledger_id,
        CASE WHEN section = 'manual' THEN substr(coalesce(subject, '?'), 1, 60) END AS subject
 FROM sec WHERE section IS NOT NULL""")
+
+
+def _java_double(x: str) -> str:
+    """SQL text rendering a DOUBLE the way Java's Double.toString does, for values that
+    are integral (as budget limits are) or below 1e7."""
+    digits = f"rtrim(CAST(CAST({x} AS BIGINT) AS VARCHAR), '0')"
+    exp = f"(length(CAST(CAST({x} AS BIGINT) AS VARCHAR)) - 1)"
+    sci = (f"substr({digits}, 1, 1) || '.' || CASE WHEN length({digits}) > 1 THEN substr({digits}, 2) ELSE '0' END"
+           f" || 'E' || CAST({exp} AS VARCHAR)")
+    return f"(CASE WHEN abs({x}) >= 10000000 THEN {sci} ELSE CAST({x} AS VARCHAR) END)"
+
+
+def _budget_audit_sql():
+    from spendlake.plans.catalog import MUT_AS_OF
+
+    def snap(id_, m, c, lim, ins, upd):
+        return ("'{\"id\":' || CAST(" + id_ + " AS VARCHAR) || ',\"month_key\":' || to_json(" + m + ")"
+                " || ',\"category\":' || coalesce(to_json(" + c + "), 'null')"
+                " || ',\"budget_limit\":' || " + _java_double(lim) +
+                " || ',\"inserted_on\":' || to_json(strftime(" + ins + ", '%Y-%m-%d %H:%M:%S'))"
+                " || ',\"updated_on\":' || to_json(strftime(" + upd + ", '%Y-%m-%d %H:%M:%S')) || '}'")
+
+    stamp = f"TIMESTAMP '{MUT_AS_OF}'"
+    base = ORACLE["budget_upsert"]
+    head, tail = base.split("SELECT id, month_key, category, CASE WHEN nv", 1)
+    return f"""{head.rstrip().rstrip(',')}
+SELECT 'UPSERT' AS action, 'budgets' AS table_name, id AS row_id,
+       {snap('id', 'month_key', 'category', 'budget_limit', 'inserted_on', 'updated_on')} AS old_values,
+       {snap('id', 'month_key', 'category', 'nv', 'inserted_on', stamp)} AS new_values, 'cli' AS source
+FROM j WHERE id IS NOT NULL AND nv IS NOT NULL
+UNION ALL
+SELECT 'UPSERT', 'budgets', (SELECT h FROM hw) + row_number() OVER (ORDER BY m, c NULLS FIRST),
+       NULL, {snap('(SELECT h FROM hw) + row_number() OVER (ORDER BY m, c NULLS FIRST)', 'm', 'c', 'nv', stamp, stamp)},
+       'cli'
+FROM j WHERE id IS NULL"""
+
+
+sql("budget_upsert_audit", _budget_audit_sql())
+
+
+def _run_outputs_sql():
+    from spendlake.functions.parsing import REF_TYPES
+    from spendlake.plans.catalog import RUN_AS_OF
+
+    appended = f"""{RUN_SUMMARY},
+ins AS (
+  SELECT p.* FROM parsed p JOIN statuses s ON s.seq = p.seq
+  WHERE s.st = 'new' AND p.parse_method = 'regex' AND coalesce(p.amount, 0) <> 0
+),
+terms AS (SELECT DISTINCT lower(merchant) AS term FROM ins WHERE merchant IS NOT NULL),
+led_cat AS (SELECT id, description, upper(substr(description, 1, 1)) || lower(substr(description, 2)) AS category
+            FROM ledger_ev),
+sm AS (SELECT t.term, e.category, count(*) AS cnt FROM terms t JOIN led_cat e
+       ON e.description IS NOT NULL AND contains(lower(e.description), t.term) GROUP BY t.term, e.category),
+best AS (SELECT term, category, cnt FROM (
+           SELECT *, row_number() OVER (PARTITION BY term ORDER BY cnt DESC, category) AS rn FROM sm) WHERE rn = 1),
+appended AS (
+  SELECT (SELECT max(id) FROM ledger_ev) + row_number() OVER (ORDER BY i.seq) AS id, i.seq, i.email_uid, i.amount,
+         CASE WHEN b.category IS NOT NULL AND b.cnt >= 3 THEN b.category ELSE 'Uncategorised' END AS category,
+         CASE WHEN coalesce(i.merchant, '') <> '' AND coalesce(i.description, '') <> ''
+              THEN trim(i.merchant || ' - ' || i.description)
+              WHEN coalesce(i.merchant, '') <> '' THEN i.merchant ELSE coalesce(i.description, '') END AS description,
+         coalesce(i.transaction_date, '{RUN_AS_OF[:10]}') AS transaction_date
+  FROM ins i LEFT JOIN best b ON b.term = lower(i.merchant)
+)"""
+    sql("run_appended", f"{appended} SELECT id, email_uid, amount, category, description, transaction_date FROM appended")
+    refs_json = ("'{' || concat_ws(',', " + ", ".join(
+        f"CASE WHEN coalesce({r}, '') <> '' THEN '\"{r}\":' || to_json({r}) END" for r in REF_TYPES) + ") || '}'")
+    sql("run_checkpoint", f"""{appended}
+SELECT p.email_uid, p.message_id, s.st AS result,
+       coalesce((SELECT string_agg(CAST(a.id AS VARCHAR), ',' ORDER BY a.id) FROM appended a WHERE a.email_uid = p.email_uid), '')
+         AS ledger_ids,
+       {refs_json} AS reference_ids
+FROM parsed p JOIN statuses s ON s.seq = p.seq""")
+
+
+_run_outputs_sql()
+
+
+def _corrections_sql():
+    from spendlake.plans.catalog import RUN_AS_OF
+
+    base = ORACLE["run_appended"].rsplit("SELECT id, email_uid, amount, category, description, transaction_date FROM appended", 1)[0]
+    stamp = f"'{RUN_AS_OF}'"
+    return f"""{base},
+numbered AS (SELECT p.seq, p.parse_method, row_number() OVER (ORDER BY p.seq) AS number FROM parsed p),
+ids AS (SELECT n.number, n.seq, c.n_refs, a.id, a.description FROM numbered n JOIN cand c ON c.seq = n.seq
+        JOIN appended a ON a.seq = n.seq),
+corr AS (SELECT number, number % 5 AS kind FROM numbered WHERE parse_method = 'regex'),
+c AS (SELECT corr.kind, ids.* FROM corr JOIN ids ON ids.number = corr.number),
+drops AS (
+  SELECT id FROM c WHERE kind = 0
+  UNION
+  SELECT CASE WHEN c.n_refs > o.n_refs OR (c.n_refs = o.n_refs AND length(c.description) >= length(o.description))
+              THEN o.id ELSE c.id END
+  FROM c JOIN ids o ON o.number = c.number + 1 WHERE c.kind = 3
+),
+led AS (SELECT id, amount, upper(substr(description, 1, 1)) || lower(substr(description, 2)) AS category
+        FROM ledger_ev UNION ALL SELECT id, amount, category FROM appended),
+newstate AS (
+  SELECT l.id,
+         CASE WHEN l.id IN (SELECT id FROM c WHERE kind = 1) AND l.id NOT IN (SELECT id FROM drops) THEN 99.5 ELSE l.amount END AS amount,
+         CASE WHEN l.id IN (SELECT id FROM c WHERE kind = 2) AND l.id NOT IN (SELECT id FROM drops) THEN 'Reviewed' ELSE l.category END AS category,
+         CASE WHEN l.id IN (SELECT id FROM drops) THEN {stamp} END AS deleted_at,
+         l.amount AS b_amount, l.category AS b_category
+  FROM led l
+)
+SELECT id, amount, category, deleted_at FROM newstate
+WHERE amount IS DISTINCT FROM b_amount OR category IS DISTINCT FROM b_category OR deleted_at IS NOT NULL"""
+
+
+sql("review_corrections", _corrections_sql())
