@@ -584,7 +584,7 @@ _RUN_CACHE: dict = {}
 def ingest_run(spark, sf_dir, reprocess: bool = False):
     from spendlake.plans.runs import run_batch
 
-    key = (id(spark), sf_dir, reprocess)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, reprocess)
     if key not in _RUN_CACHE:
         msgs, led, cp = run_inputs(spark, sf_dir)
         _RUN_CACHE[key] = run_batch(msgs, led, cp.drop("seq"), RUN_AS_OF, reprocess=reprocess)

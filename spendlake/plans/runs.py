@@ -32,9 +32,6 @@ from spendlake.operators.suggest import gate_category, suggest_categories
 from spendlake.session import assign_dense_ids, cut_lineage
 from spendlake.sources.io import unprocessed
 
-SECTIONS = ("new", "needs_review", "duplicate", "manual")
-
-
 @dataclass
 class RunResult:
     candidates: DataFrame

@@ -49,7 +49,6 @@ def ingest_stream(messages: DataFrame, ledger_path: str, checkpoint_path: str, p
         try:
             ledger = spark.read.parquet(ledger_path)
         except Exception:
-            from spendlake.operators.mutations import EXPENSE_COLS  # noqa: F401
             ledger = spark.createDataFrame([], "id bigint, amount double, category string, description string, "
                                                "transaction_date string, deleted_at timestamp_ntz, "
                                                "inserted_on timestamp_ntz, updated_on timestamp_ntz")
