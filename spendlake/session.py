@@ -114,9 +114,12 @@ def assign_dense_ids(df: DataFrame, order_cols: list, start: Column | int, id_co
 
 
 def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin spread before a CPU-heavy per-row step, only when the input has fewer
+    """Spread rows before a CPU-heavy per-row step, only when the input has fewer
     partitions than the cluster can run at once (small inputs: a single row group).
-    Large scans already have many partitions, so this never adds a shuffle there."""
+    Large scans already have many partitions, so this never adds a shuffle there.
+
+    The spread key is a seeded ``rand``: a filter on the heavy step's result (e.g. the
+    review queue) is then not pushed below the spread into the single input partition."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     n = df.rdd.getNumPartitions()
-    return df.repartition(target) if n < target else df
+    return df.repartition(target, F.rand(17)) if n < target else df
