@@ -241,7 +241,8 @@ def band_neighbours(later: DataFrame, earlier: DataFrame, s: DedupSettings, how:
     pairs = band_pairs(c, e, s).where(F.col("e_key") < F.col("c_key"))
     if how == "exists":
         return pairs.groupBy(F.col("c_key").alias("seq")).agg(F.count(F.lit(1)).alias("_n")).select("seq")
-    return pairs.groupBy(F.col("c_key").alias("seq")).agg(F.min("e_key").alias("leader_seq"))
+    best = pairs.groupBy(F.col("c_key").alias("seq")).agg(F.min(F.struct("e_key", "status")).alias("_b"))
+    return best.select("seq", F.col("_b.e_key").alias("leader_seq"), F.col("_b.status").alias("pair_status"))
 
 
 def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
@@ -253,7 +254,8 @@ def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
     earlier new leader become followers.  Neighbourhoods are band joins reduced per node
     on the spot (no edge table, so a hot group never materialises its pairs); each round
     joins only the undecided nodes and ends with one reliable checkpoint.
-    Output: seq, role ('leader' | 'follower'), leader_seq."""
+    Output: seq, role ('leader' | 'follower'), leader_seq, pair_status (status of the
+    follower's match with its leader; NULL for leaders)."""
     reps, mapping = collapse_copies(candidate_side(cands), "c_")
     keyed = cut_lineage(mapping.join(reps, reps.c_key == mapping.rep, "left"))
     side = keyed.where(F.col("key") == F.col("rep")).drop("key", "rep")
@@ -278,15 +280,20 @@ def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
     leaders = state.where(F.col("st") == "L").drop("st")
     followers = state.where(F.col("st") == "F").drop("st")
     lead_of = band_neighbours(followers, leaders, s, "min")
-    rep_role = leaders.select(F.col("c_key").alias("rep"), F.col("c_key").alias("leader_seq")).unionByName(
-        lead_of.select(F.col("seq").alias("rep"), "leader_seq"))
+    # A copy of a leading representative matches it as auto (probable when the merchant is empty).
+    self_status = F.when(F.col("c_merchant") != "", F.lit(STATUS_AUTO)).otherwise(F.lit(STATUS_PROBABLE))
+    rep_role = leaders.select(F.col("c_key").alias("rep"), F.col("c_key").alias("leader_seq"),
+                              self_status.alias("pair_status")).unionByName(
+        lead_of.select(F.col("seq").alias("rep"), "leader_seq", "pair_status"))
     # Copies: the representative keeps its role; every other copy follows the
     # representative's leader (the representative itself when it leads).
     out = mapping.join(rep_role, "rep")
+    is_leader = F.col("key") == F.col("leader_seq")
     return out.select(
         F.col("key").alias("seq"),
-        F.when(F.col("key") == F.col("leader_seq"), F.lit("leader")).otherwise(F.lit("follower")).alias("role"),
+        F.when(is_leader, F.lit("leader")).otherwise(F.lit("follower")).alias("role"),
         "leader_seq",
+        F.when(~is_leader, F.col("pair_status")).alias("pair_status"),
     )
 
 
@@ -310,7 +317,10 @@ def batch_statuses(cands: DataFrame, s: DedupSettings) -> DataFrame:
     richer = r.where((F.col("role") == "follower") & (F.col("n_refs") > F.col("leader_refs")))
     swapped = richer.select(F.col("leader_seq").alias("seq")).distinct().withColumn("_swapped", F.lit(True))
     out = r.join(swapped, "seq", "left")
-    follower_status = F.when(F.col("n_refs") > F.col("leader_refs"), F.lit(STATUS_NEW)).otherwise(F.lit(STATUS_AUTO))
+    merged = F.lit(STATUS_AUTO)
+    if s.batch_probable == "flag":
+        merged = F.when(F.col("pair_status") == STATUS_PROBABLE, F.lit(STATUS_PROBABLE)).otherwise(F.lit(STATUS_AUTO))
+    follower_status = F.when(F.col("n_refs") > F.col("leader_refs"), F.lit(STATUS_NEW)).otherwise(merged)
     leader_status = F.when(F.col("_swapped"), F.lit(STATUS_AUTO)).otherwise(F.lit(STATUS_NEW))
     return out.select(
         "seq", "role", "leader_seq",

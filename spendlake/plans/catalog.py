@@ -218,7 +218,7 @@ def batch_leaders_q(spark, sf_dir):
     from spendlake.operators.dedup import batch_leaders
 
     everything = tables.event_transactions(spark, sf_dir).withColumnRenamed("ts", "txn_ts")
-    return batch_leaders(everything, DedupSettings())
+    return batch_leaders(everything, DedupSettings()).select("seq", "role", "leader_seq")
 
 
 @register("dedup_statuses")

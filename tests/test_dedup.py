@@ -125,3 +125,35 @@ def test_hot_group_of_copies_matches_sequential(spark):
     fm = {r.seq: (r.ledger_id, r.ledger_status) for r in first_ledger_match(df, ledger, S).collect()}
     assert fm[0] == (600, "auto_merged")  # newest first: the 20-minute-later row wins
     assert all(fm[i] == (600, "auto_merged") for i in range(0, 90, 3))
+
+
+def _batch(spark, rows):
+    return spark.createDataFrame(
+        [(seq, True, amt, m, "debit", T0 + dt.timedelta(minutes=mins), {f"k{j}": f"v{seq}{j}" for j in range(nref)})
+         for seq, amt, m, mins, nref in rows], CAND)
+
+
+def test_batch_options_flag_and_single_survivor(spark):
+    from dataclasses import replace
+
+    rows = [(1, 50.0, "shop", 0, 0), (2, 50.0, "other", 5, 0), (3, 50.0, "shop", 6, 1), (4, 50.0, "shop", 7, 1)]
+    df = _batch(spark, rows)
+    merge = {r.seq: r.batch_status for r in batch_statuses(df, S).collect()}
+    assert merge == {1: "auto_merged", 2: "auto_merged", 3: "new", 4: "new"}  # two richer followers both stay new
+    flag = {r.seq: r.batch_status for r in batch_statuses(df, replace(S, batch_probable="flag")).collect()}
+    assert flag[2] == "probable_duplicate" and flag[3] == "new"
+    single = {r.seq: r.batch_status for r in batch_statuses(df, replace(S, single_survivor=True)).collect()}
+    assert single == {1: "auto_merged", 2: "auto_merged", 3: "new", 4: "auto_merged"}
+
+
+def test_hard_within_batch_option(spark):
+    from dataclasses import replace
+
+    cp = spark.createDataFrame([], "email_uid string, message_id string, processed_at string, reference_ids map<string,string>, seq bigint")
+    known = known_references(cp, "2026-03-23 00:00:00", 7)
+    ledger = spark.createDataFrame([], LEDG)
+    c = spark.createDataFrame([(1, True, 10.0, "a", "debit", T0, {"utr": "R9"}),
+                               (2, True, 900.0, "b", "debit", T0 + dt.timedelta(days=3), {"order_id": "r9"})], CAND)
+    assert {r.seq: r.dedup_status for r in deduplicate(c, ledger, known, S).collect()} == {1: "new", 2: "new"}
+    got = {r.seq: r.dedup_status for r in deduplicate(c, ledger, known, replace(S, hard_within_batch=True)).collect()}
+    assert got == {1: "new", 2: "definite_duplicate"}

@@ -165,3 +165,12 @@ def test_audit_rows_equal_changes(spark, seeded):
     changed = new.where("deleted_at IS NOT NULL").count()
     assert audit.count() == changed == 2 and rej.count() == 1
     assert new.count() == base.count()
+
+
+def test_null_category_budget_flag(spark):
+    ex = expenses(spark, [(10.0, None, "x", AS_OF)])
+    bu = budgets(spark, [("default", None, 50000.0)])
+    intent = {r.level: r for r in reports.summary_report(ex, bu).collect()}
+    assert intent["category"].budget is None
+    compat = {r.level: r for r in reports.summary_report(ex, bu, null_category_is_overall=True).collect()}
+    assert compat["category"].budget == 50000.0

@@ -98,3 +98,13 @@ def test_custom_pattern_registry(spark):
     assert r.family == "mybank" and r.pattern_name == "MyBank spend" and r.confidence == 0.9
     assert r.transaction.amount == 1200.75 and r.transaction.merchant == "Cafe Blue"
     assert r.transaction.transaction_date == "2026-03-02"
+
+
+def test_merchant_cut_compat_and_word_boundary(spark):
+    from spendlake.functions.parsing import clean_merchant
+
+    df = spark.createDataFrame([("Global Mart",), ("SWIGGY Avl Bal: 10",), ("", )], "m string")
+    compat = [r[0] for r in df.select(clean_merchant("m", F.lit("alerts@hdfcbank.net"), F.lit("Subj"))).collect()]
+    assert compat == ["Glo", "SWIGGY", "Subj"]  # the surveyed cut also fires inside words
+    wb = [r[0] for r in df.select(clean_merchant("m", F.lit("noreply@swiggy.in"), F.lit("Subj"), True)).collect()]
+    assert wb == ["Global Mart", "SWIGGY", "Swiggy"]
