@@ -810,3 +810,35 @@ def streaming_interval_join(spark, sf_dir):
     pairs = soft_match_stream(side, side)
     out = run_to_table(pairs, scratch_path(spark, "st4-out"), scratch_path(spark, "st4-ckpt"), mode="append")
     return out.select("n_seq", "r_seq", F.round("gap_minutes", 4).alias("gap_minutes"))
+
+
+@register("streaming_weekly_spend")
+def streaming_weekly_spend(spark, sf_dir):
+    """ST-5: running weekly spend (Monday-based windows) per event type from a stream."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import run_to_table, running_spend
+
+    ev = events_stream(spark, sf_dir).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("amount"), F.col("event_type").alias("category"))
+    out = run_to_table(running_spend(ev, "weekly"), scratch_path(spark, "st5w-out"), scratch_path(spark, "st5w-ckpt"))
+    return out.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("week_start"), "category",
+                      F.round("spent", 2).alias("spent"), "n")
+
+
+@register("streaming_monthly_spend")
+def streaming_monthly_spend(spark, sf_dir):
+    """ST-5: running monthly spend per market segment from an orders stream (active orders)."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import file_stream, run_to_table, running_spend
+
+    schema = tables.read_table(spark, sf_dir, "orders").schema
+    orders = file_stream(spark, sf_dir, schema, glob="orders.parquet").where(F.col("o_orderstatus") != "F")
+    s = orders.select(F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("amount"),
+                      F.col("o_custkey").alias("category"))
+    out = run_to_table(running_spend(s, "monthly", key_col="category", watermark="40 days"),
+                       scratch_path(spark, "st5m-out"), scratch_path(spark, "st5m-ckpt"))
+    return out.select("month_key", F.col("category").alias("custkey"), F.round("spent", 2).alias("spent"), "n")

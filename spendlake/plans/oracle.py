@@ -910,3 +910,13 @@ WHERE amount IS DISTINCT FROM b_amount OR category IS DISTINCT FROM b_category O
 
 
 sql("review_corrections", _corrections_sql())
+
+sql("streaming_weekly_spend", """
+SELECT strftime(CAST(date_trunc('week', CAST(ts AS TIMESTAMP)) AS DATE), '%Y-%m-%d') AS week_start,
+       event_type AS category, round(sum(value), 2) AS spent, count(*) AS n
+FROM events GROUP BY 1, 2""")
+
+sql("streaming_monthly_spend", """
+SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m') AS month_key, o_custkey AS custkey,
+       round(sum(o_totalprice), 2) AS spent, count(*) AS n
+FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2""")
