@@ -47,8 +47,9 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
     out = None
     # Terms of length >= gram: key by the rarest gram.
     dg = act.select("id", "category", "ldesc", F.explode(_grams(F.col("ldesc"), gram)).alias("g"))
-    freq = dg.groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
     tg = t.where(F.length("term") >= gram).select("term", F.explode(_grams(F.col("term"), gram)).alias("g"))
+    # Frequencies only for grams that occur in some term (semi join before the shuffle).
+    freq = dg.join(tg.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
     tg = tg.join(freq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     key = tg.groupBy("term").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"), F.min("cnt").alias("_min"))
     key = key.where(F.col("_min") > 0).drop("_min")
@@ -60,7 +61,8 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
         seg = F.array_max(F.transform(F.split("term", "[%_]"), lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))
         tw = tw.withColumn("_seg", seg["s"])
         twg = tw.where(F.length("_seg") >= gram).select("term", F.explode(_grams(F.col("_seg"), gram)).alias("g"))
-        twg = twg.join(freq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+        wfreq = dg.join(twg.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
+        twg = twg.join(wfreq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
         wkey = twg.groupBy("term").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"))
         like = F.expr("ldesc LIKE concat('%', term, '%')")
         out = out.unionByName(dg.join(wkey, "g").where(like).select("term", "id", "category").distinct())
