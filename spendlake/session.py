@@ -40,7 +40,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared folder in that setting; we only pick our own when it is
     unset (local tests), never overriding what the cluster configured.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) sessions: the server's configured folder is used
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -120,6 +123,9 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
 
     The spread key is a seeded ``rand``: a filter on the heavy step's result (e.g. the
     review queue) is then not pushed below the spread into the single input partition."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # remote sessions expose no partition count: leave the input as is
+        return df
     return df.repartition(target, F.rand(17)) if n < target else df
