@@ -561,16 +561,17 @@ _mutation_sql()
 # ---------------------------------------------------------------------------
 
 def _text_sql():
-    from spendlake.functions.text import ENTITIES, HTML_STEPS
+    from spendlake.functions.text import ENTITY_STEPS, HTML_STEPS
     from spendlake.plans.catalog import READ_ONLY_SQL
 
     x = "coalesce(html, '')"
     for pat, rep in HTML_STEPS:
         x = f"regexp_replace({x}, {q_(pat)}, {q_(rep)}, 'g')"
-    for ent, ch in ENTITIES:
-        x = f"replace({x}, {q_(ent)}, {q_(ch)})"
+    for pat, ch in ENTITY_STEPS:
+        x = f"regexp_replace({x}, {q_(pat)}, {q_(ch)}, 'g')"
     x = f"trim(regexp_replace({x}, {q_(r'[\s\x{00A0}]+')}, ' ', 'g'))"
     sql("html_to_text", f"SELECT page_id, {x} AS text FROM pages")
+    sql("html_to_text_exact", f"SELECT page_id, {x} AS text FROM pages")
 
     addr = ("CASE WHEN trim(regexp_extract(h, '<([^>]+)>', 1)) <> '' THEN trim(regexp_extract(h, '<([^>]+)>', 1)) "
             "WHEN regexp_extract(h, '[\\w.+-]+@[\\w.-]+', 0) <> '' THEN regexp_extract(h, '[\\w.+-]+@[\\w.-]+', 0) "

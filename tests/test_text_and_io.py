@@ -12,7 +12,8 @@ from spendlake.sources.io import export_csv, read_checkpoint, read_mail_archive
 
 def test_html_native_matches_exact_on_cases(spark):
     cases = ["<html><head><script>var x='<p>';</script><style>p{}</style></head><body><p>Hello</p><div>World &amp; co</div></body></html>",
-             "", "plain text stays", "<b>bold</b>text<br/>next<li>item</li>"]
+             "", "plain text stays", "<b>bold</b>text<br/>next<li>item</li>",
+             "&amp;lt; x", "a &lt b", "&ampTo", "&amp;amp;", "x &apos y &apos; z", "&copy2024 &middot; <!-- c --> end"]
     df = spark.createDataFrame([(c,) for c in cases], "h string")
     got = [r[0] for r in df.select(html_to_text("h")).collect()]
     assert got == [_html_exact_one(c) for c in cases]
