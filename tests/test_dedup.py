@@ -157,3 +157,15 @@ def test_hard_within_batch_option(spark):
     assert {r.seq: r.dedup_status for r in deduplicate(c, ledger, known, S).collect()} == {1: "new", 2: "new"}
     got = {r.seq: r.dedup_status for r in deduplicate(c, ledger, known, replace(S, hard_within_batch=True)).collect()}
     assert got == {1: "new", 2: "definite_duplicate"}
+
+
+def test_long_chain_many_rounds(spark):
+    """Same charge every 25 minutes: every node matches the ones within 2 h, so the
+    election needs many rounds; the result must still equal the sequential fold."""
+    rows = [{"seq": i, "amount": 30.0, "merchant": "metro", "ts": T0 + dt.timedelta(minutes=25 * i), "nrefs": (i * 7) % 3}
+            for i in range(45)]
+    df = spark.createDataFrame(
+        [(r["seq"], True, r["amount"], r["merchant"], "debit", r["ts"], {f"k{j}": f"v{r['seq']}_{j}" for j in range(r["nrefs"])})
+         for r in rows], CAND)
+    got = {r.seq: r.batch_status for r in batch_statuses(df, S).collect()}
+    assert got == sequential(rows)
