@@ -57,7 +57,7 @@ sql("category_breakdown", f"""
 WITH {LEDGER_CTES},
 mc AS (SELECT month_key, category, sum(amount) AS spent FROM active_expenses GROUP BY month_key, category)
 SELECT month_key, category, round(spent, 2) AS spent,
-       row_number() OVER (PARTITION BY month_key ORDER BY spent DESC, category NULLS FIRST) AS rank
+       CAST(row_number() OVER (PARTITION BY month_key ORDER BY spent DESC, category NULLS FIRST) AS INTEGER) AS rank
 FROM mc
 """)
 
@@ -200,8 +200,8 @@ FROM parsed
 
 sql("parser_stats", f"""
 {PARSED_CTE}
-SELECT count(*) AS total_parsed, count_if(parse_method = 'regex') AS regex_hits,
-       count_if(parse_method = 'llm_needed') AS llm_needed,
+SELECT count(*) AS total_parsed, CAST(count_if(parse_method = 'regex') AS BIGINT) AS regex_hits,
+       CAST(count_if(parse_method = 'llm_needed') AS BIGINT) AS llm_needed,
        CASE WHEN count(*) > 0 THEN round(count_if(parse_method = 'regex') / count(*) * 100, 1) ELSE 0.0 END AS hit_rate_pct
 FROM parsed
 """)
@@ -214,7 +214,7 @@ FROM parsed GROUP BY 1 ORDER BY count DESC, pattern
 
 sql("review_queue", f"""
 {PARSED_CTE}
-SELECT email_uid, subject, CAST(confidence AS DOUBLE) AS confidence, length(body_for_review) AS review_chars,
+SELECT email_uid, subject, CAST(confidence AS DOUBLE) AS confidence, CAST(length(body_for_review) AS INTEGER) AS review_chars,
        sha256(body_for_review) AS review_sha
 FROM parsed WHERE parse_method = 'llm_needed'
 """)
@@ -286,7 +286,8 @@ hard AS (SELECT b.seq, known.message_id AS matched_message_id FROM b JOIN known
 DEDUP_CTES = _dedup_sql()
 
 sql("soft_match_pairs", f"""{DEDUP_CTES}
-SELECT c_key, e_key, round(gap_minutes, 4) AS gap_minutes, score, status FROM self_pairs WHERE status IS NOT NULL""")
+SELECT c_key, e_key, round(gap_minutes, 4) AS gap_minutes, CAST(score AS DOUBLE) AS score, status
+FROM self_pairs WHERE status IS NOT NULL""")
 
 sql("ledger_first_match", f"{DEDUP_CTES} SELECT seq, ledger_id, ledger_status FROM first_match")
 
@@ -438,10 +439,10 @@ def _mutation_sql():
         return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
     def snap(p=""):
-        return (f"to_json(struct_pack(id := {p}id, amount := {p}amount, category := {p}category, "
+        return (f"CAST(to_json(struct_pack(id := {p}id, amount := {p}amount, category := {p}category, "
                 f"description := {p}description, transaction_date := {p}transaction_date, "
                 f"deleted_at := {ts(p + 'deleted_at')}, inserted_on := {ts(p + 'inserted_on')}, "
-                f"updated_on := {ts(p + 'updated_on')}))")
+                f"updated_on := {ts(p + 'updated_on')})) AS VARCHAR)")
 
     base = f"WITH {LEDGER_CTES}"
     payload = f"""{base},
@@ -465,7 +466,7 @@ appended AS (
     sql("bulk_insert_audit", f"""{payload},
 ch AS (SELECT floor(id / 10000) AS k, count(*) AS n, list(id ORDER BY id) AS ids FROM appended GROUP BY 1)
 SELECT 'BULK_INSERT' AS action, 'expenses' AS table_name, CAST(NULL AS BIGINT) AS row_id,
-       CAST(NULL AS VARCHAR) AS old_values, to_json(struct_pack(count := n, ids := ids)) AS new_values,
+       CAST(NULL AS VARCHAR) AS old_values, CAST(to_json(struct_pack(count := n, ids := ids)) AS VARCHAR) AS new_values,
        'cli' AS source FROM ch""")
 
     req = f"""{base},
@@ -489,7 +490,7 @@ SELECT rid AS id FROM req WHERE rid NOT IN (SELECT id FROM expenses WHERE delete
 ch AS (SELECT floor(id / 10000) AS k, count(*) AS n, list(id ORDER BY id) AS ids
        FROM expenses WHERE deleted_at IS NOT NULL GROUP BY 1)
 SELECT 'PURGE' AS action, 'expenses' AS table_name, CAST(NULL AS BIGINT) AS row_id,
-       to_json(struct_pack(count := n, ids := ids)) AS old_values, CAST(NULL AS VARCHAR) AS new_values,
+       CAST(to_json(struct_pack(count := n, ids := ids)) AS VARCHAR) AS old_values, CAST(NULL AS VARCHAR) AS new_values,
        'cli' AS source FROM ch""")
 
     rc = f"""{base},
@@ -504,9 +505,9 @@ SELECT id, CASE WHEN hit THEN new_category ELSE category END AS category,
     sql("recategorise_audit", f"""{rc},
 t AS (SELECT *, new_category AS n_category, {stamp} AS n_updated_on FROM rc WHERE hit)
 SELECT 'UPDATE' AS action, 'expenses' AS table_name, id AS row_id, {snap()} AS old_values,
-       to_json(struct_pack(id := id, amount := amount, category := n_category, description := description,
+       CAST(to_json(struct_pack(id := id, amount := amount, category := n_category, description := description,
                transaction_date := transaction_date, deleted_at := {ts('deleted_at')},
-               inserted_on := {ts('inserted_on')}, updated_on := {ts('n_updated_on')})) AS new_values,
+               inserted_on := {ts('inserted_on')}, updated_on := {ts('n_updated_on')})) AS VARCHAR) AS new_values,
        'cli' AS source FROM t""")
 
     where = BULK_EDIT_WHERE
@@ -520,7 +521,8 @@ SELECT id, CASE WHEN coalesce({where}, FALSE)
     sql("bulk_edit_audit", f"""{base}
 SELECT 'QUERY_WRITE' AS action, 'raw_sql' AS table_name, CAST(NULL AS BIGINT) AS row_id,
        CAST(NULL AS VARCHAR) AS old_values,
-       to_json(struct_pack(sql := {q_(text)}, rows_affected := count_if(coalesce({where}, FALSE)))) AS new_values,
+       CAST(to_json(struct_pack(sql := {q_(text)}, rows_affected := count_if(coalesce({where}, FALSE)))) AS VARCHAR)
+         AS new_values,
        'cli' AS source FROM expenses""")
 
     sql("budget_upsert", f"""{base},
@@ -581,7 +583,7 @@ WITH hs AS (
   SELECT c_custkey AS key, c_name || ' <' || lower(replace(c_name, '#', '.')) || '@example.com>' AS h FROM customer
   UNION ALL SELECT -doc_id - 1, coalesce(text, '') FROM documents
 ), a AS (SELECT key, {addr} AS addr FROM hs)
-SELECT key, sha256(addr) AS address_sha, length(addr) AS address_len,
+SELECT key, sha256(addr) AS address_sha, CAST(length(addr) AS INTEGER) AS address_len,
        CASE WHEN length(addr) <= 120 THEN addr END AS address FROM a""")
 
     sql("mail_date_parse", """
@@ -763,10 +765,10 @@ statuses AS (
 ),
 summary AS (
   SELECT count(*) AS total_emails_processed,
-         count_if(s.st = 'new' AND c.has_txn AND coalesce(c.amount, 0) <> 0) AS inserted,
-         count_if(s.st IN ('definite_duplicate', 'auto_merged')) AS duplicates_skipped,
-         count_if(s.st = 'probable_duplicate') AS probable_duplicates_flagged,
-         count_if(c.parse_method = 'llm_needed') AS llm_parsing_needed
+         CAST(count_if(s.st = 'new' AND c.has_txn AND coalesce(c.amount, 0) <> 0) AS BIGINT) AS inserted,
+         CAST(count_if(s.st IN ('definite_duplicate', 'auto_merged')) AS BIGINT) AS duplicates_skipped,
+         CAST(count_if(s.st = 'probable_duplicate') AS BIGINT) AS probable_duplicates_flagged,
+         CAST(count_if(c.parse_method = 'llm_needed') AS BIGINT) AS llm_parsing_needed
   FROM cand c JOIN statuses s ON s.seq = c.seq
 )"""
 
