@@ -114,6 +114,8 @@ def period_summary(expenses: DataFrame, budgets: DataFrame, period: str, month_a
     )
     cats = rows.where(in_month).groupBy("month_key", "category").agg(F.sum("amount").alias("spent"))
     cats = budget_projection(resolve_budgets(cats, budgets)).orderBy(F.desc("spent"), F.asc_nulls_first("category"))
+    # Money sums are reported in cents: a distributed sum's last bits depend on the order.
+    cats = cats.withColumn("spent", F.round("spent", 2)).withColumn("remaining", F.round("remaining", 2))
     return header, cats.drop("month_key")
 
 

@@ -668,7 +668,8 @@ c AS (SELECT category, sum(amount) AS spent FROM active_expenses WHERE month_key
 r AS (SELECT c.*, coalesce(bm.budget_limit, bd.budget_limit) AS budget FROM c
       LEFT JOIN budgets bm ON bm.month_key = '1998-06' AND bm.category = c.category
       LEFT JOIN budgets bd ON bd.month_key = 'default' AND bd.category = c.category)
-SELECT category, spent, budget, budget - spent AS remaining, spent > budget AS overspent FROM r""")
+SELECT category, round(spent, 2) AS spent, budget, round(budget - spent, 2) AS remaining, spent > budget AS overspent
+FROM r""")
 
     sql("header_decode", """
 SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS subject FROM conversations""")
