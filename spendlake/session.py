@@ -50,7 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="spendlake-ckpt-")
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder shared by the cluster")
+        configured = tempfile.mkdtemp(prefix="spendlake-ckpt-")  # local mode (tests) only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
