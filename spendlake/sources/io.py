@@ -214,3 +214,55 @@ def write_run_output(candidates: DataFrame, summary: DataFrame, path: str, run_i
     for name, df in (("candidates", candidates), ("summary", summary)):
         (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path.rstrip('/')}/{name}"))
+
+
+# ---------------------------------------------------------------------------
+# Publishing mutation results (MUT-* -> SNK-2) and the audit log sink (MUT-7)
+# ---------------------------------------------------------------------------
+
+def publish_ledger(new_state: DataFrame, path: str, changed_ids: DataFrame) -> list:
+    """Write a mutation's new state back to a month-partitioned ledger, replacing only
+    the months that hold changed rows (dynamic partition overwrite).
+
+    The touched months come from a join of the (small) changed-id set with the new state;
+    untouched months are not rewritten.  Returns the touched month keys."""
+    state = new_state if "month_key" in new_state.columns else new_state.withColumn(
+        "month_key", F.substring("transaction_date", 1, 7))
+    months = state.join(changed_ids.select("id").distinct(), "id", "left_semi").select("month_key").distinct()
+    touched = [r.month_key for r in months.collect()]  # bounded by the number of months
+    if touched:
+        (state.where(F.col("month_key").isin(touched)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("month_key").parquet(path))
+    return touched
+
+
+def append_audit(audit_rows: DataFrame, path: str) -> None:
+    """MUT-7 sink: append audit rows with ids above every id issued so far (ids are never
+    reused), in (created_on, action, row_id) order."""
+    from spendlake.session import assign_dense_ids
+
+    spark = audit_rows.sparkSession
+    try:
+        high = spark.read.parquet(path).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    except Exception:
+        high = 0
+    order = ["created_on", "action", "table_name", "row_id", "old_values", "new_values"]
+    with_ids = assign_dense_ids(audit_rows, order, high)
+    with_ids.select("id", *[c for c in audit_rows.columns]).write.mode("append").parquet(path)
+
+
+def publish_mutation(new_state: DataFrame, audit_rows: DataFrame, changed_ids: DataFrame, ledger_path: str,
+                     audit_path: str) -> list:
+    """Publish one mutation: the new state and its audit rows are first materialised
+    (reliable checkpoints: they are usually derived from the very files about to be
+    replaced), then the audit rows are appended and the touched months replaced.
+
+    Without a transactional table format the two writes are not atomic together; the
+    audit goes first, so a change is never published without its audit rows."""
+    from spendlake.session import cut_lineage
+
+    state = cut_lineage(new_state)
+    audit = cut_lineage(audit_rows)
+    changed = cut_lineage(changed_ids.select("id").distinct())
+    append_audit(audit, audit_path)
+    return publish_ledger(state, ledger_path, changed)

@@ -72,3 +72,27 @@ def test_run_output_replaces_only_its_run(spark):
     write_run_output(c1, s1, out, "r2")  # re-run of r2 replaces r2 only
     got = spark.read.parquet(os.path.join(out, "candidates")).groupBy("run_id").count().collect()
     assert sorted((r.run_id, r["count"]) for r in got) == [("r1", 1), ("r2", 1)]
+
+
+def test_publish_touches_only_changed_months_and_audit_ids_grow(spark):
+    from spendlake.operators.mutations import soft_delete
+    from spendlake.sources.io import append_audit, publish_mutation, write_ledger
+
+    base = tempfile.mkdtemp(prefix="spendlake-pub-")
+    path = os.path.join(base, "expenses")
+    rows = [(1, 10.0, "Food", "a", "2026-01-05"), (2, 20.0, "Food", "b", "2026-02-05"), (3, 30.0, "Fun", "c", "2026-02-09")]
+    df = spark.createDataFrame(rows, "id bigint, amount double, category string, description string, transaction_date string") \
+        .withColumn("deleted_at", F.lit(None).cast("timestamp_ntz")) \
+        .withColumn("inserted_on", F.lit(None).cast("timestamp_ntz")).withColumn("updated_on", F.lit(None).cast("timestamp_ntz"))
+    write_ledger(df, path)
+    jan_files = sorted(os.listdir(os.path.join(path, "month_key=2026-01")))
+    state = spark.read.parquet(path).drop("month_key")
+    new_state, audit, _ = soft_delete(state, spark.createDataFrame([(3,)], "id bigint"), "2026-03-01 00:00:00")
+    apath = os.path.join(base, "audit")
+    touched = publish_mutation(new_state, audit, spark.createDataFrame([(3,)], "id bigint"), path, apath)
+    assert touched == ["2026-02"]
+    assert sorted(os.listdir(os.path.join(path, "month_key=2026-01"))) == jan_files  # January untouched
+    back = {r.id: r.deleted_at for r in spark.read.parquet(path).collect()}
+    assert back[3] is not None and back[1] is None and back[2] is None and len(back) == 3
+    append_audit(spark.read.parquet(apath).drop("id"), apath)
+    assert sorted(r.id for r in spark.read.parquet(apath).collect()) == [1, 2]  # ids never reused
