@@ -29,8 +29,18 @@ def _grams(s: Column, k: int) -> Column:
     )
 
 
+def gram_stats(expenses: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Frequency of every description gram over active rows (partial aggregation).
+
+    Suggestion calls recompute the frequencies they need; a caller with a slowly
+    changing ledger can write this table once and pass it as ``stats``."""
+    act = active(expenses).select(F.lower("description").alias("ldesc")).where(F.col("ldesc").isNotNull())
+    return act.select(F.explode(_grams(F.col("ldesc"), gram)).alias("g")).groupBy("g").agg(
+        F.count(F.lit(1)).alias("cnt"))
+
+
 def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term", gram: int = GRAM,
-                 like_wildcards: bool = False) -> DataFrame:
+                 like_wildcards: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """JN-9: (term, id, category) for every active row whose lower(description) contains
     lower(term).  ``term`` in the output is the lower-cased term.
 
@@ -48,8 +58,12 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
     # Terms of length >= gram: key by the rarest gram.
     dg = act.select("id", "category", "ldesc", F.explode(_grams(F.col("ldesc"), gram)).alias("g"))
     tg = t.where(F.length("term") >= gram).select("term", F.explode(_grams(F.col("term"), gram)).alias("g"))
-    # Frequencies only for grams that occur in some term (semi join before the shuffle).
-    freq = dg.join(tg.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
+    # Frequencies only for grams that occur in some term (semi join before the shuffle),
+    # or from a precomputed statistics table.
+    if stats is not None:
+        freq = stats.select("g", "cnt")
+    else:
+        freq = dg.join(tg.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
     tg = tg.join(freq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
     key = tg.groupBy("term").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"), F.min("cnt").alias("_min"))
     key = key.where(F.col("_min") > 0).drop("_min")
@@ -86,14 +100,14 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
 def suggest_categories(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
                        default_category: str = DEFAULT_CATEGORY,
                        min_confidence: int = AUTO_CATEGORY_MIN_CONFIDENCE,
-                       like_wildcards: bool = False) -> DataFrame:
+                       like_wildcards: bool = False, stats: DataFrame | None = None) -> DataFrame:
     """AGG-6 + SRT-3 + SC-16 for every distinct lower-cased term.
 
     suggested = most frequent category (ties by category), confidence = its count,
     total_matches = all matches, histogram = 'category:count' sorted by category;
     no match -> NULL / 0 / 0.  ``gated_category`` applies the confidence gate."""
     t = terms.select(F.lower(F.col(term_col)).alias("term")).where(F.col("term").isNotNull()).distinct()
-    counts = term_matches(expenses, terms, term_col, like_wildcards=like_wildcards).groupBy("term", "category").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = term_matches(expenses, terms, term_col, like_wildcards=like_wildcards, stats=stats).groupBy("term", "category").agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy("term").orderBy(F.desc("cnt"), F.asc_nulls_first("category"))
     ranked = counts.withColumn("_r", F.row_number().over(w))
     per_term = ranked.groupBy("term").agg(

@@ -174,3 +174,13 @@ def test_null_category_budget_flag(spark):
     assert intent["category"].budget is None
     compat = {r.level: r for r in reports.summary_report(ex, bu, null_category_is_overall=True).collect()}
     assert compat["category"].budget == 50000.0
+
+
+def test_suggest_with_precomputed_gram_stats(spark):
+    from spendlake.operators.suggest import gram_stats
+
+    ex = expenses(spark, [(1.0, "Junk", "Burger", AS_OF)] * 3 + [(1.0, "Food", "Burger", AS_OF), (2.0, "Junk", "Pizza", AS_OF)])
+    terms = spark.createDataFrame([("Burger",), ("pizza",), ("unknownterm",), ("za",)], "term string")
+    a = sorted(tuple(r) for r in suggest_categories(ex, terms).collect())
+    b = sorted(tuple(r) for r in suggest_categories(ex, terms, stats=gram_stats(ex)).collect())
+    assert a == b
