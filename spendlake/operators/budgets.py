@@ -47,6 +47,24 @@ def resolve_budgets(
 
 def resolve_overall_budget(months: DataFrame, budgets: DataFrame, month_col: str = "month_key",
                            out_col: str = "budget") -> DataFrame:
-    """Overall (category NULL) budget per month."""
-    tmp = months.withColumn("_cat", F.lit(None).cast("string"))
-    return resolve_budgets(tmp, budgets, month_col, "_cat", out_col, null_category_is_overall=True).drop("_cat")
+    """Overall (category NULL) budget per month: the month's row, else the 'default' row.
+
+    The month lookup is a hash join; the default overall limit is a single value of the
+    (size-checked) budgets table, read once and applied with ``coalesce``."""
+    overall = sized_broadcast(budgets, BUDGET_BROADCAST_ROWS).where(F.col("category").isNull())
+    month_b = overall.where(F.col("month_key") != "default").select(
+        F.col("month_key").alias("_mm"), F.col("budget_limit").alias("_mb"))
+    row = overall.where(F.col("month_key") == "default").select("budget_limit").first()
+    default = F.lit(row[0] if row else None).cast("double")
+    out = months.join(month_b, F.col(month_col) == F.col("_mm"), "left")
+    return out.withColumn(out_col, F.coalesce(F.col("_mb"), default)).drop("_mm", "_mb")
+
+
+def overall_budget_for(budgets: DataFrame, month: str) -> float | None:
+    """The overall limit of one month (month row, else 'default'); reads at most two rows
+    of the size-checked budgets table."""
+    rows = (sized_broadcast(budgets, BUDGET_BROADCAST_ROWS)
+            .where(F.col("category").isNull() & F.col("month_key").isin(month, "default"))
+            .select("month_key", "budget_limit").collect())
+    by = {r.month_key: r.budget_limit for r in rows}
+    return by.get(month, by.get("default"))

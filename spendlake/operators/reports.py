@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.config import MONTHLY_ALERT_PCT
-from spendlake.operators.budgets import resolve_budgets, resolve_overall_budget
+from spendlake.operators.budgets import overall_budget_for, resolve_budgets, resolve_overall_budget
 from spendlake.operators.filters import (
     active,
     budget_projection,
@@ -101,8 +101,8 @@ def period_summary(expenses: DataFrame, budgets: DataFrame, period: str, month_a
         F.coalesce(F.sum(F.when(in_week, F.col("amount"))), F.lit(0.0)).alias("weekly_spent"),
     )
     period_col = {"daily": "daily_spent", "weekly": "weekly_spent"}.get(period, "monthly_spent")
-    header = totals.withColumn("month_key", F.lit(month))
-    header = resolve_overall_budget(header, budgets)
+    header = totals.withColumn("month_key", F.lit(month)).withColumn(
+        "budget", F.lit(overall_budget_for(budgets, month)).cast("double"))
     header = savings_projection(header, spent="monthly_spent").select(
         F.lit(period).alias("period"),
         F.round(F.col(period_col), 2).alias("period_spent"),

@@ -36,3 +36,15 @@ def test_query_matches_oracle(spark, name):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "percentage" in df.columns
+
+
+def test_no_nested_loop_or_cartesian_joins(spark):
+    """Every registered batch query plans hash/sort-merge joins only (streams excluded)."""
+    offenders = []
+    for name, q in E.queries().items():
+        if name.startswith("streaming"):
+            continue
+        plan = q(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        if "NestedLoop" in plan or "Cartesian" in plan:
+            offenders.append(name)
+    assert offenders == []
