@@ -163,9 +163,12 @@ def dedup_inputs(spark, sf_dir):
     from spendlake.operators.dedup import known_references
     from spendlake.operators.filters import ledger_lookback
 
-    batch = tables.batch_from_events(spark, sf_dir)
-    ledger_rows = ledger_lookback(tables.ledger_from_events(spark, sf_dir), DEDUP_LEDGER_SINCE)
-    known = known_references(tables.checkpoint_from_events(spark, sf_dir), DEDUP_AS_OF_TS, DEDUP_REF_DAYS)
+    from spendlake.session import cut_lineage
+
+    # The derived inputs feed several dedup stages; each is written once.
+    batch = cut_lineage(tables.batch_from_events(spark, sf_dir))
+    ledger_rows = cut_lineage(ledger_lookback(tables.ledger_from_events(spark, sf_dir), DEDUP_LEDGER_SINCE))
+    known = cut_lineage(known_references(tables.checkpoint_from_events(spark, sf_dir), DEDUP_AS_OF_TS, DEDUP_REF_DAYS))
     return batch, ledger_rows, known
 
 

@@ -101,14 +101,18 @@ def budgets_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.orderBy("month_key", F.col("category").asc_nulls_first())
     stamp = F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
-    return rows.select(
+    from spendlake.session import cut_lineage
+
+    # Written once (a reliable checkpoint of a few hundred rows): the size check, the
+    # default lookup and the joins then read it instead of re-deriving the months.
+    return cut_lineage(rows.select(
         F.row_number().over(w).cast("bigint").alias("id"),
         "month_key",
         "category",
         "budget_limit",
         stamp.alias("inserted_on"),
         stamp.alias("updated_on"),
-    )
+    ))
 
 
 # ---------------------------------------------------------------------------
