@@ -184,3 +184,13 @@ def test_suggest_with_precomputed_gram_stats(spark):
     a = sorted(tuple(r) for r in suggest_categories(ex, terms).collect())
     b = sorted(tuple(r) for r in suggest_categories(ex, terms, stats=gram_stats(ex)).collect())
     assert a == b
+
+
+def test_read_only_guard_explain_and_commands(spark, seeded):
+    ex, _ = seeded
+    plan = query_read(spark, "EXPLAIN SELECT category FROM expenses", {"expenses": ex}).first()[0]
+    assert "Scan" in plan or "LocalTableScan" in plan or "Project" in plan
+    for bad in ("SET spark.sql.shuffle.partitions=3", "CREATE TABLE t AS SELECT 1", "EXPLAIN DROP TABLE expenses"):
+        with pytest.raises(ReadOnlyViolation):
+            query_read(spark, bad, {"expenses": ex})
+    assert spark.conf.get("spark.sql.shuffle.partitions") != "3"
