@@ -194,3 +194,14 @@ def test_read_only_guard_explain_and_commands(spark, seeded):
         with pytest.raises(ReadOnlyViolation):
             query_read(spark, bad, {"expenses": ex})
     assert spark.conf.get("spark.sql.shuffle.partitions") != "3"
+
+
+def test_single_add_audits_full_row(spark, seeded):
+    ex, _ = seeded
+    one = spark.createDataFrame([(0, "42.5", "Food", "Tea", None)],
+                                "pos int, amount string, category string, description string, date string")
+    new, audit, _ = append_expenses(ex.drop("txn_date", "month_key"), one, "2026-03-23 10:00:00", ["pos"], bulk=False)
+    a = audit.first()
+    assert a.action == "INSERT" and a.row_id == 4
+    assert '"amount":42.5' in a.new_values and '"transaction_date":"2026-03-23"' in a.new_values
+    assert '"deleted_at":null' in a.new_values and '"inserted_on":"2026-03-23 10:00:00"' in a.new_values
