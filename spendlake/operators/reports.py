@@ -186,6 +186,7 @@ def budget_alerts(report: DataFrame, threshold_pct: float = MONTHLY_ALERT_PCT) -
         "category",
         "spent",
         "budget",
-        F.round(F.col("spent") / F.col("budget") * 100, 2).alias("percentage"),
+        # A zero budget with any spend is overspent; its percentage is undefined (NULL).
+        F.when(F.col("budget") != 0, F.round(F.col("spent") / F.col("budget") * 100, 2)).alias("percentage"),
     )
     return monthly.unionByName(cats)

@@ -68,7 +68,8 @@ WITH {LEDGER_CTES}, {_MC}
 SELECT month_key, 'monthly_threshold' AS alert, category, spent, budget, percentage
 FROM report WHERE level = 'month' AND percentage >= 80.0
 UNION ALL
-SELECT month_key, 'category_overspent', category, spent, budget, round(spent / budget * 100, 2)
+SELECT month_key, 'category_overspent', category, spent, budget,
+       CASE WHEN budget <> 0 THEN round(spent / budget * 100, 2) END
 FROM report WHERE level = 'category' AND overspent
 """)
 

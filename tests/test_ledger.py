@@ -205,3 +205,12 @@ def test_single_add_audits_full_row(spark, seeded):
     assert a.action == "INSERT" and a.row_id == 4
     assert '"amount":42.5' in a.new_values and '"transaction_date":"2026-03-23"' in a.new_values
     assert '"deleted_at":null' in a.new_values and '"inserted_on":"2026-03-23 10:00:00"' in a.new_values
+
+
+def test_zero_budget_alert_has_no_division_error(spark):
+    ex = expenses(spark, [(10.0, "Junk", "x", AS_OF)])
+    bu = budgets(spark, [("default", None, 50000.0), ("default", "Junk", 0.0)])
+    alerts = {r.alert: r for r in reports.budget_alerts(reports.summary_report(ex, bu)).collect()}
+    assert alerts["category_overspent"].percentage is None
+    head = reports.period_summary(ex, budgets(spark, [("default", None, 0.0)]), "monthly", None, AS_OF)[0].first()
+    assert head.savings is None and head.percentage == 0.0
