@@ -41,7 +41,8 @@ def parse_amount(raw) -> Column:
 
 def _two_digit_year(y: Column) -> Column:
     # Two-digit years pivot like C strptime: 69-99 -> 19xx, 00-68 -> 20xx.
-    return F.when(y.cast("int") >= 69, y.cast("int") + 1900).otherwise(y.cast("int") + 2000)
+    n = y.try_cast("int")  # '' when the date text did not match (no error under ANSI)
+    return F.when(n >= 69, n + 1900).otherwise(n + 2000)
 
 
 def parse_txn_date(raw, received_at, as_of) -> Column:
@@ -58,7 +59,7 @@ def parse_txn_date(raw, received_at, as_of) -> Column:
     mm = F.regexp_extract(raw, m, 3)
     s2 = F.regexp_extract(raw, m, 4)
     yy = F.regexp_extract(raw, m, 5)
-    year = F.when(F.length(yy) == 4, yy.cast("int")).otherwise(_two_digit_year(yy))
+    year = F.when(F.length(yy) == 4, yy.try_cast("int")).otherwise(_two_digit_year(yy))
     iso = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), mm, dd)
     parsed = F.when((F.length(dd) == 2) & (s1 == s2), F.try_to_date(iso, "yyyy-MM-dd"))
     rec = _c(received_at)

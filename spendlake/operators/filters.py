@@ -81,7 +81,8 @@ def insertable(candidates: DataFrame) -> DataFrame:
 def ledger_lookback(ledger: DataFrame, since_date: Column | str) -> DataFrame:
     """FLT-7: active ledger rows with transaction date on/after ``since_date``."""
     since = F.lit(since_date).cast("date") if isinstance(since_date, str) else since_date
-    return active(ledger).where(F.to_date(F.col("transaction_date")) >= since)
+    # try_: a malformed date text (user payloads) is excluded instead of failing the job.
+    return active(ledger).where(F.try_to_date(F.substring(F.col("transaction_date"), 1, 10), "yyyy-MM-dd") >= since)
 
 
 def prune_checkpoint(processed: DataFrame, as_of_ts: str, days: int) -> tuple[DataFrame, DataFrame]:

@@ -201,7 +201,7 @@ def apply_corrections(ledger: DataFrame, numbered: DataFrame, appended: DataFram
     deletes = c.where(F.col("action").isin("delete", "not_a_transaction")).select("id")
     other = ids.select(F.col("number").alias("o_number"), F.col("id").alias("o_id"), F.col("n_refs").alias("o_refs"),
                        F.col("description").alias("o_desc"))
-    merges = c.where(F.col("action") == "merge").join(other, F.col("value").cast("bigint") == F.col("o_number"))
+    merges = c.where(F.col("action") == "merge").join(other, F.col("value").try_cast("bigint") == F.col("o_number"))
     keep_self = (F.col("n_refs") > F.col("o_refs")) | (
         (F.col("n_refs") == F.col("o_refs")) & (F.length("description") >= F.length("o_desc")))
     merge_drop = merges.select(F.when(keep_self, F.col("o_id")).otherwise(F.col("id")).alias("id"))

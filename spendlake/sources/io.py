@@ -135,7 +135,7 @@ def read_mail_archive(spark: SparkSession, path: str, as_of_iso: str, glob: str
 
 def messages_in_range(messages: DataFrame, from_date: str, to_date: str, col: str = "received_at") -> DataFrame:
     """SRC-4: messages whose local date lies in [from_date, to_date], both inclusive."""
-    d = F.to_date(F.substring(F.col(col), 1, 10))
+    d = F.try_to_date(F.substring(F.col(col), 1, 10), "yyyy-MM-dd")  # malformed stamps drop out
     return messages.where((d >= F.lit(from_date).cast("date")) & (d < F.date_add(F.lit(to_date).cast("date"), 1)))
 
 

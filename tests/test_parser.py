@@ -108,3 +108,10 @@ def test_merchant_cut_compat_and_word_boundary(spark):
     assert compat == ["Glo", "SWIGGY", "Subj"]  # the surveyed cut also fires inside words
     wb = [r[0] for r in df.select(clean_merchant("m", F.lit("noreply@swiggy.in"), F.lit("Subj"), True)).collect()]
     assert wb == ["Global Mart", "SWIGGY", "Swiggy"]
+
+
+def test_odd_date_texts_fall_back_without_errors(spark):
+    d = spark.createDataFrame([("15/03/202", None), ("1/3/2026", None), ("15-03/2026", None), ("aa/bb/cc", None)],
+                              "raw string, rec string")
+    got = [str(r[0]) for r in d.select(parse_txn_date("raw", "rec", AS_OF)).collect()]
+    assert got == [AS_OF] * 4  # unparseable captured dates -> as_of (ANSI mode raises on plain casts)
