@@ -115,3 +115,15 @@ def test_odd_date_texts_fall_back_without_errors(spark):
                               "raw string, rec string")
     got = [str(r[0]) for r in d.select(parse_txn_date("raw", "rec", AS_OF)).collect()]
     assert got == [AS_OF] * 4  # unparseable captured dates -> as_of (ANSI mode raises on plain casts)
+
+
+def test_registry_validation(spark):
+    import pytest as _pytest
+
+    from spendlake.operators.extract import DEFAULT_PATTERNS, Pattern, validate_patterns
+
+    validate_patterns(DEFAULT_PATTERNS)
+    with _pytest.raises(ValueError):
+        validate_patterns([Pattern("x", "bad", r"rs\s*(\d+)", {"amount": 1, "merchant": 2})])
+    with _pytest.raises(ValueError):
+        validate_patterns([Pattern("x", "no amount", r"rs\s*(\d+)", {"merchant": 1})])
