@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_window_hashes, document_chunks, odd_multipliers, scramble, window_hashes
+from .common import all_window_hashes, document_chunks, map_arrow, materialise, odd_multipliers, scramble, window_hashes
 
 CHUNK_WORDS = 300_000
 # Lower bits of an order value hold the position; longer arrays are cut into overlapping parts.
@@ -102,6 +103,28 @@ def keyed(docs: DataFrame) -> DataFrame:
         "doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text", "doc_id").alias("k2"))
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """The keyed documents by row key, with ``z`` (the text, compressed for the shuffle)."""
+
+    def make():
+        compress = zstandard.ZstdCompressor(level=1).compress
+
+        def squeeze(texts):
+            return ([None if t is None else compress(t.encode()) for t in texts.to_pylist()],)
+
+        return squeeze
+
+    small = map_arrow(keyed(docs), ["doc_id", "k1", "k2"], ["text"], [("z", "binary")], make)
+    return small.repartition("k1", "k2")
+
+
+def split_words(column: pa.Array):
+    """The words of each compressed text."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for z in column:
+        yield expand(z.as_py()).split() if z.is_valid else []
+
+
 def _occurrence_rows(rows: DataFrame, s: WindowSettings) -> DataFrame:
     """a, c, k1, k2, lo, n, at of every occurrence."""
 
@@ -129,18 +152,17 @@ def _settled(s: WindowSettings):
 def repeated_windows(docs: DataFrame, rows: DataFrame, s: WindowSettings, prune=None) -> DataFrame:
     """k1, k2, __found: array of struct(lo, n), ranges of repeated windows, per row key.
 
-    ``rows``: the keyed documents, partitioned by the key; all its uses read the same columns, so
+    ``rows``: the dealt documents.  All their uses are in one plan and read the same columns, so
     that they share one shuffle.  ``prune``: another way from edge occurrences to the windows to
     be compared."""
-    occ = _occurrence_rows(keyed(docs), s)
+    every = _occurrence_rows(keyed(docs), s)
+    frequent = every.groupBy("a").agg(F.count(F.lit(1)).alias("n_a")).where("n_a > 1").select("a")
+    occ = materialise(every.join(frequent, "a"), "occurrences")
     contexts = occ.groupBy("a", "c").agg(
         F.count(F.lit(1)).alias("times"), F.min("k1").alias("k_low"), F.max("k1").alias("k_high"))
-    per_run = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("variants"), F.max("times").alias("most"))
-    per_run = per_run.where((F.col("variants") > 1) | (F.col("most") > 1)).drop("most")
-    alive = contexts.join(per_run, "a").select(
-        "a", "c", "k_low", _settled(s).alias("settled"), (F.col("variants") > 1).alias("edge"))
-    alive = alive.where("settled or edge")
-    met = occ.join(alive, ["a", "c"])
+    variants = occ.groupBy("a").agg((F.min("c") != F.max("c")).alias("edge"))
+    alive = contexts.join(variants, "a").select("a", "c", "k_low", _settled(s).alias("settled"), "edge")
+    met = materialise(occ.join(alive.where("settled or edge"), ["a", "c"]), "met")
     inside = met.where("settled").select("k1", "k2", F.struct("lo", "n").alias("range"))
     edges = met.where("edge and k1 = k_low").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("a", "lo", "n", "at", "settled")).alias("edges"))
@@ -166,8 +188,8 @@ def _edge_windows(joined: DataFrame, s: WindowSettings, prune) -> DataFrame:
         words = WordHashes()
         for b in batches:
             col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-            for i, edges in enumerate(col["edges"].to_pylist()):
-                h = words.of((col["text"][i].as_py() or "").encode().split())
+            for i, (edges, text) in enumerate(zip(col["edges"].to_pylist(), split_words(col["z"]))):
+                h = words.of(text)
                 n = np.array([e["n"] for e in edges])
                 lo = np.concatenate([np.arange(e["lo"], e["lo"] + e["n"]) for e in edges])
                 w = window_hashes(h, lo, s.size, 4)
@@ -179,7 +201,7 @@ def _edge_windows(joined: DataFrame, s: WindowSettings, prune) -> DataFrame:
                     pa.array(lo.astype(np.int32)),
                 ], names=["w", "a", "settled", "k1", "k2", "lo"])
 
-    picked = joined.select("doc_id", "text", "k1", "k2", "edges")
+    picked = joined.select("doc_id", "k1", "k2", "z", "edges")
     return picked.mapInArrow(run, "w bigint, a bigint, settled boolean, k1 bigint, k2 int, lo int")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .repeats import WindowSettings, covered_words, keyed, repeated_windows, spans_of
+from .repeats import WindowSettings, covered_words, dealt, repeated_windows, spans_of, split_words
 
 SETTINGS = WindowSettings(size=35)
 SPANS = "array<struct<a:int,b:int>>"
@@ -33,16 +33,15 @@ SPANS = "array<struct<a:int,b:int>>"
 def parsed_documents(docs: DataFrame, settings: WindowSettings = SETTINGS, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and spans (word ranges of the factors that
     are duplicates); with_text: also kept_text (kept words joined by one space)."""
-    rows = keyed(docs).repartition("k1", "k2")
+    rows = dealt(docs)
     found = repeated_windows(docs, rows, settings)
-    joined = rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "k1", "k2", "__found")
+    joined = rows.join(found, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "__found")
 
     def make():
         def parse(texts, found):
             out = [[], [], [], []]
             kept_texts = []
-            for text, ranges in zip(texts, found.to_pylist()):
-                words = (text.as_py() or "").encode().split()
+            for words, ranges in zip(split_words(texts), found.to_pylist()):
                 mask = covered_words(len(words), ranges or [], settings.size)
                 if ranges:
                     kept = b" ".join([w for w, gone in zip(words, mask.tolist()) if not gone])
@@ -61,7 +60,7 @@ def parsed_documents(docs: DataFrame, settings: WindowSettings = SETTINGS, with_
     fields = [("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256", "string"), ("spans", SPANS)]
     if with_text:
         fields.append(("kept_text", "string"))
-    return map_arrow(joined, ["doc_id"], ["text", "__found"], fields, make)
+    return map_arrow(joined, ["doc_id"], ["z", "__found"], fields, make)
 
 
 def remove_repeats(docs: DataFrame, settings: WindowSettings = SETTINGS) -> DataFrame:

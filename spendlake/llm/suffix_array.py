@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, window_hashes
-from .repeats import WindowSettings, covered_words, keyed, repeated_windows, spans_of
+from .repeats import WindowSettings, covered_words, dealt, repeated_windows, spans_of, split_words
 
 SETTINGS = WindowSettings(size=50, run=10, across=True)
 
@@ -40,8 +40,8 @@ def _suffix_rows(joined: DataFrame, s: WindowSettings) -> DataFrame:
         words = WordHashes()
         for b in batches:
             col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-            for i, edges in enumerate(col["edges"].to_pylist()):
-                h = words.of((col["text"][i].as_py() or "").encode().split())
+            for i, (edges, text) in enumerate(zip(col["edges"].to_pylist(), split_words(col["z"]))):
+                h = words.of(text)
                 short = (h >> np.uint64(32)).astype(">u4")
                 suffix, hashes = [], []
                 for e in edges:
@@ -56,7 +56,7 @@ def _suffix_rows(joined: DataFrame, s: WindowSettings) -> DataFrame:
                     pa.array([e["settled"] for e in edges], pa.bool_()), pa.array(hashes, pa.list_(pa.int64())),
                 ], names=["a", "suffix", "k1", "k2", "lo", "at", "settled", "hashes"])
 
-    picked = joined.select("doc_id", "text", "k1", "k2", "edges")
+    picked = joined.select("doc_id", "k1", "k2", "z", "edges")
     return picked.mapInArrow(
         run, "a bigint, suffix binary, k1 bigint, k2 int, lo int, at int, settled boolean, hashes array<bigint>")
 
@@ -108,17 +108,16 @@ def _compare_neighbours(joined: DataFrame, s: WindowSettings) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, settings: WindowSettings = SETTINGS) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words and sha256 of each repeated passage."""
-    rows = keyed(docs).repartition("k1", "k2")
+    rows = dealt(docs)
     found = repeated_windows(docs, rows, settings, prune=_compare_neighbours)
-    joined = rows.join(found, ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "__found")
+    joined = rows.join(found, ["k1", "k2"]).select("doc_id", "k1", "k2", "z", "__found")
 
     def make():
         import hashlib
 
         def spans(texts, found):
             out = []
-            for text, ranges in zip(texts, found.to_pylist()):
-                words = (text.as_py() or "").encode().split()
+            for words, ranges in zip(split_words(texts), found.to_pylist()):
                 out.append([
                     {"a": a, "b": b, "s": hashlib.sha256(b" ".join(words[a:b])).hexdigest()}
                     for a, b in spans_of(covered_words(len(words), ranges, settings.size))])
@@ -126,7 +125,7 @@ def repeated_passages(docs: DataFrame, settings: WindowSettings = SETTINGS) -> D
 
         return spans
 
-    passages = map_arrow(joined, ["doc_id"], ["text", "__found"], [("__p", "array<struct<a:int,b:int,s:string>>")], make)
+    passages = map_arrow(joined, ["doc_id"], ["z", "__found"], [("__p", "array<struct<a:int,b:int,s:string>>")], make)
     each = passages.select("doc_id", F.explode("__p").alias("__p"))
     return each.select(
         "doc_id", F.col("__p.a").cast("bigint").alias("start_word"), F.col("__p.b").cast("bigint").alias("end_word"),
