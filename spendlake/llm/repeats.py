@@ -162,7 +162,9 @@ def repeated_windows(docs: DataFrame, rows: DataFrame, s: WindowSettings, prune=
         F.count(F.lit(1)).alias("times"), F.min("k1").alias("k_low"), F.max("k1").alias("k_high"))
     variants = occ.groupBy("a").agg((F.min("c") != F.max("c")).alias("edge"))
     alive = contexts.join(variants, "a").select("a", "c", "k_low", _settled(s).alias("settled"), "edge")
-    met = materialise(occ.join(alive.where("settled or edge"), ["a", "c"]), "met")
+    # written here, so that the next join deals occurrences by (a, c) and not by a frequent minimiser alone
+    alive = materialise(alive.where("settled or edge"), "contexts")
+    met = materialise(occ.join(alive, ["a", "c"]), "met")
     inside = met.where("settled").select("k1", "k2", F.struct("lo", "n").alias("range"))
     edges = met.where("edge and k1 = k_low").groupBy("k1", "k2").agg(
         F.collect_list(F.struct("a", "lo", "n", "at", "settled")).alias("edges"))
