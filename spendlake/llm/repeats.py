@@ -156,11 +156,14 @@ def repeated_windows(docs: DataFrame, rows: DataFrame, s: WindowSettings, prune=
     that they share one shuffle.  ``prune``: another way from edge occurrences to the windows to
     be compared."""
     every = _occurrence_rows(keyed(docs), s)
+    # Tables are written before a join on a frequent minimiser: Spark splits such a join only if it
+    # reads both sides straight from a shuffle.
     frequent = every.groupBy("a").agg(F.count(F.lit(1)).alias("n_a")).where("n_a > 1").select("a")
+    frequent = materialise(frequent, "frequent")
     occ = materialise(every.join(frequent, "a"), "occurrences")
     contexts = occ.groupBy("a", "c").agg(
         F.count(F.lit(1)).alias("times"), F.min("k1").alias("k_low"), F.max("k1").alias("k_high"))
-    variants = occ.groupBy("a").agg((F.min("c") != F.max("c")).alias("edge"))
+    variants = materialise(occ.groupBy("a").agg((F.min("c") != F.max("c")).alias("edge")), "variants")
     alive = contexts.join(variants, "a").select("a", "c", "k_low", _settled(s).alias("settled"), "edge")
     # written here, so that the next join deals occurrences by (a, c) and not by a frequent minimiser alone
     alive = materialise(alive.where("settled or edge"), "contexts")

@@ -43,17 +43,17 @@ def _suffix_rows(joined: DataFrame, s: WindowSettings) -> DataFrame:
             for i, (edges, text) in enumerate(zip(col["edges"].to_pylist(), split_words(col["z"]))):
                 h = words.of(text)
                 short = (h >> np.uint64(32)).astype(">u4")
-                suffix, hashes = [], []
-                for e in edges:
-                    at = e["lo"] + e["at"]
-                    suffix.append(short[at : at + s.size].tobytes())
-                    hashes.append(window_hashes(h, np.arange(e["lo"], e["lo"] + e["n"]), s.size, 4).view(np.int64))
+                suffix = [short[at : at + s.size].tobytes() for at in (e["lo"] + e["at"] for e in edges)]
+                starts = np.concatenate([np.arange(e["lo"], e["lo"] + e["n"]) for e in edges])
+                ends = np.cumsum([e["n"] for e in edges])
+                found = window_hashes(h, starts, s.size, 4).view(np.int64)
+                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(found))
                 n = len(edges)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([e["a"] for e in edges], pa.int64()), pa.array(suffix, pa.binary()),
                     pa.array(np.full(n, col["k1"][i].as_py(), np.int64)), pa.array(np.full(n, col["k2"][i].as_py(), np.int32)),
                     pa.array([e["lo"] for e in edges], pa.int32()), pa.array([e["at"] for e in edges], pa.int32()),
-                    pa.array([e["settled"] for e in edges], pa.bool_()), pa.array(hashes, pa.list_(pa.int64())),
+                    pa.array([e["settled"] for e in edges], pa.bool_()), hashes,
                 ], names=["a", "suffix", "k1", "k2", "lo", "at", "settled", "hashes"])
 
     picked = joined.select("doc_id", "k1", "k2", "z", "edges")
