@@ -94,7 +94,7 @@ TEMPLATES = (
     ("MIT", _MIT_WARRANTY),
     ("Unlicense", _UNLICENSE),
 )
-NOTICES = ("Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.",
+NOTICES = ("Licensed under {}.", "Released under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.",
            "Distributed under the {}.", "This software is licensed under the {}.", "SPDX-License-Identifier: {}")
 NAMES = (
     ("AGPL-3.0", "GNU Affero General Public License, version 3"),
