@@ -513,13 +513,13 @@ def html_to_text_q(spark, sf_dir):
 
 @register("html_to_text_exact")
 def html_to_text_exact_q(spark, sf_dir):
-    """SC-10 (exact variant): the stdlib HTML parser per page in Arrow batches; equals the native chain."""
+    """SC-10, the name of a former variant: the native chain."""
     from pyspark.sql import functions as F
 
-    from spendlake.functions.text import html_to_text_exact
+    from spendlake.functions.text import html_to_text
 
     pages = tables.read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", html_to_text_exact(F.col("html")).alias("text"))
+    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
 @register("address_extraction")

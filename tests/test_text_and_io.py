@@ -1,23 +1,23 @@
-"""HTML to text, addresses, mail dates, MIME archive scan, checkpoint scan, export."""
+"""HTML to text, addresses, mail dates, ledger publishing, checkpoint scan, export."""
 
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
-from spendlake.functions.text import _html_exact_one, extract_address, html_to_text
+from spendlake.functions.text import decode_header_words, extract_address, html_to_text
 from spendlake.functions.timeutil import mail_date_to_iso
-from spendlake.sources.io import export_csv, read_checkpoint, read_mail_archive
+from spendlake.sources.io import export_csv, publish_mutation, read_checkpoint, write_ledger
 
 
-def test_html_native_matches_exact_on_cases(spark):
+def test_html_cases(spark):
     cases = ["<html><head><script>var x='<p>';</script><style>p{}</style></head><body><p>Hello</p><div>World &amp; co</div></body></html>",
              "", "plain text stays", "<b>bold</b>text<br/>next<li>item</li>",
              "&amp;lt; x", "a &lt b", "&ampTo", "&amp;amp;", "x &apos y &apos; z", "&copy2024 &middot; <!-- c --> end"]
     df = spark.createDataFrame([(c,) for c in cases], "h string")
     got = [r[0] for r in df.select(html_to_text("h")).collect()]
-    assert got == [_html_exact_one(c) for c in cases]
-    assert got[0] == "Hello World & co"
+    assert got == ["Hello World & co", "", "plain text stays", "boldtext nextitem", "&lt; x", "a < b", "&To", "&amp;", "x &apos y ' z",
+                   "©2024 · end"]
 
 
 def test_addresses_and_dates(spark):
@@ -28,20 +28,35 @@ def test_addresses_and_dates(spark):
         "2026-03-23T22:00:00+05:30", "2026-03-24T00:00:00", "2026-03-24T00:00:00"]
 
 
-def test_mime_archive(spark):
-    d = tempfile.mkdtemp(prefix="spendlake-mail-")
-    single = ("From: HDFC Bank <alerts@HDFCBANK.net>\r\nSubject: =?utf-8?b?VHJhbnNhY3Rpb24gQWxlcnQ=?=\r\n"
-              "Date: Mon, 23 Mar 2026 22:00:00 +0530\r\nMessage-ID: <m1@x>\r\nContent-Type: text/plain\r\n\r\nRs.10 debited")
-    multi = ("From: shop@x.com\r\nSubject: Order\r\nMessage-ID: <m2@x>\r\nMIME-Version: 1.0\r\n"
-             "Content-Type: multipart/alternative; boundary=BB\r\n\r\n--BB\r\nContent-Type: text/html\r\n\r\n<p>html part</p>\r\n"
-             "--BB\r\nContent-Type: text/plain\r\n\r\nplain part\r\n--BB--\r\n")
-    for name, body in (("a.eml", single), ("b.eml", multi)):
-        with open(os.path.join(d, name), "w") as f:
-            f.write(body)
-    rows = {r.message_id: r for r in read_mail_archive(spark, d, "2026-03-24T00:00:00").collect()}
-    assert rows["<m1@x>"].sender_email == "alerts@hdfcbank.net" and rows["<m1@x>"].subject == "Transaction Alert"
-    assert rows["<m1@x>"].received_at == "2026-03-23T22:00:00+05:30"
-    assert rows["<m2@x>"].body.strip() == "plain part" and rows["<m2@x>"].received_at == "2026-03-24T00:00:00"
+def test_header_words(spark):
+    cases = {
+        "=?utf-8?b?VHJhbnNhY3Rpb24gQWxlcnQ=?=": "Transaction Alert",
+        "=?UTF-8?Q?Caf=C3=A9_bill?= a=b": "Café bill a=b",
+        "=?utf-8?q?one?=  =?iso-8859-1?q?=E9t?= end": "oneét end",
+        "plain": "plain", "": "", None: "", "=?x-unknown?q?a?=": "=?x-unknown?q?a?=",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r[0]: r[1] for r in df.select("h", decode_header_words("h")).collect()} == cases
+
+
+def _ledger(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, amount double, transaction_date string")
+
+
+def test_publish_lands_purges_and_date_moves(spark):
+    path, audit = tempfile.mkdtemp(prefix="spendlake-l-") + "/l", tempfile.mkdtemp(prefix="spendlake-a-") + "/a"
+    log = spark.createDataFrame([("PURGE", "expenses", 1, None, None, "cli", "2026-03-01")],
+                                "action string, table_name string, row_id bigint, old_values string, new_values string, source string, created_on string")
+    write_ledger(_ledger(spark, [(1, 1.0, "2026-01-05"), (2, 2.0, "2026-02-05"), (3, 3.0, "2026-03-05")]), path)
+    read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("id", "transaction_date").collect())
+    state = spark.read.parquet(path).where("id <> 1")
+    publish_mutation(state, log, spark.createDataFrame([(1,)], "id bigint"), path, audit)
+    assert read() == [(2, "2026-02-05"), (3, "2026-03-05")]
+    moved = spark.read.parquet(path).drop("month_key").withColumn(
+        "transaction_date", F.when(F.col("id") == 2, "2026-03-09").otherwise(F.col("transaction_date")))
+    publish_mutation(moved, log, spark.createDataFrame([(2,)], "id bigint"), path, audit)
+    assert read() == [(2, "2026-03-09"), (3, "2026-03-05")]
+    assert sorted(r.id for r in spark.read.parquet(audit).collect()) == [1, 2]
 
 
 def test_checkpoint_scan_tolerant_and_export(spark):
