@@ -136,9 +136,8 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
 
 
 def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with their columns.  The measures are computed twice (once for
-    the sketches, once for the verdict) so that no text is shuffled."""
-    measured = with_measures(docs)
-    fences = materialise(thresholds(with_measures(docs.select("text", "lang", "source")), rules), "fences")
-    judged = judge(measured, fences, rules)
+    """The documents that pass, with their columns.  Documents and measures are written once: a filter
+    on measures that are not written would be pushed into them and evaluate them many times."""
+    measured = materialise(with_measures(docs), "quality")
+    judged = judge(measured, materialise(thresholds(measured, rules), "fences"), rules)
     return judged.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
