@@ -163,11 +163,10 @@ def purge_deleted(state: DataFrame, as_of_ts: str, source: str = SOURCE_DEFAULT)
 def recategorise(state: DataFrame, changes: DataFrame, as_of_ts: str,
                  source: str = SOURCE_DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """MUT-5: (id, new_category) on active rows; missing/deleted ids rejected; audit
-    UPDATE with old and new rows.  Several changes for one id: the last (by ``seq``
-    when present) wins."""
-    ch = changes
-    if "seq" in ch.columns:
-        ch = ch.groupBy("id").agg(F.max_by("new_category", "seq").alias("new_category"))
+    UPDATE with old and new rows.  Several changes for one id: the last by ``seq`` wins,
+    without that column the greatest category."""
+    last = F.max_by("new_category", "seq") if "seq" in changes.columns else F.max("new_category")
+    ch = changes.groupBy("id").agg(last.alias("new_category"))
     ch = sized_broadcast(ch.select(F.col("id").alias("_cid"), "new_category"), CHANGE_BROADCAST_ROWS)
     j = state.join(ch, state.id == ch._cid, "left")
     hit = F.col("_cid").isNotNull() & F.col("deleted_at").isNull()

@@ -787,7 +787,7 @@ def review_corrections_q(spark, sf_dir):
         F.when(kind == 1, F.lit("99.5")).when(kind == 2, F.lit("Reviewed"))
         .when(kind == 3, (F.col("number") + 1).cast("string")).alias("value"),
     )
-    new_state, _ = apply_corrections(run.new_ledger, run.candidates, run.appended, corr, RUN_AS_OF)
+    new_state, _, _ = apply_corrections(run.new_ledger, run.candidates, run.appended, corr, RUN_AS_OF)
     base = run.new_ledger.select(*[F.col(c).alias(f"b_{c}") for c in EXPENSE_COLS])
     changed = new_state.join(base, new_state.id == base.b_id).where(
         ~F.col("amount").eqNullSafe(F.col("b_amount")) | ~F.col("category").eqNullSafe(F.col("b_category"))

@@ -191,8 +191,10 @@ def apply_corrections(ledger: DataFrame, numbered: DataFrame, appended: DataFram
     actions: delete / not_a_transaction (soft delete), amount (new amount), recategorise
     (new category), merge (value = other number; keep the row with more reference ids,
     then the longer description; soft-delete the other), confirm (no-op).
-    Returns (new_ledger, audit)."""
-    from spendlake.operators.mutations import recategorise, soft_delete
+    Several amounts for one number: the greatest is taken.  Returns (new_ledger, audit,
+    rejects); rejects are the corrections with an unknown number or action, an amount that
+    is no number or a merge with an unknown number."""
+    from spendlake.operators.mutations import audit_frame, recategorise, snapshot, soft_delete
 
     ids = numbered.select("number", "seq", F.size(F.coalesce(F.col("transaction.reference_ids"),
                                                              F.create_map())).alias("n_refs")).join(
@@ -208,14 +210,28 @@ def apply_corrections(ledger: DataFrame, numbered: DataFrame, appended: DataFram
     state, a1, _ = soft_delete(ledger.select(*EXPENSE_COLS), deletes.unionByName(merge_drop), as_of_ts)
     recat = c.where(F.col("action") == "recategorise").select("id", F.col("value").alias("new_category"))
     state, a2, _ = recategorise(state, recat, as_of_ts)
-    amounts = c.where(F.col("action") == "amount").select(F.col("id").alias("_aid"),
-                                                          F.col("value").try_cast("double").alias("_amt"))
+    amounts = c.where(F.col("action") == "amount").groupBy(F.col("id").alias("_aid")).agg(
+        F.max(F.col("value").try_cast("double")).alias("_amt")).where("_amt is not null")
     j = state.join(amounts, state.id == amounts._aid, "left")
-    hit = F.col("_aid").isNotNull() & F.col("deleted_at").isNull() & F.col("_amt").isNotNull()
+    hit = F.col("_aid").isNotNull() & F.col("deleted_at").isNull()
     stamp = F.lit(as_of_ts).cast("timestamp_ntz")
-    state = j.select(*[
-        F.when(hit, F.col("_amt")).otherwise(F.col("amount")).alias("amount") if x == "amount"
-        else F.when(hit, stamp).otherwise(F.col("updated_on")).alias("updated_on") if x == "updated_on"
-        else F.col(x) for x in EXPENSE_COLS
-    ])
-    return state, a1.unionByName(a2)
+    new_cols = {
+        "amount": F.when(hit, F.col("_amt")).otherwise(F.col("amount")),
+        "updated_on": F.when(hit, stamp).otherwise(F.col("updated_on")),
+    }
+    changed = j.where(hit).select(
+        *[F.col(x).alias(f"o_{x}") for x in EXPENSE_COLS],
+        *[new_cols.get(x, F.col(x)).alias(f"n_{x}") for x in EXPENSE_COLS],
+    )
+    a3 = audit_frame(changed, "UPDATE", "expenses", F.col("o_id"), snapshot(prefix="o_"), snapshot(prefix="n_"), as_of_ts)
+    state = j.select(*[new_cols.get(x, F.col(x)).alias(x) for x in EXPENSE_COLS])
+    known = ids.select(F.col("number").alias("_known")).distinct()
+    others = known.select(F.col("_known").cast("bigint").alias("_other"))
+    checked = corrections.join(known, F.col("number") == F.col("_known"), "left").join(
+        others, (F.col("action") == "merge") & (F.col("value").try_cast("bigint") == F.col("_other")), "left")
+    fine = F.col("_known").isNotNull() & (
+        F.col("action").isin("delete", "not_a_transaction", "recategorise", "confirm")
+        | ((F.col("action") == "amount") & F.col("value").try_cast("double").isNotNull())
+        | ((F.col("action") == "merge") & F.col("_other").isNotNull()))
+    rejects = checked.where(~F.coalesce(fine, F.lit(False))).select("number", "action", "value")
+    return state, a1.unionByName(a2).unionByName(a3), rejects

@@ -75,8 +75,11 @@ def ingest_stream(messages: DataFrame, ledger_path: str, checkpoint_path: str, p
 # ---------------------------------------------------------------------------
 
 def dedup_message_ids(messages: DataFrame, time_col: str = "received_ts", retention: str = "60 days") -> DataFrame:
-    """ST-2: drop repeated Message-IDs seen within the retention (state evicted after it)."""
-    return messages.withWatermark(time_col, retention).dropDuplicatesWithinWatermark(["message_id"])
+    """ST-2: drop repeated Message-IDs seen within the retention (state evicted after it).
+    Messages without an id are never taken for repeats of each other."""
+    timed = messages.withWatermark(time_col, retention)
+    has_id = F.coalesce(F.col("message_id"), F.lit("")) != ""
+    return timed.where(has_id).dropDuplicatesWithinWatermark(["message_id"]).unionByName(timed.where(~has_id))
 
 
 # ---------------------------------------------------------------------------
