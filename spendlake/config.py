@@ -9,8 +9,6 @@ DEFAULT_CATEGORY = "Uncategorised"
 SOURCE_DEFAULT = "cli"
 AUTO_CATEGORY_MIN_CONFIDENCE = 3
 MONTHLY_ALERT_PCT = 80.0
-REVIEW_BODY_CHARS = 3000
-MERCHANT_SUBJECT_CHARS = 60
 
 # Score weights and thresholds of the soft match.
 SCORE_AMOUNT = 2.0
@@ -70,8 +68,6 @@ class DedupSettings:
     single_survivor: bool = False
     # Two candidates of the same batch sharing a reference id: second is definite.
     hard_within_batch: bool = False
-    # Upper bound on leader-election rounds before failing loudly.
-    max_rounds: int = 10_000
 
 
 @dataclass(frozen=True)
@@ -84,5 +80,3 @@ class Settings:
     auto_category_min_confidence: int = AUTO_CATEGORY_MIN_CONFIDENCE
     # When True, merchant cleanup only cuts at a word boundary ("Global Mart" stays whole).
     merchant_word_boundary: bool = False
-    # Rows per audit chunk for set-level audit entries (BULK_INSERT / PURGE).
-    audit_chunk_ids: int = 10_000

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spendlake.config import MERCHANT_SUBJECT_CHARS
-
 # Reference id types, in description order.
 REF_TYPES = ("ref_no", "upi_ref", "upi_id", "utr", "order_id", "trip_id", "booking_id")
 
@@ -91,9 +89,10 @@ def reference_description(merchant, refs: dict) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def clean_merchant(captured, sender, subject, word_boundary: bool = False) -> Column:
+def clean_merchant(captured, sender, subject, word_boundary: bool = False, subject_chars: int | None = None) -> Column:
     """SC-4: captured merchant minus balance/reference tails, trimmed of spaces and dots;
-    else a brand named by the sender; else the subject's first 60 characters; else 'Unknown'.
+    else a brand named by the sender; else the subject (its first ``subject_chars`` characters, if
+    given); else 'Unknown'.
 
     The default cut matches the surveyed behaviour, which also cuts inside words
     ("Global Mart" -> "Glo"); ``word_boundary=True`` only cuts at a whole word.
@@ -107,9 +106,8 @@ def clean_merchant(captured, sender, subject, word_boundary: bool = False) -> Co
         cond = s.contains(key)
         brand = F.when(cond, F.lit(name)) if brand is None else brand.when(cond, F.lit(name))
     subj = _c(subject)
-    fallback = F.when((subj.isNotNull()) & (subj != ""), F.substring(subj, 1, MERCHANT_SUBJECT_CHARS)).otherwise(
-        F.lit("Unknown")
-    )
+    short = subj if subject_chars is None else F.substring(subj, 1, subject_chars)
+    fallback = F.when((subj.isNotNull()) & (subj != ""), short).otherwise(F.lit("Unknown"))
     return F.when(cleaned != "", cleaned).otherwise(F.coalesce(brand, fallback))
 
 

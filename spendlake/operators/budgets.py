@@ -1,6 +1,7 @@
 """JN-1: budget resolution with fallback (month-specific -> 'default' -> NULL).
 
-One join for every (month, category) group at once instead of one lookup per group.
+One join for every (month, category) group at once instead of one lookup per group; the
+planner chooses how to join (no hints: a budgets table of any size is fine).
 ``category`` NULL means the overall budget; the key is compared null-safe.  A
 category never falls back to the overall budget.
 """
@@ -10,12 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.session import sized_broadcast
-
-# Budgets hold at most (#months + 1) x (#categories + 1) rows; beyond this bound the
-# join is left to the planner (shuffle, or a runtime broadcast by AQE).
-BUDGET_BROADCAST_ROWS = 2_000_000
-
 
 def resolve_budgets(
     groups: DataFrame,
@@ -30,7 +25,7 @@ def resolve_budgets(
     ``null_category_is_overall=False`` (default): a NULL category inside a category
     breakdown gets no category budget.  Set True to judge it against the overall budget.
     """
-    b = sized_broadcast(budgets, BUDGET_BROADCAST_ROWS).select(
+    b = budgets.select(
         F.col("month_key").alias("_bm"), F.col("category").alias("_bc"), F.col("budget_limit").alias("_bl")
     )
     month_b = b.select(F.col("_bm").alias("_mm"), F.col("_bc").alias("_mc"), F.col("_bl").alias("_mb"))
@@ -50,8 +45,8 @@ def resolve_overall_budget(months: DataFrame, budgets: DataFrame, month_col: str
     """Overall (category NULL) budget per month: the month's row, else the 'default' row.
 
     The month lookup is a hash join; the default overall limit is a single value of the
-    (size-checked) budgets table, read once and applied with ``coalesce``."""
-    overall = sized_broadcast(budgets, BUDGET_BROADCAST_ROWS).where(F.col("category").isNull())
+    budgets table, read once and applied with ``coalesce``."""
+    overall = budgets.where(F.col("category").isNull())
     month_b = overall.where(F.col("month_key") != "default").select(
         F.col("month_key").alias("_mm"), F.col("budget_limit").alias("_mb"))
     row = overall.where(F.col("month_key") == "default").select("budget_limit").first()
@@ -62,8 +57,8 @@ def resolve_overall_budget(months: DataFrame, budgets: DataFrame, month_col: str
 
 def overall_budget_for(budgets: DataFrame, month: str) -> float | None:
     """The overall limit of one month (month row, else 'default'); reads at most two rows
-    of the size-checked budgets table."""
-    rows = (sized_broadcast(budgets, BUDGET_BROADCAST_ROWS)
+    of the budgets table."""
+    rows = (budgets
             .where(F.col("category").isNull() & F.col("month_key").isin(month, "default"))
             .select("month_key", "budget_limit").collect())
     by = {r.month_key: r.budget_limit for r in rows}

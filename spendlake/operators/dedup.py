@@ -261,7 +261,7 @@ def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
     side = keyed.where(F.col("key") == F.col("rep")).drop("key", "rep")
     mapping = keyed.select("key", "rep")
     state = side.withColumn("st", F.lit("U"))
-    for _ in range(s.max_rounds):
+    while True:  # every round settles the earliest undecided node at least
         und = state.where(F.col("st") == "U").drop("st")
         if und.isEmpty():
             break
@@ -275,8 +275,6 @@ def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
             state.join(upd, F.col("c_key") == F.col("seq"), "left")
             .withColumn("st", F.coalesce(F.col("_new"), F.col("st"))).drop("seq", "_new")
         )
-    else:
-        raise RuntimeError(f"batch leader election did not settle within {s.max_rounds} rounds")
     leaders = state.where(F.col("st") == "L").drop("st")
     followers = state.where(F.col("st") == "F").drop("st")
     lead_of = band_neighbours(followers, leaders, s, "min")

@@ -8,8 +8,7 @@ append to a change log folded by ``latest_state``.
 Audit rows: action, table_name, row_id, old_values, new_values (JSON text), source,
 created_on.  Row snapshots keep NULL fields and render timestamps as
 'yyyy-MM-dd HH:mm:ss' text, the way the surveyed ledger stores them.  Set-level
-entries (BULK_INSERT, PURGE) are chunked by id range so no entry holds an unbounded
-id list.
+entries (BULK_INSERT, PURGE) hold the count of the set, with one more entry per id.
 """
 
 from __future__ import annotations
@@ -18,12 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.config import DEFAULT_CATEGORY, SOURCE_DEFAULT
-from spendlake.session import assign_dense_ids, sized_broadcast
+from spendlake.session import assign_dense_ids
 
 EXPENSE_COLS = ("id", "amount", "category", "description", "transaction_date", "deleted_at", "inserted_on", "updated_on")
 BUDGET_COLS = ("id", "month_key", "category", "budget_limit", "inserted_on", "updated_on")
-CHANGE_BROADCAST_ROWS = 5_000_000
-AUDIT_CHUNK = 10_000
 
 
 def ts_text(c: Column) -> Column:
@@ -55,19 +52,16 @@ def audit_frame(df: DataFrame, action: str, table: str, row_id: Column, old: Col
     )
 
 
-def chunked_id_audit(ids: DataFrame, action: str, table: str, field: str, as_of_ts: str,
-                     source: str = SOURCE_DEFAULT, chunk: int = AUDIT_CHUNK) -> DataFrame:
-    """One set-level audit row per id range of ``chunk`` ids: {"count": n, "ids": [...]}.
-
-    Ids are unique, so each range holds at most ``chunk`` ids."""
-    g = ids.groupBy(F.floor(F.col("id") / chunk).alias("_chunk")).agg(
-        F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("id")).alias("ids")
-    )
-    payload = F.to_json(F.struct("count", "ids"))
-    return audit_frame(
-        g, action, table, F.lit(None), payload if field == "old" else None, payload if field == "new" else None,
-        as_of_ts, source,
-    )
+def set_audit(ids: DataFrame, action: str, table: str, field: str, as_of_ts: str,
+              source: str = SOURCE_DEFAULT) -> DataFrame:
+    """Audit of a set operation: one entry {"count": n} for the whole set (none for an empty
+    one) and one ``<action>_ROW`` entry per id.  Both carry the operation's source and
+    time; no list of ids is built, so the set may have any size."""
+    whole = ids.agg(F.count(F.lit(1)).alias("count")).where("count > 0")
+    payload = F.to_json(F.struct("count"))
+    head = audit_frame(whole, action, table, F.lit(None), payload if field == "old" else None,
+                       payload if field == "new" else None, as_of_ts, source)
+    return head.unionByName(audit_frame(ids, f"{action}_ROW", table, F.col("id"), None, None, as_of_ts, source))
 
 
 # ---------------------------------------------------------------------------
@@ -123,7 +117,7 @@ def append_expenses(state: DataFrame, payload: DataFrame, as_of_ts: str, order_c
     new_rows = prepare_appends(payload, as_of_ts, order_cols, high_water)
     new_state = state.select(*EXPENSE_COLS).unionByName(new_rows)
     if bulk:
-        audit = chunked_id_audit(new_rows.select("id"), "BULK_INSERT", "expenses", "new", as_of_ts, source)
+        audit = set_audit(new_rows.select("id"), "BULK_INSERT", "expenses", "new", as_of_ts, source)
     else:
         audit = audit_frame(new_rows, "INSERT", "expenses", F.col("id"), None, snapshot(), as_of_ts, source)
     return new_state, audit, rejects
@@ -137,7 +131,7 @@ def soft_delete(state: DataFrame, ids: DataFrame, as_of_ts: str,
                 source: str = SOURCE_DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """MUT-2: set deleted_at = as_of on active rows whose id is requested; a missing or
     already-deleted id is rejected; audit SOFT_DELETE with the full old row."""
-    req = sized_broadcast(ids.select(F.col("id").alias("_rid")).distinct(), CHANGE_BROADCAST_ROWS)
+    req = ids.select(F.col("id").alias("_rid")).distinct()
     j = state.join(req, state.id == req._rid, "left")
     hit = F.col("_rid").isNotNull() & F.col("deleted_at").isNull()
     stamp = F.lit(as_of_ts).cast("timestamp_ntz")
@@ -154,9 +148,9 @@ def soft_delete(state: DataFrame, ids: DataFrame, as_of_ts: str,
 
 
 def purge_deleted(state: DataFrame, as_of_ts: str, source: str = SOURCE_DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """MUT-3: drop soft-deleted rows; audit PURGE {count, ids} per id range (none when nothing to purge)."""
+    """MUT-3: drop soft-deleted rows; audit PURGE {count} and one PURGE_ROW per id (none when nothing to purge)."""
     gone = state.where(F.col("deleted_at").isNotNull())
-    audit = chunked_id_audit(gone.select("id"), "PURGE", "expenses", "old", as_of_ts, source)
+    audit = set_audit(gone.select("id"), "PURGE", "expenses", "old", as_of_ts, source)
     return state.where(F.col("deleted_at").isNull()), audit, state.limit(0)
 
 
@@ -167,7 +161,7 @@ def recategorise(state: DataFrame, changes: DataFrame, as_of_ts: str,
     without that column the greatest category."""
     last = F.max_by("new_category", "seq") if "seq" in changes.columns else F.max("new_category")
     ch = changes.groupBy("id").agg(last.alias("new_category"))
-    ch = sized_broadcast(ch.select(F.col("id").alias("_cid"), "new_category"), CHANGE_BROADCAST_ROWS)
+    ch = ch.select(F.col("id").alias("_cid"), "new_category")
     j = state.join(ch, state.id == ch._cid, "left")
     hit = F.col("_cid").isNotNull() & F.col("deleted_at").isNull()
     stamp = F.lit(as_of_ts).cast("timestamp_ntz")

@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from spendlake.config import AUTO_CATEGORY_MIN_CONFIDENCE, DEFAULT_CATEGORY
 from spendlake.operators.filters import active
-from spendlake.session import sized_broadcast
 
 GRAM = 3
-ROLLUP_CHUNK = 1000
 
 
 def _grams(s: Column, k: int) -> Column:
@@ -70,8 +68,7 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
     long_hits = dg.join(key, "g").where(F.col("ldesc").contains(F.col("term"))).select("term", "id", "category")
     out = long_hits
     if like_wildcards and not tw.isEmpty():
-        # Longest literal segment of the pattern; segments shorter than a gram fall back
-        # to a gram-free check against all descriptions only for those few terms.
+        # Keyed by the longest literal segment of the pattern, whole if it is shorter than a gram.
         seg = F.array_max(F.transform(F.split("term", "[%_]"), lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))
         tw = tw.withColumn("_seg", seg["s"])
         twg = tw.where(F.length("_seg") >= gram).select("term", F.explode(_grams(F.col("_seg"), gram)).alias("g"))
@@ -80,9 +77,16 @@ def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
         wkey = twg.groupBy("term").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"))
         like = F.expr("ldesc LIKE concat('%', term, '%')")
         out = out.unionByName(dg.join(wkey, "g").where(like).select("term", "id", "category").distinct())
-        short_w = tw.where(F.length("_seg") < gram).drop("_seg")
-        if not short_w.isEmpty():
-            out = out.unionByName(act.join(sized_broadcast(short_w, 10_000), like).select("term", "id", "category"))
+        for k in range(1, gram):
+            keyed = act.select("id", "category", "ldesc", F.explode(_grams(F.col("ldesc"), k)).alias("_seg"))
+            out = out.unionByName(keyed.join(tw.where(F.length("_seg") == k), "_seg").where(like)
+                                  .select("term", "id", "category").distinct())
+        # Terms of wildcards only ask for a number of characters ('_'): every length up to that of
+        # the description meets the terms by equality.
+        bare = tw.where(F.length("_seg") == 0).select(
+            "term", F.length(F.regexp_replace("term", "%", "")).alias("_least"))
+        least = act.select("id", "category", F.explode(F.sequence(F.lit(0), F.length("ldesc"))).alias("_least"))
+        out = out.unionByName(least.join(bare, "_least").select("term", "id", "category"))
     # Short terms (1 .. gram-1 chars): the term is its own only gram.
     # Only built when such terms exist (a size check that reads at most one row).
     for k in range(1, gram):
@@ -135,20 +139,13 @@ def gate_category(suggested: Column, confidence: Column, default_category: str =
     return F.when(suggested.isNotNull() & (confidence >= min_confidence), suggested).otherwise(F.lit(default_category))
 
 
-def rollup_by_category(items: DataFrame, batch_col: str = "batch", chunk_items: int = ROLLUP_CHUNK) -> DataFrame:
-    """AGG-10: one entry per (batch, category) with the total amount and the items
-    (sorted, ', '-joined) as description.
+def rollup_by_category(items: DataFrame, batch_col: str = "batch") -> DataFrame:
+    """AGG-10: one entry per (batch, category) with the total amount and the number of items,
+    whatever the group's size; ``rollup_items`` has the items behind the entries."""
+    return items.groupBy(batch_col, "category").agg(
+        F.round(F.sum("amount"), 2).alias("amount"), F.count(F.lit(1)).alias("items"))
 
-    Groups larger than ``chunk_items`` are spread over ceil(n / chunk_items) entries by
-    a hash of the item, so no entry (and no task) collects an unbounded list; the
-    totals of a group's entries add up to the group total."""
-    sizes = items.groupBy(batch_col, "category").agg(F.count(F.lit(1)).alias("_n"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / chunk_items)).cast("int")
-    keyed = items.join(sizes, [batch_col, "category"]).withColumn(
-        "chunk", F.pmod(F.xxhash64(F.coalesce("description", F.lit("")), F.col("amount")), chunks).cast("int")
-    )
-    return keyed.groupBy(batch_col, "category", "chunk").agg(
-        F.round(F.sum("amount"), 2).alias("amount"),
-        F.count(F.lit(1)).alias("items"),
-        F.array_join(F.sort_array(F.collect_list(F.coalesce("description", F.lit("")))), ", ").alias("description"),
-    )
+
+def rollup_items(items: DataFrame, batch_col: str = "batch") -> DataFrame:
+    """AGG-10: one row per item of a roll-up entry (key: batch and category; no list is built)."""
+    return items.select(batch_col, "category", F.coalesce("description", F.lit("")).alias("description"), "amount")

@@ -89,9 +89,14 @@ def resolved_budgets(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def parsed_messages(spark, sf_dir):
+    from pyspark.sql import functions as F
+
     from spendlake.operators.extract import extract_transactions
 
-    return extract_transactions(tables.all_messages(spark, sf_dir), as_of=tables.EVENTS_AS_OF)
+    # Dealt out, so that all tasks parse a table of one row group; by a random key (seeded), past
+    # which a filter on the result is not pushed into the input.
+    messages = tables.all_messages(spark, sf_dir).repartition(F.rand(17))
+    return extract_transactions(messages, as_of=tables.EVENTS_AS_OF)
 
 
 @register("message_extraction")
@@ -120,7 +125,7 @@ def pattern_breakdown(spark, sf_dir):
 
 @register("review_queue")
 def review_queue(spark, sf_dir):
-    """SNK-5: unmatched messages with the first 3000 body characters."""
+    """SNK-5: unmatched messages with their whole bodies."""
     from pyspark.sql import functions as F
 
     from spendlake.operators.extract import review_queue as rq
@@ -264,22 +269,33 @@ def category_suggestions(spark, sf_dir):
     return suggest_categories(ex, part_terms(spark, sf_dir))
 
 
-@register("category_rollup")
-def category_rollup(spark, sf_dir):
-    """AGG-10: order lines rolled up per (order, return flag) with an item list."""
+def order_items(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    from spendlake.operators.suggest import rollup_by_category
-
     li = tables.read_table(spark, sf_dir, "lineitem")
     part = tables.read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    items = li.join(part, li.l_partkey == part.p_partkey, "left").select(
+    return li.join(part, li.l_partkey == part.p_partkey, "left").select(
         F.col("l_orderkey").alias("batch"),
         F.col("l_returnflag").alias("category"),
         F.col("l_extendedprice").alias("amount"),
         F.col("p_name").alias("description"),
     )
-    return rollup_by_category(items)
+
+
+@register("category_rollup")
+def category_rollup(spark, sf_dir):
+    """AGG-10: order lines rolled up, one entry per (order, return flag)."""
+    from spendlake.operators.suggest import rollup_by_category
+
+    return rollup_by_category(order_items(spark, sf_dir))
+
+
+@register("category_rollup_items")
+def category_rollup_items(spark, sf_dir):
+    """AGG-10: the order lines behind the roll-up entries."""
+    from spendlake.operators.suggest import rollup_items
+
+    return rollup_items(order_items(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -338,7 +354,7 @@ def append_expenses_q(spark, sf_dir):
 
 @register("bulk_insert_audit")
 def bulk_insert_audit(spark, sf_dir):
-    """MUT-7 (BULK_INSERT): set-level audit rows, one per id range."""
+    """MUT-7 (BULK_INSERT): one entry for the set and one per id."""
     from spendlake.operators.mutations import append_expenses
 
     state = ledger_state(spark, sf_dir)
@@ -387,7 +403,7 @@ def soft_delete_rejects(spark, sf_dir):
 
 @register("purge_audit")
 def purge_audit(spark, sf_dir):
-    """MUT-3: purge soft-deleted rows; PURGE audit per id range (count + ids)."""
+    """MUT-3: purge soft-deleted rows; PURGE audit (the count, then one entry per id)."""
     from spendlake.operators.mutations import purge_deleted
 
     _, audit, _ = purge_deleted(ledger_state(spark, sf_dir), MUT_AS_OF)
@@ -540,7 +556,7 @@ def address_extraction(spark, sf_dir):
     both = cust.unionByName(docs)
     addr = extract_address(F.col("header"))
     return both.select("key", F.sha2(addr, 256).alias("address_sha"), F.length(addr).alias("address_len"),
-                       F.when(F.length(addr) <= 120, addr).alias("address"))
+                       addr.alias("address"))
 
 
 @register("mail_date_parse")
@@ -592,17 +608,11 @@ def run_inputs(spark, sf_dir):
     return msgs, led, cp
 
 
-_RUN_CACHE: dict = {}
-
-
 def ingest_run(spark, sf_dir, reprocess: bool = False):
     from spendlake.plans.runs import run_batch
 
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, reprocess)
-    if key not in _RUN_CACHE:
-        msgs, led, cp = run_inputs(spark, sf_dir)
-        _RUN_CACHE[key] = run_batch(msgs, led, cp.drop("seq"), RUN_AS_OF, reprocess=reprocess)
-    return _RUN_CACHE[key]
+    msgs, led, cp = run_inputs(spark, sf_dir)
+    return run_batch(msgs, led, cp.drop("seq"), RUN_AS_OF, reprocess=reprocess)
 
 
 @register("run_summary")

@@ -94,35 +94,90 @@ WHERE g.month_key IS NOT NULL
 # Message extraction, generated from the pattern registry
 # ---------------------------------------------------------------------------
 
+# Cues and finders written out for DuckDB; the registry of the library is not read here.
+_RX = {
+    "debit": r"(?is)(?:rs\.?|inr|₹)\s*(\d[\d,]*(?:\.\d{1,2})?)(?:\s+\w+){0,3}?\s+(?:debited|withdrawn|deducted|charged|spent)\b",
+    "upi_debit": r"(?is)(\d[\d,]*(?:\.\d{1,2})?)(?:\s+\w+){0,3}?\s+debited\b",
+    "order": r"(?is)\b(?:total|amount|paid|order\s+(?:of|for|worth))\b[^\n\d]{0,20}(\d[\d,]*(?:\.\d{1,2})?)",
+    "ride": r"(?is)\b(?:total|fare|amount|charged|paid)\b[^\n\d]{0,20}(\d[\d,]*(?:\.\d{1,2})?)",
+    "sent": r"(?is)(?:rs\.?|inr|₹)\s*(\d[\d,]*(?:\.\d{1,2})?)(?:\s+\w+){0,3}?\s+(?:paid|sent|debited)\b",
+    "sent_first": r"(?is)\b(?:paid|sent)\s+(?:rs\.?|inr|₹)\s*(\d[\d,]*(?:\.\d{1,2})?)",
+    "payee": r"(?is)\b(?:to|at|towards)\s+(?:your\s[^\n]*?\b(?:to|at|towards)\s+)?(\S[^\n]*?)"
+             r"\s*(?:\b(?:on|via|using|dated|ref|avl)\b|[.,;]\s|[.,;]?\z|\n)",
+    "day": r"(?is)\b(\d{2}[-/]\d{2}[-/](?:\d{4}|\d{2}))\b",
+    "ref_no": r"(?is)\bref(?:erence)?\b\.?\s*(?:(?:no|number|id)\b\.?)?\s*[:#-]?\s*([\w-]*\d[\w-]*)",
+    "upi_ref": r"(?is)\bupi\b[^\n\d]{0,12}(\d{6,})",
+    "upi_id": r"(?is)\b(?:vpa|upi(?:\s+id)?)\b\s*:?\s*([\w.-]+@\w+)",
+    "utr": r"(?is)\butr\b\s*(?:(?:no|number)\b\.?)?\s*[:#-]?\s*([\w-]*\d[\w-]*)",
+    "txn_id": r"(?is)\b(?:transaction|order)\s+id\b\s*[:#]?\s*([\w-]*\d[\w-]*)",
+    "order_id": r"(?is)\border\s*(?:(?:id|no|number)\b\.?\s*[:#]?|#|:)\s*([\w-]*\d[\w-]*)",
+    "trip_id": r"(?is)\btrip\s*(?:id\b)?\s*[:#]?\s*([\w-]*\d[\w-]*)",
+    "booking_id": r"(?is)\bbooking\s*(?:id\b)?\s*[:#]?\s*([\w-]*\d[\w-]*)",
+}
+# (family, name, cue, required field, fields besides the days), in the order of trial.
+_TRIALS = (
+    ("hdfcbank", "HDFC debit alert", "debit", "merchant", ("merchant", "ref_no", "upi_ref")),
+    ("hdfcbank", "HDFC UPI debit", "upi_debit", "upi_id", ("upi_id", "ref_no")),
+    ("sbi", "SBI debit alert", "debit", "merchant", ("merchant", "ref_no")),
+    ("icicibank", "ICICI debit alert", "debit", "merchant", ("merchant", "ref_no")),
+    ("axisbank", "Axis debit alert", "debit", "merchant", ("merchant", "ref_no", "utr")),
+    ("equitas", "Equitas debit alert", "debit", "merchant", ("merchant", "ref_no")),
+    ("swiggy", "Swiggy order confirmation", "order", None, ("order_id",)),
+    ("zomato", "Zomato order confirmation", "order", None, ("order_id",)),
+    ("amazon", "Amazon order confirmation", "order", None, ("order_id",)),
+    ("flipkart", "Flipkart order confirmation", "order", None, ("order_id",)),
+    ("uber", "Uber trip receipt", "ride", None, ("trip_id",)),
+    ("ola", "Ola ride receipt", "ride", None, ("booking_id",)),
+    ("phonepe", "PhonePe transaction", "sent", "merchant", ("merchant", "txn_id")),
+    ("phonepe", "PhonePe transaction", "sent_first", "merchant", ("merchant", "txn_id")),
+    ("paytm", "Paytm transaction", "sent", "merchant", ("merchant", "txn_id")),
+    ("paytm", "Paytm transaction", "sent_first", "merchant", ("merchant", "txn_id")),
+    (None, "Generic debit pattern", "debit", None, ("merchant", "ref_no", "utr")),
+)
+
+
 def _extraction_sql(source: str = "messages", with_messages: bool = True) -> str:
-    from spendlake.config import DEFAULT_ALLOWED_SENDERS, MERCHANT_SUBJECT_CHARS, REVIEW_BODY_CHARS
+    from spendlake.config import DEFAULT_ALLOWED_SENDERS
     from spendlake.functions.parsing import BRAND_BY_SENDER, MERCHANT_NOISE, REF_TYPES
-    from spendlake.operators.extract import DEFAULT_PATTERNS, FAMILY_ORDER, GENERIC, ordered_patterns
     from spendlake.plans.oracle_views import MESSAGES_CTE
     from spendlake.sources.tables import EVENTS_AS_OF
 
     def lit(s):
         return "'" + s.replace("'", "''") + "'"
 
-    pats = ordered_patterns(DEFAULT_PATTERNS)
+    families = list(dict.fromkeys(t[0] for t in _TRIALS if t[0]))
     fam = "CASE " + " ".join(
-        f"WHEN contains(lower(coalesce(sender_email, '')), {lit(k)}) THEN {lit(k)}" for k in FAMILY_ORDER
+        f"WHEN contains(lower(coalesce(sender_email, '')), {lit(k)}) THEN {lit(k)}" for k in families
     ) + " ELSE CAST(NULL AS VARCHAR) END"
     allowed = " OR ".join(f"contains(lower(coalesce(sender_email, '')), {lit(a.lower())})" for a in DEFAULT_ALLOWED_SENDERS)
+
+    def read(field, cue):
+        if field == "amount":
+            return f"regexp_extract(_text, {lit(_RX[cue])}, 1)"
+        rest = f"regexp_extract(_text, {lit(_RX[cue])}, 0)"
+        rest = f"substr(_text, strpos(_text, {rest}) + length({rest}))"
+        where, rx = {"merchant": (rest, "payee"), "date": (rest, "day"), "date2": ("_text", "day")}.get(field, ("_text", field))
+        return f"regexp_extract({where}, {lit(_RX[rx])}, 1)"
+
     hits = []
-    for i, p in enumerate(pats):
-        applies = "TRUE" if p.family == GENERIC else f"family = {lit(p.family)}"
-        re_ = lit(p.full())
-        amt = f"coalesce(TRY_CAST(replace(regexp_extract(_text, {re_}, {p.groups['amount']}), ',', '') AS DOUBLE), 0.0)"
-        hits.append(f"({applies} AND regexp_matches(_text, {re_}) AND {amt} > 0) AS h{i}")
-    win = "CASE " + " ".join(f"WHEN h{i} THEN {i}" for i in range(len(pats))) + " END"
+    for i, (family, _, cue, need, _) in enumerate(_TRIALS):
+        applies = f"family = {lit(family)}" if family else "TRUE"
+        amt = f"coalesce(TRY_CAST(replace({read('amount', cue)}, ',', '') AS DOUBLE), 0.0)"
+        needed = f" AND {read(need, cue)} <> ''" if need else ""
+        hits.append(f"({applies} AND {amt} > 0{needed}) AS h{i}")
+    win = "CASE " + " ".join(f"WHEN h{i} THEN {i}" for i in range(len(_TRIALS))) + " END"
 
     def pick(field):
-        arms = [f"WHEN {i} THEN regexp_extract(_text, {lit(p.full())}, {p.groups[field]})"
-                for i, p in enumerate(pats) if field in p.groups]
-        return "(CASE _w " + " ".join(arms) + " END)" if arms else "CAST(NULL AS VARCHAR)"
-
-    names = "CASE _w " + " ".join(f"WHEN {i} THEN {lit(p.name)}" for i, p in enumerate(pats)) + " END"
+        arms = []
+        for i, (_, _, cue, need, fields) in enumerate(_TRIALS):
+            known = field == "amount" or field in fields or (field in ("date", "date2") and cue not in ("order", "ride"))
+            if known:
+                arms.append(f"WHEN {i} THEN {read(field, cue)}")
+            elif field == "ref_no" and "txn_id" in fields:
+                arms.append(f"WHEN {i} THEN {read('txn_id', cue)}")
+        return "(CASE _w " + " ".join(arms) + " END)"
+
+    names = "CASE _w " + " ".join(f"WHEN {i} THEN {lit(t[1])}" for i, t in enumerate(_TRIALS)) + " END"
     brand = "CASE " + " ".join(
         f"WHEN contains(lower(coalesce(sender_email, '')), {lit(k)}) THEN {lit(v)}" for k, v in BRAND_BY_SENDER
     ) + " END"
@@ -154,7 +209,7 @@ m5 AS (
 m6 AS (
   SELECT *,
     CASE WHEN cleaned <> '' THEN cleaned
-         ELSE coalesce({brand}, CASE WHEN subject IS NOT NULL AND subject <> '' THEN substr(subject, 1, {MERCHANT_SUBJECT_CHARS}) ELSE 'Unknown' END)
+         ELSE coalesce({brand}, CASE WHEN subject IS NOT NULL AND subject <> '' THEN subject ELSE 'Unknown' END)
     END AS merchant,
     regexp_extract(raw_date, '{date_re}', 1) AS dd, regexp_extract(raw_date, '{date_re}', 2) AS s1,
     regexp_extract(raw_date, '{date_re}', 3) AS mm, regexp_extract(raw_date, '{date_re}', 4) AS s2,
@@ -185,7 +240,7 @@ parsed AS (
     CASE WHEN _w IS NOT NULL THEN strftime(txn_date, '%Y-%m-%d') END AS transaction_date,
     CASE WHEN _w IS NOT NULL THEN concat_ws(' ', merchant, {desc_parts}) END AS description,
     {", ".join(f"CASE WHEN _w IS NOT NULL THEN NULLIF(r_{t}, '') END AS {t}" for t in REF_TYPES)},
-    CASE WHEN _w IS NULL THEN substr(coalesce(body, ''), 1, {REVIEW_BODY_CHARS}) END AS body_for_review
+    CASE WHEN _w IS NULL THEN coalesce(body, '') END AS body_for_review
   FROM m7
 )"""
 
@@ -415,15 +470,13 @@ FROM terms t LEFT JOIN pt ON pt.term = t.term
 """)
 
 sql("category_rollup", """
-WITH items AS (
-  SELECT l_orderkey AS batch, l_returnflag AS category, l_extendedprice AS amount, p_name AS description
-  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
-),
-sizes AS (SELECT batch, category, count(*) AS n FROM items GROUP BY batch, category)
-SELECT i.batch, i.category, 0 AS chunk, round(sum(i.amount), 2) AS amount, count(*) AS items,
-       string_agg(coalesce(i.description, ''), ', ' ORDER BY coalesce(i.description, '')) AS description
-FROM items i JOIN sizes s ON s.batch = i.batch AND s.category = i.category
-GROUP BY i.batch, i.category
+SELECT l_orderkey AS batch, l_returnflag AS category, round(sum(l_extendedprice), 2) AS amount, count(*) AS items
+FROM lineitem GROUP BY ALL
+""")
+
+sql("category_rollup_items", """
+SELECT l_orderkey AS batch, l_returnflag AS category, coalesce(p_name, '') AS description, l_extendedprice AS amount
+FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
 """)
 
 
@@ -464,11 +517,17 @@ appended AS (
   FROM lines
 )"""
     sql("append_expenses", f"{payload} SELECT id, amount, category, description, transaction_date FROM appended")
-    sql("bulk_insert_audit", f"""{payload},
-ch AS (SELECT floor(id / 10000) AS k, count(*) AS n, list(id ORDER BY id) AS ids FROM appended GROUP BY 1)
-SELECT 'BULK_INSERT' AS action, 'expenses' AS table_name, CAST(NULL AS BIGINT) AS row_id,
-       CAST(NULL AS VARCHAR) AS old_values, CAST(to_json(struct_pack(count := n, ids := ids)) AS VARCHAR) AS new_values,
-       'cli' AS source FROM ch""")
+    def set_audit(action, rows, old):
+        count = "CAST(to_json(struct_pack(count := n)) AS VARCHAR)"
+        null = "CAST(NULL AS VARCHAR)"
+        return f"""
+SELECT '{action}' AS action, 'expenses' AS table_name, CAST(NULL AS BIGINT) AS row_id,
+       {count if old else null} AS old_values, {null if old else count} AS new_values, 'cli' AS source
+FROM (SELECT count(*) AS n FROM {rows}) WHERE n > 0
+UNION ALL
+SELECT '{action}_ROW', 'expenses', id, {null}, {null}, 'cli' FROM {rows}"""
+
+    sql("bulk_insert_audit", payload + set_audit("BULK_INSERT", "appended", False))
 
     req = f"""{base},
 req AS (
@@ -487,12 +546,8 @@ SELECT 'SOFT_DELETE' AS action, 'expenses' AS table_name, id AS row_id, {snap()}
        CAST(NULL AS VARCHAR) AS new_values, 'cli' AS source FROM sd WHERE hit""")
     sql("soft_delete_rejects", f"""{req}
 SELECT rid AS id FROM req WHERE rid NOT IN (SELECT id FROM expenses WHERE deleted_at IS NULL)""")
-    sql("purge_audit", f"""{base},
-ch AS (SELECT floor(id / 10000) AS k, count(*) AS n, list(id ORDER BY id) AS ids
-       FROM expenses WHERE deleted_at IS NOT NULL GROUP BY 1)
-SELECT 'PURGE' AS action, 'expenses' AS table_name, CAST(NULL AS BIGINT) AS row_id,
-       CAST(to_json(struct_pack(count := n, ids := ids)) AS VARCHAR) AS old_values, CAST(NULL AS VARCHAR) AS new_values,
-       'cli' AS source FROM ch""")
+    sql("purge_audit", f"{base}, gone AS (SELECT id FROM expenses WHERE deleted_at IS NOT NULL)"
+        + set_audit("PURGE", "gone", True))
 
     rc = f"""{base},
 ch AS (SELECT o_orderkey AS cid, 'DEFERRED' AS new_category FROM orders WHERE o_orderpriority = '5-LOW'),
@@ -585,7 +640,7 @@ WITH hs AS (
   UNION ALL SELECT -doc_id - 1, coalesce(text, '') FROM documents
 ), a AS (SELECT key, {addr} AS addr FROM hs)
 SELECT key, sha256(addr) AS address_sha, CAST(length(addr) AS INTEGER) AS address_len,
-       CASE WHEN length(addr) <= 120 THEN addr END AS address FROM a""")
+       addr AS address FROM a""")
 
     sql("mail_date_parse", """
 SELECT event_id, strftime(CAST(ts AS TIMESTAMP) + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+05:30' AS received_at
@@ -801,7 +856,7 @@ SELECT number, section,
        CASE section WHEN 'new' THEN 1 WHEN 'needs_review' THEN 2 WHEN 'duplicate' THEN 3 ELSE 4 END AS section_rank,
        amount, merchant, transaction_date,
        (SELECT ledger_id FROM fm WHERE fm.seq = sec.seq) AS matched_ledger_id,
-       CASE WHEN section = 'manual' THEN substr(coalesce(subject, '?'), 1, 60) END AS subject
+       CASE WHEN section = 'manual' THEN coalesce(subject, '?') END AS subject
 FROM sec WHERE section IS NOT NULL""")
 
 

@@ -27,7 +27,7 @@ from spendlake.functions.timeutil import parse_time
 from spendlake.operators.dedup import deduplicate, known_references
 from spendlake.operators.extract import extract_transactions, parser_stats
 from spendlake.operators.filters import insertable, ledger_lookback, ledger_payload, prune_checkpoint, split_by_sender
-from spendlake.operators.mutations import EXPENSE_COLS, chunked_id_audit, prepare_appends
+from spendlake.operators.mutations import EXPENSE_COLS, set_audit, prepare_appends
 from spendlake.operators.suggest import gate_category, suggest_categories
 from spendlake.session import assign_dense_ids, cut_lineage
 from spendlake.sources.io import unprocessed
@@ -113,7 +113,7 @@ def run_batch(
     high = ledger.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     appended = cut_lineage(prepare_appends(payload, as_of_ts, ["seq"], high, carry=("seq", "email_uid")))
     new_ledger = ledger.select(*EXPENSE_COLS).unionByName(appended.select(*EXPENSE_COLS))
-    audit = chunked_id_audit(appended.select("id"), "BULK_INSERT", "expenses", "new", as_of_ts)
+    audit = set_audit(appended.select("id"), "BULK_INSERT", "expenses", "new", as_of_ts)
 
     # JN-10: message -> ledger ids.
     ids = appended.groupBy("email_uid").agg(F.sort_array(F.collect_list("id")).alias("ledger_ids"))
@@ -167,7 +167,7 @@ def review_table(numbered: DataFrame) -> DataFrame:
         F.col("transaction.merchant").alias("merchant"),
         F.col("transaction.transaction_date").alias("transaction_date"),
         F.coalesce("merged_with_ledger_id", "probable_match_ledger_id").alias("matched_ledger_id"),
-        F.when(manual, F.substring(F.coalesce("subject", F.lit("?")), 1, 60)).alias("subject"),
+        F.when(manual, F.coalesce("subject", F.lit("?"))).alias("subject"),
     ).where(F.col("section").isNotNull()).orderBy("section_rank", "number")
 
 

@@ -1,5 +1,5 @@
-"""Session helpers: local sessions for tests/bench, checkpoint folder, sized broadcast,
-lineage cuts and distributed dense ids."""
+"""Session helpers: local sessions for tests/bench, checkpoint folder, lineage cuts and
+distributed dense ids."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows a side may have before we stop hinting a broadcast and let the planner shuffle.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "spendlake") -> SparkSession:
     """A local session for tests and the bench (the cluster passes its own session)."""
@@ -71,28 +68,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/spendlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Size check that stops early: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a checked bound; beyond it the planner shuffles
-    (and AQE may still convert to a broadcast from runtime statistics).
-
-    The check result is remembered on the DataFrame object, so one side used by
-    several joins of a job is checked once."""
-    key = f"_spendlake_small_{max_rows}"
-    small = getattr(df, key, None)
-    if small is None:
-        small = has_at_most(df, max_rows)
-        try:
-            setattr(df, key, small)
-        except AttributeError:
-            pass
-    return F.broadcast(df) if small else df
-
-
 def assign_dense_ids(df: DataFrame, order_cols: list, start: Column | int, id_col: str = "id") -> DataFrame:
     """Dense ids ``start + 1 .. start + n`` in ``order_cols`` order, without a
     single-partition window.
@@ -117,18 +92,3 @@ def assign_dense_ids(df: DataFrame, order_cols: list, start: Column | int, id_co
         id_col, (start_col + F.col("_off") + within + F.lit(1)).cast("bigint")
     )
     return out.drop("_mid", "_pid", "_off")
-
-
-def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows before a CPU-heavy per-row step, only when the input has fewer
-    partitions than the cluster can run at once (small inputs: a single row group).
-    Large scans already have many partitions, so this never adds a shuffle there.
-
-    The spread key is a seeded ``rand``: a filter on the heavy step's result (e.g. the
-    review queue) is then not pushed below the spread into the single input partition."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # remote sessions expose no partition count: leave the input as is
-        return df
-    return df.repartition(target, F.rand(17)) if n < target else df

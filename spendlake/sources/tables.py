@@ -293,7 +293,6 @@ def all_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the batch holds events from BATCH_START on; the overlap day is re-delivered mail.
 LEDGER_END = "2024-01-17 00:00:00"
 BATCH_START = "2024-01-16 00:00:00"
-EVENTS_SPLIT = BATCH_START
 EVENTS_AS_OF = "2024-01-31"
 
 

@@ -57,9 +57,11 @@ def test_fallback_and_review_queue(spark):
     p = parsed(spark)
     assert p["106"].parse_method in ("regex", "llm_needed")
     assert p["107"].parse_method == "llm_needed" and p["107"].confidence == 0.0
-    assert p["200"].parse_method == "llm_needed" and len(p["200"].body_for_review) == 3000
+    assert p["200"].parse_method == "llm_needed" and p["200"].body_for_review == MSGS[-1][5]
     df = spark.createDataFrame(MSGS, SCHEMA).withColumn("seq", F.col("email_uid").cast("bigint"))
     assert review_queue(extract_transactions(df, AS_OF)).count() == 3
+    cut = review_queue(extract_transactions(df, AS_OF), review_chars=3000).where("email_uid = '200'").first()
+    assert len(cut.body_for_review) == 3000
 
 
 def test_amount_and_date_scalars(spark):
@@ -127,3 +129,27 @@ def test_registry_validation(spark):
         validate_patterns([Pattern("x", "bad", r"rs\s*(\d+)", {"amount": 1, "merchant": 2})])
     with _pytest.raises(ValueError):
         validate_patterns([Pattern("x", "no amount", r"rs\s*(\d+)", {"merchant": 1})])
+
+
+def test_fields_found_in_any_order(spark):
+    """Hand-written expectations: references before the amount, payees behind 'to your ...', zero amounts."""
+    rows = [
+        (1, "no-reply@amazon.in", "Order", "Order ID: 402-77 was placed. Grand total INR 1,050.00"),
+        (2, "alerts@hdfcbank.net", "Alert", "Ref No 881A: INR 20 was charged to your card XX1 at Blue Tokai on 05-04-2026."),
+        (3, "noreply@phonepe.com", "Sent", "You paid Rs 75 to Asha Stores, Transaction ID: T90"),
+        (4, "alerts@axisbank.com", "Alert", "On 01/04/26 Rs.0 debited to X. Rs.9 debited to Y."),
+        (5, "x@example.com", "Note", "The total was 300 and the order #77 is late"),
+        (6, "a@swiggy.in", "Order", None),
+    ]
+    df = spark.createDataFrame(rows, "seq bigint, sender_email string, subject string, body string").select(
+        "*", F.col("seq").cast("string").alias("email_uid"), F.lit("2026-04-09T00:00:00+05:30").alias("received_at"))
+    got = {r.seq: r for r in extract_transactions(df, AS_OF).collect()}
+    assert got[1].transaction.amount == 1050.0 and got[1].transaction.reference_ids["order_id"] == "402-77"
+    two = got[2].transaction
+    assert (two.amount, two.merchant, two.transaction_date) == (20.0, "Blue Tokai", "2026-04-05")
+    assert two.reference_ids["ref_no"] == "881A"
+    three = got[3].transaction
+    assert (three.amount, three.merchant, three.reference_ids["ref_no"]) == (75.0, "Asha Stores", "T90")
+    assert three.transaction_date == "2026-04-09"
+    assert got[4].parse_method == "llm_needed"  # the first cue has no positive amount
+    assert got[5].parse_method == "llm_needed" and got[6].parse_method == "llm_needed"
