@@ -313,7 +313,9 @@ def near_duplicate_groups(docs: DataFrame, s: NearDupSettings = NearDupSettings(
     cross = materialise(_cross_candidates(keys, nodes, families, s), "candidates")
     needed = families.select("v").unionByName(cross.select(F.col("a").alias("v"))).unionByName(
         cross.select(F.col("b").alias("v"))).distinct()
-    sets = materialise(_full_sets(docs, nodes.join(needed, "v", "left_semi"), s), "sets")
+    # written without signatures and keys: the planner sees how small this side of the join with the texts is
+    wanted = materialise(nodes.select("v", "doc_id", "th", "n_shingles").join(needed, "v", "left_semi"), "wanted")
+    sets = materialise(_full_sets(docs, wanted, s), "sets")
     links = _family_links(families, sets, s).unionByName(_confirmed(cross, sets, s))
     parts = connected_components(links)
     labelled = nodes.select("v", "digest", "doc_id").join(parts, "v", "left").withColumn("root", F.coalesce("root", "v"))
