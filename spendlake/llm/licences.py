@@ -1,10 +1,15 @@
 """License scans by Dice coefficient over word bigrams (operator 5).
 
-Texts are normalised (lower case, letters and digits only, copyright lines left out) and compared
-with licence templates: Dice = 2 |A & B| / (|A| + |B|) over distinct word bigrams.  Each line, each
-paragraph (lines up to an empty one), each file header and the whole text is a segment.  A segment
-can reach the threshold t only with templates of between |A| t / (2 - t) and |A| (2 - t) / t
-bigrams; these are looked up by size, and an index from bigram to templates counts what they share.
+Texts are normalised (lower case, letters and digits only, copyright clauses left out) and compared
+with licence templates: Dice = 2 |A & B| / (|A| + |B|) over distinct word bigrams, where A is any run
+of words of the text, across lines and paragraphs.  A run reaches the threshold t with a template of
+m bigrams only if it shares m t / (2 - t) of them and has at most m (2 - t) / t; the best run starts
+and ends with a bigram of the template.  An index from bigram to templates names the templates that
+a text can reach; for those, the best run from each of their bigrams is found.  Of runs over the same
+passage the best one counts, and of overlapping runs of one licence.
+
+A copyright clause starts its line, and ends with it or where two bigrams of templates follow each
+other (a notice on the same line stays, as does a wrapped line of a notice).
 
 Rows are judged on their own: nothing is shuffled, and memory is one text and the templates.
 
@@ -17,9 +22,10 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +123,7 @@ NAMES = (
 
 TOKEN = re.compile(r"[^\W_]+")
 COPYRIGHT = re.compile(r"^\W*(copyright|\(c\)|©|all rights reserved)", re.IGNORECASE)
+COPYRIGHT_MARKS = ("copyright", "(c)", "©", "all rights reserved")
 
 
 @dataclass(frozen=True)
@@ -152,8 +159,9 @@ class Templates:
         for k, (grams, _) in enumerate(ordered):
             for g in grams:
                 self.index.setdefault(g, []).append(k)
-        self.least = math.floor(self.sizes[0] * self.t / (2 - self.t))
-        self.most = math.ceil(self.sizes[-1] * (2 - self.t) / self.t)
+        # shared bigrams that a run needs, and bigrams that it has at most
+        self.need = [math.ceil(n * self.t / (2 - self.t) - 1e-9) for n in self.sizes]
+        self.most = [math.floor(n * (2 - self.t) / self.t + 1e-9) for n in self.sizes]
 
     def best(self, grams: frozenset) -> tuple[float, str] | None:
         """Best (score, id) at or above the threshold."""
@@ -171,35 +179,94 @@ class Templates:
         score, key = min(scores, default=(0.0, ""))
         return (-score, key) if -score >= self.t else None
 
-    def segments(self, text: str):
-        """(first line, text) of lines, paragraphs and the whole text, without copyright lines."""
-        lines = text.split("\n")
-        clean = [(i, "" if COPYRIGHT.match(x) else x) for i, x in enumerate(lines)]
-        yield from clean
-        start, part = 0, []
-        for i, x in [*clean, (len(lines), None)]:
-            if x is not None and lines[i].strip():
-                part.append(x)
-                continue
-            if len(part) > 1:
-                yield start, " ".join(part)
-            start, part = i + 1, []
-        if len(lines) > 1:
-            yield 0, " ".join(x for _, x in clean)
+    def words(self, text: str) -> list[str]:
+        """The text's words without copyright clauses."""
+        return [w for w, _ in self._numbered(text)] if self._marked(text) else TOKEN.findall(text.lower())
+
+    @staticmethod
+    def _marked(text: str) -> bool:
+        low = text.lower()
+        return any(x in low for x in COPYRIGHT_MARKS)
+
+    def _numbered(self, text: str) -> list[tuple[str, int]]:
+        """(word, line) of the text's words without copyright clauses."""
+        words: list[tuple[str, int]] = []
+        clauses = []
+        for i, line in enumerate(text.split("\n")):
+            start = len(words)
+            words += [(w, i) for w in TOKEN.findall(line.lower())]
+            if COPYRIGHT.match(line):
+                clauses.append((start, len(words)))
+        gone: set[int] = set()
+        for start, end in clauses:
+            for p in range(start, end):
+                if all((x[0], y[0]) in self.index for x, y in zip(words[p : p + 2], words[p + 1 : p + 3])) and p + 2 < len(words):
+                    break
+                gone.add(p)
+        return [x for p, x in enumerate(words) if p not in gone]
+
+    def runs(self, words: list[str]) -> list[tuple[float, str, int, int]]:
+        """(score, id, first word, word after the last) of the best run from each bigram of each template
+        that the text can reach, where it is at or above the threshold."""
+        at: dict[tuple, list[int]] = {}
+        index = self.index
+        for p, g in enumerate(zip(words, words[1:])):
+            if g in index:
+                at.setdefault(g, []).append(p)
+        shared: dict[int, int] = {}
+        for g in at:
+            for k in index[g]:
+                shared[k] = shared.get(k, 0) + 1
+        reach = [k for k, c in shared.items() if c >= self.need[k]]
+        if not reach:
+            return []
+        n = len(words) - 1
+        before = np.full(n, -1, np.int64)  # where the same bigram stands before
+        last: dict[tuple, int] = {}
+        for p, g in enumerate(zip(words, words[1:])):
+            before[p] = last.get(g, -1)
+            last[g] = p
+        out = []
+        for k in reach:
+            inside = np.zeros(n, bool)
+            for g, places in at.items():
+                if k in index[g]:
+                    inside[places] = True
+            for s in np.flatnonzero(inside).tolist():
+                span = 2 * self.most[k]
+                while True:
+                    new = np.flatnonzero(before[s : s + span] < s)[: self.most[k]]  # bigrams new to the run
+                    common = np.cumsum(inside[s + new])
+                    if len(new) == self.most[k] or s + span >= n or common[-1] == shared[k]:
+                        break
+                    span *= 2
+                if common[-1] < self.need[k]:
+                    continue
+                scores = 2 * common / (np.arange(1, len(new) + 1) + self.sizes[k])
+                e = int(scores.argmax())
+                if scores[e] >= self.t:
+                    out.append((float(scores[e]), self.ids[k], s, s + int(new[e]) + 2))
+        return out
 
     def scan(self, text: str) -> list[tuple[float, str, int]]:
-        """(score, id, line) of the best match of each matching segment."""
-        found = []
-        for line, part in self.segments(text):
-            # n words have at most n - 1 bigrams, and a word has at least one character and a separator
-            if len(part) < 2 * self.least or part.count(" ") > 4 * self.most + 50:
+        """(score, id, line) of the matches."""
+        found = self.runs(self.words(text))
+        if not found:
+            return []
+        lines = [i for _, i in self._numbered(text)]
+        longest = max(e - s for _, _, s, e in found)
+        taken: dict[str, bytearray] = {}
+        chosen: list[tuple[int, int, str, float]] = []  # by first word
+        for score, key, s, e in sorted(found, key=lambda x: (-x[0], x[1], x[2] - x[3], x[2])):
+            own = taken.setdefault(key, bytearray(len(lines)))
+            if own.find(1, s, e) >= 0:
                 continue
-            grams = bigrams(part)
-            if self.least <= len(grams) <= self.most:
-                hit = self.best(grams)
-                if hit:
-                    found.append((*hit, line))
-        return found
+            near = chosen[bisect_left(chosen, (s - longest,)) : bisect_left(chosen, (e,))]
+            if any(2 * (min(e, y) - max(s, x)) > max(e - s, y - x) for x, y, _, _ in near):
+                continue  # the same passage as a better one
+            own[s:e] = b"\1" * (e - s)
+            insort(chosen, (s, e, key, score))
+        return [(score, key, lines[s]) for s, _, key, score in chosen]
 
 
 def licence_report(docs: DataFrame, settings: LicenceSettings = LicenceSettings()) -> DataFrame:

@@ -133,6 +133,45 @@ def test_licence_pruning_equals_full_comparison():
         assert (hit is not None) == (best >= t.t) and (hit is None or abs(hit[0] - best) < 1e-12)
 
 
+def test_licences_inside_longer_texts():
+    t = licences.Templates(licences.LicenceSettings())
+    prose = " ".join(f"word{i} about{i % 7} things" for i in range(900))
+    for key, text in licences.TEMPLATES:
+        parts = text.replace(". ", ".\n\n").replace(": ", ":\n\n")  # blank lines, as the wordings are usually set
+        found = t.scan(f"{prose}\n\nCopyright (c) 2020 Somebody\n\n{parts}\n\n{prose}")
+        assert [(x[0], x[1]) for x in found] == [(1.0, key)], key
+        assert [(x[0], x[1]) for x in t.scan(f"{prose} {text} {prose}")] == [(1.0, key)], key
+        wrapped = "\n".join(" * " + " ".join(text.split()[i : i + 3]) for i in range(0, len(text.split()), 3))
+        assert [(x[0], x[1]) for x in t.scan(f"{prose}\n{wrapped}\n{prose}")] == [(1.0, key)], key
+    assert t.scan("Copyright 2020 A. Person. Licensed under the MIT License. All rights reserved.") == [(1.0, "MIT", 0)]
+    assert t.scan("(c) University of the Arts, released under\nthe ISC License") == [(1.0, "ISC", 0)]
+    gap = " " * 5000
+    assert t.scan(f"one{gap}two\nLicensed{gap}under CC BY 4.0; see there") == [(1.0, "CC-BY-4.0", 1)]
+    both = t.scan(f"Released under the MIT License.\n{prose}\nReleased under the MIT License. {prose} SPDX-License-Identifier: GPL-3.0")
+    assert [(x[1], x[2]) for x in both] == [("MIT", 0), ("MIT", 2), ("GPL-3.0", 2)]
+
+
+def test_licence_runs_equal_all_windows():
+    t = licences.Templates(licences.LicenceSettings())
+    rng = random.Random(8)
+    sets = [(key, licences.bigrams(x)) for key, x in licences.all_templates()]
+    notices = [x for _, x in licences.all_templates() if len(x) < 120]
+    for _ in range(40):
+        words = []
+        for _ in range(3):
+            words += rng.choices(["the", "license", "under", "licensed", "mit"], k=rng.randrange(6)) + rng.choice(notices).split()
+            if rng.random() < 0.5:
+                words.insert(rng.randrange(len(words)), rng.choice(words))
+        words = licences.TOKEN.findall(" ".join(words).lower())
+        best = 0.0
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                grams = set(zip(words[a:b], words[a + 1 : b]))
+                best = max(best, max(2 * len(grams & x) / (len(grams) + len(x)) for _, x in sets))
+        found = t.scan(" ".join(words))
+        assert max((x[0] for x in found), default=0.0) == (best if best >= t.t else 0.0)
+
+
 # ---------------------------------------------------------------- operator 6
 
 def test_best_fit_decreasing_takes_the_tightest_row():
