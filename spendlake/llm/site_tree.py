@@ -8,6 +8,9 @@ furniture, and are removed from every page of the host.  Pages of a host with to
 furniture that differs from page to page (adverts, comments), are judged by the presentation
 part of the style alone: tags and class words that name furniture.
 
+Names are evidence only: a named element (or form) that a <main> lies in, that holds the page's
+articles, or that holds most of its text is a layout wrapper and hides nothing (``lifted``).
+
 Scale: the tree is built from (host, path, content hash) counts, summed per task first, so a hot
 host is one row per distinct content and task.  Only the low-importance paths (a list per host,
 a few short strings) meet the pages again, by a join on the host that splits a hot host.
@@ -52,7 +55,9 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math canvas object".split())
 RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE) for tag in RAW}
-HIDDEN = RAW | frozenset("head button select option datalist dialog audio video map form fieldset label legend".split())
+HIDDEN = RAW | frozenset("head button select option datalist dialog audio video map label legend".split())
+# Any other tag, and text, ends an open head.
+HEAD_TAGS = frozenset("html head base link meta".split()) | RAW
 FURNITURE_TAGS = frozenset("nav footer aside menu header".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -74,6 +79,12 @@ FURNITURE_WORDS = frozenset(
     "login signin register search searchbox share sharing social follow "
     "comment comments commentlist discussion disqus replies reply respond "
     "toolbar skip toc tags tagcloud form print".split())
+# Of these, words for what a page's own text is never in, unless its articles are.
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted "
+    "related recommended recommendations trending popular cookie cookies consent gdpr newsletter subscribe signup "
+    "comment comments commentlist discussion disqus replies reply respond".split())
+MODIFIER = re.compile(r"(?:has|no|with|without|hide|show)[-_]")
 HEADING_WORDS = frozenset("header masthead banner".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -82,38 +93,41 @@ CONTENT_TAGS = frozenset("article main".split())
 TELLING = re.compile(r"class|id\s*=|role|hidden|style", re.IGNORECASE)
 
 
-def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
+def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, str, bool]:
     return _full_style(tag, attrs if attrs and TELLING.search(attrs) else "", inside)
 
 
 @functools.lru_cache(maxsize=20_000)
-def _full_style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, bool]:
-    """(style, names furniture, is hidden) of an element; ``inside`` an article, headers are its own."""
+def _full_style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, str, bool]:
+    """(style, is furniture by tag or role, kind of name, is hidden) of an element; ``inside`` an article,
+    headers are its own.  Kinds: "" none, "layout" a furniture name that wrappers have too, "foreign"."""
     found = {}
     for m in ATTRIBUTE.finditer(attrs) if attrs.strip(" /\n\t") else ():
         found.setdefault(m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or ""))
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = re.findall(r"[a-z]+", names)
+    words = {w for name in names.split() if not MODIFIER.match(name) for w in re.findall(r"[a-z]+", name)}
     role = found.get("role", "").lower()
-    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or any(w in FURNITURE_WORDS for w in words)
+    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES
+    named = words & FURNITURE_WORDS
     if inside and (tag == "header" or "header" in words) and not role:
-        furniture = any(w in FURNITURE_WORDS - HEADING_WORDS for w in words)
+        furniture, named = False, named - HEADING_WORDS
     if tag in ("html", "body") or tag in CONTENT_TAGS:
-        furniture = role in FURNITURE_ROLES
+        furniture, named = role in FURNITURE_ROLES, set()
+    kind = "foreign" if named & FOREIGN_WORDS else "layout" if named or tag in ("form", "fieldset") else ""
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(
         re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()))
     style = tag + "".join("." + x for x in sorted(set(names.split())) if not re.search(r"\d{2}", x))
-    return style + (f"[{role}]" if role else ""), furniture, hidden
+    return style + (f"[{role}]" if role else ""), furniture, kind, hidden
 
 
 class Block:
-    """Text of one block: its style path, whether an ancestor names furniture, whether it lies in the
-    article, and its pieces."""
+    """Text of one block: its style path, whether it is furniture, whether it lies in an article, the
+    named elements around it ((number, is foreign), outermost first), and its pieces."""
 
-    __slots__ = ("path", "furniture", "article", "pieces", "_text")
+    __slots__ = ("path", "furniture", "article", "named", "pieces", "_text")
 
-    def __init__(self, path: str, furniture: bool, article: bool):
-        self.path, self.furniture, self.article, self.pieces = path, furniture, article, []
+    def __init__(self, path: str, furniture: bool, article: bool, named: tuple):
+        self.path, self.furniture, self.article, self.named, self.pieces = path, furniture, article, named, []
         self._text: str | None = None
 
     def text(self) -> str:
@@ -127,8 +141,9 @@ class Block:
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     out: list[Block] = []
-    # (tag, style path, furniture, article)
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # (tag, style path, furniture, article, named elements)
+    stack: list[tuple[str, str, bool, bool, tuple]] = [("", "", False, False, ())]
+    n_named = 0
     current: Block | None = None
     at = 0
 
@@ -136,20 +151,17 @@ def blocks_of(html: str) -> list[Block]:
         nonlocal current
         if not text:
             return
+        if stack[-1][0] == "head" and not text.isspace():
+            close(len(stack) - 1)
         if current is None:
-            block_path, furniture, article = "", False, False
-            for tag, path, bad, inside in reversed(stack):
-                if tag in BLOCKS or not tag:
-                    block_path = path
-                    break
-            furniture, article = stack[-1][2], stack[-1][3]
-            current = Block(block_path, furniture, article)
+            block_path = next(x[1] for x in reversed(stack) if x[0] in BLOCKS or not x[0])
+            current = Block(block_path, *stack[-1][2:])
             out.append(current)
         current.pieces.append(text)
 
     def close(index: int) -> None:
         nonlocal current
-        if any(x[0] in BLOCKS or x[2] for x in stack[index:]):
+        if any(x[0] in BLOCKS or x[2] or x[4] for x in stack[index:]):
             current = None
         del stack[index:]
 
@@ -184,6 +196,8 @@ def blocks_of(html: str) -> list[Block]:
                 end = RAW_END[tag].search(html, at)
                 seen = at = end.start() if end else len(html)
             continue
+        if tag not in HEAD_TAGS and stack[-1][0] == "head":
+            close(len(stack) - 1)
         if tag in CLOSES_P and any(x[0] == "p" for x in stack):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
@@ -203,12 +217,59 @@ def blocks_of(html: str) -> list[Block]:
             if tag in BLOCKS:
                 current = None
             continue
-        _, path, bad, inside = stack[-1]
-        style, furniture, hidden = _style(tag, m["attrs"], inside)
-        if tag in BLOCKS or furniture != bad:
+        _, path, bad, inside, named = stack[-1]
+        style, furniture, kind, hidden = _style(tag, m["attrs"], inside)
+        if tag in BLOCKS or furniture != bad or kind:
             current = None
-        stack.append((tag, f"{path}/{style}", bad or furniture or hidden or tag in HIDDEN, inside or tag in CONTENT_TAGS))
-    return [b for b in out if b.text()]
+        if kind:
+            n_named += 1
+            named = (*named, (n_named, kind == "foreign"))
+        elif tag == "main":
+            named = ()
+        stack.append((tag, f"{path}/{style}", bad or furniture or hidden or tag in HIDDEN, inside or tag in CONTENT_TAGS, named))
+    return lifted([b for b in out if b.text()])
+
+
+def lifted(blocks: list[Block]) -> list[Block]:
+    """Names judged by the page: sets ``furniture`` of blocks in named elements that are no wrappers.
+
+    Its text (without foreign elements inside) is compared with the text outside of named elements.  An element
+    hides nothing when it has an article, the text outside has none and is shorter, or when its text is most of
+    the page's and over four times the text outside (which must have no article that it lacks).  A foreign
+    element needs both: the articles and four times the text."""
+    open_ = [b for b in blocks if b.named and not b.furniture]
+    if open_:
+        free = [b for b in blocks if not b.named and not b.furniture]
+        total = sum(len(b.text()) for b in blocks)
+        size = sum(len(b.text()) for b in free)
+        article = any(b.article for b in free)
+        while open_:
+            around: dict[tuple, list[Block]] = {}
+            for b in open_:
+                around.setdefault(b.named[0], []).append(b)
+            found = None
+            for element, held in around.items():
+                own = [b for b in held if not any(foreign for _, foreign in b.named[1:])] or held
+                length = sum(len(b.text()) for b in own)
+                has = any(b.article for b in own)
+                if element[1]:
+                    wrapper = has and not article and length > 4 * size
+                else:
+                    wrapper = has and not article and length > size or (
+                        2 * length > total and length > 4 * size and (has or not article))
+                if wrapper and (found is None or (has, length) > found[:2]):
+                    found = (has, length, element)
+            if found is None:
+                break
+            for b in around[found[2]]:
+                b.named = b.named[1:]
+                if not b.named:
+                    size += len(b.text())
+                    article = article or b.article
+            open_ = [b for b in open_ if b.named]
+        for b in open_:
+            b.furniture = True
+    return blocks
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
@@ -259,10 +320,10 @@ def main_text(html: str | None, low: frozenset = frozenset()) -> str:
     """The page's main text: blocks outside furniture and low-importance branches, one per line.
 
     Inside an article the tree removes nothing (equal articles on many pages are still articles).
-    When a page has an article, text outside of it is left out."""
+    When articles hold most of the text, text outside of them is left out."""
     blocks = blocks_of(html) if html else []
     kept = [b for b in blocks if not b.furniture and (b.article or not _below(b.path, low))]
-    if any(b.article for b in kept):
+    if 2 * sum(len(b.text()) for b in kept if b.article) > sum(len(b.text()) for b in kept):
         kept = [b for b in kept if b.article]
     return "\n".join(b.text() for b in kept)
 

@@ -93,6 +93,36 @@ def test_main_text_of_articles(spark):
     assert site_tree.extract_pages(df.limit(0)).count() == 0
 
 
+STORY = "<h1>Head line</h1><p>First part of the story, quite long.</p><p>Second part of the story, as long.</p>"
+TEXT = "Head line\nFirst part of the story, quite long.\nSecond part of the story, as long."
+
+
+@pytest.mark.parametrize("name", ["class='content-sidebar-wrap'", "class=has-sidebar", "class=no-sidebar", "id='page-header-wrap'",
+                                  "class='ad-free'", "class='side menu-page'"])
+def test_layout_wrappers_hide_nothing(name):
+    box = "<nav>Go</nav><div class=comments><article>A comment</article></div><div class=ad>Buy this</div><footer>End</footer>"
+    for story in (f"<article>{STORY}</article>", f"<main>{STORY}</main>"):
+        for page in (f"<body><div {name}>{story}{box}</div>", f"<body><div {name}><div {name}>{story}</div>{box}</div>"):
+            assert site_tree.main_text(page) == TEXT, page
+    if "ad-" not in name:
+        assert site_tree.main_text(f"<body><div {name}><div>{STORY}</div>{box}</div>") == TEXT
+        assert site_tree.main_text(f"<body><form {name}><div>{STORY}</div></form><footer>End</footer></body>") == TEXT
+
+
+def test_open_heads_and_stories_outside_articles():
+    for head in ("<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><title>T</title><style>p{}</style><body class=x>"):
+        assert site_tree.main_text(f"{head}<article>{STORY}</article>") == TEXT
+        assert site_tree.main_text(f"{head}{STORY}") == TEXT
+    assert site_tree.main_text("<head><title>T</title>Plain words") == "Plain words"
+    for other in ("<article>A teaser</article>", "<section><article><p>A comment</p></article></section>"):
+        got = site_tree.main_text(f"<body><div id=content>{STORY}</div>{other}")
+        assert got.startswith(TEXT), got
+    side = "<div class=sidebar><article>A teaser</article></div><div class=comments><article>A comment</article></div>"
+    assert site_tree.main_text(f"<body><div id=content>{STORY}</div>{side}") == TEXT
+    few = "<article><p>Short story.</p></article>"
+    assert site_tree.main_text(f"<body>{few}<div class=ad>{'Buy this now. ' * 30}</div><div class=sidebar>{STORY}</div>") == "Short story."
+
+
 def test_style_tree_removes_repeated_branches(spark):
     page = '<body><div class="top">Welcome to the site</div><div class="text"><p>Story {0} of its own</p></div><div class="end">All the same</div></body>'
     df = frame(spark, [(i, f"http://s.example/{i}", page.format(i)) for i in range(8)], "page_id long, url string, html string")
