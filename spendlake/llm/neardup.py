@@ -20,8 +20,9 @@ on their full sets.  So no pair is listed inside a group of copies and no cap dr
 Defined cases: null and empty texts have an empty set, are their own group and are kept; texts of
 fewer than five words are one shingle; equal documents are linked by their equal sets; a group's id is
 its smallest non-null doc_id; rows with a null id are kept only if their group has no id at
-all; rows with equal ids are kept or removed together; an empty table gives an empty result; other
-columns are not read (or, in the filter, returned unchanged).
+all; rows with equal ids are kept or removed together; the filter instead leaves exactly one row of a
+group, also of repeated rows and of groups without an id; an empty table gives an empty result;
+other columns are not read (or, in the filter, returned unchanged).
 """
 
 from __future__ import annotations
@@ -301,7 +302,11 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, s: NearDupSettings) -> DataFra
 
 def near_duplicate_groups(docs: DataFrame, s: NearDupSettings = NearDupSettings()) -> DataFrame:
     """Per document: doc_id, th (hash of its text), n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
+    return _grouped(docs.select("doc_id", "text"), s).drop("digest", "node")
+
+
+def _grouped(docs: DataFrame, s: NearDupSettings) -> DataFrame:
+    """near_duplicate_groups with digest (of the set; null without words) and node (of the group; null without words)."""
     rows = materialise(described(docs, s), "described")
     one = rows.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("one"),
@@ -318,17 +323,32 @@ def near_duplicate_groups(docs: DataFrame, s: NearDupSettings = NearDupSettings(
     parts = connected_components(links)
     labelled = nodes.select("v", "digest", "doc_id").join(parts, "v", "left").withColumn("root", F.coalesce("root", "v"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    groups = materialise(labelled.join(smallest, "root").select("digest", "component_id"), "groups")
+    groups = materialise(labelled.join(smallest, "root").select("digest", F.col("root").alias("node"), "component_id"), "groups")
     out = rows.select("doc_id", "th", "n_shingles", "digest").join(groups, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "th", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), "digest", "node").withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def drop_near_duplicates(docs: DataFrame, s: NearDupSettings = NearDupSettings()) -> DataFrame:
-    """The documents that stay, with their columns: one id per group."""
-    gone = materialise(near_duplicate_groups(docs, s).where("not kept").select(
-        F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "removed")
+    """The documents that stay, with their columns: one row per group.
+
+    A group's row is the first by doc_id (nulls last) and text hash.  Rows equal in both are told apart by a
+    number that is written with the few rows of which there are several; texts without words stay."""
+    grouped = materialise(_grouped(docs.select("doc_id", "text"), s).where("node is not null").select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "node"), "grouped")
+    rank = F.struct(F.col("__id").isNull().alias("no_id"), "__id", "__th")
+    first = grouped.groupBy("node").agg(F.min(rank).alias("one"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    # the rows of a group of several: all go but, of the first, one
+    several = grouped.join(first, "node").groupBy("__id", "__th").agg(
+        F.max(rank == F.col("one")).alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    gone = materialise(several.where("not __first or __rows > 1"), "removed")
     d = docs.withColumn("__h", F.xxhash64("text"))
-    kept = d.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_anti")
-    return kept.drop("__h")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    kept = d.join(gone, same, "left_anti").drop("__h")
+    repeated = gone.where("__first").select("__id", "__th")
+    if repeated.isEmpty():
+        return kept
+    copies = materialise(d.join(repeated, same).withColumn("__row", F.monotonically_increasing_id()), "copies")
+    chosen = copies.groupBy("__id", "__th").agg(F.min("__row").alias("__row")).select("__row")
+    return kept.unionByName(copies.join(chosen, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))

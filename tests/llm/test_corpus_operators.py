@@ -134,6 +134,22 @@ def test_near_duplicates_equal_brute_force(spark, seed, cell):
     assert {r.doc_id for r in kept.collect()} == {d for d, _, _, k in brute_groups(rows) if k}
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) for _ in range(6)]
+    near = [f"{t} tail" for t in texts]
+    rows = [(1, texts[0])] * 5 + [(2, near[0])] + [(3, texts[1]), (3, near[1])] + [(None, texts[2])] * 4 + [(None, near[2])] * 3
+    rows += [(None, texts[3]), (9, near[3]), (8, texts[4]), (7, None), (7, None), (None, ""), (6, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", i) for i, (d, t) in enumerate(rows)], DOCS)
+    kept = neardup.drop_near_duplicates(df.repartition(4))
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    base = [(min(x.split()[:60] for x in [t]), d) for d, t in got if t]
+    assert len(base) == len({tuple(w) for w, _ in base}) == 5
+    assert collections.Counter(d for _, d in base) == {1: 1, 3: 1, None: 1, 9: 1, 8: 1}
+    assert sorted((x for x in got if not x[1]), key=str) == sorted([(7, None), (7, None), (None, ""), (6, "")], key=str)
+
+
 def test_near_duplicates_of_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert neardup.near_duplicate_groups(empty).count() == 0
