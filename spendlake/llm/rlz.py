@@ -1,12 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing (operator 7).
+"""Substring deduplication by repeated windows, in place of relative Lempel-Ziv parsing (operator 7).
 
 The corpus itself is the reference.  Its blocks are the partitions of an index from minimisers to
 the contexts in which they stand (see ``repeats.py``); every document's occurrences meet every
-block that can hold a match, by key, instead of scanning block after block.  A document is then
-parsed greedily from left to right: a factor is the longest stretch from the current word on
-whose windows all have a reference elsewhere; factors of at least one window are duplicate spans.
-At the boundaries of factors and contexts windows are compared one by one, so no repeated
-window is missed where a factor's reference ends.
+block that can hold a match, by key, instead of scanning block after block.  No factors (reference
+position, length) are made: the windows that stand elsewhere too are united, and each stretch of
+words that they cover is a duplicate span, whatever references its parts have.  The union is what a
+greedy parse with a check of each window at factor boundaries removes, without keeping references.
 
 Every occurrence of a repeated passage is a span, the first included.  Windows are judged on the
 input, not on what is left.
@@ -31,8 +30,8 @@ SPANS = "array<struct<a:int,b:int>>"
 
 
 def parsed_documents(docs: DataFrame, settings: WindowSettings = SETTINGS, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 and spans (word ranges of the factors that
-    are duplicates); with_text: also kept_text (kept words joined by one space)."""
+    """Per document: doc_id, n_words, n_removed, kept_sha256 and spans (word ranges covered by
+    repeated windows); with_text: also kept_text (kept words joined by one space)."""
     rows = dealt(docs)
     found = repeated_windows(docs, rows, settings)
     joined = rows.join(found, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "__found")
