@@ -7,7 +7,8 @@ Index.  A signature has ``symbols`` minimum hashes, kept with 8 bits each for di
 ``chunks * chunk`` of them, in full width, are split into chunks; by the pigeonhole principle two
 signatures that differ in at most ``2 * chunks - 1`` of these symbols differ in at most one symbol of
 some chunk, so every chunk is indexed once for each symbol left out.  Two documents with
-similarity 0.75 share no key with probability 0.156 ** 12 = 2e-10.
+similarity 0.75 share no key with probability 0.156 ** 12 = 2e-10.  So coverage is by probability: pairs
+within ``distance`` of all ``symbols`` that differ in more of the chunked symbols may share no key.
 
 Links.  Equal sets are one node.  The smallest node of a key's bucket leads it, each node follows
 the leader that it shares most keys with, and the trees of followers are families.  Inside a
