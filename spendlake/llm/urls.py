@@ -39,12 +39,14 @@ RULES = (
 @dataclass(frozen=True)
 class LinkSettings:
     """``threshold``: distrust minus trust from which a host is blocked, as a share of what a host
-    gets all of whose pages are blocked and that has no links."""
+    gets all of whose pages are blocked and that has no links.  ``rounds``: least number of rounds;
+    ``tolerance``: summed change of all scores over ``cut_every`` rounds at which they count as settled."""
 
     damping: float = 0.85
     rounds: int = 20
     cut_every: int = 4
     threshold: float = 0.5
+    tolerance: float = 1e-6
 
 
 def url_host(url: Column) -> Column:
@@ -95,7 +97,10 @@ def seed_hosts(judged: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, settings: LinkSettings = LinkSettings()) -> DataFrame:
     """Personalised PageRank over weighted edges (src, dst, n) from seeds (host, seed): host, score.
 
-    ``score(h) = (1 - d) * seed(h) + d * sum over u->h of score(u) * n(u, h) / n(u, all)``."""
+    ``score(h) = (1 - d) * seed(h) + d * sum over u->h of score(u) * n(u, h) / n(u, all)``.
+
+    Rounds go on until the scores settle: the sum of all changes shrinks by d a round, so what is still to
+    come after a change of x over k rounds is at most x * d**k / (1 - d**k)."""
     d = settings.damping
     out = edges.groupBy("src").agg(F.sum("n").alias("__all"))
     shares = materialise(
@@ -104,16 +109,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, settings: LinkSettings = LinkS
     rank = base.select("host", F.col("__base").alias("score"))
     if shares.isEmpty():  # nothing flows: the sum above is empty for every host
         return rank
-    for i in range(settings.rounds):
+    done, before = 0, rank
+    while True:
         moved = (
             shares.join(rank.withColumnRenamed("host", "src"), "src")
             .groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("__share") * d).alias("__in"))
         )
         rank = base.join(moved, "host", "full").select(
             "host", (F.coalesce("__base", F.lit(0.0)) + F.coalesce("__in", F.lit(0.0))).alias("score"))
-        if (i + 1) % settings.cut_every == 0 or i + 1 == settings.rounds:
-            rank = materialise(rank, "rank")
-    return rank
+        done += 1
+        if done % settings.cut_every:
+            continue
+        rank = materialise(rank, "rank")
+        if done >= settings.rounds:
+            both = rank.join(before.withColumnRenamed("score", "__before"), "host", "full")
+            change = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("__before", F.lit(0.0))))).first()[0]
+            if (change or 0.0) <= settings.tolerance:
+                return rank
+        before = rank
 
 
 def host_verdicts(judged: DataFrame, edges: DataFrame, settings: LinkSettings = LinkSettings()) -> DataFrame:

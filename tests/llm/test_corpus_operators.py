@@ -255,6 +255,15 @@ def test_trust_and_distrust_follow_links(spark):
         assert got[h].verdict == ("allow" if got[h].rule and got[h].rule.startswith("org") else "block" if distrust[h] - trust[h] >= 0.5 * 0.15 or got[h].rule else "allow")
 
 
+def test_default_propagation_settles_in_cycles(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("c", "a", 2)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 1.0), ("c", 1.0)], "host string, seed double")
+    got = {r.host: r.score for r in urls.propagate(edges, seeds).collect()}
+    a = (0.15 + 0.85 * 0.15) / (1 - 0.85**2)  # a = 0.15 + 0.85 (b + c), b = 0.85 a, c = 0.15
+    assert set(got) == {"a", "b", "c"}
+    assert abs(got["a"] - a) < 1e-5 and abs(got["b"] - 0.85 * a) < 1e-5 and abs(got["c"] - 0.15) < 1e-12
+
+
 # ---------------------------------------------------------------- operator 2
 
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
