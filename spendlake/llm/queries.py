@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licences, mix, neardup, packing, quality, rlz, site_tree, suffix_array, urls
+from . import audit, decontam, licences, mix, neardup, packing, quality, rlz, runs, site_tree, suffix_array, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +64,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their orders, by language."""
+    return audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the archives written from all pages."""
+    path = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in each document, after the repeating tails of a tenth of them."""
+    return runs.run_digest(runs.periodic_runs(_table(spark, sf_dir, "documents"), prepare=runs.echo_words))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (op1_suffix_array, op2_mix_sources, op3_decontaminate, op4_extract_html, op5_scan_licenses, op6_pack_tokens,
-              op7_rlz_dedup, op8_near_duplicates, op9_quality_rules, op10_url_filter)
+              op7_rlz_dedup, op8_near_duplicates, op9_quality_rules, op10_url_filter, op11_filter_audit, op12_warc_archives,
+              op13_periodic_runs)
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -132,4 +149,41 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, edge.v FR
 SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM d LEFT JOIN size ON d.doc_id = size.doc_id
 JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON c.u = d.doc_id""",
+    "op11_filter_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+first AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             MAP {{'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws),
+                  'C': 100 * len(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * len(d.text),
+                  'D': regexp_matches(d.text, '[#$%&*|]'), 'E': coalesce(first_id < d.doc_id, false)}} AS fails
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id JOIN first ON d.text = first.text),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a JOIN x b ON b.c <> a.c JOIN x c ON c.c NOT IN (a.c, b.c)
+      JOIN x d ON d.c NOT IN (a.c, b.c, c.c) JOIN x e ON e.c NOT IN (a.c, b.c, c.c, d.c)),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+t AS (SELECT part, filter_order, step, filter_order[step] AS letter, fails[filter_order[step]] AS own, n, good, toxic,
+             list_bool_or([false] || [fails[filter_order[i]] FOR i IN range(1, step)]) AS gone,
+             list_sum([CAST(v AS INT) FOR v IN map_values(fails)]) AS n_fails FROM g, s),
+r AS (SELECT part, filter_order, step, letter, sum(n) FILTER (NOT own AND NOT gone) AS kept, sum(n) FILTER (own AND NOT gone) AS removed,
+             sum(n) FILTER (own AND gone) AS redundant, sum(n) FILTER (own AND n_fails = 1) AS unique_fails,
+             sum(good) FILTER (own AND NOT gone) AS good_lost, sum(toxic) FILTER (own AND NOT gone) AS toxic_lost
+      FROM t GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r""",
+    "op12_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, html, strlen(html) AS n, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS k,
+             first_value(page_id) OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND k > 1 THEN top END AS refers_to
+FROM r""",
 }
