@@ -6,7 +6,7 @@ import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,17 +31,23 @@ def n_words_of(col: Column) -> Column:
     return F.size(words_of(col)).cast("bigint")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table into the shared scratch folder and read it back.
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write an intermediate table into the shared scratch folder (or to ``path``) and read it back.
 
     This cuts lineage in a way that survives lost executors, and the planner knows the
     table's size afterwards (a small one is broadcast under the usual threshold)."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that no later plan reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def map_arrow(df: DataFrame, keep: list, inputs: list, fields: list, make) -> DataFrame:
     """One output row per row: the ``keep`` columns unchanged, then ``fields`` ((name, DDL type)).
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from spendlake.session import scratch_path
 
-from .common import materialise
+from .common import discard, materialise
 
 SAFE = "!#$%&'()*+,/:;=?@[]~-._"  # characters that stay as they are in a target URI
 
@@ -206,8 +206,8 @@ def _typed(captures: DataFrame, s: WarcSettings) -> DataFrame:
         F.when(revisit, F.lit(None)).otherwise(F.col("member")).alias("member"))
 
 
-def _placed(typed: DataFrame, s: WarcSettings) -> DataFrame:
-    """member, file number and start of every record in the order of the archive."""
+def _placed(typed: DataFrame, s: WarcSettings, path: str) -> DataFrame:
+    """member, file number and start of every record in the order of the archive; written to ``path``."""
     order = [F.col("url"), F.col("page_id"), F.col("sha1"), F.col("other").isNotNull(), F.col("row")]
     ordered = typed.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -230,7 +230,7 @@ def _placed(typed: DataFrame, s: WarcSettings) -> DataFrame:
                 names=["part", "local", "size", "member"])
 
     rows = materialise(ordered.select("page_id", "url", "n_bytes", "sha1", "other", "member").mapInArrow(
-        place, "part bigint, local bigint, size bigint, member binary"), "warc-sorted")
+        place, "part bigint, local bigint, size bigint, member binary"), "warc-sorted", path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     parts = rows.groupBy("part").agg(F.sum("size").alias("bytes")).select(
         "part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"))
@@ -303,8 +303,13 @@ def write_archives(pages: DataFrame, path: str | None = None, settings: WarcSett
     records, splits) is written last and lists every file."""
     spark = pages.sparkSession
     path = (path or scratch_path(spark, "warc")).rstrip("/")
-    captures = materialise(_captures(pages, settings), "warc-captures")
-    entries = materialise(_written(_placed(_typed(captures, settings), settings), path, settings), "warc-files")
+    # each table of records is deleted as soon as the next one is written
+    made, ordered = scratch_path(spark, "warc-captures"), scratch_path(spark, "warc-sorted")
+    captures = materialise(_captures(pages, settings), "warc-captures", made)
+    placed = _placed(_typed(captures, settings), settings, ordered)
+    discard(spark, made)
+    entries = materialise(_written(placed, path, settings), "warc-files")
+    discard(spark, ordered)
     # few rows, so they are dealt out by number
     tasks = max(1, min(256, entries.count()))
     _committed(entries.repartition(tasks), path).drop("temporary").write.parquet(f"{path}/manifest")
