@@ -4,7 +4,8 @@ Stage 1 (hard): any reference value of a candidate, lower-cased, equals a known
 reference value (type ignored) -> definite_duplicate.
 Stage 2a (ledger): first ledger row, newest first, whose soft score reaches the
 probable threshold -> auto_merged / probable_duplicate with the ledger id.
-Stage 2b (batch): greedy leader election in batch order over the soft-match graph.
+Stage 2b (batch): greedy leader election in batch order over the soft-match graph, by ranges of
+the batch order: one join with the leaders so far, one pass over what is left.
 
 Soft score (constant weights): time +1.5 within the window, -2 beyond 24 h, -1
 beyond 2 h, -1 when a time is unknown, reject beyond the cutoff; amount +2 within
@@ -13,13 +14,19 @@ probable.  Hence a match needs both times, the amount within tolerance and
 dt <= max(window, 2 h): the band join blocks on (time bucket, amount bucket),
 explodes one side over the 3 neighbouring time buckets and the other over the 3
 neighbouring amount buckets (each pair meets exactly once), then applies the exact
-score.  Hot buckets are split by AQE's skew-join handling.
+score.  Inside the window an amount match alone is enough, beyond it all of amount, merchant and
+direction must match.  Buckets with more than ``SALT_ROWS`` rows are dealt over several tasks
+by a salt.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spendlake.config import (
     PENALTY_GAP_24H,
@@ -40,6 +47,8 @@ from spendlake.functions.text import fuzzy_name_match
 from spendlake.session import cut_lineage
 
 MICROS_PER_MIN = 60_000_000
+SALT_ROWS = 50_000  # rows of one bucket in one task of a band join
+RANGE_ROWS = 200_000  # rows of one range of the leader election
 
 
 # ---------------------------------------------------------------------------
@@ -128,12 +137,43 @@ def score_columns(s: DedupSettings, c: str = "c_", e: str = "e_") -> tuple[Colum
     return gap, F.when(~rejected, score), status
 
 
+def score_reasons(s: DedupSettings, c: str = "c_", e: str = "e_") -> Column:
+    """The parts of the score that apply, in the order time, amount, merchant, direction."""
+    both = F.col(f"{c}ts").isNotNull() & F.col(f"{e}ts").isNotNull()
+    minutes = F.abs(F.col(f"{c}us") - F.col(f"{e}us")) / F.lit(float(MICROS_PER_MIN))
+    time = (
+        F.when(~both, F.lit("time_unknown"))
+        .when(minutes <= s.time_window_minutes, F.lit("time_within_window"))
+        .when(minutes / 60.0 > 24, F.lit("gap_over_24h"))
+        .when(minutes / 60.0 > 2, F.lit("gap_over_2h"))
+    )
+    amount = F.when(F.abs(F.col(f"{c}amount") - F.col(f"{e}amount")) <= s.amount_tolerance, F.lit("amount"))
+    merchant = F.when(fuzzy_name_match(F.col(f"{c}merchant"), F.col(f"{e}merchant")), F.lit("merchant"))
+    direction = F.when(F.col(f"{c}direction") == F.col(f"{e}direction"), F.lit("direction"))
+    return F.array_compact(F.array(time, amount, merchant, direction))
+
+
+def salted(big: DataFrame, small: DataFrame, keys: list, rows: int = SALT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_salt``: keys with more than ``rows`` rows in ``big`` are dealt
+    over ceil(n / rows) salts, and their rows in ``small`` are repeated once per salt.
+
+    The list of such keys has at most (rows of big) / ``rows`` entries; it is broadcast."""
+    n = F.count(F.lit(1))
+    hot = F.broadcast(big.groupBy(*keys).agg(F.ceil(n / F.lit(rows)).cast("int").alias("_salts")).where("_salts > 1"))
+    dealt = big.join(hot, keys, "left").withColumn(
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*big.columns), F.col("_salts"))).otherwise(F.lit(0)).cast("int")
+    ).drop("_salts")
+    repeated = small.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return dealt, repeated
+
+
 def band_pairs(cands: DataFrame, existing: DataFrame, s: DedupSettings, self_join: bool = False) -> DataFrame:
     """JN-4: all (candidate, existing) pairs whose soft score reaches 'probable'.
 
     ``cands``: key, amount, merchant, direction, txn_ts.  ``existing``: same columns
     (key named the same).  With ``self_join`` the pairs are (earlier, later) by key.
-    Output: c_key, e_key, c_ts, e_ts, gap_minutes, score, status."""
+    Output: c_key, e_key, c_ts, e_ts, gap_minutes, score, status, reasons."""
     t_width, a_width = _buckets(s)
     c = cands.where(F.col("c_ts").isNotNull())
     e = existing.where(F.col("e_ts").isNotNull())
@@ -148,14 +188,15 @@ def band_pairs(cands: DataFrame, existing: DataFrame, s: DedupSettings, self_joi
         )
         e_ab = F.floor(F.col("e_amount") / a_width)
         e = e.withColumn("_tb", e_tb).withColumn("_ab", F.explode(F.array(e_ab - 1, e_ab, e_ab + 1)))
-    pairs = c.join(e, ["_tb", "_ab"])
+    c, e = salted(c, e, ["_tb", "_ab"])
+    pairs = c.join(e, ["_tb", "_ab", "_salt"])
     if self_join:
         pairs = pairs.where(F.col("c_key") < F.col("e_key"))
     gap, score, status = score_columns(s)
     return (
         pairs.select("*", gap.alias("gap_minutes"), score.alias("score"), status.alias("status"))
         .where(F.col("status").isNotNull())
-        .select("c_key", "e_key", "c_ts", "e_ts", "gap_minutes", "score", "status")
+        .select("c_key", "e_key", "c_ts", "e_ts", "gap_minutes", "score", "status", score_reasons(s).alias("reasons"))
     )
 
 
@@ -180,27 +221,49 @@ def collapse_copies(side: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]
     """Exact copies (same amount, merchant, direction and time) score identically, so
     only one representative (smallest key) needs to enter a band join.
 
-    Returns (representatives, key -> representative key).  Rows without a time never
-    match and are not collapsed.  The group-by aggregates partially per task, and the
+    Returns the representatives of rows with a time (others never match), and key -> representative key for
+    the rows that have copies.  The group-by aggregates partially per task, and the
     mapping is a many-to-one join, so a hot group of copies is never paired with itself."""
     cols = [f"{prefix}{a}" for a in ATTRS]
     timed = side.where(F.col(f"{prefix}ts").isNotNull())
-    reps = timed.groupBy(*cols).agg(F.min(f"{prefix}key").alias(f"{prefix}key")).select(f"{prefix}key", *cols)
-    mapping = timed.join(reps.withColumnRenamed(f"{prefix}key", "_rep"), cols).select(
-        F.col(f"{prefix}key").alias("key"), F.col("_rep").alias("rep"))
-    untimed = side.where(F.col(f"{prefix}ts").isNull())
-    mapping = mapping.unionByName(untimed.select(F.col(f"{prefix}key").alias("key"), F.col(f"{prefix}key").alias("rep")))
-    return reps.unionByName(untimed.select(f"{prefix}key", *cols)), mapping
+    grouped = timed.groupBy(*cols).agg(F.min(f"{prefix}key").alias("_rep"), F.count(F.lit(1)).alias("_n"))
+    copies = timed.join(grouped.where("_n > 1"), cols).select(F.col(f"{prefix}key").alias("key"), F.col("_rep").alias("rep"))
+    return grouped.select(F.col("_rep").alias(f"{prefix}key"), *cols), copies
 
 
 def soft_match_pairs(cands: DataFrame, existing: DataFrame | None, s: DedupSettings) -> DataFrame:
     """JN-4 over raw inputs: candidate batch against ledger rows, or (``existing`` None)
-    the batch against itself (earlier, later)."""
-    c = candidate_side(cands)
-    if existing is None:
-        e = candidate_side(cands, "e_")
-        return band_pairs(c, e, s, self_join=True)
-    return band_pairs(c, ledger_side(existing), s)
+    the batch against itself (earlier, later).
+
+    Copies are collapsed before the band join and expanded after it; copies of one row pair with each other
+    without any join on values."""
+    c_reps, c_map = collapse_copies(candidate_side(cands), "c_")
+    if existing is not None:
+        e_reps, e_map = collapse_copies(ledger_side(existing), "e_")
+        return _expanded(band_pairs(c_reps, e_reps, s), c_map, e_map)
+    e_reps = c_reps.select(*[F.col(x).alias("e_" + x[2:]) for x in c_reps.columns])
+    pairs = _expanded(band_pairs(c_reps, e_reps, s, self_join=True), c_map, c_map)
+    # the earlier of two rows comes first, whichever representative is the earlier one
+    flip = F.col("c_key") > F.col("e_key")
+    swap = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a)).alias(a)
+    pairs = pairs.select(swap("c_key", "e_key"), swap("e_key", "c_key"), swap("c_ts", "e_ts"), swap("e_ts", "c_ts"),
+                         "gap_minutes", "score", "status", "reasons")
+    # a representative scores with its copies as with itself
+    own = c_reps.join(c_map, F.col("c_key") == F.col("rep"), "left_semi")
+    own = own.select("*", *[F.col(x).alias("e_" + x[2:]) for x in own.columns])
+    gap, score, status = score_columns(s)
+    own = own.select("c_key", "e_key", "c_ts", "e_ts", gap.alias("gap_minutes"), score.alias("score"), status.alias("status"),
+                     score_reasons(s).alias("reasons")).where(F.col("status").isNotNull())
+    return pairs.unionByName(_expanded(own, c_map, c_map).where("c_key < e_key"))
+
+
+def _expanded(pairs: DataFrame, c_map: DataFrame, e_map: DataFrame) -> DataFrame:
+    """Pairs of representatives as pairs of all their copies."""
+    c = c_map.select(F.col("key").alias("_c"), F.col("rep").alias("c_key"))
+    e = e_map.select(F.col("key").alias("_e"), F.col("rep").alias("e_key"))
+    both = pairs.join(c, "c_key", "left").join(e, "e_key", "left")
+    return both.select(F.coalesce("_c", "c_key").alias("c_key"), F.coalesce("_e", "e_key").alias("e_key"),
+                       "c_ts", "e_ts", "gap_minutes", "score", "status", "reasons")
 
 
 # ---------------------------------------------------------------------------
@@ -211,88 +274,171 @@ def first_ledger_match(cands: DataFrame, ledger: DataFrame, s: DedupSettings) ->
     """JN-5: per candidate, the first ledger row in newest-first order (ties by id) that
     scores at least 'probable'.
 
-    Exact copies are collapsed on both sides first (the first of identical ledger rows is
-    the one with the smallest id); pairs are reduced by a partial aggregate right after
-    the join, so only one row per candidate and task is shuffled."""
+    A sorted sweep instead of a list of pairs.  The ledger times that can match a candidate lie in
+    three zones: within the window, where an amount match is enough, and up to two hours
+    after or before it, where merchant and direction must match as well.  A candidate is
+    joined with the distinct ledger amounts (distinct amounts, merchants and directions) of a time bucket
+    only.  Then ledger rows and zone ends are sorted together per ledger value and
+    bucket, and the newest row before each zone end is the last one seen, in memory that does not grow with the
+    bucket.  Exact copies are collapsed on both sides first (the first of
+    identical ledger rows is the one with the smallest id)."""
     c_reps, c_map = collapse_copies(candidate_side(cands), "c_")
     e_reps, _ = collapse_copies(ledger_side(ledger), "e_")
-    pairs = band_pairs(c_reps, e_reps, s)
-    order = F.struct((-F.unix_micros(F.col("e_ts").cast("timestamp"))).alias("o"), F.col("e_key").alias("id"),
-                     F.col("status").alias("status"))
-    best = pairs.groupBy("c_key").agg(F.min(order).alias("_b"))
-    return c_map.join(best, c_map.rep == best.c_key).select(
-        F.col("key").alias("seq"), F.col("_b.id").alias("ledger_id"), F.col("_b.status").alias("ledger_status")
-    )
+    limit = int(s.max_date_gap_hours * 60 * MICROS_PER_MIN)
+    near = min(int(s.time_window_minutes * MICROS_PER_MIN), limit)
+    far = min(120 * MICROS_PER_MIN, limit)
+    t_width = max(near, far, 1)
+    zone = lambda lo, hi, full: F.struct(
+        (F.col("c_us") + lo).alias("lo"), (F.col("c_us") + hi).alias("hi"), F.lit(full).alias("full"))
+    zones = [zone(-near, near, False)]
+    if far > near:
+        zones += [zone(near + 1, far, True), zone(-far, -near - 1, True)]
+    value = ["amount", "merchant", "direction"]
+
+    def valued(df: DataFrame, prefix: str, full: Column) -> DataFrame:
+        # merchant and direction count in the outer zones only
+        return df.select("*", F.col(f"{prefix}amount").alias("amount"),
+                         F.when(full, F.col(f"{prefix}merchant")).otherwise(F.lit("")).alias("merchant"),
+                         F.when(full, F.col(f"{prefix}direction")).otherwise(F.lit("")).alias("direction"))
+
+    asks = c_reps.withColumn("z", F.explode(F.array(*zones))).select("*", "z.*").drop("z").withColumn(
+        "tb", F.explode(F.sequence(F.floor(F.col("lo") / t_width), F.floor(F.col("hi") / t_width))))
+    asks = valued(asks, "c_", F.col("full"))
+    rows = e_reps.withColumn("tb", F.floor(F.col("e_us") / t_width)).withColumn(
+        "full", F.explode(F.array(*[F.lit(f) for f in ([False, True] if far > near else [False])])))
+    rows = valued(rows, "e_", F.col("full"))
+    names = ["tb", "full", *value]
+    asked = _asked_values(asks, rows.select(*names).distinct(), s).select(
+        "tb", "full", *[F.col(f"e_{v}_m").alias(v) for v in value], F.col("hi").alias("at"), "c_key", "lo",
+        *[f"c_{a}" for a in ATTRS])
+    told = rows.select(*names, F.col("e_us").alias("at"), F.struct("e_key", *[f"e_{a}" for a in ATTRS]).alias("row"))
+    both = told.unionByName(asked, allowMissingColumns=True)
+    # rows before zone ends of the same time; of rows of one time the smallest id last
+    sweep = Window.partitionBy(*names).orderBy("at", F.col("c_key").isNotNull(), F.col("row.e_key").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("row", F.last("row", ignorenulls=True).over(sweep)).where(
+        F.col("c_key").isNotNull() & (F.col("row.e_us") >= F.col("lo"))).select("c_key", *[f"c_{a}" for a in ATTRS], "row.*")
+    _, _, status = score_columns(s)
+    newest = F.struct(F.col("e_us"), (-F.col("e_key")).alias("id"), status.alias("status"))
+    best = found.groupBy("c_key").agg(F.max(newest).alias("_b"))
+    return best.join(c_map, best.c_key == c_map.rep, "left").select(
+        F.coalesce("key", "c_key").alias("seq"), (-F.col("_b.id")).alias("ledger_id"), F.col("_b.status").alias("ledger_status"))
+
+
+def _asked_values(asks: DataFrame, values: DataFrame, s: DedupSettings) -> DataFrame:
+    """The asks with each matching ledger value of their bucket (``e_<name>_m``)."""
+    _, a_width = _buckets(s)
+    bucket = F.col("amount") if a_width is None else F.floor(F.col("amount") / a_width)
+    right = values.select("tb", "full", F.col("direction"), F.col("amount").alias("e_amount_m"),
+                          F.col("merchant").alias("e_merchant_m"), F.col("direction").alias("e_direction_m"), bucket.alias("ab"))
+    if a_width is not None:
+        right = right.withColumn("ab", F.explode(F.array(F.col("ab") - 1, F.col("ab"), F.col("ab") + 1)))
+    left, right = salted(asks.withColumn("ab", bucket), right, ["tb", "full", "direction", "ab"])
+    return left.join(right, ["tb", "full", "direction", "ab", "_salt"]).where(
+        (F.abs(F.col("amount") - F.col("e_amount_m")) <= s.amount_tolerance)
+        & (~F.col("full") | fuzzy_name_match(F.col("merchant"), F.col("e_merchant_m"))))
 
 
 # ---------------------------------------------------------------------------
 # JN-6: within-batch leader election (lexicographically-first maximal independent set)
 # ---------------------------------------------------------------------------
 
-def band_neighbours(later: DataFrame, earlier: DataFrame, s: DedupSettings, how: str = "exists") -> DataFrame:
-    """Per ``later`` key, an aggregate over the ``earlier`` rows (smaller key) it soft-matches:
-    ``exists`` -> the keys having at least one; ``min`` -> the smallest matching key.
+def band_neighbours(later: DataFrame, earlier: DataFrame, s: DedupSettings) -> DataFrame:
+    """Per ``later`` row that soft-matches any of the ``earlier`` rows, the smallest such key and the status.
 
     Both inputs are normalised sides (``candidate_side``).  The aggregate runs right after
     the band join (partial aggregation in the join stage), so matching pairs stream
     through and are never stored."""
-    c = later
     e = earlier.select(*[F.col(x).alias("e_" + x[2:]) for x in earlier.columns])
-    pairs = band_pairs(c, e, s).where(F.col("e_key") < F.col("c_key"))
-    if how == "exists":
-        return pairs.groupBy(F.col("c_key").alias("seq")).agg(F.count(F.lit(1)).alias("_n")).select("seq")
-    best = pairs.groupBy(F.col("c_key").alias("seq")).agg(F.min(F.struct("e_key", "status")).alias("_b"))
+    best = band_pairs(later, e, s).groupBy(F.col("c_key").alias("seq")).agg(F.min(F.struct("e_key", "status")).alias("_b"))
     return best.select("seq", F.col("_b.e_key").alias("leader_seq"), F.col("_b.status").alias("pair_status"))
 
 
-def batch_leaders(cands: DataFrame, s: DedupSettings) -> DataFrame:
+def _elected(rows: DataFrame, s: DedupSettings) -> DataFrame:
+    """The rows of one range with leader_seq and pair_status (both null for a leader), by one pass in ``c_key`` order.
+
+    Leaders are kept by (time bucket, amount bucket), and a row is compared with those of the neighbouring buckets.
+    Leaders do not match each other, so a bucket holds few of them, however many rows
+    it has: the work is linear in the rows, the memory is that of the leaders."""
+    t_width, a_width = _buckets(s)
+    window, gap_limit, tolerance = s.time_window_minutes, s.max_date_gap_hours * 60, s.amount_tolerance
+
+    def status(a, b) -> str | None:
+        minutes = abs(a[0] - b[0]) / MICROS_PER_MIN
+        if minutes > gap_limit or abs(a[1] - b[1]) > tolerance:
+            return None
+        merchant = bool(a[2] and b[2]) and (a[2] in b[2] or b[2] in a[2])
+        if minutes <= window:
+            return STATUS_AUTO if merchant else STATUS_PROBABLE
+        return STATUS_PROBABLE if minutes <= 120 and merchant and a[3] == b[3] else None
+
+    def elect(batches):
+        leaders: dict[tuple, list] = {}
+        around = [0] if a_width is None else [-1, 0, 1]
+        for batch in batches:
+            col = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
+            found = []
+            for us, amount, merchant, direction, key in zip(*map(col, ("c_us", "c_amount", "c_merchant", "c_direction", "c_key"))):
+                row = (us, amount, merchant, direction, key)
+                best = (None, None)
+                if us is not None:  # a row without a time matches nothing
+                    t, v = us // t_width, amount if a_width is None else amount // a_width
+                    for i in (-1, 0, 1):
+                        for j in around:
+                            for x in leaders.get((t + i, v + j), ()):
+                                if best[0] is None or x[4] < best[0]:
+                                    how = status(row, x)
+                                    if how:
+                                        best = (x[4], how)
+                    if best[0] is None:
+                        leaders.setdefault((t, v), []).append(row)
+                found.append(best)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())],
+                names=[*batch.schema.names, "leader_seq", "pair_status"])
+
+    schema = StructType([*rows.schema, StructField("leader_seq", LongType()), StructField("pair_status", StringType())])
+    return rows.repartition(1).sortWithinPartitions("c_key").mapInArrow(elect, schema)
+
+
+def _ranges(side: DataFrame, range_rows: int) -> list[Column]:
+    """Conditions that cut the batch order into ranges of about ``range_rows`` rows, first to last."""
+    pieces = -(-side.count() // range_rows)
+    if pieces <= 1:
+        return [F.lit(True)]
+    cuts = side.agg(F.percentile_approx("c_key", [i / pieces for i in range(1, pieces)], 100 * pieces).alias("q")).first().q
+    cuts = sorted(set(cuts))
+    first, last = [F.col("c_key") <= cuts[0]], [F.col("c_key") > cuts[-1]]
+    return first + [(F.col("c_key") > a) & (F.col("c_key") <= b) for a, b in zip(cuts, cuts[1:])] + last
+
+
+def batch_leaders(cands: DataFrame, s: DedupSettings, range_rows: int = RANGE_ROWS) -> DataFrame:
     """JN-6: leaders = greedy independent set in ``seq`` order over the match graph;
     each follower joins its earliest matching leader.
 
-    Rounds over a node-state table (U undecided / L leader / F follower): undecided
-    nodes with no earlier undecided neighbour become leaders, and undecided nodes with an
-    earlier new leader become followers.  Neighbourhoods are band joins reduced per node
-    on the spot (no edge table, so a hot group never materialises its pairs); each round
-    joins only the undecided nodes and ends with one reliable checkpoint.
+    The batch is taken in ranges of its order.  A range is first joined with the leaders so far (a band
+    join reduced per row, no edge table), which all come earlier than its own rows; what matches none of
+    them goes through one pass in order (``_elected``), whose leaders are added.  The number of rounds is that of the
+    ranges, whatever the length of chains of matches, and one task holds the rest of one range at most.
+    Copies need no care: a row meets the few leaders near it, not its copies.
     Output: seq, role ('leader' | 'follower'), leader_seq, pair_status (status of the
     follower's match with its leader; NULL for leaders)."""
-    reps, mapping = collapse_copies(candidate_side(cands), "c_")
-    keyed = cut_lineage(mapping.join(reps, reps.c_key == mapping.rep, "left"))
-    side = keyed.where(F.col("key") == F.col("rep")).drop("key", "rep")
-    mapping = keyed.select("key", "rep")
-    state = side.withColumn("st", F.lit("U"))
-    while True:  # every round settles the earliest undecided node at least
-        und = state.where(F.col("st") == "U").drop("st")
-        if und.isEmpty():
-            break
-        blocked = band_neighbours(und, und, s, "exists")
-        new_l = und.join(blocked, F.col("c_key") == F.col("seq"), "left_anti")
-        rest = und.join(new_l.select("c_key"), "c_key", "left_anti")
-        new_f = band_neighbours(rest, new_l, s, "exists")
-        upd = new_l.select(F.col("c_key").alias("seq"), F.lit("L").alias("_new")).unionByName(
-            new_f.select("seq", F.lit("F").alias("_new")))
-        state = cut_lineage(
-            state.join(upd, F.col("c_key") == F.col("seq"), "left")
-            .withColumn("st", F.coalesce(F.col("_new"), F.col("st"))).drop("seq", "_new")
-        )
-    leaders = state.where(F.col("st") == "L").drop("st")
-    followers = state.where(F.col("st") == "F").drop("st")
-    lead_of = band_neighbours(followers, leaders, s, "min")
-    # A copy of a leading representative matches it as auto (probable when the merchant is empty).
-    self_status = F.when(F.col("c_merchant") != "", F.lit(STATUS_AUTO)).otherwise(F.lit(STATUS_PROBABLE))
-    rep_role = leaders.select(F.col("c_key").alias("rep"), F.col("c_key").alias("leader_seq"),
-                              self_status.alias("pair_status")).unionByName(
-        lead_of.select(F.col("seq").alias("rep"), "leader_seq", "pair_status"))
-    # Copies: the representative keeps its role; every other copy follows the
-    # representative's leader (the representative itself when it leads).
-    out = mapping.join(rep_role, "rep")
-    is_leader = F.col("key") == F.col("leader_seq")
-    return out.select(
-        F.col("key").alias("seq"),
-        F.when(is_leader, F.lit("leader")).otherwise(F.lit("follower")).alias("role"),
-        "leader_seq",
-        F.when(~is_leader, F.col("pair_status")).alias("pair_status"),
-    )
+    side = cut_lineage(candidate_side(cands))
+    settled, leaders = [], None
+    for inside in _ranges(side, range_rows):
+        rest = side.where(inside)
+        if leaders is not None:
+            earlier = cut_lineage(band_neighbours(rest, leaders, s))
+            settled.append(earlier)
+            rest = rest.join(earlier, F.col("c_key") == F.col("seq"), "left_anti")
+        elected = cut_lineage(_elected(rest, s))
+        settled.append(elected.select(F.col("c_key").alias("seq"), "leader_seq", "pair_status"))
+        new = elected.where("leader_seq is null").select(*side.columns)
+        leaders = new if leaders is None else leaders.unionByName(new)
+    out = reduce(DataFrame.unionByName, settled)
+    follows = F.col("leader_seq").isNotNull()
+    return out.select("seq", F.when(follows, F.lit("follower")).otherwise(F.lit("leader")).alias("role"),
+                      F.coalesce("leader_seq", "seq").alias("leader_seq"), "pair_status")
 
 
 def batch_statuses(cands: DataFrame, s: DedupSettings) -> DataFrame:

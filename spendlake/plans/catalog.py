@@ -161,25 +161,26 @@ def sender_split(spark, sf_dir):
 # ledger look-back from the batch start minus the hard cutoff).
 DEDUP_AS_OF_TS = "2024-01-31 00:00:00"
 DEDUP_REF_DAYS = 90
-DEDUP_LEDGER_SINCE = "2024-01-14"
 
 
 def dedup_inputs(spark, sf_dir):
+    from spendlake.config import DedupSettings
     from spendlake.operators.dedup import known_references
     from spendlake.operators.filters import ledger_lookback
-
+    from spendlake.plans.runs import reprocess_since
     from spendlake.session import cut_lineage
 
     # The derived inputs feed several dedup stages; each is written once.
     batch = cut_lineage(tables.batch_from_events(spark, sf_dir))
-    ledger_rows = cut_lineage(ledger_lookback(tables.ledger_from_events(spark, sf_dir), DEDUP_LEDGER_SINCE))
+    since = reprocess_since(batch, DEDUP_AS_OF_TS[:10], DedupSettings())
+    ledger_rows = cut_lineage(ledger_lookback(tables.ledger_from_events(spark, sf_dir), since))
     known = cut_lineage(known_references(tables.checkpoint_from_events(spark, sf_dir), DEDUP_AS_OF_TS, DEDUP_REF_DAYS))
     return batch, ledger_rows, known
 
 
 @register("soft_match_pairs")
 def soft_match_pairs(spark, sf_dir):
-    """JN-4 + SC-7/8/9: band join of all event transactions with each other; score and status per pair."""
+    """JN-4 + SC-7/8/9: band join of all event transactions with each other; score, status and reasons per pair."""
     from pyspark.sql import functions as F
 
     from spendlake.config import DedupSettings
@@ -187,7 +188,8 @@ def soft_match_pairs(spark, sf_dir):
 
     everything = tables.event_transactions(spark, sf_dir).withColumnRenamed("ts", "txn_ts")
     return smp(everything, None, DedupSettings()).select(
-        "c_key", "e_key", F.round("gap_minutes", 4).alias("gap_minutes"), "score", "status"
+        "c_key", "e_key", F.round("gap_minutes", 4).alias("gap_minutes"), "score", "status",
+        F.array_join("reasons", ",").alias("reasons"),
     )
 
 

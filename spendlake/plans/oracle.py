@@ -287,7 +287,7 @@ SELECT seq, sender_email, allowed, family FROM parsed
 
 def _dedup_sql():
     from spendlake.config import DedupSettings
-    from spendlake.plans.catalog import DEDUP_AS_OF_TS, DEDUP_LEDGER_SINCE, DEDUP_REF_DAYS
+    from spendlake.plans.catalog import DEDUP_AS_OF_TS, DEDUP_REF_DAYS
     from spendlake.plans.oracle_views import EVENT_TXN_CTE
 
     s = DedupSettings()
@@ -306,6 +306,10 @@ def _dedup_sql():
 
     band = f"abs(c.amount - e.amount) <= {s.amount_tolerance} AND abs(c.us - e.us) <= {width}"
     gap, sc, status = score("c", "e")
+    reasons = (f"concat_ws(',', CASE WHEN {gap} <= {s.time_window_minutes} THEN 'time_within_window' WHEN {gap} / 60.0 > 24 THEN 'gap_over_24h' "
+               f"WHEN {gap} / 60.0 > 2 THEN 'gap_over_2h' END, CASE WHEN abs(c.amount - e.amount) <= {s.amount_tolerance} THEN 'amount' END, "
+               "CASE WHEN c.m <> '' AND e.m <> '' AND (contains(c.m, e.m) OR contains(e.m, c.m)) THEN 'merchant' END, "
+               "CASE WHEN c.d = e.d THEN 'direction' END)")
     ctes = f"""
 WITH {EVENT_TXN_CTE},
 b AS (SELECT seq, amount, lower(trim(coalesce(merchant, ''))) AS m, coalesce(direction, 'debit') AS d,
@@ -313,9 +317,10 @@ b AS (SELECT seq, amount, lower(trim(coalesce(merchant, ''))) AS m, coalesce(dir
 a AS (SELECT seq, amount, lower(trim(coalesce(merchant, ''))) AS m, coalesce(direction, 'debit') AS d,
              ts, epoch_us(ts) AS us, ref FROM txn),
 l AS (SELECT id, amount, lower(trim(coalesce(description, ''))) AS m, 'debit' AS d, txn_ts AS ts,
-             epoch_us(txn_ts) AS us FROM ledger_ev WHERE CAST(txn_ts AS DATE) >= DATE '{DEDUP_LEDGER_SINCE}'),
+             epoch_us(txn_ts) AS us FROM ledger_ev 
+      WHERE CAST(txn_ts AS DATE) >= (SELECT min(CAST(txn_ts AS DATE)) FROM batch_ev) - INTERVAL 2 DAY),
 self_pairs AS (
-  SELECT c.seq AS c_key, e.seq AS e_key, {gap} AS gap_minutes, {sc} AS score, {status} AS status
+  SELECT c.seq AS c_key, e.seq AS e_key, {gap} AS gap_minutes, {sc} AS score, {status} AS status, {reasons} AS reasons
   FROM a c JOIN a e ON c.seq < e.seq AND {band}
 ),
 ledger_pairs AS (
@@ -342,7 +347,7 @@ hard AS (SELECT b.seq, known.message_id AS matched_message_id FROM b JOIN known
 DEDUP_CTES = _dedup_sql()
 
 sql("soft_match_pairs", f"""{DEDUP_CTES}
-SELECT c_key, e_key, round(gap_minutes, 4) AS gap_minutes, CAST(score AS DOUBLE) AS score, status
+SELECT c_key, e_key, round(gap_minutes, 4) AS gap_minutes, CAST(score AS DOUBLE) AS score, status, reasons
 FROM self_pairs WHERE status IS NOT NULL""")
 
 sql("ledger_first_match", f"{DEDUP_CTES} SELECT seq, ledger_id, ledger_status FROM first_match")

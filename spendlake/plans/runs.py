@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.config import (
@@ -21,6 +21,7 @@ from spendlake.config import (
     STATUS_DEFINITE,
     STATUS_NEW,
     STATUS_PROBABLE,
+    DedupSettings,
     Settings,
 )
 from spendlake.functions.timeutil import parse_time
@@ -60,6 +61,12 @@ def candidate_inputs(parsed: DataFrame) -> DataFrame:
     )
 
 
+def reprocess_since(cands: DataFrame, as_of: str, s: DedupSettings) -> Column:
+    """Ledger look-back of a reprocessed batch: its first date less the hard cutoff."""
+    first = cands.agg(F.min(F.to_date("txn_ts"))).first()[0]
+    return F.date_sub(F.lit(str(first or as_of)).cast("date"), int(-(-s.max_date_gap_hours // 24)))
+
+
 def run_batch(
     messages: DataFrame,
     ledger: DataFrame,
@@ -86,8 +93,7 @@ def run_batch(
     known = known_references(proc, as_of_ts, s.reprocess_known_ref_days if reprocess else s.dedup.known_ref_days)
     cands = candidate_inputs(parsed)
     if reprocess:
-        first = cands.agg(F.min(F.to_date("txn_ts"))).first()[0]
-        since = F.date_sub(F.lit(str(first or as_of)).cast("date"), int(-(-s.dedup.max_date_gap_hours // 24)))
+        since = reprocess_since(cands, as_of, s.dedup)
     else:
         since = F.date_sub(F.lit(as_of).cast("date"), s.dedup.ledger_lookback_days)
     led = ledger_lookback(ledger, since).withColumn("txn_ts", parse_time(F.col("transaction_date")))
