@@ -214,56 +214,14 @@ def ledger_side(ledger: DataFrame, prefix: str = "e_") -> DataFrame:
     return _norm_side(ledger, "id", m, DedupSettings(), prefix)
 
 
-ATTRS = ("amount", "merchant", "direction", "ts", "us")
-
-
-def collapse_copies(side: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """Exact copies (same amount, merchant, direction and time) score identically, so
-    only one representative (smallest key) needs to enter a band join.
-
-    Returns the representatives of rows with a time (others never match), and key -> representative key for
-    the rows that have copies.  The group-by aggregates partially per task, and the
-    mapping is a many-to-one join, so a hot group of copies is never paired with itself."""
-    cols = [f"{prefix}{a}" for a in ATTRS]
-    timed = side.where(F.col(f"{prefix}ts").isNotNull())
-    grouped = timed.groupBy(*cols).agg(F.min(f"{prefix}key").alias("_rep"), F.count(F.lit(1)).alias("_n"))
-    copies = timed.join(grouped.where("_n > 1"), cols).select(F.col(f"{prefix}key").alias("key"), F.col("_rep").alias("rep"))
-    return grouped.select(F.col("_rep").alias(f"{prefix}key"), *cols), copies
-
-
 def soft_match_pairs(cands: DataFrame, existing: DataFrame | None, s: DedupSettings) -> DataFrame:
     """JN-4 over raw inputs: candidate batch against ledger rows, or (``existing`` None)
-    the batch against itself (earlier, later).
-
-    Copies are collapsed before the band join and expanded after it; copies of one row pair with each other
-    without any join on values."""
-    c_reps, c_map = collapse_copies(candidate_side(cands), "c_")
-    if existing is not None:
-        e_reps, e_map = collapse_copies(ledger_side(existing), "e_")
-        return _expanded(band_pairs(c_reps, e_reps, s), c_map, e_map)
-    e_reps = c_reps.select(*[F.col(x).alias("e_" + x[2:]) for x in c_reps.columns])
-    pairs = _expanded(band_pairs(c_reps, e_reps, s, self_join=True), c_map, c_map)
-    # the earlier of two rows comes first, whichever representative is the earlier one
-    flip = F.col("c_key") > F.col("e_key")
-    swap = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a)).alias(a)
-    pairs = pairs.select(swap("c_key", "e_key"), swap("e_key", "c_key"), swap("c_ts", "e_ts"), swap("e_ts", "c_ts"),
-                         "gap_minutes", "score", "status", "reasons")
-    # a representative scores with its copies as with itself
-    own = c_reps.join(c_map, F.col("c_key") == F.col("rep"), "left_semi")
-    own = own.select("*", *[F.col(x).alias("e_" + x[2:]) for x in own.columns])
-    gap, score, status = score_columns(s)
-    own = own.select("c_key", "e_key", "c_ts", "e_ts", gap.alias("gap_minutes"), score.alias("score"), status.alias("status"),
-                     score_reasons(s).alias("reasons")).where(F.col("status").isNotNull())
-    return pairs.unionByName(_expanded(own, c_map, c_map).where("c_key < e_key"))
-
-
-def _expanded(pairs: DataFrame, c_map: DataFrame, e_map: DataFrame) -> DataFrame:
-    """Pairs of representatives as pairs of all their copies."""
-    c = c_map.select(F.col("key").alias("_c"), F.col("rep").alias("c_key"))
-    e = e_map.select(F.col("key").alias("_e"), F.col("rep").alias("e_key"))
-    both = pairs.join(c, "c_key", "left").join(e, "e_key", "left")
-    return both.select(F.coalesce("_c", "c_key").alias("c_key"), F.coalesce("_e", "e_key").alias("e_key"),
-                       "c_ts", "e_ts", "gap_minutes", "score", "status", "reasons")
+    the batch against itself (earlier, later).  The output has one row per pair, so it is as long as
+    the copies in it demand; a bucket that holds many rows is dealt over tasks."""
+    c = candidate_side(cands)
+    if existing is None:
+        return band_pairs(c, candidate_side(cands, "e_"), s, self_join=True)
+    return band_pairs(c, ledger_side(existing), s)
 
 
 # ---------------------------------------------------------------------------
@@ -280,10 +238,14 @@ def first_ledger_match(cands: DataFrame, ledger: DataFrame, s: DedupSettings) ->
     joined with the distinct ledger amounts (distinct amounts, merchants and directions) of a time bucket
     only.  Then ledger rows and zone ends are sorted together per ledger value and
     bucket, and the newest row before each zone end is the last one seen, in memory that does not grow with the
-    bucket.  Exact copies are collapsed on both sides first (the first of
-    identical ledger rows is the one with the smallest id)."""
-    c_reps, c_map = collapse_copies(candidate_side(cands), "c_")
-    e_reps, _ = collapse_copies(ledger_side(ledger), "e_")
+    bucket.  Copies (same time and values) are swept once (the first of
+    identical ledger rows is the one with the smallest id) and get their match by a many-to-one join."""
+    side = candidate_side(cands).where("c_ts is not null")
+    value = ["amount", "merchant", "direction"]
+    looks = ["c_us", *[f"c_{v}" for v in value]]
+    c = side.groupBy(*looks).agg(F.first("c_ts").alias("c_ts"))
+    e = ledger_side(ledger).where("e_ts is not null").groupBy("e_us", "e_ts", *[f"e_{v}" for v in value]).agg(
+        F.min("e_key").alias("e_key"))
     limit = int(s.max_date_gap_hours * 60 * MICROS_PER_MIN)
     near = min(int(s.time_window_minutes * MICROS_PER_MIN), limit)
     far = min(120 * MICROS_PER_MIN, limit)
@@ -293,7 +255,6 @@ def first_ledger_match(cands: DataFrame, ledger: DataFrame, s: DedupSettings) ->
     zones = [zone(-near, near, False)]
     if far > near:
         zones += [zone(near + 1, far, True), zone(-far, -near - 1, True)]
-    value = ["amount", "merchant", "direction"]
 
     def valued(df: DataFrame, prefix: str, full: Column) -> DataFrame:
         # merchant and direction count in the outer zones only
@@ -301,28 +262,28 @@ def first_ledger_match(cands: DataFrame, ledger: DataFrame, s: DedupSettings) ->
                          F.when(full, F.col(f"{prefix}merchant")).otherwise(F.lit("")).alias("merchant"),
                          F.when(full, F.col(f"{prefix}direction")).otherwise(F.lit("")).alias("direction"))
 
-    asks = c_reps.withColumn("z", F.explode(F.array(*zones))).select("*", "z.*").drop("z").withColumn(
+    asks = c.withColumn("z", F.explode(F.array(*zones))).select("*", "z.*").drop("z").withColumn(
         "tb", F.explode(F.sequence(F.floor(F.col("lo") / t_width), F.floor(F.col("hi") / t_width))))
     asks = valued(asks, "c_", F.col("full"))
-    rows = e_reps.withColumn("tb", F.floor(F.col("e_us") / t_width)).withColumn(
+    rows = e.withColumn("tb", F.floor(F.col("e_us") / t_width)).withColumn(
         "full", F.explode(F.array(*[F.lit(f) for f in ([False, True] if far > near else [False])])))
     rows = valued(rows, "e_", F.col("full"))
     names = ["tb", "full", *value]
     asked = _asked_values(asks, rows.select(*names).distinct(), s).select(
-        "tb", "full", *[F.col(f"e_{v}_m").alias(v) for v in value], F.col("hi").alias("at"), "c_key", "lo",
-        *[f"c_{a}" for a in ATTRS])
-    told = rows.select(*names, F.col("e_us").alias("at"), F.struct("e_key", *[f"e_{a}" for a in ATTRS]).alias("row"))
+        "tb", "full", *[F.col(f"e_{v}_m").alias(v) for v in value], F.col("hi").alias("at"), "lo", "c_ts", *looks)
+    told = rows.select(*names, F.col("e_us").alias("at"),
+                       F.struct("e_key", "e_us", "e_ts", *[f"e_{v}" for v in value]).alias("row"))
     both = told.unionByName(asked, allowMissingColumns=True)
     # rows before zone ends of the same time; of rows of one time the smallest id last
-    sweep = Window.partitionBy(*names).orderBy("at", F.col("c_key").isNotNull(), F.col("row.e_key").desc()).rowsBetween(
+    sweep = Window.partitionBy(*names).orderBy("at", F.col("c_us").isNotNull(), F.col("row.e_key").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("row", F.last("row", ignorenulls=True).over(sweep)).where(
-        F.col("c_key").isNotNull() & (F.col("row.e_us") >= F.col("lo"))).select("c_key", *[f"c_{a}" for a in ATTRS], "row.*")
+        F.col("c_us").isNotNull() & (F.col("row.e_us") >= F.col("lo"))).select("c_ts", *looks, "row.*")
     _, _, status = score_columns(s)
     newest = F.struct(F.col("e_us"), (-F.col("e_key")).alias("id"), status.alias("status"))
-    best = found.groupBy("c_key").agg(F.max(newest).alias("_b"))
-    return best.join(c_map, best.c_key == c_map.rep, "left").select(
-        F.coalesce("key", "c_key").alias("seq"), (-F.col("_b.id")).alias("ledger_id"), F.col("_b.status").alias("ledger_status"))
+    best = found.groupBy(*looks).agg(F.max(newest).alias("_b"))
+    return side.join(best, looks).select(
+        F.col("c_key").alias("seq"), (-F.col("_b.id")).alias("ledger_id"), F.col("_b.status").alias("ledger_status"))
 
 
 def _asked_values(asks: DataFrame, values: DataFrame, s: DedupSettings) -> DataFrame:
