@@ -85,13 +85,16 @@ def ledger_lookback(ledger: DataFrame, since_date: Column | str) -> DataFrame:
     return active(ledger).where(F.try_to_date(F.substring(F.col("transaction_date"), 1, 10), "yyyy-MM-dd") >= since)
 
 
-def prune_checkpoint(processed: DataFrame, as_of_ts: str, days: int) -> tuple[DataFrame, DataFrame]:
-    """FLT-8: keep rows processed within ``days`` of as_of; unparseable stamps count as oldest.
-
-    Returns (kept, removed)."""
+def checkpoint_keep(as_of_ts: str, days: int) -> Column:
+    """FLT-8: whether a checkpoint row was processed within ``days`` of as_of; unparseable stamps count as oldest."""
     stamp = F.col("processed_at").cast("string").try_cast("timestamp_ntz")
     cutoff = F.lit(as_of_ts).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
-    keep = F.coalesce(stamp >= cutoff, F.lit(False))
+    return F.coalesce(stamp >= cutoff, F.lit(False))
+
+
+def prune_checkpoint(processed: DataFrame, as_of_ts: str, days: int) -> tuple[DataFrame, DataFrame]:
+    """FLT-8: (kept, removed) rows of a checkpoint."""
+    keep = checkpoint_keep(as_of_ts, days)
     return processed.where(keep), processed.where(~keep)
 
 

@@ -181,35 +181,39 @@ def recategorise(state: DataFrame, changes: DataFrame, as_of_ts: str,
     return new_state, audit, rejects
 
 
+def bulk_edit_rows(state: DataFrame, where: str, assignments: dict | None, as_of_ts: str,
+                   delete: bool = False) -> tuple[DataFrame, str]:
+    """The edited rows (of a delete: the rows as they are) with ``_hit``: whether the predicate holds for the
+    row before the edit; and the statement text."""
+    hit = F.coalesce(F.expr(where), F.lit(False))
+    if delete:
+        return state.select(*EXPENSE_COLS, hit.alias("_hit")), f"DELETE FROM expenses WHERE {where}"
+    assignments = assignments or {}
+    new = {"updated_on": F.lit(as_of_ts).cast("timestamp_ntz"), **{c: F.expr(e) for c, e in assignments.items()}}
+    rows = state.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in EXPENSE_COLS],
+                        hit.alias("_hit"))
+    sets = ", ".join(f"{k} = {v}" for k, v in assignments.items())
+    return rows, f"UPDATE expenses SET {sets} WHERE {where}"
+
+
+def bulk_edit_audit(counted: DataFrame, text: str, as_of_ts: str, source: str = SOURCE_DEFAULT) -> DataFrame:
+    """The QUERY_WRITE audit row of a statement for a one-row frame with ``rows_affected``."""
+    return audit_frame(
+        counted, "QUERY_WRITE", "raw_sql", F.lit(None),
+        None, F.to_json(F.struct(F.lit(text).alias("sql"), F.col("rows_affected"))), as_of_ts, source,
+    )
+
+
 def bulk_edit(state: DataFrame, where: str, assignments: dict | None, as_of_ts: str, delete: bool = False,
               source: str = SOURCE_DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """MUT-6: audited bulk edit: SQL predicate plus column assignments (SQL expressions),
     or a predicate delete.  One QUERY_WRITE audit row with the statement text and the
-    number of rows affected (an aggregate over the state, not a driver loop)."""
-    pred = F.coalesce(F.expr(where), F.lit(False))
-    stamp = F.lit(as_of_ts).cast("timestamp_ntz")
-    if delete:
-        new_state = state.where(~pred)
-        text = f"DELETE FROM expenses WHERE {where}"
-    else:
-        assignments = assignments or {}
-        cols = []
-        for c in EXPENSE_COLS:
-            if c in assignments:
-                cols.append(F.when(pred, F.expr(assignments[c])).otherwise(F.col(c)).alias(c))
-            elif c == "updated_on":
-                cols.append(F.when(pred, stamp).otherwise(F.col(c)).alias(c))
-            else:
-                cols.append(F.col(c))
-        new_state = state.select(*cols)
-        sets = ", ".join(f"{k} = {v}" for k, v in assignments.items())
-        text = f"UPDATE expenses SET {sets} WHERE {where}"
-    affected = state.agg(F.count_if(pred).alias("rows_affected"))
-    audit = audit_frame(
-        affected, "QUERY_WRITE", "raw_sql", F.lit(None),
-        None, F.to_json(F.struct(F.lit(text).alias("sql"), F.col("rows_affected"))), as_of_ts, source,
-    )
-    return new_state, audit, state.limit(0)
+    number of rows affected, an aggregate over the state (``versions.publish_bulk_edit``
+    observes it in the write instead)."""
+    rows, text = bulk_edit_rows(state, where, assignments, as_of_ts, delete)
+    affected = rows.agg(F.count_if("_hit").alias("rows_affected"))
+    new_state = rows.where(~F.col("_hit")) if delete else rows
+    return new_state.drop("_hit"), bulk_edit_audit(affected, text, as_of_ts, source), state.limit(0)
 
 
 # ---------------------------------------------------------------------------

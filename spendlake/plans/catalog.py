@@ -828,12 +828,12 @@ def streaming_interval_join(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from spendlake.session import scratch_path
-    from spendlake.streaming.ingest import run_to_table, soft_match_stream
+    from spendlake.streaming.ingest import interval_pairs_stream, run_to_table
 
     ev = events_stream(spark, sf_dir)
     side = ev.select(F.col("event_id").alias("seq"), (F.round(F.col("value") * 100).cast("bigint") * 25 / 100.0)
                      .alias("amount"), F.col("event_type").alias("merchant"), F.col("ts").cast("timestamp").alias("ts"))
-    pairs = soft_match_stream(side, side)
+    pairs = interval_pairs_stream(side, side)
     out = run_to_table(pairs, scratch_path(spark, "st4-out"), scratch_path(spark, "st4-ckpt"), mode="append")
     return out.select("n_seq", "r_seq", F.round("gap_minutes", 4).alias("gap_minutes"))
 
@@ -868,3 +868,129 @@ def streaming_monthly_spend(spark, sf_dir):
     out = run_to_table(running_spend(s, "monthly", key_col="category", watermark="40 days"),
                        scratch_path(spark, "st5m-out"), scratch_path(spark, "st5m-ckpt"))
     return out.select("month_key", F.col("category").alias("custkey"), F.round("spent", 2).alias("spent"), "n")
+
+
+# ---------------------------------------------------------------------------
+# Streams that arrive in several pieces (ST-1, ST-3..ST-5)
+# ---------------------------------------------------------------------------
+
+def arrive(spark, rows, time_col, path, stream, pieces=3, beat_days=400):
+    """Let ``rows`` arrive in pieces of time order, then two heartbeats (rows with a later time and nulls else, which move
+    the watermark), and run ``stream`` (a function that drives a query over ``path``) after each."""
+    from pyspark.sql import functions as F
+
+    us = F.unix_micros(time_col)
+    cut = rows.agg(F.percentile_approx(us, [i / pieces for i in range(1, pieces)]).alias("q"), F.max(time_col).alias("last")).first()
+    if cut.last is None:
+        return stream()
+    edges = [None, *sorted(set(cut.q)), None]
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = rows if a is None else rows.where(us > a)
+        (part if b is None else part.where(us <= b)).write.parquet(f"{path}/piece-{k}")
+        out = stream()
+    for k in (1, 2):
+        later = F.lit(cut.last).cast("timestamp") + F.expr(f"INTERVAL {k * beat_days} DAYS")
+        beat = [later.alias(c) if c == time_col else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+        spark.range(1).select(*beat).write.parquet(f"{path}/beat-{k}")
+        out = stream()
+    return out
+
+
+def arriving_events(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return tables.event_transactions(spark, sf_dir).select(
+        "seq", "amount", "merchant", "direction", F.col("ts").cast("timestamp").alias("ts"), "reference_ids")
+
+
+@register("streaming_ingest")
+def streaming_ingest(spark, sf_dir):
+    """ST-1: the nightly run as a stream with a commit log: an epoch without payments, an epoch with the whole archive, both
+    replayed; the new ledger rows with their audit entries as read back from the committed version."""
+    from pyspark.sql import functions as F
+
+    from spendlake.config import DEFAULT_ALLOWED_SENDERS
+    from spendlake.operators.filters import sender_match
+    from spendlake.session import scratch_path
+    from spendlake.sources.versions import AUDIT, VersionedTables, read_expenses
+    from spendlake.streaming.ingest import PROCESSED, ingest_epoch, ingest_stream
+
+    msgs, led, cp = run_inputs(spark, sf_dir)
+    source, root, progress = (scratch_path(spark, x) for x in ("st1-in", "st1", "st1-ckpt"))
+    store = VersionedTables(spark, root)
+    names = [f"`{x.split()[0].strip('`')}`" for x in PROCESSED.split(", ")]
+    seeds = {"expenses": store.write("expenses", led)[0], "processed": store.write("processed", cp.select(*names))[0]}
+    store.commit(store.version(), {t: {"": [f]} for t, f in seeds.items()})
+    high = led.agg(F.max("id")).first()[0] or 0
+    allowed = F.coalesce(sender_match(F.col("sender_email"), DEFAULT_ALLOWED_SENDERS), F.lit(False))
+    for k, part in enumerate((msgs.where(~allowed), msgs.where(allowed))):
+        part.write.parquet(f"{source}/{k}")
+        stream = spark.readStream.schema(part.schema).parquet(f"{source}/*")
+        ingest_stream(stream, root, progress, RUN_AS_OF).awaitTermination()
+        ingest_epoch(store, spark.read.schema(part.schema).parquet(f"{source}/{k}"), k, RUN_AS_OF)  # a replay
+    audit = store.read("audit", AUDIT).where("action = 'BULK_INSERT_ROW'").select(F.col("row_id").alias("id"), "action")
+    return read_expenses(store).where(F.col("id") > high).join(audit, "id", "left").select(
+        "id", "amount", "category", "description", "transaction_date", "action")
+
+
+@register("streaming_reference_dedup")
+def streaming_reference_dedup(spark, sf_dir):
+    """ST-3: every event's reference in a stream of several pieces, and whether it was seen in the seven days before."""
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import file_stream, reference_stream, run_to_table
+
+    rows = arriving_events(spark, sf_dir).select("seq", "ts", "reference_ids")
+    source, out, progress = (scratch_path(spark, x) for x in ("st3-in", "st3-out", "st3-ckpt"))
+    stream = lambda: run_to_table(
+        reference_stream(file_stream(spark, f"{source}/*", rows.schema)), out, progress, "append")
+    return arrive(spark, rows, "ts", source, stream).select("seq", "ref", "seen_before")
+
+
+@register("streaming_first_match")
+def streaming_first_match(spark, sf_dir):
+    """ST-4: batch events joined with ledger events as two streams of several pieces: first match with score
+    and status per batch event, nulls where there is none."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import file_stream, run_to_table, soft_match_stream
+
+    rows = arriving_events(spark, sf_dir).drop("reference_ids")
+    source, out, progress = (scratch_path(spark, x) for x in ("st4f-in", "st4f-out", "st4f-ckpt"))
+    split = lambda day: F.lit(day).cast("timestamp")
+
+    def stream():
+        new, old = (file_stream(spark, f"{source}/*", rows.schema) for _ in range(2))
+        new = new.where(F.col("ts") >= split(tables.BATCH_START))
+        old = old.where((F.col("ts") < split(tables.LEDGER_END)) | F.col("seq").isNull()).withColumnRenamed("seq", "id")
+        return run_to_table(soft_match_stream(new, old.withColumn("direction", F.lit("debit")), salts=2), out, progress, "append")
+
+    return arrive(spark, rows, "ts", source, stream).where("seq is not null")
+
+
+def _closed_spend(spark, sf_dir, period):
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.streaming.ingest import closed_spend, file_stream, run_to_table
+
+    rows = tables.read_table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(
+        F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("amount"),
+        F.col("o_orderpriority").alias("category"))
+    source, out, progress = (scratch_path(spark, x) for x in ("st5c-in", "st5c-out", "st5c-ckpt"))
+    stream = lambda: run_to_table(
+        closed_spend(file_stream(spark, f"{source}/*", rows.schema), period), out, progress, "append")
+    return arrive(spark, rows, "ts", source, stream).where("key is not null").select(
+        F.date_format("start", "yyyy-MM-dd").alias("start"), F.col("key").alias("category"), F.round("spent", 2).alias("spent"), "n")
+
+
+@register("streaming_closed_weeks")
+def streaming_closed_weeks(spark, sf_dir):
+    """ST-5 in append mode: spend per priority of each closed week, rolled up from closed days."""
+    return _closed_spend(spark, sf_dir, "weekly")
+
+
+@register("streaming_closed_months")
+def streaming_closed_months(spark, sf_dir):
+    """ST-5 in append mode: spend per priority of each closed month, rolled up from closed days."""
+    return _closed_spend(spark, sf_dir, "monthly")

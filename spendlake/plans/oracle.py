@@ -324,11 +324,11 @@ self_pairs AS (
   FROM a c JOIN a e ON c.seq < e.seq AND {band}
 ),
 ledger_pairs AS (
-  SELECT c.seq AS c_key, e.id AS e_key, e.ts AS e_ts, {status} AS status
+  SELECT c.seq AS c_key, e.id AS e_key, e.ts AS e_ts, {sc} AS score, {status} AS status
   FROM b c JOIN l e ON {band}
 ),
 first_match AS (
-  SELECT c_key AS seq, e_key AS ledger_id, status AS ledger_status FROM (
+  SELECT c_key AS seq, e_key AS ledger_id, score, status AS ledger_status FROM (
     SELECT *, row_number() OVER (PARTITION BY c_key ORDER BY e_ts DESC, e_key) AS rn
     FROM ledger_pairs WHERE status IS NOT NULL) WHERE rn = 1
 ),
@@ -985,3 +985,27 @@ sql("streaming_monthly_spend", """
 SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m') AS month_key, o_custkey AS custkey,
        round(sum(o_totalprice), 2) AS spent, count(*) AS n
 FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2""")
+
+
+# ---------------------------------------------------------------------------
+# Streams that arrive in several pieces
+# ---------------------------------------------------------------------------
+
+def _arriving_sql():
+    base = ORACLE["run_appended"].rsplit("SELECT id, email_uid, amount, category, description, transaction_date FROM appended", 1)[0]
+    sql("streaming_ingest", f"""{base}
+SELECT id, amount, category, description, transaction_date, 'BULK_INSERT_ROW' AS action FROM appended""")
+    sql("streaming_reference_dedup", f"""{DEDUP_CTES}
+SELECT seq, lower(ref) AS ref,
+       coalesce(ts - lag(ts) OVER (PARTITION BY lower(ref) ORDER BY ts, seq) <= INTERVAL 7 DAY, false) AS seen_before
+FROM a WHERE coalesce(ref, '') <> ''""")
+    sql("streaming_first_match", f"""{DEDUP_CTES}
+SELECT b.seq, ledger_id, CAST(score AS DOUBLE) AS score, ledger_status FROM b LEFT JOIN first_match f ON f.seq = b.seq""")
+    for name, unit in (("streaming_closed_weeks", "week"), ("streaming_closed_months", "month")):
+        sql(name, f"""
+SELECT strftime(date_trunc('{unit}', CAST(o_orderdate AS TIMESTAMP)), '%Y-%m-%d') AS start, o_orderpriority AS category,
+       round(sum(o_totalprice), 2) AS spent, count(*) AS n
+FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2""")
+
+
+_arriving_sql()

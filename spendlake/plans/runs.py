@@ -42,6 +42,7 @@ class RunResult:
     new_ledger: DataFrame
     audit: DataFrame
     checkpoint_rows: DataFrame
+    checkpoint_all: DataFrame
     checkpoint_kept: DataFrame
     checkpoint_pruned: DataFrame
     summary: DataFrame
@@ -135,7 +136,7 @@ def run_batch(
     kept, pruned = prune_checkpoint(all_cp, as_of_ts, s.prune_after_days)
     summary = run_summary(cand, appended)
     numbered = assign_dense_ids(cand, ["seq"], 0, id_col="number")
-    return RunResult(numbered, totals, breakdown, appended, new_ledger, audit, checkpoint_rows, kept, pruned, summary)
+    return RunResult(numbered, totals, breakdown, appended, new_ledger, audit, checkpoint_rows, all_cp, kept, pruned, summary)
 
 
 def run_summary(cand: DataFrame, appended: DataFrame) -> DataFrame:

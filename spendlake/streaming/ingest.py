@@ -2,8 +2,8 @@
 
 The nightly run becomes a stream over an arriving message folder with
 ``trigger(availableNow=True)``: each trigger processes what arrived since the last
-one, and the checkpoint location makes the ingest exactly-once (a retried batch is
-replayed from the offsets log; the sink commits per epoch).
+one, and the checkpoint location together with a commit log makes the ingest exactly-once (a retried
+batch is replayed from the offsets log; the sink commits per epoch).
 
 Event-time columns must be TIMESTAMP (not TIMESTAMP_NTZ) for watermarks; the
 helpers cast with the session time zone.
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spendlake.config import DedupSettings, Settings
-from spendlake.operators.dedup import MICROS_PER_MIN
+from spendlake.operators.dedup import MICROS_PER_MIN, score_columns
+from spendlake.operators.filters import checkpoint_keep
+from spendlake.sources.versions import Version, VersionedTables, audited, read_expenses
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None,
@@ -32,42 +34,51 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", gl
 
 
 # ---------------------------------------------------------------------------
-# ST-1: exactly-once ingest via foreachBatch
+# ST-1: exactly-once ingest via foreachBatch and a commit log
 # ---------------------------------------------------------------------------
 
-def ingest_stream(messages: DataFrame, ledger_path: str, checkpoint_path: str, processed_path: str,
-                  as_of_ts: str, settings: Settings = Settings()) -> StreamingQuery:
-    """ST-1: run the batch job (REV-3) on every micro-batch of new messages.
+PROCESSED = ("email_uid string, message_id string, `from` string, subject string, processed_at timestamp_ntz, "
+             "result string, ledger_ids array<bigint>, reference_ids map<string,string>")
 
-    The stream's checkpoint gives exactly-once offsets; appends go to the ledger and
-    processed-message folders inside the batch function.  A batch reads only what earlier
-    epochs wrote, so a replayed epoch computes and replaces exactly its own rows."""
+
+def ingest_epoch(store: VersionedTables, batch: DataFrame, epoch: int, as_of_ts: str, settings: Settings = Settings()) -> Version:
+    """One epoch of the ingest: the batch job (REV-3) on the messages of a micro-batch against what earlier
+    epochs committed.  New ledger rows, audit rows, the pruned checkpoint, the run's candidates and
+    its summary become current with one commit, or none does; an epoch that is already
+    committed is left alone.  How many checkpoint rows were pruned is observed in the write."""
     from spendlake.plans.runs import run_batch
-    from spendlake.sources.io import read_checkpoint
-
-    def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            ledger = spark.read.parquet(ledger_path).where(F.col("epoch") < epoch_id)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            ledger = spark.createDataFrame([], "id bigint, amount double, category string, description string, "
-                                               "transaction_date string, deleted_at timestamp_ntz, "
-                                               "inserted_on timestamp_ntz, updated_on timestamp_ntz")
-        processed = read_checkpoint(spark, processed_path)
-        if "epoch" in processed.columns:
-            processed = processed.where(F.col("epoch") < epoch_id).drop("epoch")
-        processed = processed.withColumn("processed_at", F.col("processed_at").cast("timestamp_ntz"))
-        res = run_batch(batch, ledger, processed, as_of_ts, settings)
-        (res.appended.drop("seq", "email_uid")
-         .withColumn("month_key", F.substring("transaction_date", 1, 7))
-         .write.mode("overwrite").partitionBy("month_key").parquet(f"{ledger_path}/epoch={epoch_id}"))
-        res.checkpoint_rows.withColumn("processed_at", F.col("processed_at").cast("string")).write.mode(
-            "overwrite").json(f"{processed_path}/epoch={epoch_id}")
-
-    return (messages.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
-            .trigger(availableNow=True).start())
+
+    base = store.version()
+    if base.info.get("epoch", -1) >= epoch:
+        return base
+    processed = store.read("processed", PROCESSED, at=base)
+    res = run_batch(batch, read_expenses(store, at=base), processed, as_of_ts, settings)
+    tables = base.tables
+    rows, seen = store.write("expenses", res.appended.drop("seq", "email_uid"))
+    if seen["rows"]:
+        tables = Version(base.number, tables).appended("expenses", rows)
+    audit, high = audited(store, base, res.audit)
+    tables = Version(base.number, tables).appended("audit", audit)
+    keep = checkpoint_keep(as_of_ts, settings.prune_after_days)
+    kept, checked = store.write("processed", res.checkpoint_all, keep=keep, pruned=~keep)
+    candidates, counted = store.write("candidates", res.candidates)
+    summary, _ = store.write("summary", res.summary)
+    for table, folder in (("processed", kept), ("candidates", candidates), ("summary", summary)):
+        tables = Version(base.number, tables).replaced(table, {"": [folder]})
+    return store.commit(base, tables, {
+        "epoch": epoch, "as_of": as_of_ts, "audit_high": high, "appended": seen["rows"], "messages": counted["rows"],
+        "pruned": checked["pruned"]})
+
+
+def ingest_stream(messages: DataFrame, root: str, checkpoint_path: str, as_of_ts: str,
+                  settings: Settings = Settings()) -> StreamingQuery:
+    """ST-1: ``ingest_epoch`` on every micro-batch of new messages.
+
+    The stream's checkpoint keeps the offsets, the commit log under ``root`` what each epoch made: an epoch that failed
+    before its commit runs again on the same messages, one that failed after it is skipped."""
+    store = VersionedTables(messages.sparkSession, root)
+    return (messages.writeStream.foreachBatch(lambda batch, epoch: ingest_epoch(store, batch, epoch, as_of_ts, settings) and None)
+            .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start())
 
 
 # ---------------------------------------------------------------------------
@@ -96,17 +107,94 @@ def hard_match_stream(cands: DataFrame, known: DataFrame) -> DataFrame:
     return vals.join(known.select(F.col("ref").alias("_ref")), F.lower(F.col("_v")) == F.col("_ref"), "left_semi").drop("_v")
 
 
+SEEN = "seq bigint, ref string, ts timestamp, seen_before boolean"
+
+
+def reference_stream(cands: DataFrame, days: int = DedupSettings.known_ref_days, late: str = "1 hour") -> DataFrame:
+    """ST-3: every reference value of the stream (seq, ts, reference_ids), with whether it was seen within ``days``
+    before, in this stream; without any table.
+
+    The state of a reference is the last time it was seen, and an event-time timer removes it when
+    ``days`` have passed, so the state holds the references of the last days only.  The rows of one
+    reference in one micro-batch are ordered by (ts, seq) before they are told apart;
+    rows later than ``late`` are judged by what is still known."""
+    span = days * 86_400_000_000
+    vals = cands.withWatermark("ts", late).select("seq", "ts", F.explode(F.map_values("reference_ids")).alias("v")).where(
+        F.col("v").isNotNull() & (F.col("v") != "")).select("seq", "ts", F.lower("v").alias("ref"))
+
+    def tell(key, frames, state):
+        import numpy as np
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        at = rows["ts"].astype("datetime64[us]").to_numpy().astype(np.int64)
+        last = state.get[0] if state.exists else None
+        before = np.concatenate([[np.iinfo(np.int64).min if last is None else last], at[:-1]])
+        known = (before != np.iinfo(np.int64).min) & (at - np.maximum(before, at - span - 1) <= span)
+        newest = int(max(at[-1], last if last is not None else at[-1]))
+        end = (newest + span) // 1000 + 1
+        if end > state.getCurrentWatermarkMs():
+            state.update((newest,))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"seq": rows["seq"].to_numpy(), "ref": key[0], "ts": rows["ts"].to_numpy(), "seen_before": known})
+
+    return vals.groupBy("ref").applyInPandasWithState(tell, SEEN, "last bigint", "append", "EventTimeTimeout")
+
+
 # ---------------------------------------------------------------------------
 # ST-4: soft match as a stream-stream interval join
 # ---------------------------------------------------------------------------
 
 def soft_match_stream(new: DataFrame, recent: DataFrame, s: DedupSettings = DedupSettings(),
-                      watermark: str | None = None) -> DataFrame:
-    """ST-4: pairs (new, recent) on equal amount bucket (+ neighbours) and event times
+                      watermark: str | None = None, salts: int = 1) -> DataFrame:
+    """ST-4: per candidate of ``new`` the first row of ``recent`` in newest-first order (ties by id) that soft-matches it,
+    with score and status; a candidate without a match comes out with nulls when the watermark has passed.
+
+    A left outer interval join (equal amount bucket, times within two hours or the window, and the exact score in the
+    join condition), then one chained aggregation per candidate.  Both sides are watermarked, so join and
+    aggregation state are evicted.  ``salts`` deals the candidates of a frequent amount over that many tasks
+    and repeats the recent rows as often.
+
+    ``new``: seq, amount, merchant, [direction], ts (TIMESTAMP).  ``recent``: id and the same."""
+    width_min = max(float(s.time_window_minutes), 120.0)
+    wm = watermark or f"{int(max(s.max_date_gap_hours, width_min / 60))} hours"
+    a_width = float(s.amount_tolerance) * (1 + 1e-9) if s.amount_tolerance > 0 else None
+
+    def side(df: DataFrame, key: str, p: str) -> DataFrame:
+        direction = F.coalesce(F.col("direction"), F.lit("debit")) if "direction" in df.columns else F.lit("debit")
+        return df.withWatermark("ts", wm).select(
+            F.col(key).alias(f"{p}key"), F.coalesce("amount", F.lit(0.0)).cast("double").alias(f"{p}amount"),
+            F.lower(F.trim(F.coalesce("merchant", F.lit("")))).alias(f"{p}merchant"), direction.alias(f"{p}direction"),
+            F.unix_micros("ts").alias(f"{p}us"), F.col("ts").alias(f"{p}ts"))
+
+    bucket = lambda c: F.col(c) if a_width is None else F.floor(F.col(c) / a_width)
+    n = side(new, "seq", "c_").withColumn("_ab", bucket("c_amount")).withColumn("_salt", F.pmod(F.xxhash64("c_key"), F.lit(salts)).cast("int"))
+    r = side(recent, "id", "e_").withColumn("_eb", bucket("e_amount"))
+    r = r if a_width is None else r.withColumn("_eb", F.explode(F.array(F.col("_eb") - 1, F.col("_eb"), F.col("_eb") + 1)))
+    r = r.withColumn("_esalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    span = F.expr(f"INTERVAL {int(width_min)} MINUTES")
+    _, score, status = score_columns(s)
+    j = n.join(r, (n._ab == r._eb) & (n._salt == r._esalt) & (F.col("e_ts") >= F.col("c_ts") - span)
+               & (F.col("e_ts") <= F.col("c_ts") + span) & status.isNotNull(), "left_outer")
+    hit = F.when(F.col("e_key").isNotNull(), F.struct(
+        F.col("e_us"), (-F.col("e_key")).alias("id"), score.alias("score"), status.alias("status")))
+    best = j.groupBy(F.window("c_ts", "1 hour"), "c_key").agg(F.max(hit).alias("_b"))
+    return best.select(F.col("c_key").alias("seq"), (-F.col("_b.id")).alias("ledger_id"), F.col("_b.score").alias("score"),
+                       F.col("_b.status").alias("ledger_status"))
+
+
+def interval_pairs_stream(new: DataFrame, recent: DataFrame, s: DedupSettings = DedupSettings(),
+                          watermark: str | None = None) -> DataFrame:
+    """Pairs of a stream-stream interval join: pairs (new, recent) on equal amount bucket (+ neighbours) and event times
     within max(window, 2 h); both sides watermarked so join state is evicted.
 
     Input columns: seq, amount, merchant, ts (TIMESTAMP).  Output: new.seq, recent.seq
-    and the time gap; the exact score is applied downstream (``dedup.score_columns``)."""
+    and the time gap; ``soft_match_stream`` scores them."""
     width_min = max(float(s.time_window_minutes), 120.0)
     wm = watermark or f"{int(max(s.max_date_gap_hours, width_min / 60))} hours"
     a_width = float(s.amount_tolerance) * (1 + 1e-9) if s.amount_tolerance > 0 else 1e-9
@@ -144,6 +232,27 @@ def running_spend(stream: DataFrame, period: str = "daily", time_col: str = "ts"
     return s.groupBy(*grp).agg(F.sum(amount_col).alias("spent"), F.count(F.lit(1)).alias("n"))
 
 
+def closed_spend(stream: DataFrame, period: str = "daily", time_col: str = "ts", amount_col: str = "amount",
+                 key_col: str = "category", watermark: str = "2 days") -> DataFrame:
+    """ST-5 in append mode: spend per key of each day, week (from Monday) or month that the watermark has closed.
+
+    Days are summed first; weeks and months are a second aggregation chained to the closed days (``window_time``), so
+    state holds open days and one row per open week or month, and the watermark evicts both.  Months differ in
+    length: a month is a session that lasts from its first day seen to its end."""
+    days = stream.withWatermark(time_col, watermark).groupBy(F.window(F.col(time_col), "1 day"), F.col(key_col).alias("key")).agg(
+        F.sum(amount_col).alias("spent"), F.count(F.lit(1)).alias("n"))
+    if period == "daily":
+        return days.select(F.to_date("window.start").alias("start"), "key", "spent", "n")
+    total = [F.sum("spent").alias("spent"), F.sum("n").alias("n")]
+    at = days.select(F.window_time("window").alias("at"), F.to_date("window.start").alias("day"), "key", "spent", "n")
+    if period == "weekly":
+        return at.groupBy(F.window("at", "7 days", startTime="4 days"), "key").agg(*total).select(
+            F.to_date("window.start").alias("start"), "key", "spent", "n")
+    left = F.concat(F.datediff(F.last_day("day"), F.col("day")) + 1, F.lit(" days"))
+    return at.groupBy(F.session_window("at", left), F.trunc("day", "month").alias("start"), "key").agg(*total).select(
+        "start", "key", "spent", "n")
+
+
 def run_to_table(df: DataFrame, out_path: str, checkpoint_path: str, mode: str = "complete") -> DataFrame:
     """Drive a streaming aggregate to completion (availableNow) and return its result.
 
@@ -160,8 +269,8 @@ def run_to_table(df: DataFrame, out_path: str, checkpoint_path: str, mode: str =
     q.awaitTermination()
     spark = df.sparkSession
     try:
-        return spark.read.parquet(out_path)
+        return spark.read.schema(df.schema).parquet(out_path).select(*df.columns)
     except AnalysisException as missing:  # no batch has written anything
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], df.schema)
