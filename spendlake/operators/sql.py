@@ -7,6 +7,9 @@ types of the parsed plan decide, so words in literals or aliases do not matter.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,24 +17,34 @@ ALLOWED_PREFIXES = ("SELECT", "WITH", "EXPLAIN")
 _PLANS = "org.apache.spark.sql.catalyst.plans.logical"
 _CHANGES_STATE = (f"{_PLANS}.Command", f"{_PLANS}.ParsedStatement")
 
+_EXPLAIN = re.compile(r"(EXPLAIN\s+(?:(?:EXTENDED|CODEGEN|COST|FORMATTED)\s+)?)?(.*?)[\s;]*$", re.I | re.S)
+
 
 class ReadOnlyViolation(ValueError):
     pass
 
 
 def query_read(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Run a read-only statement over ``views`` (temporary views while it is analysed)."""
+    """Run a read-only statement over ``views``.
+
+    The views are the statement's own: it becomes a subquery below a WITH clause that names them, over
+    temporary views with names of their own.  Views of the session with the same names are neither seen nor changed."""
     text = sql.strip()
     if not text.upper().startswith(ALLOWED_PREFIXES):
         raise ReadOnlyViolation("This entry point reads only: begin with SELECT, WITH or EXPLAIN.")
     _check_plan(spark, text)
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    try:
+    if not views:
         return spark.sql(text)
+    explain, query = _EXPLAIN.match(text).groups(default="")
+    private = {name: f"spendlake_{uuid.uuid4().hex}" for name in views}
+    names = ", ".join(f"`{name.replace('`', '``')}` AS (SELECT * FROM {view})" for name, view in private.items())
+    for name, df in views.items():
+        df.createOrReplaceTempView(private[name])
+    try:
+        return spark.sql(f"{explain}WITH {names} SELECT * FROM (\n{query}\n)")
     finally:
-        for name in views or {}:
-            spark.catalog.dropTempView(name)
+        for view in private.values():
+            spark.catalog.dropTempView(view)
 
 
 def _check_plan(spark: SparkSession, text: str) -> None:

@@ -1,21 +1,23 @@
 """Category suggestion (JN-9, AGG-6, SC-16) and same-category roll-up (AGG-10).
 
 JN-9 is a contains-join of many terms against all active descriptions
-(``lower(description) LIKE '%term%'``).  Plan: explode each description into its
-distinct k-grams (k = 3), count gram frequencies (partial aggregation), key each
-term by its *rarest* k-gram, equi-join descriptions to terms on that gram, then keep
-the exact ``contains`` residual.  Terms shorter than k are their own single gram, so
+(``lower(description) LIKE '%term%'``), built as an inverted index.  The descriptions become a
+dictionary of (lower(description), category, number of rows) entries with ids; the grams (k = 3)
+of an entry are posted as (gram, entry id), only if some term holds the gram.  Each term is
+keyed by its *rarest* gram, its postings give the entries to look at, and the exact ``contains`` is checked on those.
+The text of an entry is read there alone: it never travels with a gram.  Terms shorter than k are their own single gram, so
 the same equi-join is exact for them; the empty term matches every description.
-No pairs beyond the gram candidates are formed; hot grams are split by AQE skew handling.
+AGG-6 adds up the entries' row numbers, so rows are counted before anything is joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.config import AUTO_CATEGORY_MIN_CONFIDENCE, DEFAULT_CATEGORY
 from spendlake.operators.filters import active
+from spendlake.session import cut_lineage
 
 GRAM = 3
 
@@ -37,68 +39,59 @@ def gram_stats(expenses: DataFrame, gram: int = GRAM) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term", gram: int = GRAM,
-                 like_wildcards: bool = False, stats: DataFrame | None = None) -> DataFrame:
-    """JN-9: (term, id, category) for every active row whose lower(description) contains
-    lower(term).  ``term`` in the output is the lower-cased term.
+def dictionary(expenses: DataFrame) -> DataFrame:
+    """entry, ldesc, category and n (active rows) per distinct lower-cased description and category."""
+    counted = active(expenses).select(F.lower("description").alias("ldesc"), "category").where("ldesc is not null").groupBy(
+        "ldesc", "category").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(counted.select(F.monotonically_increasing_id().alias("entry"), "ldesc", "category", "n"))
+
+
+def entry_matches(entries: DataFrame, terms: DataFrame, term_col: str = "term", gram: int = GRAM,
+                  like_wildcards: bool = False, stats: DataFrame | None = None) -> DataFrame:
+    """JN-9 on a dictionary: (term, entry) for every entry whose description contains lower(term).
 
     ``like_wildcards=True`` reproduces the surveyed LIKE behaviour for terms holding
     '%' or '_' (they act as wildcards there): such terms are keyed by the rarest gram of
     their longest literal segment and checked with ``LIKE '%term%'``."""
-    act = active(expenses).select("id", "category", F.lower("description").alias("ldesc")).where(
-        F.col("ldesc").isNotNull()
-    )
-    t = terms.select(F.lower(F.col(term_col)).alias("term")).where(F.col("term").isNotNull()).distinct()
-    wild = F.col("term").rlike("[%_]")
-    if like_wildcards:
-        t, tw = t.where(~wild), t.where(wild)
-    out = None
-    # Terms of length >= gram: key by the rarest gram.
-    dg = act.select("id", "category", "ldesc", F.explode(_grams(F.col("ldesc"), gram)).alias("g"))
-    tg = t.where(F.length("term") >= gram).select("term", F.explode(_grams(F.col("term"), gram)).alias("g"))
-    # Frequencies only for grams that occur in some term (semi join before the shuffle),
-    # or from a precomputed statistics table.
-    if stats is not None:
-        freq = stats.select("g", "cnt")
-    else:
-        freq = dg.join(tg.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
-    tg = tg.join(freq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-    key = tg.groupBy("term").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"), F.min("cnt").alias("_min"))
-    key = key.where(F.col("_min") > 0).drop("_min")
-    long_hits = dg.join(key, "g").where(F.col("ldesc").contains(F.col("term"))).select("term", "id", "category")
-    out = long_hits
-    if like_wildcards and not tw.isEmpty():
-        # Keyed by the longest literal segment of the pattern, whole if it is shorter than a gram.
-        seg = F.array_max(F.transform(F.split("term", "[%_]"), lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))
-        tw = tw.withColumn("_seg", seg["s"])
-        twg = tw.where(F.length("_seg") >= gram).select("term", F.explode(_grams(F.col("_seg"), gram)).alias("g"))
-        wfreq = dg.join(twg.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
-        twg = twg.join(wfreq, "g", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
-        wkey = twg.groupBy("term").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"))
-        like = F.expr("ldesc LIKE concat('%', term, '%')")
-        out = out.unionByName(dg.join(wkey, "g").where(like).select("term", "id", "category").distinct())
-        for k in range(1, gram):
-            keyed = act.select("id", "category", "ldesc", F.explode(_grams(F.col("ldesc"), k)).alias("_seg"))
-            out = out.unionByName(keyed.join(tw.where(F.length("_seg") == k), "_seg").where(like)
-                                  .select("term", "id", "category").distinct())
-        # Terms of wildcards only ask for a number of characters ('_'): every length up to that of
-        # the description meets the terms by equality.
-        bare = tw.where(F.length("_seg") == 0).select(
-            "term", F.length(F.regexp_replace("term", "%", "")).alias("_least"))
-        least = act.select("id", "category", F.explode(F.sequence(F.lit(0), F.length("ldesc"))).alias("_least"))
-        out = out.unionByName(least.join(bare, "_least").select("term", "id", "category"))
-    # Short terms (1 .. gram-1 chars): the term is its own only gram.
-    # Only built when such terms exist (a size check that reads at most one row).
-    for k in range(1, gram):
-        short = t.where(F.length("term") == k)
-        if short.isEmpty():
-            continue
-        grams_k = act.select("id", "category", F.explode(_grams(F.col("ldesc"), k)).alias("term"))
-        out = out.unionByName(grams_k.join(short, "term").select("term", "id", "category"))
-    # The empty term matches every non-NULL description.
-    if not t.where(F.col("term") == "").isEmpty():
-        out = out.unionByName(act.select(F.lit("").alias("term"), "id", "category"))
-    return out
+    wild = F.col("term").rlike("[%_]") if like_wildcards else F.lit(False)
+    literals = F.when(wild, F.split("term", "[%_]")).otherwise(F.array("term"))
+    longest = F.array_max(F.transform(literals, lambda x: F.struct(F.length(x).alias("n"), x.alias("s"))))["s"]
+    t = cut_lineage(terms.select(F.lower(F.col(term_col)).alias("term")).where("term is not null").distinct().select(
+        "term", wild.alias("wild"), longest.alias("literal")))
+    size = F.length("literal")
+    kinds = t.agg(F.collect_set(F.when(size < gram, F.struct(size.alias("size"), "wild"))).alias("k")).first().k  # 2 * gram at most
+    texts = entries.select("entry", "ldesc")
+    # the rarest gram of each literal of a gram or more, among the grams that stand in any of them
+    tg = t.where(size >= gram).select("term", "wild", F.explode(_grams(F.col("literal"), gram)).alias("g"))
+    wanted = tg.select("g").distinct()
+    postings = texts.select("entry", F.explode(_grams(F.col("ldesc"), gram)).alias("g")).join(wanted, "g", "left_semi")
+    freq = stats.select("g", "cnt") if stats is not None else postings.groupBy("g").agg(F.count(F.lit(1)).alias("cnt"))
+    key = tg.join(freq, "g").groupBy("term", "wild").agg(F.min_by("g", F.struct("cnt", "g")).alias("g"), F.count(F.lit(1)).alias("found"))
+    # a term with a gram that stands nowhere matches nothing
+    key = key.join(tg.groupBy("term").agg(F.count(F.lit(1)).alias("all")), "term").where(F.col("found") == F.col("all"))
+    pairs = postings.join(key.select("term", "wild", "g"), "g").select("term", "wild", "entry")
+    for k, is_wild in sorted((r.size, r.wild) for r in kinds):
+        some = t.where((size == k) & (F.col("wild") == F.lit(is_wild)))
+        if k:
+            grams = texts.select("entry", F.explode(_grams(F.col("ldesc"), k)).alias("literal"))
+            pairs = pairs.unionByName(grams.join(some, "literal").select("term", "wild", "entry"))
+        else:  # the empty term, and terms of wildcards only, ask for a least number of characters: every length meets them by equality
+            some = some.select("term", "wild", F.length(F.regexp_replace("term", "%", "")).alias("least"))
+            least = texts.select("entry", F.explode(F.sequence(F.lit(0), F.length("ldesc"))).alias("least"))
+            pairs = pairs.unionByName(least.join(some, "least").select("term", "wild", "entry"))
+    holds = F.when(F.col("wild"), F.expr("ldesc LIKE concat('%', term, '%')")).otherwise(F.col("ldesc").contains(F.col("term")))
+    return pairs.join(texts, "entry").where(holds).select("term", "entry")
+
+
+def term_matches(expenses: DataFrame, terms: DataFrame, term_col: str = "term", gram: int = GRAM,
+                 like_wildcards: bool = False, stats: DataFrame | None = None) -> DataFrame:
+    """JN-9: (term, id, category) for every active row whose lower(description) contains
+    lower(term).  ``term`` in the output is the lower-cased term; see ``entry_matches``."""
+    entries = dictionary(expenses)
+    hits = entry_matches(entries, terms, term_col, gram, like_wildcards, stats).join(entries.drop("n"), "entry")
+    rows = active(expenses).select("id", F.col("category").alias("_category"), F.lower("description").alias("_ldesc"))
+    same = (F.col("_ldesc") == F.col("ldesc")) & F.col("_category").eqNullSafe(F.col("category"))
+    return hits.join(rows, same).select("term", "id", "category")
 
 
 def suggest_categories(expenses: DataFrame, terms: DataFrame, term_col: str = "term",
@@ -111,12 +104,13 @@ def suggest_categories(expenses: DataFrame, terms: DataFrame, term_col: str = "t
     total_matches = all matches, histogram = 'category:count' sorted by category;
     no match -> NULL / 0 / 0.  ``gated_category`` applies the confidence gate."""
     t = terms.select(F.lower(F.col(term_col)).alias("term")).where(F.col("term").isNotNull()).distinct()
-    counts = term_matches(expenses, terms, term_col, like_wildcards=like_wildcards, stats=stats).groupBy("term", "category").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("term").orderBy(F.desc("cnt"), F.asc_nulls_first("category"))
-    ranked = counts.withColumn("_r", F.row_number().over(w))
-    per_term = ranked.groupBy("term").agg(
-        F.max(F.when(F.col("_r") == 1, F.col("category"))).alias("suggested"),
-        F.max(F.when(F.col("_r") == 1, F.col("cnt"))).alias("confidence"),
+    entries = dictionary(expenses)
+    counts = entry_matches(entries, terms, term_col, like_wildcards=like_wildcards, stats=stats).join(
+        entries.select("entry", "category", "n"), "entry").groupBy("term", "category").agg(F.sum("n").alias("cnt"))
+    best = F.min(F.struct((-F.col("cnt")).alias("order"), "category"))  # the most frequent, then the first category (NULL first)
+    per_term = counts.groupBy("term").agg(
+        best["category"].alias("suggested"),
+        F.max("cnt").alias("confidence"),
         F.sum("cnt").alias("total_matches"),
         F.array_join(F.sort_array(F.collect_list(F.concat(F.coalesce("category", F.lit("")), F.lit(":"),
                                                           F.col("cnt").cast("string")))), ",").alias("histogram"),

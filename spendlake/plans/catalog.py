@@ -529,17 +529,6 @@ def html_to_text_q(spark, sf_dir):
     return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-@register("html_to_text_exact")
-def html_to_text_exact_q(spark, sf_dir):
-    """SC-10, the name of a former variant: the native chain."""
-    from pyspark.sql import functions as F
-
-    from spendlake.functions.text import html_to_text
-
-    pages = tables.read_table(spark, sf_dir, "pages")
-    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
-
-
 @register("address_extraction")
 def address_extraction(spark, sf_dir):
     """SC-12: addresses from 'Name <addr>' headers built from customers, and from document text."""

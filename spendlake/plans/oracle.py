@@ -623,18 +623,42 @@ _mutation_sql()
 # Text helpers and read-only SQL
 # ---------------------------------------------------------------------------
 
-def _text_sql():
-    from spendlake.functions.text import ENTITY_STEPS, HTML_STEPS
-    from spendlake.plans.catalog import READ_ONLY_SQL
+def _html_sql() -> str:
+    """Text of ``html`` by steps of its own: one replacement per kind of markup, references piece by piece."""
+    from html.entities import html5
 
+    block = "p|div|br|tr|li|h[1-4]"
     x = "coalesce(html, '')"
-    for pat, rep in HTML_STEPS:
+    for pat, rep in (
+        (r"(?s)<!--.*?(-->|\z)", ""),
+        (r"(?is)<script(\s[^>]*)?>.*?(</script\s*>|\z)", ""),
+        (r"(?is)<style(\s[^>]*)?>.*?(</style\s*>|\z)", ""),
+        (rf"(?i)</({block})\b[^>]*>", " "),
+        (rf"(?i)<({block})(\s[^>]*)?/>", " "),
+        (r"""<[/A-Za-z]([^>=]|=\s*("[^"]*"|'[^']*')?)*>""", ""),
+        (r"<[!?][^>]*>", ""),
+    ):
         x = f"regexp_replace({x}, {q_(pat)}, {q_(rep)}, 'g')"
-    for pat, ch in ENTITY_STEPS:
-        x = f"regexp_replace({x}, {q_(pat)}, {q_(ch)}, 'g')"
-    x = f"trim(regexp_replace({x}, {q_(r'[\s\x{00A0}]+')}, ' ', 'g'))"
-    sql("html_to_text", f"SELECT page_id, {x} AS text FROM pages")
-    sql("html_to_text_exact", f"SELECT page_id, {x} AS text FROM pages")
+    names = ", ".join(f"{q_(k)}: {q_(v)}" for k, v in html5.items() if not any(c in v for c in "\n\t"))
+    legacy = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+    token, old = "regexp_extract(p, '^[^ <&#;]{1,32};?')", f"regexp_extract(p, '^({legacy})')"
+    return f"""
+WITH names AS (SELECT MAP {{{names}}} AS m),
+pieces AS (SELECT page_id, string_split({x}, '&') AS ps FROM pages),
+decoded AS (SELECT page_id, ps[1] || coalesce(array_to_string([CASE
+    WHEN regexp_matches(p, '^#[0-9]') THEN chr(CAST(regexp_extract(p, '^#([0-9]+)', 1) AS INTEGER)) || regexp_replace(p, '^#[0-9]+;?', '')
+    WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]') THEN chr(CAST('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1) AS INTEGER))
+         || regexp_replace(p, '^#[xX][0-9a-fA-F]+;?', '')
+    WHEN m[{token}] IS NOT NULL THEN m[{token}] || substr(p, length({token}) + 1)
+    WHEN {old} <> '' THEN m[{old}] || substr(p, length({old}) + 1)
+    ELSE '&' || p END FOR p IN ps[2:]], ''), '') AS t FROM pieces, names)
+SELECT page_id, trim(regexp_replace(t, {q_(r'[\s\x{00A0}]+')}, ' ', 'g')) AS text FROM decoded"""
+
+
+def _text_sql():
+    from spendlake.plans.catalog import READ_ONLY_SQL
+
+    sql("html_to_text", _html_sql())
 
     addr = ("CASE WHEN trim(regexp_extract(h, '<([^>]+)>', 1)) <> '' THEN trim(regexp_extract(h, '<([^>]+)>', 1)) "
             "WHEN regexp_extract(h, '[\\w.+-]+@[\\w.-]+', 0) <> '' THEN regexp_extract(h, '[\\w.+-]+@[\\w.-]+', 0) "

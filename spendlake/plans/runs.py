@@ -31,7 +31,7 @@ from spendlake.operators.filters import insertable, ledger_lookback, ledger_payl
 from spendlake.operators.mutations import EXPENSE_COLS, set_audit, prepare_appends
 from spendlake.operators.suggest import gate_category, suggest_categories
 from spendlake.session import assign_dense_ids, cut_lineage
-from spendlake.sources.io import unprocessed
+from spendlake.sources.io import messages_in_range, unprocessed
 
 @dataclass
 class RunResult:
@@ -75,16 +75,21 @@ def run_batch(
     as_of_ts: str,
     settings: Settings = Settings(),
     reprocess: bool = False,
+    dates: tuple[str, str] | None = None,
 ) -> RunResult:
     """REV-3 (``reprocess=False``) / REV-4 (``reprocess=True``: no processed check,
     90-day reference horizon, ledger look-back from the batch's first date, checkpoint
     rows only for inserted messages).
 
+    ``dates``: only messages received on these days (first and last, both included), whether processed or not.
+
     ``messages``: seq, email_uid, message_id, from, sender_email, subject, body, received_at.
     ``ledger``: expenses columns (id, amount, category, description, transaction_date, deleted_at, ...).
     ``processed``: checkpoint rows (email_uid, message_id, processed_at, reference_ids, seq?)."""
     s = settings
     as_of = as_of_ts[:10]
+    if dates is not None:
+        messages = messages_in_range(messages, *dates)
     allowed, _ = split_by_sender(messages, s.allowed_senders)
     todo = allowed if reprocess else unprocessed(allowed, processed)
     parsed = cut_lineage(extract_transactions(todo, as_of=as_of, word_boundary=s.merchant_word_boundary))
@@ -200,7 +205,8 @@ def apply_corrections(ledger: DataFrame, numbered: DataFrame, appended: DataFram
     then the longer description; soft-delete the other), confirm (no-op).
     Several amounts for one number: the greatest is taken.  Returns (new_ledger, audit,
     rejects); rejects are the corrections with an unknown number or action, an amount that
-    is no number or a merge with an unknown number."""
+    is no number, a merge with an unknown number, and those of rows that are missing or already deleted when their step
+    comes (deletes and merges, then categories, then amounts)."""
     from spendlake.operators.mutations import audit_frame, recategorise, snapshot, soft_delete
 
     ids = numbered.select("number", "seq", F.size(F.coalesce(F.col("transaction.reference_ids"),
@@ -214,9 +220,9 @@ def apply_corrections(ledger: DataFrame, numbered: DataFrame, appended: DataFram
     keep_self = (F.col("n_refs") > F.col("o_refs")) | (
         (F.col("n_refs") == F.col("o_refs")) & (F.length("description") >= F.length("o_desc")))
     merge_drop = merges.select(F.when(keep_self, F.col("o_id")).otherwise(F.col("id")).alias("id"))
-    state, a1, _ = soft_delete(ledger.select(*EXPENSE_COLS), deletes.unionByName(merge_drop), as_of_ts)
+    state, a1, gone = soft_delete(ledger.select(*EXPENSE_COLS), deletes.unionByName(merge_drop), as_of_ts)
     recat = c.where(F.col("action") == "recategorise").select("id", F.col("value").alias("new_category"))
-    state, a2, _ = recategorise(state, recat, as_of_ts)
+    state, a2, unchanged = recategorise(state, recat, as_of_ts)
     amounts = c.where(F.col("action") == "amount").groupBy(F.col("id").alias("_aid")).agg(
         F.max(F.col("value").try_cast("double")).alias("_amt")).where("_amt is not null")
     j = state.join(amounts, state.id == amounts._aid, "left")
@@ -231,6 +237,7 @@ def apply_corrections(ledger: DataFrame, numbered: DataFrame, appended: DataFram
         *[new_cols.get(x, F.col(x)).alias(f"n_{x}") for x in EXPENSE_COLS],
     )
     a3 = audit_frame(changed, "UPDATE", "expenses", F.col("o_id"), snapshot(prefix="o_"), snapshot(prefix="n_"), as_of_ts)
+    inactive = amounts.join(state.where("deleted_at is null").select(F.col("id").alias("_aid")), "_aid", "left_anti")
     state = j.select(*[new_cols.get(x, F.col(x)).alias(x) for x in EXPENSE_COLS])
     known = ids.select(F.col("number").alias("_known")).distinct()
     others = known.select(F.col("_known").cast("bigint").alias("_other"))
@@ -240,5 +247,15 @@ def apply_corrections(ledger: DataFrame, numbered: DataFrame, appended: DataFram
         F.col("action").isin("delete", "not_a_transaction", "recategorise", "confirm")
         | ((F.col("action") == "amount") & F.col("value").try_cast("double").isNotNull())
         | ((F.col("action") == "merge") & F.col("_other").isNotNull()))
-    rejects = checked.where(~F.coalesce(fine, F.lit(False))).select("number", "action", "value")
+    asked = ["number", "action", "value"]
+    rejects = checked.where(~F.coalesce(fine, F.lit(False))).select(*asked)
+    # what named a row that its step found missing or deleted
+    steps = (
+        (c.where(F.col("action").isin("delete", "not_a_transaction")), gone.select("id")),
+        (merges.select(*asked, F.when(keep_self, F.col("o_id")).otherwise(F.col("id")).alias("id")), gone.select("id")),
+        (c.where(F.col("action") == "recategorise"), unchanged.select("id")),
+        (c.where((F.col("action") == "amount") & F.col("value").try_cast("double").isNotNull()), inactive.select(F.col("_aid").alias("id"))),
+    )
+    for given, missed in steps:
+        rejects = rejects.unionByName(given.join(missed.distinct(), "id", "left_semi").select(*asked))
     return state, a1.unionByName(a2).unionByName(a3), rejects

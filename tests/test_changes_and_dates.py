@@ -41,6 +41,37 @@ def test_two_changes_of_one_id_keep_one_row(spark, ledger):
     assert audit.count() == 1
 
 
+def test_corrections_of_deleted_rows_are_rejects(spark, ledger):
+    state = ledger.withColumn("deleted_at", F.when(F.col("id") == 2, F.lit("2026-03-20 10:00:00").cast("timestamp_ntz")))
+    numbered = spark.range(1, 4).select(
+        F.col("id").alias("number"), F.col("id").alias("seq"),
+        F.struct(F.create_map(F.lit("upi"), F.lit("1")).alias("reference_ids")).alias("transaction"))
+    appended = ledger.select(F.col("id").alias("seq"), "id", "description")
+    corrections = [(2, "delete", None), (2, "recategorise", "Bills"), (2, "amount", "5"), (2, "confirm", None),
+                   (1, "delete", None), (1, "amount", "7"), (1, "recategorise", "Bills"), (3, "merge", "2"), (3, "amount", "9")]
+    new, audit, rejects = apply_corrections(state, numbered, appended, spark.createDataFrame(
+        corrections, "number bigint, action string, value string"), "2026-03-23 22:00:00")
+    assert sorted((r.number, r.action) for r in rejects.collect()) == [
+        (1, "amount"), (1, "recategorise"), (2, "amount"), (2, "delete"), (2, "recategorise"), (3, "merge")]
+    assert [(r.id, r.amount, r.deleted_at is None) for r in new.orderBy("id").collect()] == [
+        (1, 10.0, False), (2, 20.0, False), (3, 9.0, True)]
+    assert sorted((r.action, r.row_id) for r in audit.collect()) == [("SOFT_DELETE", 1), ("UPDATE", 3)]
+
+
+def test_views_of_the_session_stay_as_they_are(spark, ledger):
+    spark.range(7).createOrReplaceTempView("expenses")
+    try:
+        got = query_read(spark, "SELECT sum(amount) AS s FROM expenses; ", {"expenses": ledger})
+        assert spark.table("expenses").count() == 7 and got.first().s == 60.0
+        own = "WITH expenses AS (SELECT * FROM expenses WHERE id > 1), x AS (SELECT id FROM expenses) SELECT * FROM x ORDER BY id DESC -- end"
+        assert [r.id for r in query_read(spark, own, {"expenses": ledger}).collect()] == [3, 2]
+        assert "Project" in query_read(spark, "EXPLAIN FORMATTED SELECT id FROM expenses", {"expenses": ledger}).first()[0]
+        assert query_read(spark, "SELECT count(*) AS n FROM expenses").first().n == 7
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("spendlake_")]
+    finally:
+        spark.catalog.dropTempView("expenses")
+
+
 def test_corrections_amounts_audit_and_rejects(spark, ledger):
     numbered = spark.range(1, 4).select(
         F.col("id").alias("number"), F.col("id").alias("seq"),

@@ -1,11 +1,14 @@
 """HTML to text, addresses, mail dates, ledger publishing, checkpoint scan, export."""
 
+import html
 import os
+import random
 import tempfile
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
-from spendlake.functions.text import decode_header_words, extract_address, html_to_text
+from spendlake.functions.text import decode_entities, decode_header_words, extract_address, html_to_text
 from spendlake.functions.timeutil import mail_date_to_iso
 from spendlake.sources.io import export_csv, publish_mutation, read_checkpoint, write_ledger
 
@@ -20,6 +23,35 @@ def test_html_cases(spark):
                    "©2024 · end"]
 
 
+def test_html_quotes_entities_and_open_elements(spark):
+    cases = {
+        "<p title='a>b'>caf&eacute; &#8377;500 &mdash; ok</p>x<script>var a=1;": "café ₹500 — ok x",
+        "<p class=it's>one</p>two <b data-x=\"1>0\">x</b>": "one two x",
+        "a<style>p{</style>b<!-- <p> -->c<script>'</p>'</script >d": "abcd",
+        "<!-- never closed <p>x": "", "<br/>a<br>b<p/>c": "ab c", "2 < 3 > 1": "2 < 3 > 1", "<script src='a'/>shown": "shown",
+        "&notit; &notin; &#x80; &#0; &#xD800; &#1114112; &bogus; & &# &#x; &;": "¬it; ∉ € \ufffd \ufffd \ufffd &bogus; & &# &#x; &;",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "h string")
+    assert {r[0]: r[1] for r in df.select("h", html_to_text("h")).collect()} == cases
+
+
+def test_references_equal_the_standard_library(spark):
+    rng = random.Random(1)
+    names = list(html5)
+    piece = lambda: rng.choice(["&" + rng.choice(names), f"&#{rng.randrange(300)};", f"&#{rng.choice([65534, 131071, 8364, 10**12])}",
+                                f"&#x{rng.randrange(70000):x}", "&", " ", "x", ";", "&#", "amp", "é"])
+    texts = ["".join(piece() for _ in range(12)) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", decode_entities("t")).collect()
+    assert [r[0] for r in rows if r[1] != html.unescape(r[0])] == []
+
+
+def test_header_words_with_bad_bytes_stay_as_written(spark):
+    cases = {"=?utf-8?q?caf=FF?=": "=?utf-8?q?caf=FF?=", "=?windows-1252?q?=93hi=94_=80?=": "“hi” €",
+             "=?utf-8?b?//8=?= and =?utf-8?q?=E2=82=AC?=": "=?utf-8?b?//8=?= and €", "=?us-ascii?q?a=E9?=": "=?us-ascii?q?a=E9?="}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r[0]: r[1] for r in df.select("h", decode_header_words("h")).collect()} == cases
+
+
 def test_addresses_and_dates(spark):
     df = spark.createDataFrame([("HDFC Bank <alerts@hdfcbank.net>",), ("alerts@hdfcbank.net",), ('"Name, X" <a@b.com>',), (" plain ",)], "h string")
     assert [r[0] for r in df.select(extract_address("h")).collect()] == ["alerts@hdfcbank.net", "alerts@hdfcbank.net", "a@b.com", "plain"]
