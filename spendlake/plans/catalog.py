@@ -983,3 +983,125 @@ def streaming_closed_weeks(spark, sf_dir):
 def streaming_closed_months(spark, sf_dir):
     """ST-5 in append mode: spend per priority of each closed month, rolled up from closed days."""
     return _closed_spend(spark, sf_dir, "monthly")
+
+
+# ---------------------------------------------------------------------------
+# Tables written and read back (SRC-6, SNK-1, SNK-2, SNK-4, MUT-7, REV-4)
+# ---------------------------------------------------------------------------
+
+@register("csv_export")
+def csv_export(spark, sf_dir):
+    """SNK-1: the ledger (deleted rows included) and the budgets exported as CSV and read back."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.sources.io import export_csv
+
+    state = ledger_state(spark, sf_dir).select("id", "amount", "category", "description", "transaction_date")
+    _, bu = ledger(spark, sf_dir)
+    budgets = bu.select("month_key", "category", "budget_limit")
+    path = scratch_path(spark, "csv")
+    export_csv({"expenses": state, "budgets": budgets, "nothing": state.limit(0)}, path)
+    back = lambda df, name: spark.read.schema(df.schema).option("header", True).csv(f"{path}/{name}")
+    expenses = back(state, "expenses").select(
+        F.lit("expenses").alias("kind"), F.col("id").cast("string").alias("key"), "category", F.col("amount").alias("value"))
+    return expenses.unionByName(back(budgets, "budgets").select(
+        F.lit("budgets").alias("kind"), F.coalesce("month_key", F.lit("")).alias("key"), "category",
+        F.col("budget_limit").cast("double").alias("value")))
+
+
+@register("checkpoint_scan")
+def checkpoint_scan(spark, sf_dir):
+    """SRC-6 + SNK-3: the checkpoint appended as JSON lines in two runs, with torn lines between them, read back."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.sources.io import append_checkpoint, read_checkpoint
+
+    cp = tables.checkpoint_from_events(spark, sf_dir).select(
+        "email_uid", "message_id", F.lit("events").alias("from"), F.lit("Alert").alias("subject"), "processed_at",
+        F.lit("new").alias("result"), F.array(F.col("seq")).alias("ledger_ids"), "reference_ids")
+    path = scratch_path(spark, "checkpoint")
+    half = F.pmod(F.xxhash64("message_id"), F.lit(2)) == 0
+    append_checkpoint(cp.where(half), path)
+    torn = cp.select(F.concat(F.lit('{"email_uid": "torn-'), F.col("email_uid"), F.lit('", "message')).alias("value"))
+    torn.write.mode("append").text(path)
+    append_checkpoint(cp.where(~half), path)
+    return read_checkpoint(spark, path).select(
+        "email_uid", "message_id", F.substring("processed_at", 1, 19).alias("processed_at"), F.col("ledger_ids")[0].alias("ledger_id"))
+
+
+@register("run_output")
+def run_output(spark, sf_dir):
+    """SNK-4: the candidates and the summary of two runs written, the first run written again, and read back."""
+    from pyspark.sql import functions as F
+
+    from spendlake.session import scratch_path
+    from spendlake.sources.io import write_run_output
+
+    run, path = ingest_run(spark, sf_dir), scratch_path(spark, "runs")
+    cands = run.candidates.select("number", "seq", "dedup_status")
+    for name, rows in (("a", cands.limit(0)), ("b", cands), ("a", cands)):
+        write_run_output(rows, run.summary, path, name)
+    back = spark.read.parquet(f"{path}/candidates").groupBy("run_id", "dedup_status").agg(F.count(F.lit(1)).alias("n"))
+    total = spark.read.parquet(f"{path}/summary").select(F.col("run_id"), F.lit("total").alias("dedup_status"),
+                                                         F.col("total_emails_processed").alias("n"))
+    return back.unionByName(total)
+
+
+@register("published_changes")
+def published_changes(spark, sf_dir):
+    """MUT-1 + MUT-2 + MUT-5 + MUT-6 + SNK-2: the ledger published as versions: urgent orders deleted, low ones recategorised, a
+    bulk edit; the newest version as read back, with the audit entries of each row counted."""
+    from pyspark.sql import functions as F
+
+    return _published(spark, sf_dir)[0].select("id", "amount", "category", F.col("deleted_at").isNotNull().alias("deleted"), "changes")
+
+
+@register("audit_histories")
+def audit_histories(spark, sf_dir):
+    """MUT-7: the audit entries of every changed row, oldest first, from the published audit table."""
+    from pyspark.sql import functions as F
+
+    _, audit = _published(spark, sf_dir)
+    steps = F.array_sort(F.collect_list(F.struct("id", "action")))  # as many as changes of one row
+    return audit.where("row_id is not null").groupBy("row_id").agg(steps.alias("s")).select(
+        "row_id", F.array_join(F.transform("s", lambda x: x["action"]), ",").alias("actions"))
+
+
+def _published(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from spendlake.operators.mutations import EXPENSE_COLS, audit_frame, recategorise, snapshot, soft_delete
+    from spendlake.session import scratch_path
+    from spendlake.sources import versions
+
+    store = versions.VersionedTables(spark, scratch_path(spark, "published"))
+    orders = tables.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    state = ledger_state(spark, sf_dir).select(*EXPENSE_COLS)
+    first = audit_frame(state, "INSERT", "expenses", F.col("id"), None, snapshot(), MUT_AS_OF)
+    versions.publish_change(store, state, first, state.select("id"))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select("id")
+    low = orders.where("o_orderpriority = '5-LOW'").select("id", F.lit("DEFERRED").alias("new_category"))
+    for change, ids in ((soft_delete, urgent), (recategorise, low)):
+        new, audit, _ = change(versions.read_expenses(store), ids, MUT_AS_OF)
+        versions.publish_change(store, new, audit, ids.select("id"))
+    versions.publish_bulk_edit(store, PUBLISHED_WHERE, {"amount": "amount + 1"}, MUT_AS_OF)
+    audit = store.read("audit", versions.AUDIT)
+    changes = audit.groupBy(F.col("row_id").alias("id")).agg(F.count(F.lit(1)).alias("changes"))
+    return versions.read_expenses(store).join(changes, "id", "left"), audit
+
+
+PUBLISHED_WHERE = "category = 'DEFERRED' AND amount >= 100000"
+
+
+@register("reprocess_range_summary")
+def reprocess_range_summary(spark, sf_dir):
+    """REV-4 with a date range: the messages of three days reprocessed, whether processed or not; summary counts."""
+    from spendlake.plans.runs import run_batch
+
+    msgs, led, cp = run_inputs(spark, sf_dir)
+    return run_batch(msgs, led, cp.drop("seq"), RUN_AS_OF, reprocess=True, dates=REPROCESS_DAYS).summary
+
+
+REPROCESS_DAYS = ("2024-01-16", "2024-01-18")

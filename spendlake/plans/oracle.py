@@ -773,7 +773,7 @@ _rest_sql()
 # Ingestion run summary (process mode), composed from the generators above
 # ---------------------------------------------------------------------------
 
-def _run_summary_sql(reprocess: bool = False) -> str:
+def _run_summary_sql(reprocess: bool = False, dates: tuple | None = None) -> str:
     from spendlake.config import DEFAULT_ALLOWED_SENDERS, DedupSettings, Settings
     from spendlake.functions.parsing import REF_TYPES
     from spendlake.plans.catalog import RUN_AS_OF
@@ -806,6 +806,7 @@ todo AS (
   SELECT * FROM messages
   WHERE ({allowed})
     {"" if reprocess else "AND (nullif(message_id, '') IS NULL OR nullif(message_id, '') NOT IN (SELECT message_id FROM checkpoint_ev))"}
+    {f"AND CAST(substr(received_at, 1, 10) AS DATE) BETWEEN DATE '{dates[0]}' AND DATE '{dates[1]}'" if dates else ""}
 ),
 {_extraction_sql('todo', with_messages=False)},
 cand AS (
@@ -1033,3 +1034,39 @@ FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2""")
 
 
 _arriving_sql()
+
+
+# ---------------------------------------------------------------------------
+# Tables written and read back
+# ---------------------------------------------------------------------------
+
+def _written_sql():
+    from spendlake.plans.catalog import REPROCESS_DAYS
+    from spendlake.plans.oracle_views import EVENT_TXN_CTE
+
+    base = f"WITH {LEDGER_CTES}"
+    sql("csv_export", f"""{base}
+SELECT 'expenses' AS kind, CAST(id AS VARCHAR) AS key, category, amount AS value FROM expenses
+UNION ALL SELECT 'budgets', coalesce(month_key, ''), category, CAST(budget_limit AS DOUBLE) FROM budgets""")
+    sql("checkpoint_scan", f"""WITH {EVENT_TXN_CTE.strip()}
+SELECT email_uid, message_id, strftime(processed_at, '%Y-%m-%d %H:%M:%S') AS processed_at, seq AS ledger_id FROM checkpoint_ev""")
+    sql("run_output", f"""{RUN_SUMMARY},
+n AS (SELECT st AS dedup_status, count(*) AS n FROM statuses GROUP BY st),
+t AS (SELECT 'total' AS dedup_status, total_emails_processed AS n FROM summary)
+SELECT r AS run_id, x.dedup_status, CAST(x.n AS BIGINT) AS n FROM (SELECT * FROM n UNION ALL SELECT * FROM t) x, (VALUES ('a'), ('b')) v(r)""")
+    sql("reprocess_range_summary", f"{_run_summary_sql(True, REPROCESS_DAYS)} SELECT * FROM summary")
+    changed = f"""{base},
+req AS (SELECT DISTINCT o_orderkey AS rid FROM orders WHERE o_orderpriority = '1-URGENT'),
+ch AS (SELECT DISTINCT o_orderkey AS cid FROM orders WHERE o_orderpriority = '5-LOW'),
+c AS (SELECT id, amount, category, deleted_at IS NOT NULL AS was_deleted, deleted_at IS NULL AND id IN (SELECT rid FROM req) AS drops,
+             deleted_at IS NULL AND id IN (SELECT cid FROM ch) AS moves FROM expenses)"""
+    sql("published_changes", f"""{changed}
+SELECT id, CASE WHEN moves AND amount >= 100000 THEN amount + 1 ELSE amount END AS amount,
+       CASE WHEN moves THEN 'DEFERRED' ELSE category END AS category, was_deleted OR drops AS deleted,
+       CAST(1 + CAST(drops AS INT) + CAST(moves AS INT) AS BIGINT) AS changes FROM c""")
+    sql("audit_histories", f"""{changed}
+SELECT id AS row_id, 'INSERT' || CASE WHEN drops THEN ',SOFT_DELETE' ELSE '' END || CASE WHEN moves THEN ',UPDATE' ELSE '' END AS actions
+FROM c""")
+
+
+_written_sql()
