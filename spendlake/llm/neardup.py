@@ -11,12 +11,14 @@ similarity 0.75 share no key with probability 0.156 ** 12 = 2e-10.  So coverage
 within ``distance`` of all ``symbols`` that differ in more of the chunked symbols may share no key.
 
 Links.  Equal sets are one node.  The smallest node of a key's bucket leads it, each node follows
-the leader that it shares most keys with, and the trees of followers are families.  Inside a
+the leader that it shares most keys with, and the trees of followers are families.  Families that share a
+bucket are merged if any of their nodes there are under the signature distance (which a linked pair
+exceeds with probability below 1e-8): the nodes of a bucket are compared in cells of bounded size, and a
+cell tells only which families it merges, so it has fewer merges than families.  The most frequent family of a
+bucket is compared with the others only, not with itself.  Inside a merged
 family (cut into cells of bounded size) the full sets are compared through postings, skipping
-nodes that are already connected, and only a spanning forest leaves the task.  Nodes of different
-families that share a bucket are compared by signature distance, in cells of bounded size;
-pairs under the threshold (which a linked pair exceeds with probability below 1e-8) are confirmed
-on their full sets.  So no pair is listed inside a group of copies and no cap drops a pair.
+nodes that are already connected, and only a spanning forest of links leaves the task.  So no pair is
+listed, neither inside a group of copies nor between its members and others, and no cap drops one.
 
 Defined cases: null and empty texts have an empty set, are their own group and are kept; texts of
 fewer than five words are one shingle; equal documents are linked by their equal sets; a group's id is
@@ -41,7 +43,7 @@ from .common import (WordHashes, all_window_hashes, connected_components, docume
 
 @dataclass(frozen=True)
 class NearDupSettings:
-    """``distance``: signature symbols in which candidates of different families may differ;
+    """``distance``: signature symbols in which nodes of families that are merged may differ;
     ``votes``: shared keys from which a node follows a leader; ``cell_nodes`` and ``cell_shingles``
     bound one comparison cell.  The last three never change the result."""
 
@@ -222,65 +224,86 @@ def _family_links(families: DataFrame, sets: DataFrame, s: NearDupSettings) -> D
     def run(batches):
         for t in sorted_groups(batches, 3):
             found = dict(zip(t.column("v").to_pylist(), t.column("shingles").to_pylist()))
-            links = spanning_links(list(found), [np.frombuffer(x, np.uint64) for x in found.values()], s.percent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+            yield _pairs(spanning_links(list(found), [np.frombuffer(x, np.uint64) for x in found.values()], s.percent))
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _cross_candidates(keys: DataFrame, nodes: DataFrame, families: DataFrame, s: NearDupSettings) -> DataFrame:
-    """a < b: nodes of different families that share a key and are under the signature distance."""
+def _bucket_cells(keys: DataFrame, families: DataFrame, s: NearDupSettings) -> DataFrame:
+    """key, kind, i, j, v, root, major: the nodes of each bucket with several families, dealt to cells.
+
+    Cells of kind 0 hold nodes outside the bucket's most frequent family, any two of which meet; cells of kind 1 hold a part of that
+    family (``major``) and a part of the others.  So a bucket of one large family and a few strangers costs one row per member."""
     with_root = keys.join(families, "v", "left").select("key", "v", F.coalesce("root", "v").alias("root"))
-    mixed = with_root.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    sizes = mixed.select("key", F.ceil(F.col("n") / s.cell_nodes).alias("parts"))
-    cells = _cells(with_root, "key", sizes)
-    full = cells.join(nodes.select("v", "n_shingles", "sig"), "v").select("key", "i", "j", "v", "root", "n_shingles", "sig")
-    dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    mixed = with_root.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    rows = materialise(with_root.join(mixed, "key", "left_semi"), "mixed")
+    per_family = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = lambda n: F.ceil(n / F.lit(s.cell_nodes)).cast("int")
+    sizes = per_family.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).select(
+        "key", F.col("top.root").alias("top"), parts(F.col("top.n")).alias("major_parts"), parts(F.col("n") - F.col("top.n")).alias("parts"))
+    rows = rows.join(sizes, "key").withColumn("major", F.col("root") == F.col("top")).withColumn(
+        "p", F.pmod(F.hash("v"), F.when(F.col("major"), F.col("major_parts")).otherwise(F.col("parts"))))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    p = F.col("p")
+    crossed = F.when(F.col("major"), F.transform(upto("parts"), lambda o: cell(1, p, o))).otherwise(
+        F.transform(upto("major_parts"), lambda o: cell(1, o, p)))
+    others = F.when(F.col("major"), F.array().cast("array<struct<kind:int,i:int,j:int>>")).otherwise(
+        F.transform(upto("parts"), lambda o: cell(0, F.least(p, o), F.greatest(p, o))))
+    return rows.withColumn("cell", F.explode(F.concat(crossed, others))).select("key", "cell.*", "v", "root", "major")
+
+
+def merges_of(root: np.ndarray, major: np.ndarray, n: np.ndarray, sig: np.ndarray, crossed: bool,
+              s: NearDupSettings) -> list[tuple[int, int]]:
+    """Pairs of families with nodes under the signature distance in one cell, as a forest: families
+    that are connected by earlier pairs are not compared again."""
+    order = np.argsort(n, kind="stable")
+    root, major, n, sig = root[order], major[order], n[order], sig[order]
+    top = np.searchsorted(n, n * 100 // s.percent, side="right")  # larger sets cannot be similar enough
+    names, group = np.unique(root, return_inverse=True)  # group: the merged family of each node so far
+    merges = []
+    for x in range(len(n) - 1):
+        others = np.arange(x + 1, top[x])
+        others = others[group[others] != group[x]]
+        if crossed:  # nodes of the same side meet elsewhere
+            others = others[major[others] != major[x]]
+        near = others[(sig[others] != sig[x]).sum(1) <= s.distance]
+        for y in near.tolist():
+            if group[y] != group[x]:
+                merges.append((int(root[x]), int(root[y])))
+                group[group == group[y]] = group[x]
+    return merges
+
+
+def _merged_families(keys: DataFrame, nodes: DataFrame, families: DataFrame, s: NearDupSettings) -> DataFrame:
+    """v, root: the families with those merged that have nodes under the signature distance in a bucket."""
+    cells = _bucket_cells(keys, families, s)
+    full = cells.join(nodes.select("v", "n_shingles", "sig"), "v").select("key", "kind", "i", "j", "root", "major", "n_shingles", "sig")
+    dealt = full.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
 
     def run(batches):
-        out_a, out_b = [], []
-        for t in sorted_groups(batches, 3):
-            n = t.column("n_shingles").to_numpy()
-            order = np.argsort(n, kind="stable")
-            n = n[order]
-            v, root = t.column("v").to_numpy()[order], t.column("root").to_numpy()[order]
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(v), s.symbols)[order]
-            top = np.searchsorted(n, n * 100 // s.percent, side="right")  # larger sets cannot be similar enough
-            for x in range(len(v) - 1):
-                others = slice(x + 1, top[x])
-                near = (root[others] != root[x]) & ((sig[others] != sig[x]).sum(1) <= s.distance)
-                for y in np.flatnonzero(near).tolist():
-                    a, b = int(v[x]), int(v[x + 1 + y])
-                    out_a.append(min(a, b))
-                    out_b.append(max(a, b))
-            if len(out_a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, s: NearDupSettings) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    x = sets.select(F.col("v").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("v").alias("b"), F.col("shingles").alias("y"))
-
-    def make():
-        def shared(xs, ys):
-            out = []
-            for x, y in zip(xs, ys):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(100 * n >= s.percent * (len(x) + len(y) - n))
-            return (out,)
-
-        return shared
-
-    both = pairs.join(x, "a").join(y, "b")
-    return map_arrow(both, ["a", "b"], ["x", "y"], [("ok", "boolean")], make).where("ok").select("a", "b")
+        found = set()
+        for t in sorted_groups(batches, 4):
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, s.symbols)
+            root = t.column("root").to_numpy()
+            found.update((min(m), max(m)) for m in merges_of(
+                root, t.column("major").to_numpy(), t.column("n_shingles").to_numpy(), sig, t.column("kind")[0].as_py() == 1, s))
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = set()
+        yield _pairs(found)
+
+    merges = dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    merged = materialise(connected_components(merges).select(F.col("v").alias("root"), F.col("root").alias("to")), "merged")
+    return materialise(
+        families.join(merged, "root", "left").select("v", F.coalesce("to", "root").alias("root")).unionByName(
+            merged.select(F.col("root").alias("v"), F.col("to").alias("root")).join(families, "v", "left_anti")), "families")
+
+
+def _pairs(pairs) -> pa.RecordBatch:
+    pairs = list(pairs)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], names=["a", "b"])
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, s: NearDupSettings) -> DataFrame:
@@ -316,12 +339,9 @@ def _grouped(docs: DataFrame, s: NearDupSettings) -> DataFrame:
         F.monotonically_increasing_id().alias("v"), "digest", "one.doc_id", "one.th", "n_shingles", "sig", "keys"), "nodes")
     keys = nodes.select("v", F.explode("keys").alias("key"))
     families = _families(keys, s)
-    cross = materialise(_cross_candidates(keys, nodes, families, s), "candidates")
-    needed = families.select("v").unionByName(cross.select(F.col("a").alias("v"))).unionByName(
-        cross.select(F.col("b").alias("v"))).distinct()
-    sets = materialise(_full_sets(docs, nodes.join(needed, "v", "left_semi"), s), "sets")
-    links = _family_links(families, sets, s).unionByName(_confirmed(cross, sets, s))
-    parts = connected_components(links)
+    families = _merged_families(keys, nodes, families, s)
+    sets = materialise(_full_sets(docs, nodes.join(families.select("v"), "v", "left_semi"), s), "sets")
+    parts = connected_components(_family_links(families, sets, s))
     labelled = nodes.select("v", "digest", "doc_id").join(parts, "v", "left").withColumn("root", F.coalesce("root", "v"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     groups = materialise(labelled.join(smallest, "root").select("digest", F.col("root").alias("node"), "component_id"), "groups")
@@ -344,12 +364,13 @@ def drop_near_duplicates(docs: DataFrame, s: NearDupSettings = NearDupSettings()
     several = grouped.join(first, "node").groupBy("__id", "__th").agg(
         F.max(rank == F.col("one")).alias("__first"), F.count(F.lit(1)).alias("__rows"))
     gone = materialise(several.where("not __first or __rows > 1"), "removed")
-    d = docs.withColumn("__h", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
-    kept = d.join(gone, same, "left_anti").drop("__h")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of theirs meets one of ours
+    d = packed.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("h"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__th"))
+    kept = d.join(gone, same, "left_anti").select("row.*")
     repeated = gone.where("__first").select("__id", "__th")
     if repeated.isEmpty():
         return kept
-    copies = materialise(d.join(repeated, same).withColumn("__row", F.monotonically_increasing_id()), "copies")
-    chosen = copies.groupBy("__id", "__th").agg(F.min("__row").alias("__row")).select("__row")
-    return kept.unionByName(copies.join(chosen, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    copies = materialise(d.join(repeated, same).withColumn("number", F.monotonically_increasing_id()), "copies")
+    chosen = copies.groupBy("__id", "__th").agg(F.min("number").alias("number")).select("number")
+    return kept.unionByName(copies.join(chosen, "number", "left_semi").select("row.*"))
