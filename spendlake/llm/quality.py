@@ -4,7 +4,8 @@ Fixed base rules reject texts that are too short or mostly repetition.  Every ot
 adaptive: a mergeable quantile sketch (``percentile_approx``, merged map-side, so one hot
 source costs one sketch per task) gives the quartiles of each measure per language and
 source, and a document is rejected when it lies beyond its group's outer fence
-``Q3 + fence * max(Q3 - Q1, least spread)``.  Built-in functions only.
+``Q3 + fence * max(Q3 - Q1, least spread)``.  A group of few documents, or one whose quartiles lie far apart because
+much of it is junk, is judged by the quartiles of its language or of the corpus.  Built-in functions only.
 
 Defined cases: a null or empty text has no words and fails the base rules; null languages
 and sources form groups of their own; repeated rows are judged alike; an empty table gives an
@@ -26,12 +27,16 @@ SYMBOLS = "#*$%&|<>"
 @dataclass(frozen=True)
 class QualityRules:
     """``least_spread``: smallest quartile distance assumed for a measure, so that a group
-    whose documents are nearly all alike does not reject harmless differences."""
+    whose documents are nearly all alike does not reject harmless differences; ``min_group`` and
+    ``wide``: fewer documents, or quartiles further apart than so many times those of the parent, and a group is judged
+    by its parent's quartiles."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     fence: float = 3.0
     accuracy: int = 1000
+    min_group: int = 100
+    wide: float = 4.0
     least_spread: tuple = (("symbols", 0.05), ("dup_lines", 0.1), ("repeats", 0.1), ("word_length", 0.75))
 
 
@@ -89,22 +94,36 @@ def base_failed(q: str, rules: QualityRules) -> Column:
 def thresholds(measured: DataFrame, rules: QualityRules, lang: str = "lang", source: str = "source") -> DataFrame:
     """Fences per language and source: __lang, __source and one struct (low, high) per measure.
 
-    Only texts that pass the base rules describe what is usual in a group."""
+    Only texts that pass the base rules describe what is usual in a group.  Sketches are made per language and source, per
+    language and for the corpus; a group that is small, or whose quartiles lie much further apart than those of
+    its parent, takes its parent's quartiles."""
     ratios = _ratios("__q")
-    usual = measured.where(~base_failed("__q", rules))
-    sketches = [
-        F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(rules.accuracy)).alias(f"__{k}")
-        for k, c in ratios.items()
-    ]
-    groups = usual.groupBy(F.col(lang).alias("__lang"), F.col(source).alias("__source")).agg(*sketches)
+    usual = measured.where(~base_failed("__q", rules)).select(
+        F.col(lang).alias("__lang"), F.col(source).alias("__source"), *[c.alias(f"__{k}") for k, c in ratios.items()])
+    sketches = [F.percentile_approx(f"__{k}", F.array(F.lit(0.25), F.lit(0.75)), F.lit(rules.accuracy)).alias(f"__{k}") for k in ratios]
+    levels = materialise(usual.rollup("__lang", "__source").agg(
+        F.grouping_id().cast("int").alias("__level"), F.count(F.lit(1)).alias("__n"), *sketches), "sketches")
+    at = lambda level, name: levels.where(F.col("__level") == level).select(
+        "__lang", "__source", "__n", *[F.col(f"__{k}").alias(f"{name}_{k}") for k in ratios])
+    corpus = at(3, "corpus").select(F.lit(3).alias("__all"), *[f"corpus_{k}" for k in ratios])  # one row
+    languages = at(1, "own").withColumn("__all", F.lit(3)).join(F.broadcast(corpus), "__all")
+    languages = languages.select("__lang", *[_trusted("own", "corpus", k, least, rules).alias(f"parent_{k}") for k, least in rules.least_spread])
+    groups = at(0, "own").alias("g").join(languages.withColumnRenamed("__lang", "__language"), F.col("__lang").eqNullSafe(F.col("__language")))
     out = []
     for k, least in rules.least_spread:
-        q1, q3 = F.col(f"__{k}")[0], F.col(f"__{k}")[1]
-        spread = F.greatest(q3 - q1, F.lit(float(least))) * rules.fence
-        out.append(F.struct((q1 - spread).alias("low"), (q3 + spread).alias("high")).alias(f"__{k}"))
+        quartiles = _trusted("own", "parent", k, least, rules)
+        spread = F.greatest(quartiles[1] - quartiles[0], F.lit(float(least))) * rules.fence
+        out.append(F.struct((quartiles[0] - spread).alias("low"), (quartiles[1] + spread).alias("high")).alias(f"__{k}"))
     return groups.select("__lang", "__source", *out)
 
 
+def _trusted(own: str, parent: str, measure: str, least: float, rules: QualityRules) -> Column:
+    """Quartiles of a group, or of its parent if the group is small or wide."""
+    mine, theirs = F.col(f"{own}_{measure}"), F.col(f"{parent}_{measure}")
+    usual = F.greatest(theirs[1] - theirs[0], F.lit(float(least)))
+    return F.when((F.col("__n") >= rules.min_group) & (mine[1] - mine[0] <= rules.wide * usual), mine).otherwise(theirs)
+
+
 def judge(measured: DataFrame, fences: DataFrame, rules: QualityRules, lang: str = "lang", source: str = "source") -> DataFrame:
     """Join the fences and add __base_failed, __kept."""
     ratios = _ratios("__q")
@@ -136,8 +155,9 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules()) -> D
 
 
 def quality_filter(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that pass, with their columns.  Documents and measures are written once: a filter
-    on measures that are not written would be pushed into them and evaluate them many times."""
-    measured = materialise(with_measures(docs), "quality")
+    """The documents that pass, with their columns (packed meanwhile, so they may have any names).  Documents and
+    measures are written once: a filter on measures that are not written would be pushed into them and evaluate them many times."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    measured = materialise(with_measures(packed.select("row", "row.text", "row.lang", "row.source")).drop("text"), "quality")
     judged = judge(measured, materialise(thresholds(measured, rules), "fences"), rules)
-    return judged.where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.where("__kept").select("row.*")
