@@ -19,7 +19,7 @@ a handful of cutoffs, joined to the documents.
 
 Defined cases: null or empty texts have size 0, target and source as their source, and taken 0
 (copies count, words do not); null sources are one source, last in the order; repeated rows
-have the same rank and are taken or left together; an empty table gives an empty result; other
+are numbered and have ranks of their own, so they are taken one by one; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -123,12 +123,38 @@ def _cutoff(rows: DataFrame, room: str) -> DataFrame:
     return materialise(found.unionByName(whole), "cutoffs")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs plus __nth: 0, 1, ... among the rows of equal source, doc_id and text.
+
+    Only rows of which there are several are written and numbered, along a range-partitioned sort, so a row that holds a third of
+    the table is dealt over many tasks."""
+    key = ["source", "doc_id", "th"]
+    hashed = docs.withColumn("th", F.xxhash64("text"))
+    several = materialise(hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "several")
+    if several.isEmpty():
+        return docs.withColumn("__nth", F.lit(0).cast("bigint"))
+
+    def same(a: str, b: str) -> Column:
+        on = lambda c: F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        return on("source") & on("doc_id") & on("th")
+
+    names = [F.col(f"d.`{c}`") for c in docs.columns]
+    d, k = hashed.alias("d"), several.alias("k")
+    single = d.join(k, same("d", "k"), "left_anti").select(*names, F.lit(0).cast("bigint").alias("__nth"))
+    copies = materialise(d.join(k, same("d", "k"), "left_semi").withColumn("__copy", F.monotonically_increasing_id()), "copies")
+    places = assign_dense_ids(copies.select("__copy", *key), [*key, "__copy"], 0, "__place")
+    first = places.groupBy(*key).agg(F.min("__place").alias("__first"))
+    nth = places.alias("p").join(first.alias("f"), same("p", "f")).select("__copy", (F.col("__place") - F.col("__first")).alias("__nth"))
+    return single.unionByName(copies.alias("d").join(nth, "__copy").select(*names, "__nth"))
+
+
 def sized(docs: DataFrame, settings: MixSettings = MixSettings(), weight: str | None = None) -> DataFrame:
-    """docs plus __size, __u (uniform in (0, 1)) and __weight."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), "doc_id", "text"), 11)
+    """docs plus __size, __u (uniform in (0, 1), another for each of several equal rows) and __weight."""
+    one = F.xxhash64(F.lit(settings.seed), "doc_id", "text")
+    u = F.shiftrightunsigned(F.when(F.col("__nth") == 0, one).otherwise(F.xxhash64(F.lit(settings.seed), "doc_id", "text", "__nth")), 11)
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    return docs.select(
-        "*", n_words_of(F.col("text")).alias("__size"),
+    return numbered(docs).select(
+        *[F.col(f"`{c}`") for c in docs.columns], n_words_of(F.col("text")).alias("__size"),
         ((u + 0.5) / float(2**53)).alias("__u"), F.greatest(w, F.lit(0.0)).alias("__weight"))
 
 

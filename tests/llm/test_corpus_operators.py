@@ -317,6 +317,52 @@ def test_mix_reaches_targets_and_reruns_agree(spark):
     assert mix.mix_report(df.limit(0)).count() == 0 and mix.mix_documents(df.limit(0)).count() == 0
 
 
+def test_mix_takes_repeated_rows_one_by_one(spark):
+    equal = [(7, "w " * 100, "en", "b", 0)] * 1000
+    rows = [(i, "v " * 40, "en", "a", 0) for i in range(300)] + equal + [(None, "w " * 100, "en", "b", 0)] * 20
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    got = mix.mix_report(df).collect()
+    taken = sum(r.taken for r in got if r.size == 100)
+    (target,) = {r.target for r in got if r.size == 100}
+    assert len(got) == len(rows) and abs(taken - target) <= 100
+    again = mix.mix_report(df.repartition(3)).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+    mixed = collections.Counter(r.doc_id for r in mix.mix_documents(df).collect())
+    assert mixed == +collections.Counter({k: sum(r.copies for r in got if r.doc_id == k) for k in {r.doc_id for r in got}})
+
+
+def test_mix_order_equals_a_plain_sort(spark):
+    """The documents taken besides the certain copies are the prefix of the sorted ranking that fits, walk by walk."""
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 90), "en", rng.choice("aab"), 0) for i in range(800)] + [(5, "w " * 30, "en", "a", 0)] * 3
+    df, s = spark.createDataFrame(rows, DOCS), mix.MixSettings()
+    tagged = mix.sized(df, s).select("doc_id", "source", F.col("__size").alias("size"), "__u").collect()
+    report = mix.mix_report(df).collect()
+    target = {r.source: next(x.target for x in report if x.doc_id == r.doc_id and x.size == r.size) for r in tagged}
+    want = collections.Counter()
+    for src in "ab":
+        mine = [r for r in tagged if r.source == src]
+        mass = sum(r.size for r in mine)
+        e = min(target[src] / mass, s.cap)
+        sure, p = int(e), e - int(e)
+        room = target[src] - sure * mass
+        odds = lambda r: int(r["__u"] * (1 - p) / (r["__u"] * (1 - p) + (1 - r["__u"]) * p) * 2**mix.RANK_BITS)
+        left, extra = sorted(mine, key=odds), set()
+        for _ in range(s.walks):
+            fits = [r for r in left if r.size <= room]
+            for k, r in enumerate(fits):
+                if r.size > room:
+                    break
+                room -= r.size
+                extra.add(odds(r))
+                last = odds(r)
+            if fits:
+                left = [r for r in left if odds(r) > last]
+        for r in mine:
+            want[r.doc_id, r.size, sure + (odds(r) in extra)] += 1
+    assert collections.Counter((r.doc_id, r.size, r.copies) for r in report) == want
+
+
 def test_mix_with_weights_prefers_heavy_documents(spark):
     rows = [(i, "w " * 10, "en", "a" if i % 2 else "b", 0) for i in range(2000)]
     df = spark.createDataFrame(rows, DOCS).withColumn("weight", F.when(F.col("doc_id") < 1000, 3.0).otherwise(1.0))
