@@ -103,23 +103,23 @@ def thresholds(measured: DataFrame, rules: QualityRules, lang: str = "lang", sou
     sketches = [F.percentile_approx(f"__{k}", F.array(F.lit(0.25), F.lit(0.75)), F.lit(rules.accuracy)).alias(f"__{k}") for k in ratios]
     levels = materialise(usual.rollup("__lang", "__source").agg(
         F.grouping_id().cast("int").alias("__level"), F.count(F.lit(1)).alias("__n"), *sketches), "sketches")
-    at = lambda level, name: levels.where(F.col("__level") == level).select(
-        "__lang", "__source", "__n", *[F.col(f"__{k}").alias(f"{name}_{k}") for k in ratios])
-    corpus = at(3, "corpus").select(F.lit(3).alias("__all"), *[f"corpus_{k}" for k in ratios])  # one row
-    languages = at(1, "own").withColumn("__all", F.lit(3)).join(F.broadcast(corpus), "__all")
-    languages = languages.select("__lang", *[_trusted("own", "corpus", k, least, rules).alias(f"parent_{k}") for k, least in rules.least_spread])
-    groups = at(0, "own").alias("g").join(languages.withColumnRenamed("__lang", "__language"), F.col("__lang").eqNullSafe(F.col("__language")))
+    top = levels.where("__level = 3").first()  # one row; none if there are no usual texts
+    if top is None:
+        top = {f"__{k}": None for k in ratios}
+    corpus = {k: F.lit(top[f"__{k}"]).cast("array<double>") for k in ratios}
+    languages = levels.where("__level = 1").select(F.col("__lang").alias("__language"), *[
+        _trusted(F.col(f"__{k}"), corpus[k], least, rules).alias(f"parent_{k}") for k, least in rules.least_spread])
+    groups = levels.where("__level = 0").join(languages, F.col("__lang").eqNullSafe(F.col("__language")))
     out = []
     for k, least in rules.least_spread:
-        quartiles = _trusted("own", "parent", k, least, rules)
+        quartiles = _trusted(F.col(f"__{k}"), F.col(f"parent_{k}"), least, rules)
         spread = F.greatest(quartiles[1] - quartiles[0], F.lit(float(least))) * rules.fence
         out.append(F.struct((quartiles[0] - spread).alias("low"), (quartiles[1] + spread).alias("high")).alias(f"__{k}"))
     return groups.select("__lang", "__source", *out)
 
 
-def _trusted(own: str, parent: str, measure: str, least: float, rules: QualityRules) -> Column:
+def _trusted(mine: Column, theirs: Column, least: float, rules: QualityRules) -> Column:
     """Quartiles of a group, or of its parent if the group is small or wide."""
-    mine, theirs = F.col(f"{own}_{measure}"), F.col(f"{parent}_{measure}")
     usual = F.greatest(theirs[1] - theirs[0], F.lit(float(least)))
     return F.when((F.col("__n") >= rules.min_group) & (mine[1] - mine[0] <= rules.wide * usual), mine).otherwise(theirs)
 
