@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, window_hashes
+from .common import map_arrow, materialise, window_hashes
 from .repeats import WindowSettings, covered_words, dealt, repeated_windows, spans_of, split_words
 
 SETTINGS = WindowSettings(size=50, run=10, across=True)
@@ -75,7 +75,8 @@ def _compare_neighbours(joined: DataFrame, s: WindowSettings) -> DataFrame:
 
     A window that starts o words before the minimiser needs size - o equal words from it on.  At the
     edges of a sorted partition the neighbour is unknown and counts as equal."""
-    rows = _suffix_rows(joined, s).repartitionByRange("a", "suffix").sortWithinPartitions("a", "suffix")
+    # written, since the range partitioning reads its rows twice (once to sample them)
+    rows = materialise(_suffix_rows(joined, s), "suffixes").repartitionByRange("a", "suffix").sortWithinPartitions("a", "suffix")
 
     def run(batches):
         held = None  # (row, longest prefix shared with the row before)
