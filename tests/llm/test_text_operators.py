@@ -123,6 +123,16 @@ def test_open_heads_and_stories_outside_articles():
     assert site_tree.main_text(f"<body>{few}<div class=ad>{'Buy this now. ' * 30}</div><div class=sidebar>{STORY}</div>") == "Short story."
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    from spendlake.llm.site_tree import blocks_of
+
+    texts = lambda html: [b.text() for b in blocks_of(html)]
+    assert texts("<article><p>First</p><p title=it's>Second part...</p><p>Third part, isn't it.</p></article>") == [
+        "First", "Second part...", "Third part, isn't it."]
+    assert texts("<p title='a>b' data=\"x>y\">one</p><p \"stray>two</p><a href=x title=\"it's\">three</a>") == ["one", "two", "three"]
+    assert texts("<div class=\"a\"id='b'>four</div><p title=\"never closed>five") == ["four"]
+
+
 def test_style_tree_removes_repeated_branches(spark):
     page = '<body><div class="top">Welcome to the site</div><div class="text"><p>Story {0} of its own</p></div><div class="end">All the same</div></body>'
     df = frame(spark, [(i, f"http://s.example/{i}", page.format(i)) for i in range(8)], "page_id long, url string, html string")
