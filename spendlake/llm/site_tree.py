@@ -1,19 +1,29 @@
 """Main text of web pages by site style trees (operator 4).
 
-Pages of one host are merged into a style tree: a node is a path of styles (tag with class, id and
-role) from the body down, with the contents seen there and in how many pages.  A node's importance
-is the entropy of its contents over the host's pages: 0 when every page shows the same content,
-1 when every page differs.  Text nodes of low importance are navigation, notices and other
-furniture, and are removed from every page of the host.  Pages of a host with too few pages, and
-furniture that differs from page to page (adverts, comments), are judged by the presentation
-part of the style alone: tags and class words that name furniture.
-
+Pages are merged into style trees: a node is a path of styles (tag with class, id and role) from the
+root down, with the contents and the presentations (sequence of the styles of the texts below it) seen
+there.  The importance of a content node is the entropy of its contents over the pages that show it,
+0 when all show the same and 1 when all differ.  The importance of a branch is
+``(1 - g^l) * P + g^l * A``: P is the entropy of its l presentations, A the mean importance of the
+contents below it, weighted by pages.  A branch goes from every page when its importance is low and no
+content below it that enough pages show is important; so do rare contents in it.
+
+Pages count by their story: pages whose two longest texts (of the article, if there is one) agree
+count once, so copies of an article do not make it look like furniture.  A node that fewer than
+``min_pages`` stories of a host show is judged by the tree of the host's domain (its last two
+labels), then by the tree of all pages.  Inside <article> and <main> a branch can go only if it has
+a class, id or role, or is a div or section: a bare heading or paragraph is the article's own.
+
+Furniture that differs from page to page (adverts, comments) is told by tags and class words.
 Names are evidence only: a named element (or form) that a <main> lies in, that holds the page's
-articles, or that holds most of its text is a layout wrapper and hides nothing (``lifted``).
+articles, or that holds most of its text is a layout wrapper and hides nothing (``lifted``); the
+class of a paragraph or heading hides it only if the whole class name says furniture (``_named``).
 
-Scale: the tree is built from (host, path, content hash) counts, summed per task first, so a hot
-host is one row per distinct content and task.  Only the low-importance paths (a list per host,
-a few short strings) meet the pages again, by a join on the host that splits a hot host.
+Scale: each page is parsed once for the tree and once for its text.  The tree's rows are hashes; they
+are made distinct and counted with map-side sums, keyed by (tree, node, value, story), so a hot host
+or the tree of all pages is no hot key.  The nodes of a host meet the judgements on (tree, node),
+and each host gets the list of its low nodes, as long as the host has low styles, by a join that
+splits a hot host.
 
 Defined cases: null or empty html gives an empty text; a null URL belongs to the empty host;
 repeated rows are pages of their own; truncated and badly nested markup is closed by the rules
@@ -37,12 +47,12 @@ from .urls import url_host
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """``min_pages``: pages of a host from which its tree says anything; ``min_importance``: nodes
-    below are removed; ``min_share``: share of the host's pages that must show a node."""
+    """``min_pages``: stories that must show a node before a tree judges it; ``min_importance``: nodes
+    below are removed; ``decay``: g of the branch importance."""
 
     min_pages: int = 5
     min_importance: float = 0.3
-    min_share: float = 0.5
+    decay: float = 0.9
 
 
 # Comments, declarations, and tags with their attributes.  A quote opens a value only directly after an equals sign.
@@ -84,6 +94,11 @@ FOREIGN_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted "
     "related recommended recommendations trending popular cookie cookies consent gdpr newsletter subscribe signup "
     "comment comments commentlist discussion disqus replies reply respond".split())
+# Of these, words that also name a paragraph's look or place.
+WEAK_WORDS = frozenset(
+    "print share follow form notice tags side legal search register reply respond popular discussion".split())
+# Elements that hold text of their own, not layout.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt".split())
 MODIFIER = re.compile(r"(?:has|no|with|without|hide|show)[-_]")
 HEADING_WORDS = frozenset("header masthead banner".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
@@ -97,6 +112,18 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, str, bool]:
     return _full_style(tag, attrs if attrs and TELLING.search(attrs) else "", inside)
 
 
+def _named(tag: str, names: str, inside: bool) -> set[str]:
+    """Furniture words among the class and id names.  A text element needs a name made of them alone; outside
+    of articles a word that is not weak will do."""
+    out: set[str] = set()
+    for name in names.split():
+        words = set() if MODIFIER.match(name) else set(re.findall(r"[a-z]+", name))
+        found = words & FURNITURE_WORDS
+        if tag not in TEXT_TAGS or found == words or not inside and found - WEAK_WORDS:
+            out |= found
+    return out
+
+
 @functools.lru_cache(maxsize=20_000)
 def _full_style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, str, bool]:
     """(style, is furniture by tag or role, kind of name, is hidden) of an element; ``inside`` an article,
@@ -105,18 +132,17 @@ def _full_style(tag: str, attrs: str, inside: bool) -> tuple[str, bool, str, boo
     for m in ATTRIBUTE.finditer(attrs) if attrs.strip(" /\n\t") else ():
         found.setdefault(m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or ""))
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = {w for name in names.split() if not MODIFIER.match(name) for w in re.findall(r"[a-z]+", name)}
     role = found.get("role", "").lower()
     furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES
-    named = words & FURNITURE_WORDS
-    if inside and (tag == "header" or "header" in words) and not role:
+    named = _named(tag, names, inside)
+    if inside and (tag == "header" or "header" in named) and not role:
         furniture, named = False, named - HEADING_WORDS
     if tag in ("html", "body") or tag in CONTENT_TAGS:
         furniture, named = role in FURNITURE_ROLES, set()
     kind = "foreign" if named & FOREIGN_WORDS else "layout" if named or tag in ("form", "fieldset") else ""
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(
         re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()))
-    style = tag + "".join("." + x for x in sorted(set(names.split())) if not re.search(r"\d{2}", x))
+    style = tag + "".join("." + x for x in sorted(set(names.replace("/", "|").split())) if not re.search(r"\d{2}", x))
     return style + (f"[{role}]" if role else ""), furniture, kind, hidden
 
 
@@ -272,71 +298,128 @@ def lifted(blocks: list[Block]) -> list[Block]:
     return blocks
 
 
+# Rows of a style tree: kind 0 is a content (``above``: the branches it lies in), kind 1 a presentation.
+NODES = "host string, node bigint, kind int, value bigint, story bigint, above array<bigint>"
+
+
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) - 2**63
+
+
+@functools.lru_cache(maxsize=50_000)
+def branches(path: str) -> tuple[tuple[int, bool], ...]:
+    """(node, whether it may go inside an article) of the path and the paths above it, outermost first."""
+    out, inside, prefix = [], False, ""
+    for style in path.split("/")[1:] or [""]:
+        prefix += "/" + style
+        tag = re.split(r"[.\[]", style)[0]
+        out.append((_hash(prefix), inside and tag not in CONTENT_TAGS and (style != tag or tag in ("div", "section"))))
+        inside = inside or tag in CONTENT_TAGS
+    return tuple(out)
+
+
+def page_nodes(html: str) -> list[tuple[int, int, int, int, list | None]]:
+    """(node, kind, value, story, above) of a page's style tree, outside of furniture told by names."""
+    blocks = [b for b in blocks_of(html) if not b.furniture]
+    longest = sorted([b.text() for b in blocks if b.article] or [b.text() for b in blocks], key=lambda t: (-len(t), t))
+    story = _hash("\n".join(longest[:2]))
+    contents: dict[str, list[str]] = {}
+    shown: dict[int, int] = {}
+    for b in blocks:
+        contents.setdefault(b.path, []).append(b.text())
+        nodes = [node for node, _ in branches(b.path)]
+        for node, child in zip(nodes, [*nodes[1:], 0]):
+            shown[node] = (shown.get(node, 0) * 1_000_003 + child + 1) % 2**64
+    rows = []
+    for path, texts in contents.items():
+        above = [node for node, _ in branches(path)]
+        rows.append((above[-1], 0, _hash("\n".join(texts)), story, above))
+    return rows + [(node, 1, value - 2**63, story, None) for node, value in shown.items()]
+
+
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, content (hash), n: in how many pages a node shows a content."""
+    """The rows of the pages' style trees (``NODES``), distinct within a batch."""
     def run(batches):
-        import xxhash
-
         for b in batches:
-            counts: dict[tuple, int] = {}
+            rows: dict[tuple, list | None] = {}
             for host, html in zip(b.column(0).to_pylist(), b.column(1)):
-                nodes: dict[str, list] = {}
-                for block in blocks_of(html.as_py() or "") if html.is_valid else ():
-                    nodes.setdefault(block.path, []).append(block.text())
-                for path, texts in nodes.items():
-                    key = (host, path, xxhash.xxh64("\n".join(texts).encode()).intdigest() - 2**63)
-                    counts[key] = counts.get(key, 0) + 1
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                pa.array([k[2] for k in keys], pa.int64()), pa.array(list(counts.values()), pa.int64()),
-            ], names=["host", "path", "content", "n"])
-
-    counted = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(
-        run, "host string, path string, content bigint, n bigint")
-    return counted.groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
-
-
-def node_importance(nodes: DataFrame, pages: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """host, path, n_pages (that show the node), n_host, importance in [0, 1]."""
-    totals = pages.groupBy(url_host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
-    per = nodes.groupBy("host", "path").agg(
-        F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("__nlogn"))
-    entropy = F.log("n_pages") - F.col("__nlogn") / F.col("n_pages")
-    return per.join(totals, "host").select(
-        "host", "path", "n_pages", "n_host",
-        F.when(F.col("n_pages") <= 1, 1.0).otherwise(entropy / F.log("n_pages")).alias("importance"))
-
-
-def low_branches(importance: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """host, __low: the style paths to remove on a host."""
-    low = importance.where(
-        (F.col("n_host") >= settings.min_pages) & (F.col("n_pages") >= settings.min_share * F.col("n_host"))
-        & (F.col("importance") < settings.min_importance))
-    return low.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("__low"))
+                for *key, above in page_nodes(html.as_py()) if html.is_valid else ():
+                    rows[(host, *key)] = above
+            columns = list(zip(*rows)) or [()] * 5
+            types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, t) for c, t in zip(columns, types)], pa.array(list(rows.values()), pa.list_(pa.int64()))],
+                names=["host", "node", "kind", "value", "story", "above"])
+
+    return pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(run, NODES)
+
+
+def _trees(nodes: DataFrame, *columns: str) -> DataFrame:
+    """Each row once per tree that it belongs to, narrowest (lowest level) first: its host's, its domain's, that of all pages."""
+    trees = F.array_distinct(F.array("host", F.substring_index("host", ".", -2), F.lit("")))
+    return nodes.select(F.posexplode(trees).alias("level", "tree"), *columns)
+
+
+def node_importance(nodes: DataFrame) -> DataFrame:
+    """tree, node, kind, n (stories), n_values, importance in [0, 1], above: entropy of the node's values."""
+    stories = _trees(nodes, "node", "kind", "value", "story", "above").groupBy("tree", "node", "kind", "value", "story").agg(
+        F.first("above").alias("above"))
+    values = stories.groupBy("tree", "node", "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.first("above").alias("above"))
+    per = values.groupBy("tree", "node", "kind").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_values"),
+        F.sum(F.col("n") * F.log("n")).alias("__nlogn"), F.first("above").alias("above"))
+    entropy = F.log("n") - F.col("__nlogn") / F.col("n")
+    return per.select(
+        "tree", "node", "kind", "n", "n_values",
+        F.when(F.col("n_values") == F.col("n"), 1.0)
+        .when(F.col("n_values") == 1, 0.0).otherwise(entropy / F.log("n")).alias("importance"), "above")
+
+
+def judged_branches(importance: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """tree, node, low: the branches that enough stories of a tree show, and whether they are to go."""
+    enough = F.col("n") >= settings.min_pages
+    below = importance.where("kind = 0").select(
+        "tree", F.explode("above").alias("node"), "n", (F.col("n") * F.col("importance")).alias("weighed"),
+        F.when(enough, F.col("importance")).alias("known"))
+    contents = below.groupBy("tree", "node").agg(
+        (F.sum("weighed") / F.sum("n")).alias("mean"), F.max("known").alias("most"))
+    own = importance.where((F.col("kind") == 1) & enough).select(
+        "tree", "node", F.pow(F.lit(settings.decay), F.col("n_values")).alias("g"), "importance")
+    composite = (1 - F.col("g")) * F.col("importance") + F.col("g") * F.col("mean")
+    low = (composite < settings.min_importance) & (F.coalesce("most", F.lit(0.0)) < settings.min_importance)
+    return own.join(contents, ["tree", "node"]).select("tree", "node", low.alias("low"))
+
+
+def low_branches(nodes: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """host, __low: the nodes to remove on a host, each by the narrowest tree that judges it."""
+    judged = judged_branches(node_importance(nodes), settings)
+    shown = _trees(nodes.where("kind = 1").select("host", "node").distinct(), "host", "node")
+    verdicts = shown.join(judged, ["tree", "node"]).groupBy("host", "node").agg(F.min_by("low", "level").alias("low"))
+    return verdicts.where("low").groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("__low"))
 
 
 def main_text(html: str | None, low: frozenset = frozenset()) -> str:
-    """The page's main text: blocks outside furniture and low-importance branches, one per line.
+    """The page's main text: blocks outside furniture and low branches, one per line.
 
-    Inside an article the tree removes nothing (equal articles on many pages are still articles).
     When articles hold most of the text, text outside of them is left out."""
-    blocks = blocks_of(html) if html else []
-    kept = [b for b in blocks if not b.furniture and (b.article or not _below(b.path, low))]
+    kept = [b for b in (blocks_of(html) if html else []) if not b.furniture and not _removed(b, low)]
     if 2 * sum(len(b.text()) for b in kept if b.article) > sum(len(b.text()) for b in kept):
         kept = [b for b in kept if b.article]
     return "\n".join(b.text() for b in kept)
 
 
-def _below(path: str, low: frozenset) -> bool:
-    return any(path == x or path.startswith(x + "/") for x in low)
+def _removed(block: Block, low: frozenset) -> bool:
+    return bool(low) and any(node in low and (apart or not block.article) for node, apart in branches(block.path))
 
 
 def extract_pages(pages: DataFrame, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """page_id, url, text, n_chars (code points) per page."""
     pages = pages.select("page_id", "url", "html")
-    importance = node_importance(style_nodes(pages), pages, settings)
-    low = materialise(low_branches(importance, settings), "branches")
+    nodes = materialise(style_nodes(pages), "nodes")
+    low = materialise(low_branches(nodes, settings), "branches")
     joined = pages.withColumn("__host", url_host(F.col("url"))).join(
         low.withColumnRenamed("host", "__host"), "__host", "left")
 
