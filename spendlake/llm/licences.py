@@ -143,6 +143,42 @@ def bigrams(text: str) -> frozenset:
     return frozenset(zip(words, words[1:]))
 
 
+class FirstPlaces:
+    """Places where the things of a sequence stand first from a start on, in order, for starts that fall.
+
+    ``before``: where the same thing stood before, or -1.  The places are a linked list: a start moves its
+    thing from its next place to the front, so all starts take one step each."""
+
+    def __init__(self, before: np.ndarray):
+        n = len(before)
+        self.next_same = [-1] * n
+        for p, b in enumerate(before.tolist()):
+            if b >= 0:
+                self.next_same[b] = p
+        self.after, self.ahead = [-1] * (n + 1), [-1] * (n + 1)  # linked list; entry n is its head
+        self.start = n
+
+    def of(self, start: int, most: int) -> np.ndarray:
+        """At most ``most`` places from ``start`` on, which must not rise from call to call."""
+        after, ahead, head = self.after, self.ahead, len(self.after) - 1
+        while self.start > start:
+            self.start -= 1
+            p, old = self.start, self.next_same[self.start]
+            if old >= 0:
+                after[ahead[old]] = after[old]
+                if after[old] >= 0:
+                    ahead[after[old]] = ahead[old]
+            after[p], ahead[p] = after[head], head
+            if after[p] >= 0:
+                ahead[after[p]] = p
+            after[head] = p
+        out, p = [], after[head]
+        while p >= 0 and len(out) < most:
+            out.append(p)
+            p = after[p]
+        return np.array(out, np.int64)
+
+
 class Templates:
     """Templates by size, and an index from bigram to templates."""
 
@@ -226,26 +262,36 @@ class Templates:
         for p, g in enumerate(zip(words, words[1:])):
             before[p] = last.get(g, -1)
             last[g] = p
-        out = []
+        out: list[tuple[float, str, int, int]] = []
+        insides, late = {}, []
+
+        def best(k: int, s: int, new: np.ndarray) -> None:
+            """Adds the best run from s, where ``new`` are the places of the first bigrams new to it."""
+            common = np.cumsum(insides[k][new])
+            if common[-1] < self.need[k]:
+                return
+            scores = 2 * common / (np.arange(1, len(new) + 1) + self.sizes[k])
+            e = int(scores.argmax())
+            if scores[e] >= self.t:
+                out.append((float(scores[e]), self.ids[k], s, int(new[e]) + 2))
+
         for k in reach:
-            inside = np.zeros(n, bool)
+            inside = insides[k] = np.zeros(n, bool)
             for g, places in at.items():
                 if k in index[g]:
                     inside[places] = True
+            span = 2 * self.most[k]
             for s in np.flatnonzero(inside).tolist():
-                span = 2 * self.most[k]
-                while True:
-                    new = np.flatnonzero(before[s : s + span] < s)[: self.most[k]]  # bigrams new to the run
-                    common = np.cumsum(inside[s + new])
-                    if len(new) == self.most[k] or s + span >= n or common[-1] == shared[k]:
-                        break
-                    span *= 2
-                if common[-1] < self.need[k]:
-                    continue
-                scores = 2 * common / (np.arange(1, len(new) + 1) + self.sizes[k])
-                e = int(scores.argmax())
-                if scores[e] >= self.t:
-                    out.append((float(scores[e]), self.ids[k], s, s + int(new[e]) + 2))
+                new = s + np.flatnonzero(before[s : s + span] < s)[: self.most[k]]
+                if len(new) == self.most[k] or s + span >= n or np.count_nonzero(inside[new]) == shared[k]:
+                    best(k, s, new)
+                else:
+                    late.append((s, k))
+        if late:  # repetitive from here: more than half of the span stood before
+            late.sort(reverse=True)
+            firsts = FirstPlaces(before)
+            for s, k in late:
+                best(k, s, firsts.of(s, self.most[k]))
         return out
 
     def scan(self, text: str) -> list[tuple[float, str, int]]:
