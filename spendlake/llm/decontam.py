@@ -2,12 +2,13 @@
 
 Patterns are all runs of ``window`` consecutive words of the benchmark items (a shorter item is
 one pattern).  Patterns of one length m share the tables of the method, with blocks of two words:
-the shift table says for a block how far the search may jump (m - 1 for a block in no pattern),
-blocks that end a pattern have shift 0 and lead to a bucket of patterns keyed by that suffix and
-filtered by their first word, and the words themselves are compared to confirm an occurrence.
+the shift table says for a block's hash how far the search may jump (m - 1 for a block in no pattern),
+blocks that end a pattern have shift 0 and lead to a bucket of patterns keyed by the hash of that suffix and
+ordered by the hash of the pattern, and the words themselves are compared to confirm an occurrence.
 
 The patterns are a stated query set: they are read in blocks of at most ``block_words`` words and
-each block is broadcast and searched in all documents, with one pass over the documents per
+the tables of each block are built once, as arrays of some 60 bytes a word and a dictionary of its distinct
+words, broadcast and searched in all documents, with one pass over the documents per
 block, which adds the block's hits to each row.  Nothing is shuffled.
 
 Defined cases: null and empty texts have no words; items without words have no pattern; items
@@ -23,10 +24,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import map_arrow, materialise, scramble
 
 SPANS = "array<struct<a:int,b:int>>"
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -35,7 +37,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 @dataclass(frozen=True)
 class DecontamSettings:
     window: int = 10
-    block_words: int = 2_000_000
+    block_words: int = 1_000_000
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -43,60 +45,112 @@ def item_words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
+def _rolled(ids: np.ndarray, m: int) -> np.ndarray:
+    """64-bit hash of each run of m ids."""
+    out = np.zeros(len(ids) - m + 1, np.uint64)
+    for k in range(m):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(out)].astype(np.uint64)
+    return scramble(out)
+
+
+class LengthTable:
+    """Wu-Manber tables of the patterns of one length ``m``, as arrays.
+
+    ``pool`` holds the word ids of the items, ``starts`` where a pattern stands in it and ``owners`` whose it is.
+    ``shift[h]``: how far the search may jump on a block (its last two words) of hash h; blocks that share a
+    hash share the smaller jump.  ``slots[h]`` to ``slots[h + 1]`` is the bucket of the patterns that end
+    in a block of hash h, ordered by the hash of the whole pattern."""
+
+    def __init__(self, m: int, pool: np.ndarray, starts: np.ndarray, owners: np.ndarray):
+        self.m, self.size = m, min(2, m)
+        self.bits = np.uint64(64 - max(10, int(4 * len(starts)).bit_length()))
+        self.pool = pool.tobytes()
+        whole = _rolled(pool, m)[starts]
+        blocks = self.blocks(pool)
+        self.shift = np.full(1 << (64 - int(self.bits)), m - self.size + 1, np.uint8 if m < 256 else np.int32)
+        for end in range(self.size, m + 1):
+            np.minimum.at(self.shift, blocks[starts + end - self.size], m - end)
+        last = blocks[starts + m - self.size]
+        order = np.lexsort((owners, whole, last))
+        self.whole, self.starts, self.owners = whole[order], starts[order].astype(np.int32), owners[order].astype(np.int32)
+        self.slots = np.searchsorted(last[order], np.arange(len(self.shift) + 1)).astype(np.int32)
+
+    def blocks(self, ids: np.ndarray) -> np.ndarray:
+        """Hash of each block of the method in a sequence of word ids."""
+        return (_rolled(ids, self.size) >> self.bits).astype(np.int64)
+
+    def search(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        """Spans of all occurrences in a text, and the numbers of the items they belong to."""
+        spans, owners = [], set()
+        n, m = len(ids), self.m
+        if n < m:
+            return spans, owners
+        hashes = self.blocks(ids)
+        jumps = self.shift[hashes].tolist()
+        whole = text = None
+        at, last = m - self.size, n - self.size  # first word of the block that ends a window
+        while at <= last:
+            jump = jumps[at]
+            if jump:
+                at += jump
+                continue
+            lo, hi = self.slots[hashes[at]], self.slots[hashes[at] + 1]
+            if lo < hi:
+                if whole is None:
+                    whole, text = _rolled(ids, m), ids.tobytes()
+                start = at + self.size - m
+                lo, hi = lo + np.searchsorted(self.whole[lo:hi], whole[start]), lo + np.searchsorted(
+                    self.whole[lo:hi], whole[start], "right")
+                width, window = 4 * m, text[4 * start : 4 * (start + m)]
+                found = [i for i in range(lo, hi) if self.pool[4 * self.starts[i] : 4 * self.starts[i] + width] == window]
+                if found:
+                    spans.append((start, start + m))
+                    owners.update(self.owners[found].tolist())
+            at += 1
+        return spans, owners
+
+
 class PatternTables:
-    """Wu-Manber tables for one block of items: per pattern length a shift table and suffix buckets."""
+    """The tables of one block of items, one per pattern length, over numbered words."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
-        by_length: dict[int, dict[tuple, set]] = {}
-        for item_id, words in items:
-            m = min(window, len(words))
-            if not m:
-                continue
-            patterns = by_length.setdefault(m, {})
-            for i in range(len(words) - m + 1):
-                patterns.setdefault(tuple(words[i : i + m]), set()).add(item_id)
-        self.tables = [(m, *self._tables(m, patterns), patterns) for m, patterns in sorted(by_length.items())]
+        self.names = [item_id for item_id, _ in items]
+        self.numbers: dict[bytes, int] = {}
+        number = self.numbers.setdefault
+        sizes = np.array([len(words) for _, words in items], np.int64)
+        pool = np.array([number(w, len(self.numbers) + 1) for _, words in items for w in words], np.int32)
+        first = np.cumsum(sizes) - sizes
+        lengths = np.minimum(sizes, window)
+        self.tables = []
+        for m in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == m)
+            n = sizes[own] - m + 1
+            owners = np.repeat(own, n)
+            starts = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[owners]
+            self.tables.append(LengthTable(m, pool, *self._distinct(m, pool, starts, owners)))
 
     @staticmethod
-    def _tables(m: int, patterns: dict) -> tuple[dict, dict]:
-        size = min(2, m)
-        shift: dict[tuple, int] = {}
-        buckets: dict[tuple, set] = {}
-        for p in patterns:
-            for end in range(size, m + 1):
-                block = p[end - size : end]
-                if shift.get(block, m) > m - end:
-                    shift[block] = m - end
-            buckets.setdefault(p[m - size :], set()).add(p[0])
-        return shift, buckets
+    def _distinct(m: int, pool: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the repetitions of a pattern in one item."""
+        whole = _rolled(pool, m)[starts]
+        order = np.lexsort((starts, owners, whole))
+        starts, owners, whole = starts[order], owners[order], whole[order]
+        again = np.zeros(len(starts), bool)
+        again[1:] = (whole[1:] == whole[:-1]) & (owners[1:] == owners[:-1])
+        for k in range(m):  # by the words, not the hash alone
+            again[1:] &= pool[starts[1:] + k] == pool[starts[:-1] + k]
+        return starts[~again], owners[~again]
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans [start, end) of all occurrences, and the ids of the items they belong to."""
-        spans, ids = [], set()
-        n = len(words)
-        for m, shift, buckets, patterns in self.tables:
-            if m == 1:
-                for i, w in enumerate(words):
-                    if (w,) in patterns:
-                        spans.append((i, i + 1))
-                        ids |= patterns[(w,)]
-                continue
-            far = m - 1  # two-word blocks
-            end = m
-            get = shift.get
-            while end <= n:
-                block = (words[end - 2], words[end - 1])
-                jump = get(block, far)
-                if jump:
-                    end += jump
-                    continue
-                if words[end - m] in buckets[block]:
-                    found = patterns.get(tuple(words[end - m : end]))
-                    if found is not None:
-                        spans.append((end - m, end))
-                        ids |= found
-                end += 1
-        return spans, ids
+        get = self.numbers.get
+        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))  # 0: in no item
+        spans, owners = [], set()
+        for table in self.tables:
+            found, whose = table.search(ids)
+            spans += found
+            owners |= whose
+        return spans, {self.names[i] for i in owners}
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -126,10 +180,10 @@ def item_blocks(benchmark: DataFrame, settings: DecontamSettings) -> Iterator[li
 
 def _search_block(docs: DataFrame, keep: list[str], block: list, settings: DecontamSettings) -> DataFrame:
     """docs (keep, __text and the hits so far) with the block's hits merged in."""
-    shared = docs.sparkSession.sparkContext.broadcast((block, settings.window))
+    shared = docs.sparkSession.sparkContext.broadcast(PatternTables(block, settings.window))
 
     def make():
-        tables = PatternTables(*shared.value)
+        tables = shared.value
 
         def search(texts, spans, items):
             n_words, all_spans, all_items = [], [], []
