@@ -7,7 +7,7 @@ blocks that end a pattern have shift 0 and lead to a bucket of patterns keyed by
 ordered by the hash of the pattern, and the words themselves are compared to confirm an occurrence.
 
 The patterns are a stated query set: they are read in blocks of at most ``block_words`` words and
-the tables of each block are built once, as arrays of some 60 bytes a word and a dictionary of its distinct
+the tables of each block are built once, as arrays of some 70 bytes a word and a dictionary of its distinct
 words, broadcast and searched in all documents, with one pass over the documents per
 block, which adds the block's hits to each row.  Nothing is shuffled.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,9 +48,11 @@ def item_words(text: str | None) -> list[bytes]:
 
 def _rolled(ids: np.ndarray, m: int) -> np.ndarray:
     """64-bit hash of each run of m ids."""
-    out = np.zeros(len(ids) - m + 1, np.uint64)
-    for k in range(m):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(out)].astype(np.uint64)
+    ids = ids.astype(np.uint64)
+    n = len(ids) - m + 1
+    out = ids[:n]
+    for k in range(1, m):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
     return scramble(out)
 
 
@@ -59,7 +62,7 @@ class LengthTable:
     ``pool`` holds the word ids of the items, ``starts`` where a pattern stands in it and ``owners`` whose it is.
     ``shift[h]``: how far the search may jump on a block (its last two words) of hash h; blocks that share a
     hash share the smaller jump.  ``slots[h]`` to ``slots[h + 1]`` is the bucket of the patterns that end
-    in a block of hash h, ordered by the hash of the whole pattern."""
+    in a block of hash h, ordered by the hash of the whole pattern; ``hashes`` are those of all patterns."""
 
     def __init__(self, m: int, pool: np.ndarray, starts: np.ndarray, owners: np.ndarray):
         self.m, self.size = m, min(2, m)
@@ -73,6 +76,7 @@ class LengthTable:
         last = blocks[starts + m - self.size]
         order = np.lexsort((owners, whole, last))
         self.whole, self.starts, self.owners = whole[order], starts[order].astype(np.int32), owners[order].astype(np.int32)
+        self.hashes = np.unique(whole)
         self.slots = np.searchsorted(last[order], np.arange(len(self.shift) + 1)).astype(np.int32)
 
     def blocks(self, ids: np.ndarray) -> np.ndarray:
@@ -87,26 +91,32 @@ class LengthTable:
             return spans, owners
         hashes = self.blocks(ids)
         jumps = self.shift[hashes].tolist()
-        whole = text = None
-        at, last = m - self.size, n - self.size  # first word of the block that ends a window
+        ends = []  # blocks that end a pattern
+        at, last = m - self.size, n - self.size
         while at <= last:
             jump = jumps[at]
             if jump:
                 at += jump
-                continue
-            lo, hi = self.slots[hashes[at]], self.slots[hashes[at] + 1]
-            if lo < hi:
-                if whole is None:
-                    whole, text = _rolled(ids, m), ids.tobytes()
-                start = at + self.size - m
-                lo, hi = lo + np.searchsorted(self.whole[lo:hi], whole[start]), lo + np.searchsorted(
-                    self.whole[lo:hi], whole[start], "right")
-                width, window = 4 * m, text[4 * start : 4 * (start + m)]
-                found = [i for i in range(lo, hi) if self.pool[4 * self.starts[i] : 4 * self.starts[i] + width] == window]
-                if found:
-                    spans.append((start, start + m))
-                    owners.update(self.owners[found].tolist())
-            at += 1
+            else:
+                ends.append(at)
+                at += 1
+        if not ends:
+            return spans, owners
+        at = np.array(ends)
+        starts = at + self.size - m
+        whole = _rolled(ids, m)[starts]
+        known = np.searchsorted(self.hashes, whole)
+        hit = self.hashes[np.minimum(known, len(self.hashes) - 1)] == whole
+        text = ids.tobytes() if hit.any() else b""
+        for slot, start, key in zip(hashes[at[hit]].tolist(), starts[hit].tolist(), whole[hit]):
+            lo, hi = self.slots[slot], self.slots[slot + 1]
+            bucket = self.whole[lo:hi]
+            lo, hi = lo + np.searchsorted(bucket, key), lo + np.searchsorted(bucket, key, "right")
+            width, window = 4 * m, text[4 * start : 4 * (start + m)]
+            found = [i for i in range(lo, hi) if self.pool[4 * self.starts[i] : 4 * self.starts[i] + width] == window]
+            if found:
+                spans.append((start, start + m))
+                owners.update(self.owners[found].tolist())
         return spans, owners
 
 
@@ -143,8 +153,7 @@ class PatternTables:
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Spans [start, end) of all occurrences, and the ids of the items they belong to."""
-        get = self.numbers.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))  # 0: in no item
+        ids = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int32, len(words))  # 0: in no item
         spans, owners = [], set()
         for table in self.tables:
             found, whose = table.search(ids)
