@@ -25,9 +25,11 @@ or the tree of all pages is no hot key.  The nodes of a host meet the judgements
 and each host gets the list of its low nodes, as long as the host has low styles, by a join that
 splits a hot host.
 
-Defined cases: null or empty html gives an empty text; a null URL belongs to the empty host;
-repeated rows are pages of their own; truncated and badly nested markup is closed by the rules
-below; an empty table gives an empty result; other columns are not read.
+Defined cases: elements nested deeper than ``DEPTH`` levels have the node of that level (their texts are
+blocks like all others), so unclosed tags do not make paths long; null or empty html gives an empty
+text; a null URL belongs to the empty host; repeated rows are pages of their own; truncated and badly
+nested markup is closed by the rules below; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -105,6 +107,9 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 CONTENT_TAGS = frozenset("article main".split())
 
 
+# Elements below this level belong to the node of the element at this level.
+DEPTH = 64
+
 TELLING = re.compile(r"class|id\s*=|role|hidden|style", re.IGNORECASE)
 
 
@@ -252,7 +257,8 @@ def blocks_of(html: str) -> list[Block]:
             named = (*named, (n_named, kind == "foreign"))
         elif tag == "main":
             named = ()
-        stack.append((tag, f"{path}/{style}", bad or furniture or hidden or tag in HIDDEN, inside or tag in CONTENT_TAGS, named))
+        path = f"{path}/{style}" if len(stack) <= DEPTH else path
+        stack.append((tag, path, bad or furniture or hidden or tag in HIDDEN, inside or tag in CONTENT_TAGS, named))
     return lifted([b for b in out if b.text()])
 
 

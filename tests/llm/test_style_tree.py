@@ -63,6 +63,15 @@ def test_class_words_hide_no_paragraph():
     assert site_tree.main_text("<body><p>Some text</p><p class=copyright-line>All rights</p>") == "Some text"
 
 
+def test_deeply_nested_pages(spark):
+    deep = "".join(f"<div class=c><font>Part {i} " for i in range(3000))
+    pages = [(i, f"http://a.example/{i}", f"<body><article>{story(i)}</article>{deep}") for i in range(3)]
+    pages.append((9, "http://b.example/", f"<body>{deep}"))
+    got = texts(spark, pages)
+    assert got[9] == "\n".join(f"Part {i}" for i in range(3000))
+    assert all(got[i].endswith("Part 2999") for i in range(3))
+
+
 def entropy(values: Counter) -> float:
     n = sum(values.values())
     return 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in values.values()) / math.log(n)
