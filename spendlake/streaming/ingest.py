@@ -110,40 +110,63 @@ def hard_match_stream(cands: DataFrame, known: DataFrame) -> DataFrame:
 SEEN = "seq bigint, ref string, ts timestamp, seen_before boolean"
 
 
-def reference_stream(cands: DataFrame, days: int = DedupSettings.known_ref_days, late: str = "1 hour") -> DataFrame:
+def reference_stream(cands: DataFrame, days: int = DedupSettings.known_ref_days, late: str = "1 hour",
+                     buckets: int = 1024) -> DataFrame:
     """ST-3: every reference value of the stream (seq, ts, reference_ids), with whether it was seen within ``days``
     before, in this stream; without any table.
 
-    The state of a reference is the last time it was seen, and an event-time timer removes it when
-    ``days`` have passed, so the state holds the references of the last days only.  The rows of one
-    reference in one micro-batch are ordered by (ts, seq) before they are told apart;
-    rows later than ``late`` are judged by what is still known."""
-    span = days * 86_400_000_000
+    References are hashed into ``buckets`` state keys (fixed for a checkpoint), and all rows of a bucket are told apart in
+    one vectorised step, so the cost is per row, not per reference.  The state of a bucket holds, for each of its
+    references, the last time it was seen; references older than ``days`` go whenever the bucket is visited, by new
+    rows or by its event-time timer (at most about one visit a day), so the state holds the references of the
+    last days only.  The rows of one reference in one micro-batch are ordered by (ts, seq) before they are told
+    apart; rows later than ``late`` are judged by what is still known."""
+    span, day = days * 86_400_000_000, 86_400_000
     vals = cands.withWatermark("ts", late).select("seq", "ts", F.explode(F.map_values("reference_ids")).alias("v")).where(
-        F.col("v").isNotNull() & (F.col("v") != "")).select("seq", "ts", F.lower("v").alias("ref"))
+        F.col("v").isNotNull() & (F.col("v") != "")).select("seq", "ts", F.lower("v").alias("ref")).withColumn(
+        "bucket", F.pmod(F.xxhash64("ref"), F.lit(buckets)).cast("int"))
 
     def tell(key, frames, state):
         import numpy as np
         import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        at = rows["ts"].astype("datetime64[us]").to_numpy().astype(np.int64)
-        last = state.get[0] if state.exists else None
-        before = np.concatenate([[np.iinfo(np.int64).min if last is None else last], at[:-1]])
-        known = (before != np.iinfo(np.int64).min) & (at - np.maximum(before, at - span - 1) <= span)
-        newest = int(max(at[-1], last if last is not None else at[-1]))
-        end = (newest + span) // 1000 + 1
-        if end > state.getCurrentWatermarkMs():
-            state.update((newest,))
-            state.setTimeoutTimestamp(end)
+        import pyarrow as pa
+
+        never = np.iinfo(np.int64).min
+        seen = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else None
+        names = seen["ref"].to_pandas().to_numpy(object) if seen else np.empty(0, object)
+        last = seen["last"].to_numpy() if seen else np.empty(0, np.int64)
+        told = None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames))
+            codes, names = pd.factorize(np.concatenate([names, rows["ref"].to_numpy(object)]))
+            known_before, codes = len(last), codes[len(last):]
+            last = np.concatenate([last, np.full(len(names) - known_before, never)])
+            at = rows["ts"].astype("datetime64[us]").to_numpy().astype(np.int64)
+            at[at == never] = np.iinfo(np.int64).max  # rows without a time come last and count for nothing
+            order = np.lexsort((rows["seq"].to_numpy(), at, codes))
+            codes, at = codes[order], at[order]
+            timed = at != np.iinfo(np.int64).max
+            before = np.concatenate([[never], at[:-1]])
+            first = np.concatenate([[True], codes[1:] != codes[:-1]])
+            before[first] = last[codes[first]]
+            known = timed & (before != never) & (at - np.maximum(before, at - span - 1) <= span)
+            np.maximum.at(last, codes[timed], at[timed])
+            told = pd.DataFrame({"seq": rows["seq"].to_numpy()[order], "ref": names[codes],
+                                 "ts": rows["ts"].to_numpy()[order], "seen_before": known})
+        end = (last + span) // 1000 + 1
+        keep = (last != never) & (end > state.getCurrentWatermarkMs())
+        if keep.any():
+            kept, sink = pa.table({"ref": pa.array(names[keep], pa.string()), "last": last[keep]}), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept.schema) as writer:
+                writer.write_table(kept)
+            state.update((sink.getvalue().to_pybytes(),))
+            state.setTimeoutTimestamp(int(min(end[keep].max(), end[keep].min() + day)))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"seq": rows["seq"].to_numpy(), "ref": key[0], "ts": rows["ts"].to_numpy(), "seen_before": known})
+        if told is not None:
+            yield told
 
-    return vals.groupBy("ref").applyInPandasWithState(tell, SEEN, "last bigint", "append", "EventTimeTimeout")
+    return vals.groupBy("bucket").applyInPandasWithState(tell, SEEN, "seen binary", "append", "EventTimeTimeout")
 
 
 # ---------------------------------------------------------------------------

@@ -188,3 +188,25 @@ def test_month_partition_pruning(spark):
     q = spark.read.parquet(path).where(F.col("month_key") == "2026-03")
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month_key" in plan and q.count() == 1
+
+
+def test_many_references_share_few_states(spark):
+    """4 000 references in two pieces, told apart like a plain loop does, with at most ``buckets`` state rows."""
+    rng = random.Random(5)
+    rows = [(i, _day(0, i % 200) + dt.timedelta(seconds=rng.randrange(3600)), {"r": f"Ref{rng.randrange(4000)}"}) for i in range(6000)]
+    rows.sort(key=lambda r: r[1])
+    want, last = set(), {}
+    for seq, ts, refs in sorted(rows, key=lambda r: (r[1], r[0])):
+        ref = refs["r"].lower()
+        want.add((seq, ref, ref in last and ts - last[ref] <= dt.timedelta(days=7)))
+        last[ref] = ts
+    src, ckpt = (scratch_path(spark, f"t-many-{x}") for x in ("in", "ckpt"))
+    schema, got = "seq bigint, ts timestamp, reference_ids map<string,string>", set()
+    for k, piece in enumerate((rows[:3500], rows[3500:])):
+        spark.createDataFrame(piece, schema).coalesce(1).write.parquet(f"{src}/{k}")
+        told = reference_stream(spark.readStream.schema(schema).parquet(f"{src}/*"), buckets=16)
+        q = told.writeStream.foreachBatch(lambda b, e: got.update((r.seq, r.ref, r.seen_before) for r in b.collect())).option(
+            "checkpointLocation", ckpt).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16
+    assert got == want
