@@ -173,15 +173,33 @@ def reference_stream(cands: DataFrame, days: int = DedupSettings.known_ref_days,
 # ST-4: soft match as a stream-stream interval join
 # ---------------------------------------------------------------------------
 
+def _cells(width_min: float, a_width: float | None, us: str, amount: str) -> tuple[list[Column], list[Column]]:
+    """Join cells of an interval join: (columns of the side dealt over times, columns of the side dealt over amounts).
+
+    A row within ``width_min`` minutes and one amount width of another has an equal (time cell, amount cell) with it
+    exactly once: times are cut into cells of twice the interval, of which a row reaches two, amounts into cells
+    of four widths, of which a row reaches one or two (reaching half a width further than asked, past any rounding).
+    Without a width the amounts themselves are equal."""
+    reach = int(width_min * MICROS_PER_MIN)
+    t_cell, a_cell = 2 * reach, None if a_width is None else 4 * a_width
+    lo, hi = (F.floor((F.col(us) + d) / t_cell) for d in (-reach, reach))
+    times = [F.explode(F.sequence(lo, hi)).alias("_tb")]
+    if a_cell is None:
+        return [F.col(amount).alias("_ab"), *times], [F.col(amount).alias("_eb"), F.floor(F.col(us) / t_cell).alias("_et")]
+    near = [F.floor((F.col(amount) + d * a_width) / a_cell) for d in (-1.5, 1.5)]
+    return ([F.floor(F.col(amount) / a_cell).alias("_ab"), *times],
+            [F.explode(F.array_distinct(F.array(*near))).alias("_eb"), F.floor(F.col(us) / t_cell).alias("_et")])
+
+
 def soft_match_stream(new: DataFrame, recent: DataFrame, s: DedupSettings = DedupSettings(),
                       watermark: str | None = None, salts: int = 1) -> DataFrame:
     """ST-4: per candidate of ``new`` the first row of ``recent`` in newest-first order (ties by id) that soft-matches it,
     with score and status; a candidate without a match comes out with nulls when the watermark has passed.
 
-    A left outer interval join (equal amount bucket, times within two hours or the window, and the exact score in the
-    join condition), then one chained aggregation per candidate.  Both sides are watermarked, so join and
-    aggregation state are evicted.  ``salts`` deals the candidates of a frequent amount over that many tasks
-    and repeats the recent rows as often.
+    A left outer interval join (equal time and amount cell, times within two hours or the window, and the exact score in
+    the join condition), then one chained aggregation per candidate, which also unites its two time cells.  Both
+    sides are watermarked, so join and aggregation state are evicted.  ``salts`` deals the candidates of a
+    frequent amount over that many tasks and repeats the recent rows as often.
 
     ``new``: seq, amount, merchant, [direction], ts (TIMESTAMP).  ``recent``: id and the same."""
     width_min = max(float(s.time_window_minutes), 120.0)
@@ -195,14 +213,13 @@ def soft_match_stream(new: DataFrame, recent: DataFrame, s: DedupSettings = Dedu
             F.lower(F.trim(F.coalesce("merchant", F.lit("")))).alias(f"{p}merchant"), direction.alias(f"{p}direction"),
             F.unix_micros("ts").alias(f"{p}us"), F.col("ts").alias(f"{p}ts"))
 
-    bucket = lambda c: F.col(c) if a_width is None else F.floor(F.col(c) / a_width)
-    n = side(new, "seq", "c_").withColumn("_ab", bucket("c_amount")).withColumn("_salt", F.pmod(F.xxhash64("c_key"), F.lit(salts)).cast("int"))
-    r = side(recent, "id", "e_").withColumn("_eb", bucket("e_amount"))
-    r = r if a_width is None else r.withColumn("_eb", F.explode(F.array(F.col("_eb") - 1, F.col("_eb"), F.col("_eb") + 1)))
+    times, amounts = _cells(width_min, a_width, "c_us", "c_amount")[0], _cells(width_min, a_width, "e_us", "e_amount")[1]
+    n = side(new, "seq", "c_").select("*", *times).withColumn("_salt", F.pmod(F.xxhash64("c_key"), F.lit(salts)).cast("int"))
+    r = side(recent, "id", "e_").select("*", *amounts)
     r = r.withColumn("_esalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     span = F.expr(f"INTERVAL {int(width_min)} MINUTES")
     _, score, status = score_columns(s)
-    j = n.join(r, (n._ab == r._eb) & (n._salt == r._esalt) & (F.col("e_ts") >= F.col("c_ts") - span)
+    j = n.join(r, (n._ab == r._eb) & (n._tb == r._et) & (n._salt == r._esalt) & (F.col("e_ts") >= F.col("c_ts") - span)
                & (F.col("e_ts") <= F.col("c_ts") + span) & status.isNotNull(), "left_outer")
     hit = F.when(F.col("e_key").isNotNull(), F.struct(
         F.col("e_us"), (-F.col("e_key")).alias("id"), score.alias("score"), status.alias("status")))
@@ -213,25 +230,23 @@ def soft_match_stream(new: DataFrame, recent: DataFrame, s: DedupSettings = Dedu
 
 def interval_pairs_stream(new: DataFrame, recent: DataFrame, s: DedupSettings = DedupSettings(),
                           watermark: str | None = None) -> DataFrame:
-    """Pairs of a stream-stream interval join: pairs (new, recent) on equal amount bucket (+ neighbours) and event times
-    within max(window, 2 h); both sides watermarked so join state is evicted.
+    """Pairs of a stream-stream interval join: pairs (new, recent) on equal cells of time and amount, event times
+    within max(window, 2 h); both sides watermarked so join state is evicted.  A row is compared with the rows of its
+    cells only, not with all of its amount.
 
     Input columns: seq, amount, merchant, ts (TIMESTAMP).  Output: new.seq, recent.seq
     and the time gap; ``soft_match_stream`` scores them."""
     width_min = max(float(s.time_window_minutes), 120.0)
     wm = watermark or f"{int(max(s.max_date_gap_hours, width_min / 60))} hours"
     a_width = float(s.amount_tolerance) * (1 + 1e-9) if s.amount_tolerance > 0 else 1e-9
-    n = new.withWatermark("ts", wm).select(
-        F.col("seq").alias("n_seq"), F.col("amount").alias("n_amount"), F.col("merchant").alias("n_merchant"),
-        F.col("ts").alias("n_ts"), F.floor(F.col("amount") / a_width).alias("_ab"))
-    r = recent.withWatermark("ts", wm).select(
-        F.col("seq").alias("r_seq"), F.col("amount").alias("r_amount"), F.col("merchant").alias("r_merchant"),
-        F.col("ts").alias("r_ts"),
-        F.explode(F.array(F.floor(F.col("amount") / a_width) - 1, F.floor(F.col("amount") / a_width),
-                          F.floor(F.col("amount") / a_width) + 1)).alias("_ab"))
+    sides = [df.withWatermark("ts", wm).select(
+        F.col("seq").alias(f"{p}_seq"), F.col("amount").alias(f"{p}_amount"), F.col("merchant").alias(f"{p}_merchant"),
+        F.col("ts").alias(f"{p}_ts"), F.unix_micros("ts").alias(f"{p}_us")) for df, p in ((new, "n"), (recent, "r"))]
+    n = sides[0].select("*", *_cells(width_min, a_width, "n_us", "n_amount")[0]).drop("n_us")
+    r = sides[1].select("*", *_cells(width_min, a_width, "r_us", "r_amount")[1]).drop("r_us")
     lo = F.col("r_ts") >= F.col("n_ts") - F.expr(f"INTERVAL {int(width_min)} MINUTES")
     hi = F.col("r_ts") <= F.col("n_ts") + F.expr(f"INTERVAL {int(width_min)} MINUTES")
-    j = n.join(r, (n._ab == r._ab) & lo & hi & (F.col("r_seq") < F.col("n_seq"))
+    j = n.join(r, (n._ab == r._eb) & (n._tb == r._et) & lo & hi & (F.col("r_seq") < F.col("n_seq"))
                & (F.abs(F.col("n_amount") - F.col("r_amount")) <= s.amount_tolerance))
     gap = F.abs(F.unix_micros("n_ts") - F.unix_micros("r_ts")) / F.lit(float(MICROS_PER_MIN))
     return j.select("n_seq", "r_seq", "n_amount", "r_amount", "n_merchant", "r_merchant", gap.alias("gap_minutes"))

@@ -17,6 +17,7 @@ from spendlake.streaming.ingest import (
     hard_match_stream,
     ingest_epoch,
     ingest_stream,
+    interval_pairs_stream,
     reference_stream,
     run_to_table,
     running_spend,
@@ -210,3 +211,20 @@ def test_many_references_share_few_states(spark):
         q.awaitTermination()
         assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 16
     assert got == want
+
+
+def test_rows_of_one_amount_meet_only_near_in_time(spark):
+    """30 000 rows of one amount, 90 minutes apart: a row has one earlier row within two hours."""
+    import time
+
+    n = 30_000
+    src, out, ckpt = (scratch_path(spark, f"t-one-{x}") for x in ("in", "out", "ckpt"))
+    rows = spark.range(n).select(
+        F.col("id").alias("seq"), F.lit(30.0).alias("amount"), F.lit("metro").alias("merchant"),
+        F.expr("timestamp'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 90 * id)").alias("ts"))
+    rows.write.parquet(src)
+    began = time.time()
+    side = spark.readStream.schema(rows.schema).parquet(src)
+    got = run_to_table(interval_pairs_stream(side, side), out, ckpt, "append")
+    assert got.count() == n - 1 and got.where("n_seq <> r_seq + 1 or gap_minutes <> 90").count() == 0
+    assert time.time() - began < 90
