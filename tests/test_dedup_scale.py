@@ -148,3 +148,16 @@ def test_hot_bucket_is_dealt_out(spark):
     sizes = [r["count"] for r in left.groupBy("k", "_salt").count().collect()]
     assert max(sizes) < 700
     assert left.join(right, ["k", "_salt"]).count() == big.join(small, "k").count()
+
+
+def test_blocks_of_a_long_batch_are_elected_in_few_rounds(spark, monkeypatch):
+    """40 blocks in any order of times: a handful of rounds, and the leaders of the one-block pass."""
+    rows = spark.range(8_000).select(
+        F.col("id").alias("seq"), (F.hash("id") % 20 * 0.5 + 30).alias("amount"), F.concat(F.lit("m"), F.hash("id") % 3).alias("merchant"),
+        F.lit("debit").alias("direction"),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, pmod(xxhash64(id), 60000))").alias("txn_ts"))
+    rounds, elected = [], dedup._elected
+    monkeypatch.setattr(dedup, "_elected", lambda *a: rounds.append(1) or elected(*a))
+    got = sorted(map(tuple, dedup.batch_leaders(rows, S, range_rows=200).collect()))
+    assert 1 < len(rounds) <= 8
+    assert got == sorted(map(tuple, dedup.batch_leaders(rows, S).collect()))
