@@ -52,19 +52,20 @@ def map_arrow(df: DataFrame, keep: list, inputs: list, fields: list, make) -> Da
     """One output row per row: the ``keep`` columns unchanged, then ``fields`` ((name, DDL type)).
 
     ``make()`` is called once per task and returns a function from the ``inputs`` columns
-    (Arrow arrays) to the lists of the new fields."""
+    (Arrow arrays) to the lists of the new fields.  An input that is kept travels once."""
     kept = df.select(*[F.col(f"`{c}`") for c in keep])
     schema = StructType([*kept.schema, *StructType.fromDDL(", ".join(f"`{name}` {ddl}" for name, ddl in fields))])
     types = [_arrow_type(ddl) for _, ddl in fields]
     names = [*keep, *[name for name, _ in fields]]
-    picked = df.select(
-        *[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
+    sent = [c for c in inputs if c not in keep]
+    picked = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(sent)])
     n = len(keep)
+    places = [keep.index(c) if c in keep else n + sent.index(c) for c in inputs]
 
     def run(batches):
         fn = make()
         for b in batches:
-            made = fn(*[b.column(n + i) for i in range(len(inputs))])
+            made = fn(*[b.column(i) for i in places])
             new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n)], *new], names=names)
 

@@ -212,7 +212,7 @@ def _search_block(docs: DataFrame, keep: list[str], block: list, settings: Decon
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str],
                        settings: DecontamSettings = DecontamSettings()) -> DataFrame:
-    """The ``keep`` columns of docs plus __n (words), __spans (hit word spans) and __items (ids)."""
+    """The ``keep`` columns of docs plus __text, __n (words), __spans (hit word spans) and __items (ids)."""
     found = docs.select(
         *[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"),
         F.array().cast(SPANS).alias("__spans"), F.array().cast("array<string>").alias("__items"))
@@ -223,7 +223,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str],
         block = next(blocks, None)
         if block is not None:  # one block's tables in a worker at a time
             found = materialise(found, "hits")
-    return found.drop("__text")
+    return found
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
@@ -239,6 +239,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, settings: Decont
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: DecontamSettings = DecontamSettings()) -> DataFrame:
     """The documents in which no pattern occurs, with their columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+    others = [c for c in docs.columns if c != "text"]  # the text travels once, beside them
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row"), "text")
     found = find_contamination(packed, benchmark, ["__row"], settings)
-    return found.where(F.size("__spans") == 0).select("__row.*")
+    return found.where(F.size("__spans") == 0).select(
+        *[F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns])
