@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.config import DEFAULT_CATEGORY, SOURCE_DEFAULT
-from spendlake.session import assign_dense_ids
+from spendlake.session import assign_dense_ids, written
 
 EXPENSE_COLS = ("id", "amount", "category", "description", "transaction_date", "deleted_at", "inserted_on", "updated_on")
 BUDGET_COLS = ("id", "month_key", "category", "budget_limit", "inserted_on", "updated_on")
@@ -108,8 +108,13 @@ def append_expenses(state: DataFrame, payload: DataFrame, as_of_ts: str, order_c
     date = as_of.  A bad amount anywhere rejects the whole batch (validation pass).
     New ids = high-water mark + 1.. in ``order_cols`` order (AUTOINCREMENT never reuses
     ids; the default high-water mark is max(id) of the state)."""
-    rejects = payload.where(F.col("amount").cast("string").try_cast("double").isNull())
-    if not rejects.isEmpty():
+    bad = F.col("amount").cast("string").try_cast("double").isNull()
+    rejects = payload.where(bad)
+    # written once: the validation, the sampling of the id order and its sort all read it
+    fields = ["amount", "category", "description", "date"]
+    payload = written(payload.select(*[c for c in order_cols if c not in fields],
+                                     *[F.col(c).cast("string").alias(c) for c in fields]), "payload")
+    if not payload.where(bad).isEmpty():
         empty = state.limit(0)
         return state, audit_frame(empty, "BULK_INSERT", "expenses", F.lit(None), None, None, as_of_ts, source).limit(0), rejects
     if high_water is None:

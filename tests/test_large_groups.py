@@ -33,3 +33,20 @@ def test_wildcard_terms_match_like(spark):
         ex, spark.createDataFrame([(t,) for t in terms], "term string"), like_wildcards=True).collect()}
     want = {(t, r.id) for t in terms for r in ex.where(F.col("description").like(f"%{t}%")).collect()}
     assert got == want
+
+
+def test_a_payload_is_derived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def amount(i):
+        seen.add(1)
+        return str(i)
+
+    state = spark.createDataFrame([], "id bigint, amount double, category string, description string, transaction_date string, "
+                                      "deleted_at timestamp_ntz, inserted_on timestamp_ntz, updated_on timestamp_ntz")
+    rows = spark.range(0, 300, 1, 3).select("id", amount("id").alias("amount"), *[F.lit(None).alias(c) for c in ("category", "description", "date")])
+    new, _, rejects = append_expenses(state, rows, "2026-03-23 10:00:00", ["id"])
+    assert [(r.id, r.amount) for r in new.orderBy("id").collect()] == [(i + 1, float(i)) for i in range(300)]
+    assert seen.value == 300
+    assert rejects.count() == 0
