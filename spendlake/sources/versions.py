@@ -84,6 +84,8 @@ class VersionedTables:
         ``rows`` and how many meet each of the ``counts``.  Only rows that meet ``keep`` are written, without the
         columns in ``drop``; all are counted."""
         folder, seen = f"{self.root}/{table}/{uuid.uuid4().hex}", Observation()
+        if by:  # rows of a part together: as many files as parts or full tasks, not one of each task for each part
+            df = df.hint("rebalance", by)
         df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()])
         writer = (df if keep is None else df.where(keep)).drop(*drop).write
         (writer.partitionBy(by) if by else writer).parquet(folder)
@@ -167,11 +169,12 @@ def _rewritten(store: VersionedTables, base: Version, state: DataFrame, changed_
 
 def audited(store: VersionedTables, base: Version, rows: DataFrame) -> tuple[str, int]:
     """Write audit rows with ids above all of ``base``; returns their folder and the highest id."""
-    from spendlake.session import assign_dense_ids
+    from spendlake.session import assign_dense_ids, written
 
     high = int(base.info.get("audit_high", 0))
     order = ["created_on", "action", "table_name", "row_id", "old_values", "new_values"]
     rows = rows.withColumn("created_on", F.col("created_on").cast("timestamp_ntz"))
+    rows = written(rows, "audit-rows")  # derived once, for the sampling of the order and the sort
     names = [x.split()[0] for x in AUDIT.split(", ")]
     folder, seen = store.write("audit", assign_dense_ids(rows, order, high).select(*names))
     return folder, high + seen["rows"]

@@ -93,3 +93,24 @@ def test_vacuum_keeps_what_is_listed(spark, store):
     assert store.vacuum(keep=2) >= 2 and not store.holds(stray)
     assert ledger(store) == rows and store.numbers() == [2, 3]
     assert store.read("audit", V.AUDIT).agg(F.max("id")).first()[0] == 3
+
+
+def test_a_month_is_one_file_and_audit_rows_are_derived_once(spark):
+    st = V.VersionedTables(spark, scratch_path(spark, "versions"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return str(i)
+
+    rows = spark.range(0, 160, 1, 8).select("id", *[
+        F.lit("2026-01-05").cast(t).alias(n) if n == "transaction_date" else F.lit(None).cast(t).alias(n)
+        for n, t in (x.split() for x in V.EXPENSES.split(", ")) if n != "id"])
+    log = rows.select(F.lit("INSERT").alias("action"), F.lit("expenses").alias("table_name"), F.col("id").alias("row_id"),
+                      F.lit(None).cast("string").alias("old_values"), text("id").alias("new_values"), F.lit("t").alias("source"),
+                      F.lit(NOW).cast("timestamp_ntz").alias("created_on"))
+    V.publish_change(st, rows, log, rows.select("id"))
+    assert V.read_expenses(st).select(F.input_file_name()).distinct().count() == 1
+    assert sorted((r.id, int(r.new_values)) for r in st.read("audit", V.AUDIT).collect()) == [(i + 1, i) for i in range(160)]
+    assert seen.value == 160
