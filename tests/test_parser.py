@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spendlake.functions.parsing import parse_amount, parse_txn_date
-from spendlake.operators.extract import extract_transactions, parser_stats, review_queue
+from spendlake.operators.extract import DEFAULT_PATTERNS, Pattern, extract_transactions, parser_stats, review_queue
 
 AS_OF = "2026-03-24"
 MSGS = [
@@ -153,3 +153,19 @@ def test_fields_found_in_any_order(spark):
     assert three.transaction_date == "2026-04-09"
     assert got[4].parse_method == "llm_needed"  # the first cue has no positive amount
     assert got[5].parse_method == "llm_needed" and got[6].parse_method == "llm_needed"
+
+
+def test_events_of_one_row_group_are_parsed_by_all_tasks(spark, tmp_path):
+    from spendlake.plans.catalog import run_inputs
+
+    ev = spark.range(400).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-05 10:00:00").cast("timestamp").alias("ts"), F.col("id").alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(2.5).alias("value"), F.lit('{"k": 1}').alias("props"))
+    ev.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    messages = run_inputs(spark, str(tmp_path))[0].select("seq", F.spark_partition_id().alias("task"))
+    got = messages.collect()
+    assert sorted(r.seq for r in got) == list(range(400))
+    assert len({r.task for r in got}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
