@@ -21,6 +21,7 @@ columns are not read.
 from __future__ import annotations
 
 import base64
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,17 +39,14 @@ class PackSettings:
     end_id: int = 50256  # free in the rank file
     row_tokens: int = 2048
     group_tokens: int = 4_000_000
-    cached_words: int = 300_000
+    cached_words: int = 300_000  # without effect since texts are encoded whole; kept for callers that name it
 
 
 class Tokenizer:
-    """Token ids as uint16 bytes.
-
-    The pre-token pattern always starts a new pre-token at a single space between two
-    non-space characters, so a text is cut there and the ids of each part are remembered."""
+    """Token ids as uint16, by one call for each text: most distinct words of a corpus occur once, so
+    remembering the ids of words costs more than it saves."""
 
     def __init__(self, settings: PackSettings):
-        import regex
         import tiktoken
 
         with open(settings.vocabulary, "rb") as f:
@@ -57,34 +55,9 @@ class Tokenizer:
             raise ValueError("ids do not fit two bytes")
         self.encode = tiktoken.Encoding(
             "ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        # a space that is not between two non-space characters
-        self.odd_space = regex.compile(r"(?<!\S) | (?!\S)").search
-        self.limit = settings.cached_words
-        self.known: dict[str, bytes] = {}
-
-    def part(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            ids = np.array(self.encode(word), np.uint16).tobytes()
-            if len(word) <= 64:
-                self.known[word] = ids
-        return ids
 
     def ids(self, text: str) -> np.ndarray:
-        if self.odd_space(text):
-            # cut only where the rule above holds
-            parts, start = [], 0
-            for i in range(1, len(text) - 1):
-                if text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace():
-                    parts.append(text[start:i])
-                    start = i
-            parts.append(text[start:])
-        else:
-            first, *rest = text.split(" ")
-            parts = [first, *[" " + x for x in rest]]
-        return np.frombuffer(b"".join(map(self.part, parts)), np.uint16)
+        return np.frombuffer(array("H", self.encode(text)), np.uint16)
 
 
 class Rooms:

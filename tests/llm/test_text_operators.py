@@ -278,3 +278,13 @@ def test_cached_parts_equal_plain_encoding():
     for _ in range(400):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
         assert t.ids(text).tolist() == plain.encode_ordinary(text), repr(text)
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_a_text_is_encoded_by_one_call():
+    t = packing.Tokenizer(packing.PackSettings())
+    calls, encode = [], t.encode
+    t.encode = lambda text: calls.append(text) or encode(text)
+    text = "one two  three\n four 'll five" * 50
+    assert t.ids(text).tolist() == encode(text) and calls == [text]
+    assert t.ids("").tolist() == []
