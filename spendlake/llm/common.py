@@ -15,6 +15,8 @@ from spendlake.session import scratch_path
 # White space that separates words (space, tab, LF, VT, FF, CR); all other characters are word characters.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+# Bytes from which on a word is hashed by itself.
+LONG_WORD = 64
 
 
 def ascii_lower(col: Column) -> Column:
@@ -137,6 +139,59 @@ def all_window_hashes(h: np.ndarray, size: int, seed: int) -> np.ndarray:
     return scramble(out)
 
 
+def text_chunks(values, limit: int):
+    """Byte strings joined to chunks of about ``limit`` bytes: yields (index of the first one, their sizes,
+    their bytes as an array).  None has no bytes."""
+    first, part, size = 0, [], 0
+    for value in values:
+        part.append(value or b"")
+        size += len(part[-1])
+        if size >= limit:
+            yield first, np.array([len(x) for x in part]), np.frombuffer(b"".join(part), np.uint8)
+            first, part, size = first + len(part), [], 0
+    if part:
+        yield first, np.array([len(x) for x in part]), np.frombuffer(b"".join(part), np.uint8)
+
+
+def word_hashes(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word counts, 64-bit hashes of all words) of texts that stand one after the other in ``data`` (UTF-8
+    bytes, ``sizes`` of each text).  Words are hashed eight bytes at a time, many at once; the few long
+    ones by xxhash."""
+    import xxhash
+
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    if not len(data):
+        return np.zeros(len(sizes), np.int64), np.empty(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    inside = (data != 32) & (data - np.uint8(9) > 4)  # bytes below 9 wrap around
+    borders = bounds[(bounds > 0) & (bounds < len(data))]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[borders] = inside[borders]
+    last[borders - 1] = inside[borders - 1]
+    starts = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - starts
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    low = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    m = odd_multipliers(2, 5)
+    out = np.empty(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(starts), 1 << 16):
+            s, n = starts[at : at + (1 << 16)], lengths[at : at + (1 << 16)]
+            h = scramble((eight[s] & low[np.minimum(n, 8)]) + n.astype(np.uint64) * m[0])
+            done, more = 8, np.flatnonzero((n > 8) & (n <= LONG_WORD))
+            while len(more):
+                rest = eight[s[more] + done] & low[np.minimum(n[more] - done, 8)]
+                h[more] = scramble((h[more] ^ rest) * m[1])
+                done += 8
+                more = more[n[more] > done]
+            for i in np.flatnonzero(n > LONG_WORD).tolist():
+                h[i] = xxhash.xxh64_intdigest(padded[s[i] : s[i] + n[i]])
+            out[at : at + (1 << 16)] = h
+    return np.diff(np.searchsorted(starts, bounds)), out
+
+
 def document_chunks(texts, words_at_once: int, lower: bool = False, hashes: WordHashes | None = None):
     """Word hashes of many texts, joined to arrays of about ``words_at_once`` words: yields
     (indices of the texts, their word counts, hashes).  Null texts have no words."""

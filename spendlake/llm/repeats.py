@@ -28,9 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_window_hashes, document_chunks, map_arrow, materialise, odd_multipliers, scramble, window_hashes
+from .common import (all_window_hashes, map_arrow, materialise, odd_multipliers, scramble, text_chunks, window_hashes,
+                     word_hashes)
 
-CHUNK_WORDS = 300_000
+CHUNK_BYTES = 2_000_000
 # Lower bits of an order value hold the position; longer arrays are cut into overlapping parts.
 POSITION_BITS = 20
 
@@ -129,20 +130,18 @@ def _occurrence_rows(rows: DataFrame, s: WindowSettings) -> DataFrame:
     """a, c, k1, k2, lo, n, at of every occurrence."""
 
     def run(batches):
-        from .common import WordHashes
-
-        words = WordHashes()
         for b in batches:
             k1, k2 = b.column(1), b.column(2)
-            for index, counts, h in document_chunks(b.column(0), CHUNK_WORDS, hashes=words):
-                o = occurrences(h, counts, s)
-                rows_of = pa.array(index[o["doc"]])
+            for first, sizes, data in text_chunks((t.as_py() for t in b.column(0)), CHUNK_BYTES):
+                o = occurrences(*reversed(word_hashes(data, sizes)), s)
+                rows_of = pa.array(first + o["doc"])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(o["a"].view(np.int64)), pa.array(o["c"].view(np.int64)), k1.take(rows_of), k2.take(rows_of),
                     pa.array(o["lo"].astype(np.int32)), pa.array(o["n"].astype(np.int32)), pa.array(o["at"].astype(np.int32)),
                 ], names=["a", "c", "k1", "k2", "lo", "n", "at"])
 
-    return rows.select("text", "k1", "k2").mapInArrow(run, "a bigint, c bigint, k1 bigint, k2 int, lo int, n int, at int")
+    texts = rows.select(F.col("text").cast("binary"), "k1", "k2")
+    return texts.mapInArrow(run, "a bigint, c bigint, k1 bigint, k2 int, lo int, n int, at int")
 
 
 def _settled(s: WindowSettings):
@@ -182,29 +181,43 @@ def repeated_windows(docs: DataFrame, rows: DataFrame, s: WindowSettings, prune=
     return inside.unionByName(outside).groupBy("k1", "k2").agg(F.collect_set("range").alias("__found"))
 
 
+def edge_chunks(batches):
+    """Chunks of dealt documents with their ``edges``: yields the word hashes ``h`` of the chunk and, per edge,
+    a, lo, n, at, settled, k1, k2 and ``base`` and ``end`` (its document's words in ``h``), all as arrays."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+        texts = (expand(z.as_py()) if z.is_valid else None for z in col["z"])
+        for first, sizes, data in text_chunks(texts, CHUNK_BYTES):
+            counts, h = word_hashes(data, sizes)
+            lists = col["edges"].slice(first, len(sizes))
+            flat = lists.flatten()
+            e = {f.name: v.to_numpy(zero_copy_only=False) for f, v in zip(flat.type, flat.flatten())}
+            doc = np.repeat(np.arange(len(sizes)), lists.value_lengths().to_numpy())
+            for k in ("k1", "k2"):
+                e[k] = col[k].to_numpy()[first + doc]
+            end = np.cumsum(counts)
+            yield h, {**e, "base": (end - counts)[doc], "end": end[doc]}
+
+
+def stretches(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1 .. start + n - 1 of each start, one after the other."""
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
 def _edge_windows(joined: DataFrame, s: WindowSettings, prune) -> DataFrame:
     """w (hash of the window), a, settled, k1, k2, lo for the windows of edge occurrences."""
     if prune is not None:
         return prune(joined, s)
 
     def run(batches):
-        from .common import WordHashes
-
-        words = WordHashes()
-        for b in batches:
-            col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-            for i, (edges, text) in enumerate(zip(col["edges"].to_pylist(), split_words(col["z"]))):
-                h = words.of(text)
-                n = np.array([e["n"] for e in edges])
-                lo = np.concatenate([np.arange(e["lo"], e["lo"] + e["n"]) for e in edges])
-                w = window_hashes(h, lo, s.size, 4)
-                size = len(lo)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(w.view(np.int64)), pa.array(np.repeat(np.array([e["a"] for e in edges], np.int64), n)),
-                    pa.array(np.repeat(np.array([e["settled"] for e in edges], bool), n)),
-                    pa.array(np.full(size, col["k1"][i].as_py(), np.int64)), pa.array(np.full(size, col["k2"][i].as_py(), np.int32)),
-                    pa.array(lo.astype(np.int32)),
-                ], names=["w", "a", "settled", "k1", "k2", "lo"])
+        for h, e in edge_chunks(batches):
+            lo = stretches(e["lo"].astype(np.int64), e["n"])
+            w = window_hashes(h, lo + np.repeat(e["base"], e["n"]), s.size, 4)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(w.view(np.int64)), *[pa.array(np.repeat(e[k], e["n"])) for k in ("a", "settled", "k1", "k2")],
+                pa.array(lo.astype(np.int32)),
+            ], names=["w", "a", "settled", "k1", "k2", "lo"])
 
     picked = joined.select("doc_id", "k1", "k2", "z", "edges")
     return picked.mapInArrow(run, "w bigint, a bigint, settled boolean, k1 bigint, k2 int, lo int")

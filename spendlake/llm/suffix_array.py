@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, materialise, window_hashes
-from .repeats import WindowSettings, covered_words, dealt, repeated_windows, spans_of, split_words
+from .repeats import (WindowSettings, covered_words, dealt, edge_chunks, repeated_windows, spans_of, split_words,
+                      stretches)
 
 SETTINGS = WindowSettings(size=50, run=10, across=True)
 
@@ -35,26 +36,18 @@ def _suffix_rows(joined: DataFrame, s: WindowSettings) -> DataFrame:
     the hashes of the occurrence's windows."""
 
     def run(batches):
-        from .common import WordHashes
-
-        words = WordHashes()
-        for b in batches:
-            col = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-            for i, (edges, text) in enumerate(zip(col["edges"].to_pylist(), split_words(col["z"]))):
-                h = words.of(text)
-                short = (h >> np.uint64(32)).astype(">u4")
-                suffix = [short[at : at + s.size].tobytes() for at in (e["lo"] + e["at"] for e in edges)]
-                starts = np.concatenate([np.arange(e["lo"], e["lo"] + e["n"]) for e in edges])
-                ends = np.cumsum([e["n"] for e in edges])
-                found = window_hashes(h, starts, s.size, 4).view(np.int64)
-                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(found))
-                n = len(edges)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([e["a"] for e in edges], pa.int64()), pa.array(suffix, pa.binary()),
-                    pa.array(np.full(n, col["k1"][i].as_py(), np.int64)), pa.array(np.full(n, col["k2"][i].as_py(), np.int32)),
-                    pa.array([e["lo"] for e in edges], pa.int32()), pa.array([e["at"] for e in edges], pa.int32()),
-                    pa.array([e["settled"] for e in edges], pa.bool_()), hashes,
-                ], names=["a", "suffix", "k1", "k2", "lo", "at", "settled", "hashes"])
+        for h, e in edge_chunks(batches):
+            short = (h >> np.uint64(32)).astype(">u4")
+            from_word = e["base"] + e["lo"] + e["at"]
+            to_word = np.minimum(from_word + s.size, e["end"])
+            suffix = [short[i:j].tobytes() for i, j in zip(from_word.tolist(), to_word.tolist())]
+            starts = stretches(e["base"] + e["lo"], e["n"])
+            found = window_hashes(h, starts, s.size, 4).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(e["n"])])
+            hashes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(e["a"]), pa.array(suffix, pa.binary()), *[pa.array(e[k]) for k in ("k1", "k2", "lo", "at", "settled")], hashes,
+            ], names=["a", "suffix", "k1", "k2", "lo", "at", "settled", "hashes"])
 
     picked = joined.select("doc_id", "k1", "k2", "z", "edges")
     return picked.mapInArrow(
